@@ -1,15 +1,12 @@
-"""Named queries over the driver's tables, each with its SQL where DuckDB can express it."""
+"""All named queries, with their SQL where DuckDB can express them."""
 
 from __future__ import annotations
 
-FLAGSHIP = "region_sales"
+from tellurion.plans import pixels
 
-
-def region_sales(spark, sf_dir):
-    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    t("nation").createOrReplaceTempView("_n")
-    return t("nation").groupBy("n_regionkey").count().withColumnRenamed("count", "nations")
-
-
-QUERIES = {"region_sales": region_sales}
-ORACLES = {"region_sales": "SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY n_regionkey"}
+QUERIES: dict = {}
+ORACLES: dict = {}
+for _m in (pixels,):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
+FLAGSHIP = "nd_indices"
