@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tellurion.plans import pixels
+from tellurion.plans import evidence, objects, pixels, scenes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (pixels,):
+for _m in (pixels, objects, scenes, evidence):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
-FLAGSHIP = "nd_indices"
+FLAGSHIP = "cell_score_rank"

@@ -74,11 +74,11 @@ def scene_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ACQ = """acq AS (
-  SELECT event_id, user_id AS track, epoch_ms(ts) AS ms, CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'D' END AS pass, value
+  SELECT event_id, user_id AS track, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'D' END AS pass, value
   FROM events WHERE event_type IN ('view', 'click'))"""
 
 
 def acquisitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, track, ms, pass (A or D), value."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
-    return e.select("event_id", F.col("user_id").alias("track"), F.unix_millis("ts").alias("ms"), F.when(F.col("event_type") == "view", "A").otherwise("D").alias("pass"), "value")
+    return e.select("event_id", F.col("user_id").alias("track"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.when(F.col("event_type") == "view", "A").otherwise("D").alias("pass"), "value")
