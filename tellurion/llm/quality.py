@@ -111,21 +111,28 @@ def measure(docs: DataFrame) -> DataFrame:
     })
 
 
+def _kept(rules) -> Column:
+    """The verdict.
+
+    A filter on it would be pushed below the measures with their expressions copied
+    into it, one into the next; a column that also reads a row number keeps filters
+    above itself, and every measure is computed once.
+    """
+    return ~F.col("base_failed") & verdict(rules) & (F.monotonically_increasing_id() >= 0)
+
+
 def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` with the counts, base_failed and kept; columns of those names are replaced."""
     names = {*COUNTS, "base_failed", "kept", "n_lines", "n_stop", "n_upper", *(r[0] for r in rules)}
     own = [c for c in docs.columns if c not in names]
     m = measure(docs.select(*own))
-    return m.select(*own, *COUNTS, "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))
+    return m.select(*own, *COUNTS, "base_failed", _kept(rules).alias("kept"))
 
 
 def keep(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns they came with."""
     m = measure(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "text"))
-    # A filter on plain columns would be pushed below the measures with their expressions copied into it, one into
-    # the next; one that also reads a row number stays where it is, and every measure is computed once.
-    judged = m.select("_row", (~F.col("base_failed") & verdict(rules)).alias("_ok"), F.monotonically_increasing_id().alias("_n"))
-    return judged.where(F.col("_ok") & (F.col("_n") >= 0)).select("_row.*")
+    return m.select("_row", _kept(rules).alias("_ok")).where("_ok").select("_row.*")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
