@@ -69,10 +69,10 @@ def orbit_window(spark, sf):
 _PAIRS = f"{ACQ}, pairs AS (SELECT a.track, a.event_id AS asc_id, d.event_id AS desc_id, abs(a.ms - d.ms) AS dt_ms FROM acq a JOIN acq d ON a.track = d.track AND a.pass = 'A' AND d.pass = 'D' AND abs(a.ms - d.ms) <= 36 * 3600000)"
 
 
-@add("pair_candidates", f"WITH {_PAIRS} SELECT track, asc_id, desc_id, round(dt_ms / 3600000.0::DOUBLE, 6) AS hours FROM pairs")
+@add("pair_candidates", f"WITH {_PAIRS} SELECT track, asc_id, desc_id, round(dt_ms / 3600000.0::DOUBLE, 9) AS hours FROM pairs")
 def pair_candidates(spark, sf):
     p = aq.pair_candidates(acquisitions(spark, sf), 36)
-    return p.select("track", "asc_id", "desc_id", F.round(F.col("dt_ms") / 3600000.0, 6).alias("hours"))
+    return p.select("track", "asc_id", "desc_id", F.round(F.col("dt_ms") / 3600000.0, 9).alias("hours"))
 
 
 @add("pair_selection")
