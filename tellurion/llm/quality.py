@@ -36,7 +36,7 @@ RULES: tuple[tuple[str, str, float], ...] = (
     ("mean_word_chars", "<=", 14.0),
     ("symbol_percent", "<=", 20.0),
     ("stop_percent", ">=", 2.0),
-    ("dup_line_percent", "<=", 30.0),
+    ("dup_line_percent", "<=", 50.0),
     ("shout_percent", "<=", 50.0),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
