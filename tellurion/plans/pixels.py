@@ -176,20 +176,20 @@ def hillshade(spark, sf):
 @add("box_mean_std", f"WITH {PIX}, {neighbours('pix', 2, 'b2')} SELECT {AT}, {_r(box_mean='avg(v)', box_std='CASE WHEN count(v) > 0 THEN sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)) END')} FROM nb GROUP BY {AT}")
 def box_mean_std(spark, sf):
     d = w2.box_stats(pix(spark, sf), "b2", 2, "box")
-    return d.select(*CELL, c.rounded("box_mean", 6).alias("box_mean"), F.round("box_std", 5).alias("box_std"))
+    return d.select(*CELL, c.rounded("box_mean", 6).alias("box_mean"), F.round("box_std", 3).alias("box_std"))
 
 
-ORACLES["box_mean_std"] = ORACLES["box_mean_std"].replace("END, 6) + 0.0::DOUBLE AS box_std", "END, 5) AS box_std")
+ORACLES["box_mean_std"] = ORACLES["box_mean_std"].replace("END, 6) + 0.0::DOUBLE AS box_std", "END, 3) AS box_std")
 
 
 @add("relief", f"""WITH {PIX}, {_GRAD}, {neighbours('gr', 3, 'dem')}, b AS (SELECT {AT}, avg(v) AS m, sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)) AS sd FROM nb GROUP BY {AT}),
   d AS (SELECT run_id, "row", col, dem, slope, m, sd, abs(dem - m) AS ad FROM gr JOIN b USING (run_id, "row", col)),
   t AS (WITH {neighbours('d', 3, 'ad')} SELECT {AT}, avg(v) AS tri FROM nb GROUP BY {AT})
-  SELECT run_id, "row", col, {_r(tpi='dem - m', tri='CASE WHEN dem IS NOT NULL THEN tri END', twi='CASE WHEN dem IS NOT NULL AND slope IS NOT NULL THEN ln((greatest(m - dem, 0) + 1) / greatest(tan(radians(slope)), 1e-6)) END')}, round(CASE WHEN dem IS NOT NULL AND m IS NOT NULL THEN sd END, 4) AS roughness
+  SELECT run_id, "row", col, {_r(tpi='dem - m', tri='CASE WHEN dem IS NOT NULL THEN tri END', twi='CASE WHEN dem IS NOT NULL AND slope IS NOT NULL THEN ln((greatest(m - dem, 0) + 1) / greatest(tan(radians(slope)), 1e-6)) END')}, round(CASE WHEN dem IS NOT NULL AND m IS NOT NULL THEN sd END, 3) AS roughness
   FROM d JOIN t USING (run_id, "row", col)""")
 def relief(spark, sf):
     d = terrain.relief(pix(spark, sf), 3)
-    return d.select(*CELL, c.rounded("tpi").alias("tpi"), c.rounded("tri").alias("tri"), F.when(F.col("slope").isNotNull(), c.rounded("twi")).alias("twi"), F.round("roughness", 4).alias("roughness"))
+    return d.select(*CELL, c.rounded("tpi").alias("tpi"), c.rounded("tri").alias("tri"), F.when(F.col("slope").isNotNull(), c.rounded("twi")).alias("twi"), F.round("roughness", 3).alias("roughness"))
 
 
 @add("entropy3", f"""WITH {LIN}, med AS (SELECT run_id, median(a) AS m FROM lin GROUP BY run_id), fil AS (SELECT l.run_id, "row", col, coalesce(a, m, 0) AS f, vv FROM lin l JOIN med USING (run_id)),
