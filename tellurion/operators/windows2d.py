@@ -43,7 +43,7 @@ def box_stats(df: DataFrame, x, r: int, name: str, size: int = SIZE) -> DataFram
     df = box_sums(df, {"_s": v, "_q": v * v, "_c": x.isNotNull().cast("double")}, r, size)
     mean = F.try_divide("_s", "_c")
     var = F.try_divide("_q", "_c") - mean * mean
-    return df.withColumns({f"{name}_mean": mean, f"{name}_std": F.sqrt(F.greatest(var, F.lit(0.0)))}).drop("_s", "_q", "_c")
+    return df.withColumns({f"{name}_mean": mean, f"{name}_std": F.when(F.col("_c") > 0, F.sqrt(F.greatest(var, F.lit(0.0))))}).drop("_s", "_q", "_c")
 
 
 def box_max(df: DataFrame, x, r: int, name: str) -> DataFrame:

@@ -91,12 +91,12 @@ def _change(spark, sf):
     return aq.surface_change(view(1995), view(1996))
 
 
-@add("surface_change", f'WITH {_CHANGE} SELECT "row", col, round(delta, 6) + 0.0::DOUBLE AS delta, round(centred / threshold, 6) AS indicator, centred >= threshold AS flagged FROM c, t')
+@add("surface_change", f'WITH {_CHANGE} SELECT "row", col, round(delta, 6) + 0.0::DOUBLE AS delta, round(CASE WHEN n >= 64 THEN centred / threshold END, 6) AS indicator, n >= 64 AND centred >= threshold AS flagged FROM c, t')
 def surface_change(spark, sf):
     return _change(spark, sf).select("row", "col", rounded("delta").alias("delta"), F.round("indicator", 6).alias("indicator"), "flagged")
 
 
-@add("surface_change_summary", f"WITH {_CHANGE} SELECT count(*) AS valid, sum((centred >= threshold)::INT)::BIGINT AS flagged, round(any_value(med), 6) AS median_delta, round(any_value(p95), 6) AS p95, round(any_value(scale), 6) AS scale, round(any_value(threshold), 6) AS threshold FROM c, t")
+@add("surface_change_summary", f"WITH {_CHANGE} SELECT count(*) AS valid, sum((n >= 64 AND centred >= threshold)::INT)::BIGINT AS flagged, round(any_value(med), 6) AS median_delta, round(any_value(p95), 6) AS p95, round(any_value(scale), 6) AS scale, round(any_value(threshold), 6) AS threshold FROM c, t")
 def surface_change_summary(spark, sf):
     return aq.change_summary(_change(spark, sf))
 
