@@ -41,9 +41,9 @@ from tellurion.llm.scratch import materialise
 from tellurion.llm.tokens import vocabulary_path
 
 LENGTH = 32
-STRIDE = 28
+STRIDE = 24
 WIDTH = 16
-CLASSES = 32
+CLASSES = 64
 ROWS = 4096
 EVERY = 16
 ROUNDS = 2

@@ -251,3 +251,10 @@ def test_base_scores(spark):
         r = got[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[d], len(ws) + 1, sum(c[w] > 0 for w in [*ws, None]), n)
         assert r.base_score == pytest.approx(want, rel=1e-9) and r.score < 0
+
+
+def test_windows_overlap_by_a_quarter_and_classes_are_fine():
+    first, text, new = lm.spans(np.array([0, 2, 300]))
+    later = new[np.append(False, text[1:] == text[:-1])]
+    assert len(later) and later.min() >= lm.LENGTH // 4  # ids of context besides the one before the target
+    assert lm.CLASSES >= 64
