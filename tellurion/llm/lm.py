@@ -9,16 +9,15 @@ bigrams put them; inside its class an id keeps its share of the bigram estimate.
 The classes and the shares each sum to one, so the score is a probability, and
 without training it is the bigrams'.
 
-Corpus statistics cover every training document: word counts, bigram counts (the
-``MAX_BIGRAMS`` most frequent are kept apart, the others' mass backs off to
-unigrams) and unigrams.  The weights are trained on one of ``EVERY`` windows of
-every training document, chosen by hash, so their number grows with the corpus;
-each task trains on its own windows and the tasks' weights are averaged, ``ROUNDS``
-times over disjoint windows.
+Corpus statistics cover every training document: word counts, bigram counts and
+unigrams.  The weights are trained on every window of every training document,
+each window once; each task trains on its own windows and the tasks' weights are
+averaged, ``ROUNDS`` times over disjoint windows.
 
 Scoring.  Windows overlap by ``LENGTH - STRIDE`` ids; each id is scored once, in
 the first window that reaches it.  Words outside the ``TOP_WORDS`` most frequent
-get their counts by a join, not from memory.
+and bigrams outside the ``MAX_BIGRAMS`` most frequent get their counts by a join,
+not from memory; the classes' masses come from all bigrams.
 
 Defined results: null and empty texts consist of the end alone; documents without
 an id are training documents; repeated rows stay rows; a corpus without training
@@ -45,7 +44,6 @@ STRIDE = 24
 WIDTH = 16
 CLASSES = 64
 ROWS = 4096
-EVERY = 16
 ROUNDS = 2
 BATCH = 128
 RATE = 1e-2
@@ -196,12 +194,10 @@ def gather(docs: DataFrame, path: str) -> DataFrame:
                 key, n = np.unique(ids[at - 1].astype(np.int64) * (2 * VOCAB) + ids[at], return_counts=True)
                 grams.append((key, n))
                 held += len(key)
-                seeds, windows = part.column("seed").to_pylist(), []
+                seeds, windows, small = part.column("seed").to_pylist(), [], ids.astype(np.uint16)
                 for seed, a, e in zip(seeds, starts[:-1].tolist(), starts[1:].tolist()):
                     for i in range(0, max(1, e - 1 - a), LENGTH):
-                        h = zlib.crc32(b"%d.%d" % (seed, i))
-                        if h % EVERY == 0:
-                            windows.append((h // EVERY % ROUNDS, ids[a + i : min(e, a + i + LENGTH + 1)].tobytes()))
+                        windows.append((zlib.crc32(b"%d.%d" % (seed, i)) % ROUNDS, small[a + i : min(e, a + i + LENGTH + 1)].tobytes()))
                 if windows:
                     yield rows(2, np.array([w[0] for w in windows], np.int64), np.full(len(windows), 1, np.int64), [w[1] for w in windows])
                 if held > 3_000_000:
@@ -230,46 +226,82 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("n") >= floor)
 
 
+def classes_of(unigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Kind and class of each id, and the number of classes: within each kind, ids in order of frequency, cut into classes of nearly equal mass."""
+    size = 2 * VOCAB
+    kind = (np.arange(size) >= VOCAB).astype(np.int64)  # ids that begin a word, ids inside one
+    mass = np.bincount(kind, weights=unigrams + 0.5, minlength=2)
+    per = np.maximum(1, np.floor(mass / mass.sum() * (CLASSES - 4)).astype(int))
+    cls, first = np.zeros(size, np.int64), 0
+    for k in range(2):
+        own = np.flatnonzero(kind == k)
+        own = own[np.argsort(-unigrams[own], kind="stable")]
+        cum = np.cumsum(unigrams[own] + 0.5)
+        cut = np.minimum((cum - (unigrams[own] + 0.5) / 2) / cum[-1] * per[k], per[k] - 1).astype(int)
+        cls[own] = first + cut
+        first += per[k]
+    return kind, cls, int(first)
+
+
+def class_cells(grams: DataFrame, cls: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """cell (id * n_classes + class of the next id), n, distinct over all bigrams; at most as many cells as ids times classes."""
+    shared, size = grams.sparkSession.sparkContext.broadcast(cls), 2 * VOCAB
+
+    def run(batches):
+        n, k, of = np.zeros(size * n_classes), np.zeros(size * n_classes, np.int32), shared.value
+        for b in batches:
+            key = b.column("key").to_numpy(zero_copy_only=False)
+            cell = key // size * n_classes + of[key % size]
+            np.add.at(n, cell, b.column("n").to_numpy(zero_copy_only=False))
+            np.add.at(k, cell, 1)
+        at = np.flatnonzero(k)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at].astype(np.int64)), pa.array(k[at].astype(np.int64))], names=["cell", "n", "k"])
+
+    t = grams.select("key", "n").mapInArrow(run, "cell long, n long, k long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).toArrow()
+    return tuple(t.column(c).to_numpy() for c in ("cell", "n", "k"))
+
+
 class Statistics:
-    """Arrays of the corpus that the model needs; of bounded size."""
+    """Arrays of the corpus that the model needs; of bounded size.
 
-    def __init__(self, unigrams: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+    keys, counts: the bigrams in memory; cells: what ``class_cells`` gives for all bigrams (None: all are in memory).
+    """
+
+    def __init__(self, unigrams: np.ndarray, keys: np.ndarray, counts: np.ndarray, cells=None):
         size = 2 * VOCAB
-        self.kind = (np.arange(size) >= VOCAB).astype(np.int64)  # ids that begin a word, ids inside one
+        self.kind, self.cls, self.n_classes = classes_of(unigrams)
         total = np.bincount(self.kind, weights=unigrams + 0.5, minlength=2)
         share = (unigrams + 0.5) / total[self.kind]
         order = np.argsort(keys)
         self.keys, counts = keys[order], counts[order].astype(np.float64)
         left, right = self.keys // size, self.keys % size
+        cell, n, k = cells or (left * self.n_classes + self.cls[right], counts, np.ones(len(keys)))
+        by_cell = np.argsort(cell, kind="stable")
+        cell, n, k = cell[by_cell], n[by_cell].astype(np.float64), k[by_cell]
+        before, kind_of = cell // self.n_classes, np.zeros(self.n_classes, np.int64)
+        kind_of[self.cls] = self.kind
         moves = np.full((2, 2), 0.5)
-        np.add.at(moves, (self.kind[left], self.kind[right]), counts)
+        np.add.at(moves, (self.kind[before], kind_of[cell % self.n_classes]), n)
         moves /= moves.sum(axis=1, keepdims=True)
-        kept = np.bincount(left, weights=counts, minlength=size)
-        distinct = np.bincount(left, minlength=size)
+        kept = np.bincount(before, weights=n, minlength=size)
+        distinct = np.bincount(before, weights=k, minlength=size)
         after = np.maximum(unigrams, kept)  # every id but the closing one is followed by another
         after[END] = max(unigrams[END], kept[END])
         free = after - kept + distinct + 1.0
-        self.free_share = free / (kept + free)
-        self.kept_share = np.append(counts / (kept + free)[left], 0.0)  # the last: a bigram that isn't kept
+        self.mass = kept + free
+        self.free_share = free / self.mass
+        self.kept_share = np.append(counts / self.mass[left], 0.0)  # the last: a bigram that isn't in memory
         self.log_moves, self.share, self.moves = np.log(moves), share, moves
-        # classes: within each kind, ids in order of frequency, cut into classes of nearly equal mass
-        mass = total / total.sum()
-        per = np.maximum(1, np.floor(mass * (CLASSES - 4)).astype(int))
-        self.cls, first = np.zeros(size, np.int64), 0
-        for k in range(2):
-            own = np.flatnonzero(self.kind == k)
-            own = own[np.argsort(-unigrams[own], kind="stable")]
-            cum = np.cumsum(unigrams[own] + 0.5)
-            cut = np.minimum((cum - (unigrams[own] + 0.5) / 2) / cum[-1] * per[k], per[k] - 1).astype(int)
-            self.cls[own] = first + cut
-            first += per[k]
-        self.n_classes = first
         # the bigrams' mass of each class after each id
-        mass = np.bincount(left * first + self.cls[right], weights=self.kept_share[:-1], minlength=size * first).reshape(size, first)
-        in_kind = np.zeros((2, first))
+        in_kind = np.zeros((2, self.n_classes))
         np.add.at(in_kind, (self.kind, self.cls), share)
-        mass += self.free_share[:, None] * (moves @ in_kind)[self.kind]
-        self.log_class = np.log(np.maximum(mass, 1e-30)).astype(np.float32)
+        in_kind = moves @ in_kind
+        self.log_class, step = np.empty((size, self.n_classes), np.float32), 4000
+        for s in range(0, size, step):
+            a, e = np.searchsorted(before, (s, s + step))
+            part = np.bincount(cell[a:e] - s * self.n_classes, weights=n[a:e] / self.mass[before[a:e]], minlength=step * self.n_classes).reshape(step, -1)
+            part = part + self.free_share[s : s + step, None] * in_kind[self.kind[s : s + step]]
+            self.log_class[s : s + step] = np.log(np.maximum(part, 1e-30))
         top = np.argsort(-unigrams, kind="stable")[: ROWS - 4]
         self.row = self.kind.copy()
         self.row[top] = 4 + np.arange(len(top))
@@ -315,9 +347,12 @@ class Statistics:
         shape = prev.shape
         prev, this = prev.ravel(), this.ravel()
         at = self.find(prev.astype(np.int64) * (2 * VOCAB) + this)
-        out = self.kept_share[at] + self.free_share[prev] * self.moves[self.kind[prev], self.kind[this]] * self.share[this]
+        out = self.kept_share[at] + self.backoff(prev, this)
         return out.astype(np.float32).reshape(shape)
 
+    def backoff(self, prev: np.ndarray, this: np.ndarray) -> np.ndarray:
+        return self.free_share[prev] * self.moves[self.kind[prev], self.kind[this]] * self.share[this]
+
 
 # ---- the network -----------------------------------------------------------------
 
@@ -379,8 +414,10 @@ def gradient(w, x, cls, share, prior, valid):
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
     dqkv = np.concatenate((np.matmul(ds, k) * np.float32(WIDTH**-0.5), np.matmul(ds.transpose(0, 2, 1), q), dv), axis=2).reshape(-1, 3 * WIDTH)
     de += (dqkv @ w["qkv"].T).reshape(b, n, WIDTH)
-    demb = np.zeros_like(w["emb"])
-    np.add.at(demb, x.ravel(), de.reshape(-1, WIDTH))
+    demb, order = np.zeros_like(w["emb"]), np.argsort(x.ravel(), kind="stable")
+    rows = x.ravel()[order]
+    edge = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    demb[rows[edge]] = np.add.reduceat(de.reshape(-1, WIDTH)[order], edge, axis=0)
     dpos = np.zeros_like(w["pos"])
     dpos[:n] = de.sum(axis=0)
     return float(-(np.log(np.maximum(p, 1e-30)) * ok).sum()), {
@@ -403,19 +440,18 @@ class Adam:
 
 def pack(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Windows of up to LENGTH + 1 ids as a padded matrix and the number of targets of each."""
-    n = np.array([len(w) // 4 - 1 for w in windows])
+    n = np.array([len(w) // 2 - 1 for w in windows])
     m = np.full((len(windows), LENGTH + 1), END, np.int32)
-    for i, w in enumerate(windows):
-        m[i, : n[i] + 1] = np.frombuffer(w, np.int32)
+    m[np.arange(LENGTH + 1) <= n[:, None]] = np.frombuffer(b"".join(windows), np.uint16)
     return m, n
 
 
-def train_on(w, windows: list[bytes], stats: Statistics, adam: Adam) -> float:
+def train_on(w, windows: list[bytes], stats: Statistics, adam: Adam) -> None:
+    """One step.  The share of an id in its class doesn't depend on the weights, so the gradient is the classes'."""
     m, n = pack(windows)
     x, y = m[:, :-1], m[:, 1:]
-    loss, g = gradient(w, stats.row[x], stats.cls[y], stats.shares(x, y), stats.log_class[x], np.arange(LENGTH)[None] < n[:, None])
+    _, g = gradient(w, stats.row[x], stats.cls[y], np.float32(1), stats.log_class[x], np.arange(LENGTH)[None] < n[:, None])
     adam.step(w, g)
-    return loss
 
 
 def flat(w) -> np.ndarray:
@@ -475,28 +511,45 @@ def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def score_streams(ids: np.ndarray, starts: np.ndarray, w, stats: Statistics, step: int = 512) -> np.ndarray:
-    """log10 probability of each text: every id once, over batches of masked windows."""
+    """log10 probability of the classes of each text's ids: every id once, over batches of masked windows."""
     first, text, new = spans(starts)
     stop = starts[text + 1] - 1  # inputs end before this
     out = np.zeros(len(starts) - 1)
-    share = np.zeros(len(ids), np.float32)
-    share[1:] = stats.shares(ids[:-1], ids[1:])
     r_all, c_all = stats.row[ids], stats.cls[ids]
     place = np.arange(LENGTH)
     for s in range(0, len(first), step):
         at = first[s : s + step, None] + place
         valid = (at < stop[s : s + step, None]) & (place >= new[s : s + step, None])
         at = np.minimum(at, len(ids) - 2)
-        p, _ = forward(w, r_all[at], c_all[at + 1], share[at + 1], stats.log_class[ids[at]])
+        p, _ = forward(w, r_all[at], c_all[at + 1], np.float32(1), stats.log_class[ids[at]])
         logs = np.where(valid.ravel(), np.log10(np.maximum(p, 1e-38)), 0.0).reshape(valid.shape).sum(axis=1)
         out += np.bincount(text[s : s + step], weights=logs, minlength=len(out))
     return out
 
 
+def share_streams(ids: np.ndarray, starts: np.ndarray, stats: Statistics) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """log10 share of the ids in their classes, summed by text, with a count of zero for bigrams that aren't in memory; the latter's keys, texts, and ratio.
+
+    A count n that is found later adds log10(1 + n * ratio).
+    """
+    size = np.diff(starts)
+    owner = np.repeat(np.arange(len(size)), size)
+    inner = np.ones(len(ids), bool)
+    inner[starts[:-1]] = False
+    at = np.flatnonzero(inner)
+    owner, prev, this = owner[at], ids[at - 1], ids[at]
+    key = prev.astype(np.int64) * (2 * VOCAB) + this
+    place, backoff = stats.find(key), stats.backoff(prev, this)
+    logs = np.log10(stats.kept_share[place] + backoff) - stats.log_class[prev, stats.cls[this]] / np.log(10)
+    rare = place == len(stats.keys)
+    ratio = 1 / (stats.mass[prev[rare]] * backoff[rare])
+    return np.bincount(owner, weights=logs, minlength=len(size)), key[rare], owner[rare], ratio
+
+
 # ---- the operator ------------------------------------------------------------------
 
 
-def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str | None = None, max_bigrams: int = MAX_BIGRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     spark, path = docs.sparkSession, vocabulary or vocabulary_path("piece_bpe_32k.model")
     facts = materialise(gather(docs.where(~held_out(F.col("doc_id"))), path), "lm-facts")
@@ -505,15 +558,19 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     grams = materialise(fact(1).groupBy("key").agg(F.sum("n").alias("n")), "lm-bigrams")
     unigrams = np.zeros(2 * VOCAB)
-    got = grams.groupBy((F.col("key") % (2 * VOCAB)).alias("t")).agg(F.sum("n").alias("n")).toPandas()  # one row an id of the vocabulary
-    unigrams[got["t"].to_numpy(int)] = got["n"].to_numpy(float)
-    kept = frequent(grams, MAX_BIGRAMS).select("key", "n").toPandas()
-    stats = Statistics(unigrams, kept["key"].to_numpy(np.int64), kept["n"].to_numpy(np.int64))
+    got = grams.groupBy((F.col("key") % (2 * VOCAB)).alias("t")).agg(F.sum("n").alias("n")).toArrow()  # one row an id of the vocabulary
+    unigrams[got["t"].to_numpy()] = got["n"].to_numpy()
+    kept = frequent(grams, max_bigrams).select("key", "n").toArrow()
+    whole = kept.num_rows == grams.count()  # then a bigram that isn't in memory doesn't occur
+    _, cls, n_classes = classes_of(unigrams)
+    stats = Statistics(unigrams, kept["key"].to_numpy(), kept["n"].to_numpy(), class_cells(grams, cls, n_classes))
+    del kept, got
     shared_stats = spark.sparkContext.broadcast(stats)
     weights = train(fact(2), stats, shared_stats)
-    top = frequent(words, TOP_WORDS).select("key", "n").toPandas()
-    order = np.argsort(top["key"].to_numpy(np.int64).view(np.uint64))
-    top_keys, top_counts = top["key"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.int64)[order]
+    top = frequent(words, TOP_WORDS).select("key", "n").toArrow()
+    top_keys, top_counts = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(top_keys)
+    top_keys, top_counts = top_keys[order], top_counts[order]
     denominator = total + 0.5 * (distinct + 1)
     shared = spark.sparkContext.broadcast((weights, top_keys, np.log10((top_counts + 0.5) / denominator)))
 
@@ -544,19 +601,32 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 rare = ~found
                 cuts = np.concatenate(([0], np.cumsum(np.bincount(owner[rare], minlength=len(size))))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes[rare].view(np.int64)))
+                shares, key, of, ratio = share_streams(ids, starts, st)
+                if whole:
+                    key, of, ratio = key[:0], of[:0], ratio[:0]
+                at = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(size))))).astype(np.int32)
+                grams_, ratios = (pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (key, ratio))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size), pa.array(known), pa.array(base), pa.array(score_streams(ids, starts, w, st)), lists],
-                    names=["doc_id", "n_tokens", "known", "base", "score", "rare"])
+                    [part.column("doc_id"), pa.array(size), pa.array(known), pa.array(base), pa.array(score_streams(ids, starts, w, st) + shares), lists, grams_, ratios],
+                    names=["doc_id", "n_tokens", "known", "base", "score", "rare", "gram", "ratio"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, score double, rare array<long>")
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, score double, rare array<long>, gram array<long>, ratio array<double>")
     scored = materialise(scored.withColumn("rid", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("rid", F.explode("rare").alias("key")).join(words.hint("shuffle_hash"), "key", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(denominator)))
     more = rare.groupBy("rid").agg(F.sum(log).alias("more_base"), F.count("n").alias("more_known"))
-    return scored.join(more, "rid", "left").select(
+    out = scored.join(more, "rid", "left")
+    if whole:
+        out = out.withColumn("more_score", F.lit(0.0))
+    else:
+        pair = scored.select("rid", F.explode(F.arrays_zip("gram", "ratio")).alias("g")).select("rid", F.col("g.gram").alias("key"), F.col("g.ratio").alias("ratio"))
+        late = pair.join(grams.hint("shuffle_hash"), "key").groupBy("rid").agg(F.sum(F.log10(1 + F.col("n") * F.col("ratio"))).alias("more_score"))
+        out = out.join(late, "rid", "left")
+    return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
+        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -258,3 +258,20 @@ def test_windows_overlap_by_a_quarter_and_classes_are_fine():
     later = new[np.append(False, text[1:] == text[:-1])]
     assert len(later) and later.min() >= lm.LENGTH // 4  # ids of context besides the one before the target
     assert lm.CLASSES >= 64
+
+
+def test_bigrams_outside_memory_count_too(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    cut = {r.doc_id: r.score for r in lm.score(docs, max_bigrams=50).collect()}
+    assert cut == pytest.approx(whole, rel=1e-5)
+
+
+def test_model_learns_from_every_window(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20 * i))) for i in range(12)], "doc_id long, text string")
+    piecer = lm.Pieces(lm.vocabulary_path("piece_bpe_32k.model"))
+    facts = lm.gather(docs, lm.vocabulary_path("piece_bpe_32k.model")).where("kind = 2").collect()
+    got = sorted(len(r.ids) // 2 - 1 for r in facts)
+    _, _, _, starts = lm.streams([r.text for r in docs.orderBy("doc_id").collect()], piecer)
+    assert got == sorted(min(lm.LENGTH, n - i) for n in (np.diff(starts) - 1).tolist() for i in range(0, n, lm.LENGTH))
+    assert {r.key for r in facts} == set(range(lm.ROUNDS))
