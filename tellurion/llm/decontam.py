@@ -9,7 +9,8 @@ since lower-casing A-Z moves nothing.
 
 The items are a stated test set; their text is read to the driver behind a checked
 bound (``max_bytes``) and sent to the executors.  A larger set is worked off in
-blocks of that size whose hits are united, so no item is dropped.
+blocks of that size whose hits are united by a written row number, so no item is
+dropped and rows with the same or no doc_id stay apart.
 
 Defined results: null and empty texts have no words and no hits; items without
 words have no windows; repeated documents are scanned each; repeated item ids
@@ -21,9 +22,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ WINDOW = 10
 MAX_BYTES = 32 << 20
 _LOWER = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SCHEMA = "key long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
+SCHEMA = "n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -78,19 +80,23 @@ def find(words: list[str], numbers: dict[str, int], machine) -> tuple[list[tuple
 _built: dict[str, tuple] = {}
 
 
-def _scanner(items, tag: str, lean: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scanner(items, tag: str, keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tag not in _built:  # one automaton for a Python worker
             _built.clear()
             _built[tag] = build(items.value)
         numbers, machine = _built[tag]
-        for pdf in batches:
-            out = []
-            for key, text in zip(pdf["key"], pdf["text"]):
+        for batch in batches:
+            n_words, hits, owners = [], [], []
+            for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 spans, own = find(words, numbers, machine)
-                out.append((key, len(words), [{"start": a, "stop": b} for a, b in spans], sorted(own)))
-            yield pd.DataFrame(out, columns=["key", "n_words", "spans", "items"])
+                n_words.append(len(words))
+                hits.append([{"start": a, "stop": b} for a, b in spans])
+                owners.append(sorted(own))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(hits, SPANS), pa.array(owners, pa.list_(pa.string()))],
+                names=[*keep, "n_words", "spans", "items"])
 
     return run
 
@@ -105,36 +111,41 @@ def _blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, st
         yield [(r.item_id, r.text) for r in part.select("item_id", "text").collect() if r.item_id is not None]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The rows of ``docs`` (columns ``key``, ``text``) as key, n_words, spans, items."""
-    spark = docs.sparkSession
-    found = []
-    for block in _blocks(benchmark, max_bytes):
-        tag = hashlib.sha256(repr(block).encode()).hexdigest()
-        found.append(docs.select("key", "text").mapInPandas(_scanner(spark.sparkContext.broadcast(block), tag, True), SCHEMA))
-    if len(found) == 1:
-        return found[0]
-    parts = [materialise(f if i == 0 else f.where(F.size("spans") > 0), "leak-block") for i, f in enumerate(found)]
+def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The ``keep`` columns of every row of ``docs`` (with ``text``), and n_words, spans, items."""
+    blocks = _blocks(benchmark, max_bytes)
+    first, second = next(blocks), next(blocks, None)
+
+    def hits(rows, block, cols):
+        shared, tag = docs.sparkSession.sparkContext.broadcast(block), hashlib.sha256(repr(block).encode()).hexdigest()
+        fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*cols).schema)
+        return rows.select(*dict.fromkeys([*cols, "text"])).mapInArrow(_scanner(shared, tag, cols), fields + SCHEMA)
+
+    if second is None:
+        return hits(docs, first, keep)
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), *dict.fromkeys([*keep, "text"])), "leak-rows")
+    parts = [materialise(hits(rows, first, ["_row"]), "leak-block")]
+    parts += [materialise(hits(rows, block, ["_row"]).where(F.size("spans") > 0), "leak-block") for block in chain([second], blocks)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    united = every.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    united = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     merged = F.aggregate(
         "s", F.array().cast("array<struct<start:int,stop:int>>"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop")))),
         ).otherwise(F.concat(acc, F.array(x))))
-    return united.select("key", "n_words", merged.alias("spans"), "items")
+    united = united.select("_row", "n_words", merged.alias("spans"), "items")
+    return rows.select("_row", *keep).join(united, "_row").drop("_row")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
-    keyed = docs.select(F.col("doc_id").alias("key"), "text")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x["stop"] - x["start"]))
-    out = scan(keyed, benchmark, max_bytes)
+    out = scan(docs, benchmark, ["doc_id"], max_bytes)
     return out.select(
-        F.col("key").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.encode(F.array_join(F.array_sort("items"), ","), "UTF-8"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
@@ -144,25 +155,25 @@ def offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-def contaminated_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated_passages(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, start, stop, passage for every hit stretch, in characters of the original text."""
-    block = next(_blocks(benchmark, 1 << 62))
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    tag = hashlib.sha256(repr(block).encode()).hexdigest()
 
     def run(batches):
-        if tag not in _built:
-            _built.clear()
-            _built[tag] = build(shared.value)
-        numbers, machine = _built[tag]
-        for pdf in batches:
-            out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                spans, _ = find(words_of(text), numbers, machine)
-                out += [(doc, a, b, text[a:b]) for a, b in (offsets(text, spans) if spans else [])]
-            yield pd.DataFrame(out, columns=["doc_id", "start", "stop", "passage"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start int, stop int, passage string")
+        for b in batches:
+            at, starts, stops, passages = [], [], [], []
+            for i, (text, spans) in enumerate(zip(b.column("text").to_pylist(), b.column("spans").to_pylist())):
+                for x, y in offsets(text, [(s["start"], s["stop"]) for s in spans]):
+                    at.append(i)
+                    starts.append(x)
+                    stops.append(y)
+                    passages.append(text[x:y])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(passages, pa.string())],
+                names=["doc_id", "start", "stop", "passage"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = scan(docs, benchmark, ["doc_id", "text"], max_bytes).where(F.size("spans") > 0)
+    return found.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, start int, stop int, passage string")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

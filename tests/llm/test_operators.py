@@ -275,3 +275,15 @@ def test_model_learns_from_every_window(spark):
     _, _, _, starts = lm.streams([r.text for r in docs.orderBy("doc_id").collect()], piecer)
     assert got == sorted(min(lm.LENGTH, n - i) for n in (np.diff(starts) - 1).tolist() for i in range(0, n, lm.LENGTH))
     assert {r.key for r in facts} == set(range(lm.ROUNDS))
+
+
+def test_blocks_keep_repeated_and_null_ids_apart(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    texts = [r.text for r in bench.where("text is not null").orderBy("item_id").limit(6).collect()]
+    rows = [(7, texts[0]), (7, "and " + texts[1]), (7, "nothing here"), (None, texts[2]), (None, "so " + texts[3]), (2**60 + 1, texts[4]), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    whole = order(decontam.contamination(docs, bench))
+    assert len(whole) == len(rows) and order(decontam.contamination(docs, bench, max_bytes=3000)) == whole
+    passages = order(decontam.contaminated_passages(docs, bench))
+    assert passages and order(decontam.contaminated_passages(docs, bench, max_bytes=3000)) == passages
