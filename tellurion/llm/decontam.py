@@ -14,7 +14,8 @@ dropped and rows with the same or no doc_id stay apart.
 
 Defined results: null and empty texts have no words and no hits; items without
 words have no windows; repeated documents are scanned each; repeated item ids
-count once; an empty table on either side gives no hits; other columns are ignored.
+count once; windows of items without an id are hits, but no id is listed or counted
+for them; an empty table on either side gives no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.translate(_LOWER)) if text else []
 
 
-def build(items: list[tuple[str, str | None]]) -> tuple[dict[str, int], ahocorasick.Automaton | None]:
+def build(items: list[tuple[str | None, str | None]]) -> tuple[dict[str, int], ahocorasick.Automaton | None]:
     """Word numbers (from 1) and the automaton; a pattern's value is (length, item ids)."""
     numbers: dict[str, int] = {}
     owners: dict[tuple[int, ...], set[str]] = {}
@@ -51,7 +52,9 @@ def build(items: list[tuple[str, str | None]]) -> tuple[dict[str, int], ahocoras
         ids = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
         size = min(WINDOW, len(ids))
         for i in range(len(ids) - size + 1 if ids else 0):
-            owners.setdefault(tuple(ids[i : i + size]), set()).add(item)
+            own = owners.setdefault(tuple(ids[i : i + size]), set())
+            if item is not None:
+                own.add(item)
     if not owners:
         return numbers, None
     machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -101,14 +104,14 @@ def _scanner(items, tag: str, keep: list[str]):
     return run
 
 
-def _blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+def _blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items in blocks of at most ``max_bytes`` of text (or one item)."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("b"))
     total = rows.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
     n = int(total // max(1, max_bytes // 2)) + 1
     for i in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else rows
-        yield [(r.item_id, r.text) for r in part.select("item_id", "text").collect() if r.item_id is not None]
+        yield [(r.item_id, r.text) for r in part.select("item_id", "text").collect()]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -287,3 +287,19 @@ def test_blocks_keep_repeated_and_null_ids_apart(spark):
     assert len(whole) == len(rows) and order(decontam.contamination(docs, bench, max_bytes=3000)) == whole
     passages = order(decontam.contaminated_passages(docs, bench))
     assert passages and order(decontam.contaminated_passages(docs, bench, max_bytes=3000)) == passages
+
+
+def test_items_without_id_hit_as_in_sql(spark):
+    import duckdb
+    from tellurion.llm import oracles
+
+    items = [(None, "one two three"), ("a", "four five"), ("b", "one two three"), (None, "lone words")]
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "four five"), (3, "the lone words"), (4, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = sorted(map(tuple, decontam.contamination(docs, bench).collect()))
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        con.register(f"{name}_", df.toArrow())
+        con.execute(f"CREATE TABLE {name} AS SELECT * FROM {name}_")
+    assert got == sorted(con.execute(oracles.DECONTAMINATION).fetchall())
+    assert [r[2:4] for r in got] == [(3, 1), (2, 1), (2, 0), (0, 0)]
