@@ -57,8 +57,18 @@ def pair_candidates(acq: DataFrame, hours: float) -> DataFrame:
 def select_pairs(candidates: DataFrame, most: int = 4) -> DataFrame:
     """Up to ``most`` pairs of each track without a shared acquisition: ascending ones in time order, each with its nearest free partner; a dead end gives way to fewer pairs.
 
-    Tracks are independent groups of a few acquisitions, as an orbit repeats.
+    A track comes to Python as at most 2 * most**2 + most candidates, which give the
+    same pairs as all of them.  The others of a result hold at most most - 1 partners
+    and items, so one of an item's ``most`` nearest partners and one of a partner's
+    ``most`` first items is left for it.  What remains has no node with over ``most``
+    candidates, so the first 2 * most**2 of them hold 2 * most pairs without a shared
+    acquisition, one of which could take the place of any pair further on.
     """
+    first = lambda by, *order: F.dense_rank().over(Window.partitionBy("track", by).orderBy(*order)) <= most
+    near = candidates.withColumn("_near", first("asc_id", "dt_ms", "desc_id")).where("_near").drop("_near")
+    near = near.withColumn("_early", first("desc_id", "asc_ms", "asc_id")).where("_early").drop("_early").dropDuplicates(["track", "asc_id", "desc_id"])
+    place = F.row_number().over(Window.partitionBy("track").orderBy("asc_ms", "asc_id", "dt_ms", "desc_id"))
+    near = near.withColumn("_place", place).where(F.col("_place") <= 2 * most * most + most).drop("_place")
     schema = "track long, asc_id long, desc_id long, asc_ms long, desc_ms long, dt_ms long"
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,7 +95,7 @@ def select_pairs(candidates: DataFrame, most: int = 4) -> DataFrame:
                 return pd.DataFrame([r._asdict() for r in got])[["track", "asc_id", "desc_id", "asc_ms", "desc_ms", "dt_ms"]]
         return pdf.head(0)[["track", "asc_id", "desc_id", "asc_ms", "desc_ms", "dt_ms"]]
 
-    return candidates.groupBy("track").applyInPandas(match, schema)
+    return near.groupBy("track").applyInPandas(match, schema)
 
 
 def surface_change(before: DataFrame, after: DataFrame, minimum: int = 64, angle: float = 1.5) -> DataFrame:

@@ -200,3 +200,31 @@ def test_radar_guards(spark):
     assert r[1].mass == pytest.approx(math.sqrt(10**-1.0 * 10**-1.5))
     one = spark.range(1).select(c.ratio(F.lit(1.0), F.lit(0.0)).alias("a"), c.clamp01(F.lit(2.0)).alias("b"), c.first_greatest({"x": F.lit(1.0), "y": F.lit(1.0)}).alias("d")).first()
     assert (one.a, one.b, one.d) == (None, 1.0, "x")
+
+
+def test_reduced_candidates_give_the_same_pairs(spark):
+    rng, rows = np.random.default_rng(3), []
+    for track in range(60):
+        n, m = int(rng.integers(1, 30)), int(rng.integers(1, 9))
+        for a, d in {(int(a), int(d)) for a, d in zip(rng.integers(0, n, 90), rng.integers(0, m, 90))}:
+            rows.append((track, a, d, a // 2, 3 * d, abs(a // 2 - 3 * d)))
+    rows += [(99, a, d, a, d, abs(a - d)) for a in range(1500) for d in range(2)]  # a dead end for four pairs
+
+    def first_pairs(own):  # the same rule over all candidates, without recursion over items that are left out
+        own = sorted(own, key=lambda r: (r[3], r[1], r[5], r[2]))
+
+        def search(i, items, used, want):
+            if not want:
+                return []
+            for k in range(i, len(own)):
+                if own[k][1] not in items and own[k][2] not in used:
+                    rest = search(k + 1, items | {own[k][1]}, used | {own[k][2]}, want - 1)
+                    if rest is not None:
+                        return [own[k], *rest]
+            return None
+
+        return next(s for s in (search(0, set(), set(), w) for w in range(min(4, len({r[2] for r in own}), len({r[1] for r in own})), 0, -1)) if s)
+
+    df = spark.createDataFrame(rows, "track long, asc_id long, desc_id long, asc_ms long, desc_ms long, dt_ms long")
+    want = {r for t in {r[0] for r in rows} for r in first_pairs([r for r in rows if r[0] == t])}
+    assert set(map(tuple, aq.select_pairs(df).collect())) == want
