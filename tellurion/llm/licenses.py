@@ -17,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licences as they read after normalisation.
+# Sentences of public licences as they read after normalisation.  One with
+# a break inside is there as the cut leaves it too (the part with a licence word); only
+# version 2.0 of the Mozilla licence speaks of a "Source Code Form".
 SENTENCES: dict[str, str] = {
     "released under the mit license": "mitref",
     "licensed under the mit license": "mitref",
@@ -34,7 +36,9 @@ SENTENCES: dict[str, str] = {
     "this work is licensed under the gnu general public license version 3": "gpl3ref",
     "this work is licensed under the gnu general public license version 2": "gpl2ref",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3plus",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3plus",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2plus",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2plus",
     "see the gnu general public license for more details": "gplsee",
     "this work is licensed under the gnu lesser general public license version 3": "lgpl3ref",
     "this work is licensed under the gnu affero general public license version 3": "agpl3ref",
@@ -52,6 +56,7 @@ SENTENCES: dict[str, str] = {
     "licensed under the bsd 2 clause license": "bsd2ref",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "iscgrant",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2ref",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2ref",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "released under the unlicense": "unlicense",
     "to the extent possible under law the author has waived all copyright and related rights to this work": "cc0ref",

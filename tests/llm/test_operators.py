@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import math
+import textwrap
 import zlib
 from collections import Counter
 
@@ -303,3 +304,16 @@ def test_items_without_id_hit_as_in_sql(spark):
         con.execute(f"CREATE TABLE {name} AS SELECT * FROM {name}_")
     assert got == sorted(con.execute(oracles.DECONTAMINATION).fetchall())
     assert [r[2:4] for r in got] == [(3, 1), (2, 1), (2, 0), (0, 0)]
+
+
+def test_notices_with_a_break_inside(spark):
+    gpl = (
+        "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation{} either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "General Public License for more details.")
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    notices = {"GPL-3.0-or-later": gpl.format(":", ",", 3), "GPL-2.0-or-later": gpl.format(";", ",", 2), "MPL-2.0": mpl}
+    rows = [(name, cut) for name, text in notices.items() for cut in (text, textwrap.fill(text, 70))]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [r.licenses for r in got] == [r.doc_id for r in got] and len(got) == len(rows)
