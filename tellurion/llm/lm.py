@@ -1,33 +1,35 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in numpy.
 
-Tokens.  A text's words are cut into subword ids by a public BPE model; ids inside
-a word are told from ids that begin one; one end id closes the text.
-
-Model.  One head of causal masked attention over windows of ``LENGTH`` ids.  Its
-output shifts the logits of ``CLASSES`` classes of ids from where the corpus'
-bigrams put them; inside its class an id keeps its share of the bigram estimate.
-The classes and the shares each sum to one, so the score is a probability, and
-without training it is the bigrams'.
-
-Corpus statistics cover every training document: word counts, bigram counts and
-unigrams.  The weights are trained on every window of every training document,
-each window once; each task trains on its own windows and the tasks' weights are
-averaged, ``ROUNDS`` times over disjoint windows.
+Tokens.  A text's words are cut into subword ids by a public BPE model, word by
+word; one end id opens and closes the text.
+
+Model.  Ids and places are embedded; one head of causal masked attention over a
+window of ``LENGTH`` ids and the id's own embedding make a hidden vector, from which
+a tree of softmaxes gives the distribution over all ids: ``FAN`` branches from the
+root, ``FAN`` from each of those, ``FAN`` ids below each of these.  Every level has
+weights of its own for the hidden vector.  Counts of ids only order the tree's
+leaves and initialise its biases; the untrained model is the unigram distribution.
+
+Corpus statistics cover every training document: word counts, id counts, and every
+window as a training example.  Windows go to trainers by a hash of the document's
+id, the window's place and its content, and each trainer takes its windows in the
+order of that hash, so the weights do not depend on tasks, files or cores.  The
+trainers' weights are averaged ``ROUNDS`` times over disjoint windows; a corpus of
+more than ``PER_TRAINER`` windows has more trainers.
 
 Scoring.  Windows overlap by ``LENGTH - STRIDE`` ids; each id is scored once, in
-the first window that reaches it.  Words outside the ``TOP_WORDS`` most frequent
-and bigrams outside the ``MAX_BIGRAMS`` most frequent get their counts by a join,
-not from memory; the classes' masses come from all bigrams.
+the first window that reaches it, by batches of masked attention.  The base score
+looks words up in the ``TOP_WORDS`` most frequent ones; all others get their counts
+by a join.
 
 Defined results: null and empty texts consist of the end alone; documents without
 an id are training documents; repeated rows stay rows; a corpus without training
-documents has counts of zero and a model of smoothing alone; an empty table gives
-an empty result; other columns are ignored.
+documents has counts of zero and the untrained model; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from itertools import chain
 
 import numpy as np
@@ -39,18 +41,19 @@ from pyspark.sql import functions as F
 from tellurion.llm.scratch import materialise
 from tellurion.llm.tokens import vocabulary_path
 
-LENGTH = 32
-STRIDE = 24
+LENGTH = 48
+STRIDE = 36
 WIDTH = 16
-CLASSES = 64
-ROWS = 4096
+LOW = 8
+FAN = 32
 ROUNDS = 2
 BATCH = 128
-RATE = 1e-2
-MAX_BIGRAMS = 1 << 19
+RATE = 0.06
+PER_TRAINER = 1 << 16
+CHUNK = 1 << 14
 TOP_WORDS = 1 << 19
-SLOT_BITS = 21
-MEMO = 500_000
+MEMO = 400_000
+MEMO_BYTES = 64 << 20
 VOCAB = 32000
 UNK, END = 0, 2
 END_WORD = b"\x00end"
@@ -80,39 +83,43 @@ class Codes(dict):
 
 
 class Pieces:
-    """Numbers for words, and by number the subword ids and the XXH64 of the word; bounded by MEMO words.
+    """Numbers for words, and by number the subword ids and the XXH64 of the word.
 
-    Words beyond the bound are numbered for one batch only: ``forget`` drops them.
+    ``full`` tells that the memory is over its bound of words or bytes; the owner
+    then calls ``clear``.
     """
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.tokenizer = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.clear()
+
+    def clear(self) -> None:
         self.codes = Codes({END_WORD: 0})
         self.flat, self.n_flat = np.full(1 << 16, END, np.int32), 1
         self.starts, self.hashes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint64)
         self.starts[1] = 1
         self.hashes[0] = xxhash.xxh64_intdigest(END_WORD)
-        self.passing: list[bytes] = []
+        self.bytes = 0
 
     def __len__(self) -> int:
         return len(self.codes)
 
+    @property
+    def full(self) -> bool:
+        return len(self.codes) > MEMO or self.bytes > MEMO_BYTES
+
     def settle(self) -> None:
         """Cut the words that were numbered since the last time."""
         new, self.codes.new = self.codes.new, []
-        self.passing += new[max(0, MEMO - (len(self.codes) - len(new))) :]
         n = len(self.codes) - len(new)
         for s in range(0, len(new), 4096):
             part = new[s : s + 4096]
             parts = [ids or [UNK] for ids in self.tokenizer.encode([w.decode() for w in part], num_threads=1)]
             lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-            ids = np.fromiter((x for p in parts for x in p), np.int32, int(lengths.sum()))
-            first = np.cumsum(lengths) - lengths
-            inner = np.ones(len(ids), bool)
-            inner[first] = False
-            ids[inner] += VOCAB
+            ids = np.fromiter(chain.from_iterable(parts), np.int32, int(lengths.sum()))
+            self.bytes += sum(map(len, part)) + 4 * len(ids)
             while self.n_flat + len(ids) > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
             while n + len(part) + 1 > len(self.starts):
@@ -123,13 +130,6 @@ class Pieces:
             self.n_flat += len(ids)
             n += len(part)
 
-    def forget(self) -> None:
-        """Drop the words that were numbered beyond the bound."""
-        for w in self.passing:
-            del self.codes[w]
-        self.passing = []
-        self.n_flat = int(self.starts[len(self.codes)])
-
 
 _pieces: dict[str, Pieces] = {}
 
@@ -162,280 +162,243 @@ def streams(texts, piecer: Pieces):
 
 
 def gather(docs: DataFrame, path: str) -> DataFrame:
-    """kind, key, n, ids: word counts (0), bigram counts (1) and training windows (2) of the training documents, by task."""
+    """kind, key, n, ids: word counts (0), id counts (1) and training windows (2; the key is the window's hash) of the training documents, by task."""
 
     def run(batches):
         piecer = _piecer(path)
-        counts = np.zeros(MEMO + 2, np.int64)
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        piecer.clear()
+        counts, seen_ids = np.zeros(0, np.int64), np.zeros(VOCAB, np.int64)
 
         def rows(kind, key, n, ids=None):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(n), pa.array(ids or [None] * len(key), pa.binary())], names=["kind", "key", "n", "ids"])
 
-        def merge(all_grams):
-            key, n = np.concatenate([g[0] for g in all_grams]), np.concatenate([g[1] for g in all_grams])
-            key, at = np.unique(key, return_inverse=True)
-            return key, np.bincount(at, weights=n).astype(np.int64)
+        def word_rows():
+            seen = np.flatnonzero(counts)
+            return rows(0, piecer.hashes[seen].view(np.int64), counts[seen])
 
         for b in batches:
             for s in range(0, b.num_rows, 128):
                 part = b.slice(s, 128)
                 codes, _, ids, starts = streams(part.column("text").to_pylist(), piecer)
                 n = np.bincount(codes, minlength=len(piecer))
-                own = len(piecer) - len(piecer.passing)
-                counts[:own] += n[:own]
-                if piecer.passing:
-                    yield rows(0, piecer.hashes[own : len(n)].view(np.int64), n[own:].astype(np.int64))
-                piecer.forget()
-                inner = np.ones(len(ids), bool)
-                inner[starts[:-1]] = False
-                at = np.flatnonzero(inner)
-                key, n = np.unique(ids[at - 1].astype(np.int64) * (2 * VOCAB) + ids[at], return_counts=True)
-                grams.append((key, n))
-                held += len(key)
-                seeds, windows, small = part.column("seed").to_pylist(), [], ids.astype(np.uint16)
-                for seed, a, e in zip(seeds, starts[:-1].tolist(), starts[1:].tolist()):
+                n[: len(counts)] += counts
+                counts = n
+                seen_ids += np.bincount(ids, minlength=VOCAB)
+                seen_ids[END] -= len(starts) - 1  # the opening ones are not predicted
+                keys, windows, small = [], [], ids.astype(np.uint16)
+                for seed, a, e in zip(part.column("seed").to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
                     for i in range(0, max(1, e - 1 - a), LENGTH):
-                        windows.append((zlib.crc32(b"%d.%d" % (seed, i)) % ROUNDS, small[a + i : min(e, a + i + LENGTH + 1)].tobytes()))
-                if windows:
-                    yield rows(2, np.array([w[0] for w in windows], np.int64), np.full(len(windows), 1, np.int64), [w[1] for w in windows])
-                if held > 3_000_000:
-                    grams = [merge(grams)]
-                    held = len(grams[0][0])
-                    if held > 1_500_000:
-                        yield rows(1, *grams[0])
-                        grams, held = [], 0
-        if grams:
-            yield rows(1, *merge(grams))
-        seen = np.flatnonzero(counts)
-        yield rows(0, piecer.hashes[seen].view(np.int64), counts[seen])
+                        window = small[a + i : min(e, a + i + LENGTH + 1)].tobytes()
+                        keys.append(xxhash.xxh64_intdigest(window, seed * 1_000_003 + i))
+                        windows.append(window)
+                yield rows(2, np.array(keys, np.uint64).view(np.int64), np.ones(len(keys), np.int64), windows)
+                if piecer.full:
+                    yield word_rows()
+                    piecer.clear()
+                    counts = np.zeros(0, np.int64)
+        yield word_rows()
+        yield rows(1, np.flatnonzero(seen_ids), seen_ids[seen_ids > 0])
 
     seed = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(0)).cast("long")
     return docs.select(seed.alias("seed"), "text").mapInArrow(run, "kind byte, key long, n long, ids binary")
 
 
-def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows of ``counts`` (key, n) with the largest n, at most ``most``: those over a threshold from the histogram of n."""
-    hist = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()  # at most 100,000 rows
-    left, floor = most, 100_001
-    for r in sorted(hist, key=lambda r: -r.n):
-        if r.k > left:
-            break
-        left, floor = left - r.k, r.n
-    return counts.where(F.col("n") >= floor)
-
-
-def classes_of(unigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Kind and class of each id, and the number of classes: within each kind, ids in order of frequency, cut into classes of nearly equal mass."""
-    size = 2 * VOCAB
-    kind = (np.arange(size) >= VOCAB).astype(np.int64)  # ids that begin a word, ids inside one
-    mass = np.bincount(kind, weights=unigrams + 0.5, minlength=2)
-    per = np.maximum(1, np.floor(mass / mass.sum() * (CLASSES - 4)).astype(int))
-    cls, first = np.zeros(size, np.int64), 0
-    for k in range(2):
-        own = np.flatnonzero(kind == k)
-        own = own[np.argsort(-unigrams[own], kind="stable")]
-        cum = np.cumsum(unigrams[own] + 0.5)
-        cut = np.minimum((cum - (unigrams[own] + 0.5) / 2) / cum[-1] * per[k], per[k] - 1).astype(int)
-        cls[own] = first + cut
-        first += per[k]
-    return kind, cls, int(first)
-
-
-def class_cells(grams: DataFrame, cls: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """cell (id * n_classes + class of the next id), n, distinct over all bigrams; at most as many cells as ids times classes."""
-    shared, size = grams.sparkSession.sparkContext.broadcast(cls), 2 * VOCAB
+def _boundary(rows: DataFrame, place, most: int, low: int, high: int) -> tuple[int, int]:
+    """The place at which the ``most`` rows with the least ``place`` (low <= place < high) end, and how many rows lie before it.
 
-    def run(batches):
-        n, k, of = np.zeros(size * n_classes), np.zeros(size * n_classes, np.int32), shared.value
-        for b in batches:
-            key = b.column("key").to_numpy(zero_copy_only=False)
-            cell = key // size * n_classes + of[key % size]
-            np.add.at(n, cell, b.column("n").to_numpy(zero_copy_only=False))
-            np.add.at(k, cell, 1)
-        at = np.flatnonzero(k)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at].astype(np.int64)), pa.array(k[at].astype(np.int64))], names=["cell", "n", "k"])
-
-    t = grams.select("key", "n").mapInArrow(run, "cell long, n long, k long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).toArrow()
-    return tuple(t.column(c).to_numpy() for c in ("cell", "n", "k"))
+    A histogram of 4096 bins is refined inside the bin that the end falls into.
+    """
+    before = 0
+    while high - low > 1:
+        step = -(-(high - low) // 4096)
+        inside = rows.where((place >= low) & (place < high))
+        hist = sorted(inside.groupBy(F.floor((place - F.lit(low)) / F.lit(step)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("k")).collect())
+        for b, k in hist:
+            if before + k > most:
+                low, high = low + b * step, min(high, low + (b + 1) * step)
+                break
+            before += k
+        else:
+            return high, before
+    return low, before
 
 
-class Statistics:
-    """Arrays of the corpus that the model needs; of bounded size.
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Exactly the ``most`` rows of ``counts`` (key, n; distinct keys) with the largest n, the lesser hash of the key first on ties; all rows if there aren't more.
 
-    keys, counts: the bigrams in memory; cells: what ``class_cells`` gives for all bigrams (None: all are in memory).
+    Nothing is sorted: thresholds come from histograms, and only the boundary bin is refined.
     """
-
-    def __init__(self, unigrams: np.ndarray, keys: np.ndarray, counts: np.ndarray, cells=None):
-        size = 2 * VOCAB
-        self.kind, self.cls, self.n_classes = classes_of(unigrams)
-        total = np.bincount(self.kind, weights=unigrams + 0.5, minlength=2)
-        share = (unigrams + 0.5) / total[self.kind]
-        order = np.argsort(keys)
-        self.keys, counts = keys[order], counts[order].astype(np.float64)
-        left, right = self.keys // size, self.keys % size
-        cell, n, k = cells or (left * self.n_classes + self.cls[right], counts, np.ones(len(keys)))
-        by_cell = np.argsort(cell, kind="stable")
-        cell, n, k = cell[by_cell], n[by_cell].astype(np.float64), k[by_cell]
-        before, kind_of = cell // self.n_classes, np.zeros(self.n_classes, np.int64)
-        kind_of[self.cls] = self.kind
-        moves = np.full((2, 2), 0.5)
-        np.add.at(moves, (self.kind[before], kind_of[cell % self.n_classes]), n)
-        moves /= moves.sum(axis=1, keepdims=True)
-        kept = np.bincount(before, weights=n, minlength=size)
-        distinct = np.bincount(before, weights=k, minlength=size)
-        after = np.maximum(unigrams, kept)  # every id but the closing one is followed by another
-        after[END] = max(unigrams[END], kept[END])
-        free = after - kept + distinct + 1.0
-        self.mass = kept + free
-        self.free_share = free / self.mass
-        self.kept_share = np.append(counts / self.mass[left], 0.0)  # the last: a bigram that isn't in memory
-        self.log_moves, self.share, self.moves = np.log(moves), share, moves
-        # the bigrams' mass of each class after each id
-        in_kind = np.zeros((2, self.n_classes))
-        np.add.at(in_kind, (self.kind, self.cls), share)
-        in_kind = moves @ in_kind
-        self.log_class, step = np.empty((size, self.n_classes), np.float32), 4000
-        for s in range(0, size, step):
-            a, e = np.searchsorted(before, (s, s + step))
-            part = np.bincount(cell[a:e] - s * self.n_classes, weights=n[a:e] / self.mass[before[a:e]], minlength=step * self.n_classes).reshape(step, -1)
-            part = part + self.free_share[s : s + step, None] * in_kind[self.kind[s : s + step]]
-            self.log_class[s : s + step] = np.log(np.maximum(part, 1e-30))
-        top = np.argsort(-unigrams, kind="stable")[: ROWS - 4]
-        self.row = self.kind.copy()
-        self.row[top] = 4 + np.arange(len(top))
-        self.tables = self._slots()
-
-    def _slots(self) -> list[tuple[np.ndarray, int]]:
-        """Two tables of places in ``keys`` by hash; a key that finds both slots taken is left to a search."""
-        tables, left = [], np.arange(len(self.keys))
-        for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            table = np.full(1 << SLOT_BITS, len(self.keys), np.int32)
-            slot = self._slot(self.keys[left], k)
-            table[slot] = left
-            tables.append((table, k))
-            left = left[table[slot] != left]
-        self.rest = left
-        return tables
-
-    @staticmethod
-    def _slot(key: np.ndarray, k: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((key.view(np.uint64) * np.uint64(k)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Places of ``key`` in ``keys``, their number for a key that isn't there."""
-        none, keys = len(self.keys), np.append(self.keys, -1)
-        (one, k1), (two, k2) = self.tables
-        at = one[self._slot(key, k1)]
-        miss = np.flatnonzero(keys[at] != key)
-        again = two[self._slot(key[miss], k2)]
-        again[keys[again] != key[miss]] = none
-        at[miss] = again
-        if len(self.rest):
-            miss = miss[again == none]
-            i = np.minimum(np.searchsorted(self.keys[self.rest], key[miss]), len(self.rest) - 1)
-            at[miss] = np.where(self.keys[self.rest[i]] == key[miss], self.rest[i], none)
-        return at
-
-    def shares(self, prev: np.ndarray, this: np.ndarray) -> np.ndarray:
-        """Each id's share of its class in the bigram estimate."""
-        return self.bigram(prev, this) / np.exp(self.log_class[prev, self.cls[this]])
-
-    def bigram(self, prev: np.ndarray, this: np.ndarray) -> np.ndarray:
-        shape = prev.shape
-        prev, this = prev.ravel(), this.ravel()
-        at = self.find(prev.astype(np.int64) * (2 * VOCAB) + this)
-        out = self.kept_share[at] + self.backoff(prev, this)
-        return out.astype(np.float32).reshape(shape)
-
-    def backoff(self, prev: np.ndarray, this: np.ndarray) -> np.ndarray:
-        return self.free_share[prev] * self.moves[self.kind[prev], self.kind[this]] * self.share[this]
+    total, top = counts.agg(F.count(F.lit(1)), F.max("n")).first()
+    if total <= most:
+        return counts
+    rank = F.lit(int(top)) - F.col("n")
+    edge, before = _boundary(counts, rank, most, 0, int(top) + 1)
+    tie = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+    cut, _ = _boundary(counts.where(rank == edge), tie, most - before, 0, 1 << 40)
+    return counts.where((rank < edge) | ((rank == edge) & (tie < cut)))
 
 
 # ---- the network -----------------------------------------------------------------
 
-_MASK = np.tril(np.ones((LENGTH, LENGTH), np.float32))
+
+def leaves(counts: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Leaf of each id: ids that begin a word first, then the others, by falling count."""
+    order = np.lexsort((np.arange(len(counts)), -counts, ~begins))
+    leaf = np.empty(len(counts), np.int64)
+    leaf[order] = np.arange(len(counts))
+    return leaf
 
 
-def fresh_weights(n_classes: int, seed: int = 7) -> dict[str, np.ndarray]:
+def fresh_weights(counts: np.ndarray, leaf: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
+    """Small random vectors; the biases (last rows of t1, t2, t3) give the unigram distribution."""
     rng = np.random.default_rng(seed)
-    normal = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-    return {
-        "emb": normal(ROWS, WIDTH), "pos": normal(LENGTH, WIDTH), "qkv": normal(WIDTH, 3 * WIDTH),
-        "out": np.zeros((2 * WIDTH, n_classes), np.float32), "bias": np.zeros(n_classes, np.float32),
-    }
+    normal = lambda sd, *s: rng.normal(0, sd, s).astype(np.float32)
+    mass = np.zeros(FAN**3)
+    mass[leaf] = counts + 0.5
+    w = {
+        "emb": normal(0.3, VOCAB, WIDTH), "pos": normal(0.1, LENGTH, WIDTH), "qkv": normal(0.2, WIDTH, 3 * WIDTH),
+        "hid": normal(0.15, 2 * WIDTH + 1, WIDTH), "low": normal(0.2, WIDTH, LOW),
+        "t1": np.zeros((1, WIDTH + 1, FAN), np.float32), "t2": np.zeros((FAN, WIDTH + 1, FAN), np.float32), "t3": np.zeros((FAN * FAN, LOW + 1, FAN), np.float32)}
+    for name, level in (("t1", mass.reshape(1, FAN, -1)), ("t2", mass.reshape(FAN, FAN, -1)), ("t3", mass.reshape(FAN * FAN, FAN, 1))):
+        m = level.sum(axis=2)
+        w[name][:, -1] = np.log(np.maximum(m / np.maximum(m.sum(axis=1, keepdims=True), 1e-30), 1e-13))
+    return w
+
 
+def _with_one(x: np.ndarray) -> np.ndarray:
+    out = np.ones((*x.shape[:-1], x.shape[-1] + 1), np.float32)
+    out[..., :-1] = x
+    return out
 
-def forward(w, x, cls, share, prior):
-    """Probability of each target, and what the gradient needs.
 
-    x, cls: (windows, n); share: the target's share of its class; prior: (windows, n, classes), log.
-    """
+_MASK = np.tril(np.ones((LENGTH, LENGTH), np.float32))
+
+
+def hidden(w, x):
+    """Hidden vectors of every place of windows x (windows, n), and what the gradient needs."""
     b, n = x.shape
     e = w["emb"][x] + w["pos"][:n]
     qkv = (e.reshape(-1, WIDTH) @ w["qkv"]).reshape(b, n, 3 * WIDTH)
     q, k, v = qkv[..., :WIDTH] * np.float32(WIDTH**-0.5), qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
     a = np.matmul(q, k.transpose(0, 2, 1))
-    np.minimum(a, 60, out=a)
+    np.clip(a, -30, 60, out=a)
     np.exp(a, out=a)
     a *= _MASK[:n, :n]
-    v1 = np.ones((b, n, WIDTH + 1), np.float32)  # a column of ones: one product gives the sums too
-    v1[..., :WIDTH] = v
-    h = np.matmul(a, v1)
+    h = np.matmul(a, _with_one(v))  # a column of ones: one product gives the sums too
     total = h[..., WIDTH:]
-    z = np.empty((b, n, 2 * WIDTH + 1), np.float32)
+    z = np.ones((b, n, 2 * WIDTH + 1), np.float32)
     np.divide(h[..., :WIDTH], total, out=z[..., :WIDTH])
     z[..., WIDTH : 2 * WIDTH] = e
-    z[..., 2 * WIDTH] = 1
     z = z.reshape(-1, 2 * WIDTH + 1)
-    o = z @ np.concatenate((w["out"], w["bias"][None]))
-    o += prior.reshape(o.shape)
-    np.minimum(o, 60, out=o)
-    np.exp(o, out=o)
-    sums = o @ np.ones(o.shape[1], np.float32)
-    p = o[np.arange(len(o)), cls.ravel()] / sums * share.ravel()
-    return p, (e, q, k, v, a, total, z[:, :-1], o, sums)
-
-
-def gradient(w, x, cls, share, prior, valid):
-    """Loss and its gradient over the valid targets."""
+    return np.tanh(z @ w["hid"]), (e, q, k, v, a, total, z)
+
+
+class Level:
+    """One level of the tree for targets that sit at ``child`` below ``node``: rows in order of the node, a product a node."""
+
+    def __init__(self, vectors: np.ndarray, node: np.ndarray, child: np.ndarray, w: np.ndarray):
+        self.order = np.argsort(node, kind="stable") if len(w) > 1 else None
+        if self.order is not None:
+            vectors, node, child = vectors[self.order], node[self.order], child[self.order]
+        self.edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True]))) if len(node) else np.zeros(1, np.int64)
+        self.nodes = node[self.edge[:-1]]
+        self.vectors, self.child, self.w = vectors, child, w
+        o = np.empty((len(node), FAN), np.float32)
+        for a, e, k in zip(self.edge[:-1].tolist(), self.edge[1:].tolist(), self.nodes.tolist()):
+            np.matmul(vectors[a:e], w[k], out=o[a:e])
+        np.clip(o, -30, 60, out=o)  # below, products would be too small for fast arithmetic
+        np.exp(o, out=o)
+        self.o, self.sums = o, o @ np.ones(FAN, np.float32)
+
+    def log_p(self) -> np.ndarray:
+        got = np.log(np.maximum(self.o[np.arange(len(self.o)), self.child] / self.sums, 1e-30))
+        if self.order is None:
+            return got
+        out = np.empty_like(got)
+        out[self.order] = got
+        return out
+
+    def back(self, ok: np.ndarray):
+        """Gradients of the vectors and of the touched nodes, for rows weighted by ``ok``."""
+        ok = ok if self.order is None else ok[self.order]
+        d = self.o * (ok / self.sums)[:, None]
+        d[np.arange(len(d)), self.child] -= ok
+        dv, dw = np.empty_like(self.vectors), np.empty((len(self.nodes), *self.w.shape[1:]), np.float32)
+        for i, (a, e, k) in enumerate(zip(self.edge[:-1].tolist(), self.edge[1:].tolist(), self.nodes.tolist())):
+            np.matmul(d[a:e], self.w[k].T, out=dv[a:e])
+            np.matmul(self.vectors[a:e].T, d[a:e], out=dw[i])
+        dv = dv[:, :-1]
+        if self.order is None:
+            return dv, dw
+        out = np.empty_like(dv)
+        out[self.order] = dv
+        return out, dw
+
+
+def levels(w, h: np.ndarray, leaf: np.ndarray) -> tuple[Level, Level, Level]:
+    """The three choices that lead to the targets' leaves."""
+    one = _with_one(h)
+    return (
+        Level(one, np.zeros(len(leaf), np.int64), leaf // (FAN * FAN), w["t1"]),
+        Level(one, leaf // (FAN * FAN), leaf // FAN % FAN, w["t2"]),
+        Level(_with_one(h @ w["low"]), leaf // FAN, leaf % FAN, w["t3"]))
+
+
+def log_probability(w, x: np.ndarray, y_leaf: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each target, in the shape of x."""
+    h, _ = hidden(w, x)
+    return sum(t.log_p() for t in levels(w, h, y_leaf.ravel())).reshape(x.shape)
+
+
+def gradient(w, x: np.ndarray, y_leaf: np.ndarray, valid: np.ndarray):
+    """Mean loss over the valid targets and its gradient: by name the touched rows (None: all) and their gradient."""
     b, n = x.shape
-    p, (e, q, k, v, a, total, z, o, sums) = forward(w, x, cls, share, prior)
-    a, o = a / total, o / sums[:, None]
+    h, (e, q, k, v, a, total, z) = hidden(w, x)
+    t1, t2, t3 = levels(w, h, y_leaf.ravel())
     ok = valid.ravel().astype(np.float32) / max(1, valid.sum())
-    do = o * ok[:, None]
-    do[np.arange(len(o)), cls.ravel()] -= ok
-    dz = (do @ w["out"].T).reshape(b, n, 2 * WIDTH)
+    loss = -float(((t1.log_p() + t2.log_p() + t3.log_p()) * ok).sum())
+    d1, g1 = t1.back(ok)
+    d2, g2 = t2.back(ok)
+    d3, g3 = t3.back(ok)
+    du = d3 @ w["low"].T
+    du += d1
+    du += d2
+    du *= 1 - h * h
+    dz = (du @ w["hid"].T)[:, : 2 * WIDTH].reshape(b, n, 2 * WIDTH)
     dh, de = dz[..., :WIDTH], dz[..., WIDTH:].copy()
-    dv = np.matmul(a.transpose(0, 2, 1), dh)
-    da = np.matmul(dh, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dqkv = np.concatenate((np.matmul(ds, k) * np.float32(WIDTH**-0.5), np.matmul(ds.transpose(0, 2, 1), q), dv), axis=2).reshape(-1, 3 * WIDTH)
+    a /= total
+    dqkv = np.empty((b, n, 3 * WIDTH), np.float32)
+    dqkv[..., 2 * WIDTH :] = np.matmul(a.transpose(0, 2, 1), dh)
+    ds = np.matmul(dh, v.transpose(0, 2, 1))
+    ds -= np.einsum("bnd,bnd->bn", dh, z.reshape(b, n, -1)[..., :WIDTH])[..., None]
+    ds *= a
+    np.matmul(ds, k, out=dqkv[..., :WIDTH])
+    dqkv[..., :WIDTH] *= np.float32(WIDTH**-0.5)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
+    dqkv = dqkv.reshape(-1, 3 * WIDTH)
     de += (dqkv @ w["qkv"].T).reshape(b, n, WIDTH)
-    demb, order = np.zeros_like(w["emb"]), np.argsort(x.ravel(), kind="stable")
+    order = np.argsort(x.ravel(), kind="stable")
     rows = x.ravel()[order]
     edge = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    demb[rows[edge]] = np.add.reduceat(de.reshape(-1, WIDTH)[order], edge, axis=0)
     dpos = np.zeros_like(w["pos"])
     dpos[:n] = de.sum(axis=0)
-    return float(-(np.log(np.maximum(p, 1e-30)) * ok).sum()), {
-        "emb": demb, "pos": dpos, "qkv": e.reshape(-1, WIDTH).T @ dqkv, "out": z.T @ do, "bias": do.sum(axis=0)}
+    return loss, {
+        "emb": (rows[edge], np.add.reduceat(de.reshape(-1, WIDTH)[order], edge, axis=0)), "pos": (None, dpos), "qkv": (None, e.reshape(-1, WIDTH).T @ dqkv),
+        "hid": (None, z.T @ du), "low": (None, h.T @ d3), "t1": (None, g1), "t2": (t2.nodes, g2), "t3": (t3.nodes, g3)}
+
 
+class Adagrad:
+    """Steps scaled by the root of each weight's summed squares; rows that a batch doesn't touch stay."""
 
-class Adam:
     def __init__(self, w):
-        self.m = {k: np.zeros_like(x) for k, x in w.items()}
-        self.v = {k: np.zeros_like(x) for k, x in w.items()}
-        self.t = 0
+        self.sums = {k: np.full_like(x, 1e-9) for k, x in w.items()}
 
-    def step(self, w, g):
-        self.t += 1
-        for k in w:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
-            w[k] -= (RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+    def step(self, w, gradients):
+        for name, (rows, g) in gradients.items():
+            at = slice(None) if rows is None else rows
+            s = self.sums[name][at] + g * g
+            self.sums[name][at] = s
+            w[name][at] -= np.float32(RATE) * g / np.sqrt(s)
 
 
 def pack(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -446,12 +409,12 @@ def pack(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return m, n
 
 
-def train_on(w, windows: list[bytes], stats: Statistics, adam: Adam) -> None:
-    """One step.  The share of an id in its class doesn't depend on the weights, so the gradient is the classes'."""
+def train_on(w, windows: list[bytes], leaf: np.ndarray, steps: Adagrad) -> float:
     m, n = pack(windows)
-    x, y = m[:, :-1], m[:, 1:]
-    _, g = gradient(w, stats.row[x], stats.cls[y], np.float32(1), stats.log_class[x], np.arange(LENGTH)[None] < n[:, None])
-    adam.step(w, g)
+    longest = int(n.max())
+    loss, g = gradient(w, m[:, :longest], leaf[m[:, 1 : longest + 1]], np.arange(longest)[None] < n[:, None])
+    steps.step(w, g)
+    return loss
 
 
 def flat(w) -> np.ndarray:
@@ -466,43 +429,83 @@ def unflat(v: np.ndarray, like) -> dict[str, np.ndarray]:
     return out
 
 
-def train(windows: DataFrame, stats, shared_stats) -> dict[str, np.ndarray]:
-    """Weights after ROUNDS of averaging; only the weights' average comes to the driver."""
-    w = fresh_weights(stats.n_classes)
+def _add_up(parts: DataFrame, trainers: int) -> DataFrame:
+    """One row a chunk: n, v summed over the trainers in their order, 64 at a time."""
+
+    def one(table: pa.Table) -> pa.Table:
+        v = np.zeros(CHUNK)
+        table = table.sort_by("trainer")
+        for part in table.column("v"):
+            v += np.frombuffer(part.as_py(), np.float64)
+        columns = {"trainer": [table.column("trainer")[0].as_py() // 64], "chunk": table.column("chunk")[:1], "n": [sum(table.column("n").to_pylist())], "v": [v.tobytes()]}
+        return pa.table(columns, schema=table.schema)
+
+    while trainers:
+        parts = parts.groupBy(F.floor(F.col("trainer") / 64), "chunk").applyInArrow(lambda table: one(table), parts.schema)
+        trainers //= 64
+    return parts
+
+
+def train(windows: DataFrame, w: dict[str, np.ndarray], leaf: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights after ROUNDS of averaging over the trainers; ``windows`` has key, ids."""
+    spark, like = windows.sparkSession, {k: np.empty(x.shape) for k, x in w.items()}
+    trainers = -(-windows.count() // PER_TRAINER)
+    if not trainers:
+        return w
+    size = sum(x.size for x in w.values())
+    numbered = windows.select((F.shiftrightunsigned("key", 32) % F.lit(trainers)).cast("int").alias("trainer"), F.pmod("key", F.lit(ROUNDS)).alias("round"), "key", "ids")
     for r in range(ROUNDS):
-        start = flat(w)
-        given = windows.sparkSession.sparkContext.broadcast(start)
+        given = spark.sparkContext.broadcast((flat(w), leaf))
+
+        def run(batches, given=given, like=like):
+            start, of = given.value
+            trainer, held, seen = None, [], 0
+
+            def result():
+                v = np.zeros(-(-size // CHUNK) * CHUNK)
+                v[:size] = flat(own).astype(np.float64) * seen
+                chunks = [c.tobytes() for c in v.reshape(-1, CHUNK)]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(chunks), trainer, np.int32)), pa.array(np.arange(len(chunks), dtype=np.int32)), pa.array(np.full(len(chunks), seen, np.int64)), pa.array(chunks, pa.binary())],
+                    names=["trainer", "chunk", "n", "v"])
 
-        def run(batches, given=given, like=w):
-            st, own, held, seen = shared_stats.value, None, [], 0
             for b in batches:
-                held += b.column("ids").to_pylist()
-                while len(held) >= BATCH:
-                    if own is None:
-                        own = unflat(given.value, like)
-                        adam = Adam(own)
-                    train_on(own, held[:BATCH], st, adam)
-                    seen, held = seen + BATCH, held[BATCH:]
-            if held:
-                if own is None:
-                    own = unflat(given.value, like)
-                    adam = Adam(own)
-                train_on(own, held, st, adam)
-                seen += len(held)
-            if own is not None:
-                v = flat(own).astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v), pa.array(np.full(len(v), seen, np.int64))], names=["i", "v", "n"])
-
-        rows = windows.where(F.col("key") == r).select("ids").mapInArrow(run, "i int, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
-        if len(rows):
-            v = np.zeros(len(start))
-            v[rows["i"].to_numpy()] = rows["v"].to_numpy()
-            w = unflat(v, w)
+                numbers, ids = b.column("trainer").to_numpy(), b.column("ids").to_pylist()
+                edges = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1], [True]))).tolist() if len(numbers) else []
+                for a, e in zip(edges[:-1], edges[1:]):
+                    if numbers[a] != trainer:
+                        if trainer is not None:
+                            if held:
+                                train_on(own, held, of, steps)
+                            yield result()
+                        trainer, held, seen, own = int(numbers[a]), [], 0, unflat(start, like)
+                        steps = Adagrad(own)
+                    held += ids[a:e]
+                    seen += e - a
+                    while len(held) >= BATCH:
+                        train_on(own, held[:BATCH], of, steps)
+                        held = held[BATCH:]
+            if trainer is not None:
+                if held:
+                    train_on(own, held, of, steps)
+                yield result()
+
+        mine = numbered.where(F.col("round") == r).select("trainer", "key", "ids").repartitionById(trainers, F.col("trainer")).sortWithinPartitions("trainer", "key", "ids")
+        parts = mine.select("trainer", "ids").mapInArrow(run, "trainer int, chunk int, n long, v binary")
+        parts = _add_up(parts, trainers)
+        rows = parts.orderBy("chunk").toArrow()
+        if rows.num_rows:
+            v = np.concatenate([np.frombuffer(x.as_py(), np.float64) / n.as_py() for x, n in zip(rows.column("v"), rows.column("n"))])
+            w = unflat(v[:size], like)
+        given.unpersist()
     return w
 
 
+# ---- scoring -------------------------------------------------------------------------
+
+
 def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts at ``starts`` (ids begun and closed by the end id): first input of each window, the text's end, and the place in the window from which targets are new."""
+    """For texts at ``starts`` (ids begun and closed by the end id): first input of each window, its text, and the place in the window from which targets are new."""
     n = np.diff(starts) - 1  # inputs, as many as targets
     many = 1 + np.maximum(0, -(-(n - LENGTH) // STRIDE))
     text = np.repeat(np.arange(len(n)), many)
@@ -510,123 +513,97 @@ def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[text] + number * STRIDE, text, np.where(number == 0, 0, LENGTH - STRIDE)
 
 
-def score_streams(ids: np.ndarray, starts: np.ndarray, w, stats: Statistics, step: int = 512) -> np.ndarray:
-    """log10 probability of the classes of each text's ids: every id once, over batches of masked windows."""
+def score_streams(ids: np.ndarray, starts: np.ndarray, w, leaf: np.ndarray, step: int = 256) -> np.ndarray:
+    """log10 probability of each text's ids: every id once, over batches of masked windows of like length."""
     first, text, new = spans(starts)
-    stop = starts[text + 1] - 1  # inputs end before this
+    many = np.minimum(starts[text + 1] - 1 - first, LENGTH)  # inputs of each window
     out = np.zeros(len(starts) - 1)
-    r_all, c_all = stats.row[ids], stats.cls[ids]
-    place = np.arange(LENGTH)
+    by_length = np.argsort(-many, kind="stable")
     for s in range(0, len(first), step):
-        at = first[s : s + step, None] + place
-        valid = (at < stop[s : s + step, None]) & (place >= new[s : s + step, None])
-        at = np.minimum(at, len(ids) - 2)
-        p, _ = forward(w, r_all[at], c_all[at + 1], np.float32(1), stats.log_class[ids[at]])
-        logs = np.where(valid.ravel(), np.log10(np.maximum(p, 1e-38)), 0.0).reshape(valid.shape).sum(axis=1)
-        out += np.bincount(text[s : s + step], weights=logs, minlength=len(out))
-    return out
-
+        chosen = by_length[s : s + step]
+        place = np.arange(many[chosen[0]])
+        at = np.minimum(first[chosen, None] + place, len(ids) - 2)
+        valid = (place < many[chosen, None]) & (place >= new[chosen, None])
+        x = ids[at]
+        h, _ = hidden(w, x)
+        y = leaf[ids[at + 1][valid]]
+        logs = np.zeros(valid.shape)
+        logs[valid] = sum(t.log_p() for t in levels(w, h[valid.ravel()], y))
+        out += np.bincount(text[chosen], weights=logs.sum(axis=1), minlength=len(out))
+    return out / np.log(10)
 
-def share_streams(ids: np.ndarray, starts: np.ndarray, stats: Statistics) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """log10 share of the ids in their classes, summed by text, with a count of zero for bigrams that aren't in memory; the latter's keys, texts, and ratio.
 
-    A count n that is found later adds log10(1 + n * ratio).
-    """
-    size = np.diff(starts)
-    owner = np.repeat(np.arange(len(size)), size)
-    inner = np.ones(len(ids), bool)
-    inner[starts[:-1]] = False
-    at = np.flatnonzero(inner)
-    owner, prev, this = owner[at], ids[at - 1], ids[at]
-    key = prev.astype(np.int64) * (2 * VOCAB) + this
-    place, backoff = stats.find(key), stats.backoff(prev, this)
-    logs = np.log10(stats.kept_share[place] + backoff) - stats.log_class[prev, stats.cls[this]] / np.log(10)
-    rare = place == len(stats.keys)
-    ratio = 1 / (stats.mass[prev[rare]] * backoff[rare])
-    return np.bincount(owner, weights=logs, minlength=len(size)), key[rare], owner[rare], ratio
+# ---- the operator ------------------------------------------------------------------
 
 
-# ---- the operator ------------------------------------------------------------------
+def learn(docs: DataFrame, path: str):
+    """From training documents: word counts (a written table of key, n), the weights, and the leaf of each id."""
+    facts = materialise(gather(docs, path), "lm-facts")
+    fact = lambda k: facts.where(F.col("kind") == k)
+    words = materialise(fact(0).groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
+    counts = np.zeros(VOCAB)
+    for key, n in fact(1).groupBy("key").agg(F.sum("n")).collect():  # at most VOCAB rows
+        counts[key] = n
+    tokenizer = _piecer(path).tokenizer
+    begins = np.array([tokenizer.id_to_piece(i).startswith("\u2581") for i in range(VOCAB)])
+    leaf = leaves(counts, begins)
+    return words, train(fact(2).select("key", "ids"), fresh_weights(counts, leaf), leaf), leaf
 
 
-def score(docs: DataFrame, vocabulary: str | None = None, max_bigrams: int = MAX_BIGRAMS) -> DataFrame:
+def score(docs: DataFrame, vocabulary: str | None = None, top_words: int = TOP_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     spark, path = docs.sparkSession, vocabulary or vocabulary_path("piece_bpe_32k.model")
-    facts = materialise(gather(docs.where(~held_out(F.col("doc_id"))), path), "lm-facts")
-    fact = lambda k: facts.where(F.col("kind") == k)
-    words = materialise(fact(0).groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
+    words, weights, leaf = learn(docs.where(~held_out(F.col("doc_id"))), path)
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    grams = materialise(fact(1).groupBy("key").agg(F.sum("n").alias("n")), "lm-bigrams")
-    unigrams = np.zeros(2 * VOCAB)
-    got = grams.groupBy((F.col("key") % (2 * VOCAB)).alias("t")).agg(F.sum("n").alias("n")).toArrow()  # one row an id of the vocabulary
-    unigrams[got["t"].to_numpy()] = got["n"].to_numpy()
-    kept = frequent(grams, max_bigrams).select("key", "n").toArrow()
-    whole = kept.num_rows == grams.count()  # then a bigram that isn't in memory doesn't occur
-    _, cls, n_classes = classes_of(unigrams)
-    stats = Statistics(unigrams, kept["key"].to_numpy(), kept["n"].to_numpy(), class_cells(grams, cls, n_classes))
-    del kept, got
-    shared_stats = spark.sparkContext.broadcast(stats)
-    weights = train(fact(2), stats, shared_stats)
-    top = frequent(words, TOP_WORDS).select("key", "n").toArrow()
-    top_keys, top_counts = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(top_keys)
-    top_keys, top_counts = top_keys[order], top_counts[order]
+    top = frequent(words, top_words).select("key", "n").toArrow()  # at most top_words rows
+    assert top.num_rows <= top_words
+    whole = top.num_rows == distinct  # then a word that isn't among them doesn't occur
+    keys, counts = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(keys)
     denominator = total + 0.5 * (distinct + 1)
-    shared = spark.sparkContext.broadcast((weights, top_keys, np.log10((top_counts + 0.5) / denominator)))
+    shared = spark.sparkContext.broadcast((weights, leaf, keys[order], np.log10((counts[order] + 0.5) / denominator)))
+    unseen = float(np.log10(0.5 / denominator))
 
     def run(batches):
-        piecer, st = _piecer(path), shared_stats.value
-        w, keys, logs = shared.value
-        logs = np.append(logs, 0.0)
-        word_log, done = np.zeros(MEMO + 2), 0
+        piecer = _piecer(path)
+        piecer.clear()
+        w, leaf, keys, logs = shared.value
+        word_log, done = np.zeros(0), 0
         for b in batches:
             for s in range(0, b.num_rows, 64):
                 part = b.slice(s, 64)
                 codes, size, ids, starts = streams(part.column("text").to_pylist(), piecer)
-                hashes = piecer.hashes[codes]
-                if done < len(piecer):  # logs of the numbers that are new
-                    fresh = piecer.hashes[done : len(piecer)]
-                    at = np.minimum(np.searchsorted(keys, fresh), max(len(keys) - 1, 0))
-                    there = keys[at] == fresh if len(keys) else np.zeros(len(fresh), bool)
-                    if len(piecer) > len(word_log):
-                        word_log = np.concatenate((word_log, np.zeros(len(piecer))))
-                    word_log[done : len(piecer)] = np.where(there, logs[at], np.nan)
-                log = word_log[codes]
-                piecer.forget()
-                done = len(piecer)
+                fresh = piecer.hashes[done : len(piecer)]
+                at = np.minimum(np.searchsorted(keys, fresh), max(len(keys) - 1, 0))
+                word_log = np.concatenate((word_log, np.where(keys[at] == fresh, logs[at], np.nan) if len(keys) else np.full(len(fresh), np.nan)))
+                log, done = word_log[codes], len(piecer)
                 found = ~np.isnan(log)
                 owner = np.repeat(np.arange(len(size)), size)
-                base = np.bincount(owner, weights=np.where(found, log, 0.0), minlength=len(size))
+                base = np.bincount(owner, weights=np.where(found, log, unseen if whole else 0.0), minlength=len(size))
                 known = np.bincount(owner, weights=found, minlength=len(size)).astype(np.int64)
-                rare = ~found
+                rare = ~found & (not whole)
                 cuts = np.concatenate(([0], np.cumsum(np.bincount(owner[rare], minlength=len(size))))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes[rare].view(np.int64)))
-                shares, key, of, ratio = share_streams(ids, starts, st)
-                if whole:
-                    key, of, ratio = key[:0], of[:0], ratio[:0]
-                at = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(size))))).astype(np.int32)
-                grams_, ratios = (pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (key, ratio))
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(piecer.hashes[codes[rare]].view(np.int64)))
+                if piecer.full:
+                    piecer.clear()
+                    word_log, done = np.zeros(0), 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size), pa.array(known), pa.array(base), pa.array(score_streams(ids, starts, w, st) + shares), lists, grams_, ratios],
-                    names=["doc_id", "n_tokens", "known", "base", "score", "rare", "gram", "ratio"])
+                    [part.column("doc_id"), pa.array(size), pa.array(known), pa.array(base), pa.array(score_streams(ids, starts, w, leaf)), lists],
+                    names=["doc_id", "n_tokens", "known", "base", "score", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, score double, rare array<long>, gram array<long>, ratio array<double>")
-    scored = materialise(scored.withColumn("rid", F.monotonically_increasing_id()), "lm-scored")
-    rare = scored.select("rid", F.explode("rare").alias("key")).join(words.hint("shuffle_hash"), "key", "left")
-    log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(denominator)))
-    more = rare.groupBy("rid").agg(F.sum(log).alias("more_base"), F.count("n").alias("more_known"))
-    out = scored.join(more, "rid", "left")
-    if whole:
-        out = out.withColumn("more_score", F.lit(0.0))
-    else:
-        pair = scored.select("rid", F.explode(F.arrays_zip("gram", "ratio")).alias("g")).select("rid", F.col("g.gram").alias("key"), F.col("g.ratio").alias("ratio"))
-        late = pair.join(grams.hint("shuffle_hash"), "key").groupBy("rid").agg(F.sum(F.log10(1 + F.col("n") * F.col("ratio"))).alias("more_score"))
-        out = out.join(late, "rid", "left")
-    return out.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, known long, base double, score double, rare array<long>")
+    more_known, more_base = F.lit(0), F.lit(0.0)
+    if not whole:
+        scored = materialise(scored.withColumn("rid", F.monotonically_increasing_id()), "lm-scored")
+        rare = scored.select("rid", F.explode("rare").alias("key")).groupBy("rid", "key").agg(F.count(F.lit(1)).alias("times"))
+        log = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(denominator)))
+        more = rare.join(words, "key", "left").groupBy("rid").agg(F.sum(F.col("times") * log).alias("more_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("more_known"))
+        scored = scored.join(more, "rid", "left")
+        more_known, more_base = F.coalesce("more_known", F.lit(0)), F.coalesce("more_base", F.lit(0.0))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + more_known).cast("long").alias("n_known"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + more_base).alias("base_score"), "score")
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:

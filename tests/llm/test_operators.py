@@ -193,39 +193,116 @@ def test_blocks_and_offsets(spark):
     assert [text[a:b] for a, b in decontam.offsets(text, [(1, 3)])] == ["THE  cat"]
 
 
+def small_model(seed=0):
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(lm.VOCAB)
+    counts[:50] = rng.integers(1, 90, 50)
+    counts[lm.END] = 20
+    leaf = lm.leaves(counts, np.arange(lm.VOCAB) % 3 > 0)
+    return counts, leaf, lm.fresh_weights(counts, leaf), rng
+
+
+def test_untrained_model_is_the_unigram_distribution():
+    counts, leaf, w, _ = small_model()
+    x = np.full((1, 1), 7)
+    p = np.exp([lm.log_probability(w, x, np.array([[leaf[i]]]))[0, 0] for i in range(60)])
+    assert p == pytest.approx((counts[:60] + 0.5) / (counts + 0.5).sum(), rel=1e-3)
+
+
 def test_model_is_a_distribution_and_gradient_is_right():
-    rng = np.random.default_rng(0)
-    unigrams = np.zeros(2 * lm.VOCAB)
-    unigrams[:50] = rng.integers(1, 90, 50)
-    unigrams[lm.END] = 20
-    keys = np.unique(rng.integers(0, 50, 200) * 2 * lm.VOCAB + rng.integers(0, 50, 200))
-    st_ = lm.Statistics(unigrams, keys, rng.integers(1, 5, len(keys)))
-    w = lm.fresh_weights(st_.n_classes)
-    every = np.arange(2 * lm.VOCAB)
-    assert st_.bigram(np.full(len(every), 7), every).astype(float).sum() == pytest.approx(1, abs=1e-3)
-    got = sum(np.exp(st_.log_class[7, k]) * (st_.shares(np.full(len(every), 7), every) * (st_.cls == k)).sum() for k in range(st_.n_classes))
-    assert got == pytest.approx(1, abs=1e-3)
-    ids, y = rng.integers(0, 50, (2, 6)), rng.integers(0, 50, (2, 6))
-    x = st_.row[ids]
-    w["out"] += rng.normal(0, 0.3, w["out"].shape).astype(np.float32)
-    args = (x, st_.cls[y], st_.shares(ids, y), st_.log_class[ids], np.ones((2, 6), bool))
-    p, more = lm.forward(w, *args[:4])
-    assert np.allclose(more[7].sum(axis=1), more[8], rtol=1e-4) and (p > 0).all() and (p < 1).all()
-    loss, grad = lm.gradient(w, *args)
-    for name in ("qkv", "out", "bias", "pos", "emb"):
-        at = np.unravel_index(np.abs(grad[name]).argmax(), grad[name].shape)
+    counts, leaf, w, rng = small_model()
+    for name in ("t1", "t2", "t3"):
+        w[name] += rng.normal(0, 0.3, w[name].shape).astype(np.float32)
+    ids, y, valid = rng.integers(0, 50, (2, 6)), leaf[rng.integers(0, 50, (2, 6))], np.ones((2, 6), bool)
+    h, _ = lm.hidden(w, ids[:1, :1])
+    every = np.arange(lm.FAN**3)
+    total = np.exp(sum(t.log_p() for t in lm.levels(w, np.repeat(h, len(every), 0), every)).astype(float)).sum()
+    assert total == pytest.approx(1, abs=1e-3)
+    loss, grad = lm.gradient(w, ids, y, valid)
+    assert loss == pytest.approx(-lm.log_probability(w, ids, y).mean(), rel=1e-5)
+    for name, (rows, g) in grad.items():
+        dense = np.zeros_like(w[name])
+        dense[slice(None) if rows is None else rows] = g
+        at = np.unravel_index(np.abs(dense).argmax(), dense.shape)
         e = 1e-2
         w[name][at] += e
-        up = lm.gradient(w, *args)[0]
+        up = lm.gradient(w, ids, y, valid)[0]
         w[name][at] -= 2 * e
-        down = lm.gradient(w, *args)[0]
+        down = lm.gradient(w, ids, y, valid)[0]
         w[name][at] += e
-        assert (up - down) / (2 * e) == pytest.approx(float(grad[name][at]), rel=0.05, abs=1e-4)
+        assert (up - down) / (2 * e) == pytest.approx(float(dense[at]), rel=0.05, abs=1e-4)
     # causal: a later id changes nothing before it
-    p0 = lm.forward(w, *args[:4])[0].reshape(2, 6)
-    x2 = x.copy()
+    x2 = ids.copy()
     x2[:, 4] = (x2[:, 4] + 1) % 50
-    assert np.allclose(lm.forward(w, x2, *args[1:4])[0].reshape(2, 6)[:, :4], p0[:, :4], atol=1e-6)
+    assert np.allclose(lm.log_probability(w, x2, y)[:, :4], lm.log_probability(w, ids, y)[:, :4], atol=1e-6)
+
+
+def naive_log10(w, leaf, ids):
+    """One text's log10 probability, an id at a time, in float64: window, softmax attention, three softmaxes."""
+    w = {k: v.astype(float) for k, v in w.items()}
+    soft = lambda o: np.exp(o - o.max()) / np.exp(o - o.max()).sum()
+    total = 0.0
+    for t in range(len(ids) - 1):
+        first = 0 if t < lm.LENGTH else lm.STRIDE * -(-(t + 1 - lm.LENGTH) // lm.STRIDE)
+        context = ids[first : t + 1]
+        e = w["emb"][context] + w["pos"][: len(context)]
+        q, k, v = np.split(e @ w["qkv"], 3, axis=1)
+        h = soft(k @ q[-1] / math.sqrt(lm.WIDTH)) @ v
+        u = np.tanh(np.concatenate((h, e[-1], [1])) @ w["hid"])
+        one, low, at = np.append(u, 1), np.append(u @ w["low"], 1), int(leaf[ids[t + 1]])
+        fan = lm.FAN
+        total += math.log10(soft(one @ w["t1"][0])[at // fan**2] * soft(one @ w["t2"][at // fan**2])[at // fan % fan] * soft(low @ w["t3"][at // fan])[at % fan])
+    return total
+
+
+def test_scores_are_those_of_a_naive_evaluation(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = lm.vocabulary_path("piece_bpe_32k.model")
+    _, w, leaf = lm.learn(docs.where(~lm.held_out(docs.doc_id)), path)
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    rows = [(None, None), *((r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(20).collect())]
+    for doc, text in rows:
+        _, _, ids, _ = lm.streams([text], lm._piecer(path))
+        if doc is None:
+            assert len(ids) == 2 and naive_log10(w, leaf, ids) < 0
+        else:
+            assert got[doc] == pytest.approx(naive_log10(w, leaf, ids), rel=1e-4)
+
+
+def test_training_helps_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    path = lm.vocabulary_path("piece_bpe_32k.model")
+    _, w, leaf = lm.learn(docs.where(~lm.held_out(docs.doc_id)), path)
+    piecer = lm._piecer(path)
+    text = [r.text for r in docs.where(lm.held_out(docs.doc_id)).collect()]
+    _, _, ids, starts = lm.streams(text, piecer)
+    counts = np.bincount(lm.streams([r.text for r in docs.where(~lm.held_out(docs.doc_id)).collect()], piecer)[2], minlength=lm.VOCAB)
+    assert lm.score_streams(ids, starts, w, leaf).sum() > 0.85 * lm.score_streams(ids, starts, lm.fresh_weights(counts, leaf), leaf).sum()
+
+
+def test_weights_do_not_depend_on_tasks(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = lm.vocabulary_path("piece_bpe_32k.model")
+    one, two = lm.learn(docs.coalesce(1), path)[1], lm.learn(docs.repartition(5, "text"), path)[1]
+    assert all(np.array_equal(one[k], two[k]) for k in one)
+
+
+def test_trainers_are_averaged(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(lm, "PER_TRAINER", 18)  # over 64 trainers: the sums take two levels
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    monkeypatch.undo()
+    one = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    assert got.keys() == one.keys() and all(math.isfinite(x) and x < 0 for x in got.values())
+
+
+def test_frequent_is_exact(spark):
+    rng = np.random.default_rng(3)
+    for counts in ([7] * 500, rng.integers(1, 30, 500).tolist(), (10 ** rng.uniform(0, 9, 500)).astype(int).tolist(), [200_000 + i % 3 for i in range(500)]):
+        df = spark.createDataFrame(list(enumerate(counts)), "key long, n long")
+        for most in (5, 50, 499, 500, 900):
+            got = sorted((r.n for r in lm.frequent(df, most).collect()), reverse=True)
+            assert got == sorted(counts, reverse=True)[:most]
 
 
 def test_windows_score_each_id_once():
@@ -254,18 +331,22 @@ def test_base_scores(spark):
         assert r.base_score == pytest.approx(want, rel=1e-9) and r.score < 0
 
 
-def test_windows_overlap_by_a_quarter_and_classes_are_fine():
-    first, text, new = lm.spans(np.array([0, 2, 300]))
-    later = new[np.append(False, text[1:] == text[:-1])]
-    assert len(later) and later.min() >= lm.LENGTH // 4  # ids of context besides the one before the target
-    assert lm.CLASSES >= 64
+def test_rare_words_get_their_counts_by_a_join(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = {r.doc_id: r for r in lm.score(docs).collect()}
+    cut = {r.doc_id: r for r in lm.score(docs, top_words=50).collect()}
+    assert all(cut[d].n_known == r.n_known and cut[d].base_score == pytest.approx(r.base_score, rel=1e-9) for d, r in whole.items())
 
 
-def test_bigrams_outside_memory_count_too(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    whole = {r.doc_id: r.score for r in lm.score(docs).collect()}
-    cut = {r.doc_id: r.score for r in lm.score(docs, max_bigrams=50).collect()}
-    assert cut == pytest.approx(whole, rel=1e-5)
+def test_memory_is_bounded_without_a_change(monkeypatch):
+    piecer = lm.Pieces(lm.vocabulary_path("piece_bpe_32k.model"))
+    texts = ["some words and " + "b" * 5000, None, "other words"]
+    first = lm.streams(texts, piecer)
+    assert not piecer.full
+    monkeypatch.setattr(lm, "MEMO_BYTES", 1000)
+    assert piecer.full
+    piecer.clear()
+    assert len(piecer) == 1 and all(np.array_equal(a, b) for a, b in zip(lm.streams(texts, piecer), first))
 
 
 def test_model_learns_from_every_window(spark):
@@ -275,7 +356,6 @@ def test_model_learns_from_every_window(spark):
     got = sorted(len(r.ids) // 2 - 1 for r in facts)
     _, _, _, starts = lm.streams([r.text for r in docs.orderBy("doc_id").collect()], piecer)
     assert got == sorted(min(lm.LENGTH, n - i) for n in (np.diff(starts) - 1).tolist() for i in range(0, n, lm.LENGTH))
-    assert {r.key for r in facts} == set(range(lm.ROUNDS))
 
 
 def test_blocks_keep_repeated_and_null_ids_apart(spark):
