@@ -2,8 +2,9 @@
 
 Lineage is cut by writing Parquet below the folder that the session names in
 ``spark.checkpoint.dir``: executors and driver both see it, so a lost executor
-costs a re-read, not a re-run.  Only where the setting is missing (tests, a
-laptop) is a temporary folder of this process used.
+costs a re-read, not a re-run.  Only a local master (tests, a laptop) may leave the
+setting out; it gets a temporary folder of this process.  A cluster without the
+setting is an error.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, or one temporary folder where none is set."""
+    """The session's checkpoint folder; on a local master without one, a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="spark-"))
     return _OWN[0]
