@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.scratch import materialise
+from tellurion.sources.scratch import materialise
 
 WINDOW = 10
 MAX_BYTES = 32 << 20
@@ -122,13 +122,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], max_bytes: int
     def hits(rows, block, cols):
         shared, tag = docs.sparkSession.sparkContext.broadcast(block), hashlib.sha256(repr(block).encode()).hexdigest()
         fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*cols).schema)
-        return rows.select(*dict.fromkeys([*cols, "text"])).mapInArrow(_scanner(shared, tag, cols), fields + SCHEMA)
+        return shared, rows.select(*dict.fromkeys([*cols, "text"])).mapInArrow(_scanner(shared, tag, cols), fields + SCHEMA)
 
     if second is None:
-        return hits(docs, first, keep)
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), *dict.fromkeys([*keep, "text"])), "leak-rows")
-    parts = [materialise(hits(rows, first, ["_row"]), "leak-block")]
-    parts += [materialise(hits(rows, block, ["_row"]).where(F.size("spans") > 0), "leak-block") for block in chain([second], blocks)]
+        return hits(docs, first, keep)[1]
+    rows, parts = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), *dict.fromkeys([*keep, "text"])), "leak-rows"), []
+    for block in chain([first, second], blocks):  # one block in memory at a time
+        shared, found = hits(rows, block, ["_row"])
+        parts.append(materialise(found.where(F.size("spans") > 0) if parts else found, "leak-block"))
+        shared.unpersist()
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -179,12 +181,12 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, max_bytes: int
     return found.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, start int, stop int, passage string")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any hit, with their columns."""
-    spark = docs.sparkSession
-    columns, block = docs.columns, list(_blocks(benchmark, MAX_BYTES))
-    for items in block:
-        shared, tag = spark.sparkContext.broadcast(items), hashlib.sha256(repr(items).encode()).hexdigest()
+def clean_documents(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows of ``docs`` without any hit, with their columns; one block of items after the other, what is left written between them."""
+    columns, blocks = docs.columns, _blocks(benchmark, max_bytes)
+    items = next(blocks)
+    while items is not None:
+        shared, tag = docs.sparkSession.sparkContext.broadcast(items), hashlib.sha256(repr(items).encode()).hexdigest()
 
         def run(batches, shared=shared, tag=tag):
             if tag not in _built:
@@ -196,6 +198,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        items = next(blocks, None)
+        if items is not None:
+            docs = materialise(docs, "clean-block")
+            shared.unpersist()
     return docs.select(*columns)
 
 

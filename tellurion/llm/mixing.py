@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tellurion.llm.scratch import materialise
+from tellurion.sources.scratch import materialise
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -106,10 +106,11 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     narrow = materialise(_measured(docs), "mix-rows")
-    plan = thresholds(narrow).select(F.col("source").alias("_s"), "passes", "below")
-    times = F.col("passes") + (doc_hash(F.col("doc_id"), F.col("text")) < F.col("below")).cast("long")
-    taken = docs.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_times", times).where("_times > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    plan = thresholds(narrow).select(F.col("source").alias("_s"), F.col("passes").alias("_passes"), F.col("below").alias("_below"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("source").alias("_of"), doc_hash(F.col("doc_id"), F.col("text")).alias("_h"))
+    times = F.col("_passes") + (F.col("_h") < F.col("_below")).cast("long")
+    taken = rows.join(plan, F.col("_of").eqNullSafe(F.col("_s"))).withColumn("_times", times).where("_times > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select("_row.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -125,13 +125,13 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` with the counts, base_failed and kept; columns of those names are replaced."""
     names = {*COUNTS, "base_failed", "kept", "n_lines", "n_stop", "n_upper", *(r[0] for r in rules)}
     own = [c for c in docs.columns if c not in names]
-    m = measure(docs.select(*own))
-    return m.select(*own, *COUNTS, "base_failed", _kept(rules).alias("kept"))
+    m = measure(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "text"))
+    return m.select("_row.*", *COUNTS, "base_failed", _kept(rules).alias("kept"))
 
 
 def keep(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns they came with."""
-    m = measure(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "text"))
+    m = measure(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"))
     return m.select("_row", _kept(rules).alias("_ok")).where("_ok").select("_row.*")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tellurion.llm.scratch import materialise
+from tellurion.sources.scratch import materialise
 
 SHARDS = 24
 SEED = 20240611
@@ -111,7 +111,7 @@ def number_rows(narrow: DataFrame, keys: list[str], row_col: str = "row_no") ->
     """
     n = narrow.count()
     buckets = max(1, min(MAX_BUCKETS, n // BUCKET_ROWS))
-    hashed = F.pmod(sum((F.coalesce(F.col(k).cast("long"), F.lit(-1)) % 1000003 * (7919 + 2 * i) for i, k in enumerate(keys)), F.lit(0)), F.lit(buckets))
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(buckets))
     counted = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", hashed.cast("int"))
     per = narrow.select(hashed.cast("int").alias("_b")).groupBy("_b").agg(F.count(F.lit(1)).alias("_in"))
     starts = per.select("_b", (F.sum("_in").over(Window.orderBy("_b")) - F.col("_in")).alias("_start"))

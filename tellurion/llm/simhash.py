@@ -1,26 +1,40 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-Fingerprints are the majority bits of the XXH64 hashes of a text's 4-word shingles.
-Two of them link at ``RADIUS`` or fewer differing bits, and the components of the
-links are the groups.
+Fingerprints are the majority bits of hashes of a text's word shingles, one word of
+64 bits or several.  Two of them link at ``radius`` or fewer differing bits, and the
+components of the links are the groups.
 
-Search.  The 64 bits are grouped into m parts, correlated bits together; part i
-gets a threshold t_i >= -1 with sum(t_i) = RADIUS - m + 1, so any linked pair is
+Search.  The bits are grouped into m parts, correlated bits together; part i gets a
+threshold t_i >= -1 with sum(t_i) = sure - m + 1, so any pair within ``sure`` bits is
 within t_i in some part (-1: the part is not probed).  The thresholds, unequal as
 they come, are found by dynamic programming over estimated candidate counts, and m
-is the one with the least estimate.  A part is probed by masks: for every set of
-at most t_i of its bits, fingerprints meet that differ in exactly those bits of
-the part; each meeting is verified on all 64 bits.
-
-Bounded work.  Equal fingerprints are first combined, so exact copies cost
-nothing.  Meetings are scanned in order of their key, block by block, and give
-only the links of a spanning forest, never all pairs.  A meeting of more than
-``BLOCK`` fingerprints is cut into blocks, and pairs of blocks become meetings of
-their own on other tasks; every pair is still compared.
+is the one with the least estimate.  A part is probed by masks: for every set of at
+most t_i of its bits, fingerprints meet that differ in exactly those bits of the
+part; each meeting is verified on all bits.  With ``sure`` = ``radius`` every link is
+found.
+
+Two uses.  ``near_duplicates`` links 64-bit fingerprints of 4-word shingles at 4 bits,
+all of them.  ``representatives`` looks for texts whose sets of 5-word shingles have a
+Jaccard similarity of 0.8 or more; two such sets differ in about 15% of the bits, so
+it takes ``WIDE`` words of 64 bits and lets the parts be narrow: pairs within ``sure``
+bits meet for certain, a pair at 0.8 meets in one of some 36 parts with odds over
+0.95, one at 0.9 with odds over 0.999.  Meetings keep links of up to ``LOOSE`` of the
+512 bits.  Those of at most ``CLOSE`` bits (a similarity near 0.9) hold; where longer
+ones would join groups that these leave apart, the two texts' shingle sets are
+compared exactly.
+
+Bounded work.  Equal fingerprints are first combined, so exact copies cost nothing.
+Meetings are scanned in order of their key, block by block, and give only the links
+of a spanning forest, never all pairs.  A meeting of more than ``BLOCK`` fingerprints
+is cut into blocks, and pairs of blocks become meetings of their own on other tasks:
+every pair is still compared, and the rows sent grow with the square of such a
+meeting over ``BLOCK``.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked
 like any other; fewer words than a shingle are one shingle; repeated rows and ids
-stay rows; an empty table gives an empty result; other columns are ignored.
+stay rows; the smallest doc_id leads a group, null after all others, and of rows with
+that id the first; an empty table gives an empty result; other columns are ignored
+by ``near_duplicates`` and kept by ``representatives``.
 """
 
 from __future__ import annotations
@@ -34,84 +48,119 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.components import components
-from tellurion.llm.scratch import materialise
+from tellurion.operators.graph import components
+from tellurion.sources.scratch import materialise
 
 SHINGLE = 4
 RADIUS = 4
-BITS = 64
+WIDE_SHINGLE = 5
+WIDE = 8
+LOOSE = 92
+CLOSE = 45
+SIMILARITY = 0.8
 BLOCK = 4096
+SMALL = 48
+MOST_BROADCAST = 4_000_000
 _SPACES = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit majority vote of a text's shingles; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of a text's shingles in order, repeats included; none without words."""
     words = text.encode("utf-8", "surrogatepass").translate(_SPACES).split(b" ") if text else []
     words = [w for w in words if w]
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(SHINGLE, len(words))
+    k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
-    hashes = np.array([digest(line[a:b], 42) for a, b in spans], np.uint64)
-    return votes(hashes)
+    return np.array([digest(line[a:b], 42) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """The majority vote of a text's shingles as ``words`` words of 64 bits; 0 without words.
+
+    The first word votes on the shingles' XXH64, the others on mixes of it.
+    """
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return np.zeros(words, np.uint64)
+    if words > 1:
+        with np.errstate(over="ignore"):
+            h = np.stack([h, *(_mix(h + np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1)) for i in range(1, words))], axis=1)
+    return votes(np.ascontiguousarray(h.reshape(-1, words)))
 
 
-_BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+_BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
-def votes(hashes: np.ndarray) -> int:
-    """Bits set in over half the hashes: counts of byte values give counts of bits."""
-    columns = hashes.view(np.uint8).reshape(-1, 8)
-    if len(columns) < 64:
-        counts = ((columns[:, :, None] >> np.arange(8, dtype=np.uint8)) & 1).sum(axis=0, dtype=np.int64).ravel()
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """Bits set in over half the rows: counts of byte values give counts of bits."""
+    n, columns = len(hashes), hashes.view(np.uint8)
+    if n < 64:
+        counts = np.unpackbits(columns, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     else:
-        counts = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BYTE_BITS for i in range(8)])
-    set_bits = counts * 2 > len(hashes)
-    return int.from_bytes(np.packbits(set_bits, bitorder="little").tobytes(), "little")
+        width = columns.shape[1]
+        cells = np.zeros(width * 256, np.int64)
+        for s in range(0, n, 4096):
+            cells += np.bincount((columns[s : s + 4096] + np.arange(width) * 256).ravel(), minlength=width * 256)
+        counts = (cells.reshape(width, 256) @ _BYTE_BITS).ravel()
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _fps(column) -> np.ndarray:
+    """The fingerprints of an Arrow column of binaries, one row of 64-bit words each."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1) if rows else np.empty((0, 1), np.uint64)
 
 
-def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
-    """The ``keep`` columns of ``docs`` and fp, the fingerprint as a signed long."""
+def _binary(fps: np.ndarray) -> pa.Array:
+    """Rows of words as an Arrow column of binaries."""
+    n, width = fps.shape
+    data = pa.py_buffer(np.ascontiguousarray(fps).tobytes())
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width * 8).astype(np.int32)), data])
+
+
+def fingerprints(docs: DataFrame, *keep: str, shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """The ``keep`` columns of ``docs`` and fp, the fingerprint (binary, little endian)."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([_signed(fingerprint(t)) for t in b.column("text").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fps)], names=[*keep, "fp"])
+            fps = [fingerprint(t, shingle, words) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), _binary(np.array(fps, np.uint64).reshape(len(fps), words))], names=[*keep, "fp"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, fp long")
+    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, fp binary")
 
 
 # ---- parts and thresholds -------------------------------------------------
 
 
-def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of fingerprints, how often each bit is set, and each pair of bits together; over all of them."""
+def bit_statistics(fps: DataFrame, words: int) -> tuple[int, np.ndarray]:
+    """Number of fingerprints, and how often each pair of bits is set together; over all of them."""
+    bits = 64 * words
 
     def run(batches):
-        total, both = 0, np.zeros((BITS, BITS))
+        total, both = 0, np.zeros((bits, bits))
         for b in batches:
-            x = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            m = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+            x = _fps(b.column("fp"))
+            m = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").astype(np.float32)
             total += len(x)
             both += m.T @ m
         if total:
-            i, j = np.divmod(np.arange(BITS * BITS), BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(both.ravel()), pa.array(np.full(BITS * BITS, total, np.int64))], names=["i", "j", "both", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(bits, dtype=np.int32)), pa.array(np.full(bits, total, np.int64)), pa.array([r.tobytes() for r in both], pa.binary())], names=["i", "n", "v"])
+
+    def add(table: pa.Table) -> pa.Table:
+        v = sum(np.frombuffer(x.as_py()) for x in table.column("v"))
+        return pa.table({"i": table.column("i")[:1], "n": [sum(table.column("n").to_pylist())], "v": [v.tobytes()]}, schema=table.schema)
 
-    rows = fps.select("fp").mapInArrow(run, "i int, j int, both double, n long").groupBy("i", "j").agg(F.sum("both").alias("both"), F.sum("n").alias("n")).collect()
-    both = np.zeros((BITS, BITS))
+    rows = fps.select("fp").mapInArrow(run, "i int, n long, v binary").groupBy("i").applyInArrow(add, "i int, n long, v binary").collect()  # one row a bit
+    both = np.zeros((bits, bits))
     for r in rows:
-        both[r.i, r.j] = r.both
-    return (rows[0].n if rows else 0), np.diag(both).copy(), both
+        both[r.i] = np.frombuffer(r.v)
+    return (rows[0].n if rows else 0), both
 
 
 def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -121,35 +170,42 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     sd = np.sqrt(np.clip(p * (1 - p), 1e-12, None))
     corr = np.abs(cov / np.outer(sd, sd))
     np.fill_diagonal(corr, 0)
-    left, out = set(range(BITS)), []
+    free, out = np.ones(len(p), bool), []
     for g in range(parts):
-        size = len(left) // (parts - g)
-        rest = sorted(left)
-        first = max(rest, key=lambda b: corr[b, rest].sum())
-        group = [first]
-        left.remove(first)
+        size = int(free.sum()) // (parts - g)
+        first = int(np.where(free, corr[:, free].sum(axis=1), -1).argmax())
+        group, ties = [first], corr[first].copy()
+        free[first] = False
         while len(group) < size:
-            best = max(sorted(left), key=lambda b: corr[b, group].sum())
+            best = int(np.where(free, ties, -1).argmax())
             group.append(best)
-            left.remove(best)
+            free[best] = False
+            ties += corr[best]
         out.append(sorted(group))
     return out
 
 
-def _mask(bits) -> int:
-    out = 0
+def _mask(bits, words: int) -> np.ndarray:
+    out = np.zeros(words, np.uint64)
     for b in bits:
-        out |= 1 << b
+        out[b // 64] |= np.uint64(1 << b % 64)
     return out
 
 
-def equal_pairs(fps: DataFrame, groupings: dict[int, list[list[int]]]) -> dict[tuple[int, int], float]:
+def equal_pairs(fps: DataFrame, groupings: dict[int, list[list[int]]], words: int) -> dict[tuple[int, int], float]:
     """For each part of each grouping, the pairs of fingerprints that agree on it; counted over all of them."""
-    masks = [(m, i, _signed(_mask(bits))) for m, parts in groupings.items() for i, bits in enumerate(parts)]
-    cells = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(k).cast("long")).alias("v")) for m, i, k in masks])
-    counts = fps.select(F.explode(cells).alias("c")).groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    rows = counts.groupBy("c.m", "c.i").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).collect()
-    return {(r.m, r.i): r.pairs for r in rows}
+    masks = [(m, i, _mask(bits, words)) for m, parts in groupings.items() for i, bits in enumerate(parts)]
+
+    def run(batches):
+        for b in batches:
+            x = _fps(b.column("fp"))
+            for number, (_, _, mask) in enumerate(masks):
+                key, n = np.unique(_hash(x & mask), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), number, np.int32)), pa.array(key.view(np.int64)), pa.array(n)], names=["part", "key", "n"])
+
+    counts = fps.select("fp").mapInArrow(run, "part int, key long, n long").groupBy("part", "key").agg(F.sum("n").cast("double").alias("n"))
+    rows = counts.groupBy("part").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).collect()  # one row a part
+    return {masks[r.part][:2]: r.pairs for r in rows}
 
 
 def estimated_candidates(equal: float, n: int, p: np.ndarray, bits: list[int], upto: int) -> list[float]:
@@ -192,19 +248,27 @@ def allocate(costs: list[list[float]], budget: int) -> tuple[float, list[int]]:
     return best[budget]
 
 
-def plan_parts(fps: DataFrame, radius: int = RADIUS) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each part that is probed."""
-    n, ones, both = bit_statistics(fps)
-    groupings = {m: group_bits(n, both, m) for m in range(2, radius + 2)}
-    equal = equal_pairs(fps, groupings)
+def part_counts(n: int, sure: int, words: int) -> list[int]:
+    """Numbers of parts to choose from: for one word those that ``sure`` allows, for several the one that lets some 256 unlike fingerprints agree on a part (14 to 26 bits)."""
+    if words == 1:
+        return list(range(2, sure + 2))
+    return [64 * words // min(26, max(14, int(n).bit_length() - 8))]
+
+
+def plan_parts(fps: DataFrame, sure: int | None = RADIUS, words: int = 1) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each part that is probed; ``sure`` None: as many bits as parts with threshold 0 give."""
+    n, both = bit_statistics(fps, words)
+    ones = np.diag(both)
+    groupings = {m: group_bits(n, both, m) for m in part_counts(n, sure or 0, words)}
+    equal = equal_pairs(fps, groupings, words)
     best = None
     for m, parts in groupings.items():
-        costs = []
+        costs, budget = [], 0 if sure is None else sure - m + 1
         for i, bits in enumerate(parts):
-            upto = min(2, radius - m + 1 + m - 1)
+            upto = min(2, budget + m - 1) if words == 1 else 1
             pairs = estimated_candidates(equal.get((m, i), 0.0), n, ones / max(n, 1), bits, upto)
             costs.append([probes(len(bits), t) * n * PROBE_COST + pairs[t] for t in range(upto + 1)])
-        cost, chosen = allocate(costs, radius - m + 1)
+        cost, chosen = allocate(costs, budget)
         if best is None or cost < best[0]:
             best = (cost, [(bits, t) for bits, t in zip(parts, chosen) if t >= 0])
     return best[1]
@@ -213,9 +277,9 @@ def plan_parts(fps: DataFrame, radius: int = RADIUS) -> list[tuple[list[int], in
 # ---- meetings ----------------------------------------------------------------
 
 
-def masks_of(parts: list[tuple[list[int], int]]) -> list[tuple[int, int]]:
+def masks_of(parts: list[tuple[list[int], int]], words: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
     """(bits of the part, bits that must differ) for every probe."""
-    return [(_mask(bits), _mask(flip)) for bits, t in parts for k in range(t + 1) for flip in itertools.combinations(bits, k)]
+    return [(_mask(bits, words), _mask(flip, words)) for bits, t in parts for k in range(t + 1) for flip in itertools.combinations(bits, k)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -225,21 +289,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _keys(x: np.ndarray, number: int, part: int, flip: int) -> tuple[np.ndarray, np.ndarray]:
+def _hash(x: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of each row of words; a single word is taken as it is."""
+    out = x[:, 0]
+    for i in range(1, x.shape[1]):
+        with np.errstate(over="ignore"):
+            out = _mix(out + np.uint64(0x9E3779B97F4A7C15)) ^ x[:, i]
+    return out
+
+
+def _keys(x: np.ndarray, number: int, part: np.ndarray, flip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Key of the meeting, and the side: rows that differ in exactly the flipped bits share a key and are on opposite sides."""
-    fixed = x & np.uint64(part & ~flip)
-    own = x & np.uint64(flip)
-    other = own ^ np.uint64(flip)
-    low = np.minimum(own, other)
-    return _mix(_mix(fixed | low) + np.uint64(number)), own > other
+    own = x & flip
+    other = own ^ flip
+    where = int(np.flatnonzero(flip)[0]) if flip.any() else 0
+    high = own[:, where] > other[:, where]
+    low = np.where(high[:, None], other, own)
+    with np.errstate(over="ignore"):
+        return _mix(_mix(_hash(x & (part & ~flip) | low)) + np.uint64(number)), high
 
 
-def meetings(fps: DataFrame, masks: list[tuple[int, int]], hot: np.ndarray | None, only_hot: bool) -> DataFrame:
+def meetings(fps: DataFrame, masks: list[tuple[np.ndarray, np.ndarray]], hot: np.ndarray | None, only_hot: bool) -> DataFrame:
     """key, side, fp for every probe.  A key that is in ``hot`` (sorted) is left to ``only_hot``."""
 
     def run(batches):
         for b in batches:
-            x = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            x = _fps(b.column("fp"))
             for number, (part, flip) in enumerate(masks):
                 key, side = _keys(x, number, part, flip)
                 rows = x
@@ -249,173 +324,248 @@ def meetings(fps: DataFrame, masks: list[tuple[int, int]], hot: np.ndarray | Non
                     take = is_hot if only_hot else ~is_hot
                     key, side, rows = key[take], side[take], x[take]
                 if len(rows):
-                    kind = (np.full(len(rows), 2, np.int8) if not flip else side.astype(np.int8))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind), pa.array(rows.view(np.int64))], names=["key", "side", "fp"])
+                    kind = side.astype(np.int8) if flip.any() else np.full(len(rows), 2, np.int8)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind), _binary(rows)], names=["key", "side", "fp"])
+
+    return fps.select("fp").mapInArrow(run, "key long, side byte, fp binary")
+
 
-    return fps.select("fp").mapInArrow(run, "key long, side byte, fp long")
+def meeting_sizes(fps: DataFrame, masks: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """key, n of every meeting; only keys are moved."""
 
+    def run(batches):
+        for b in batches:
+            x = _fps(b.column("fp"))
+            for number, (part, flip) in enumerate(masks):
+                key, n = np.unique(_keys(x, number, part, flip)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+    return fps.select("fp").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _links(left: np.ndarray, right: np.ndarray, radius: int, cell: int = 1 << 20) -> list[tuple[int, int]]:
-    """Links between two arrays, one to each fingerprint that has any and a forest among them.
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of words; a and b broadcast against each other."""
+    d = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for i in range(1, a.shape[-1]):
+        d += np.bitwise_count(a[..., i] ^ b[..., i])
+    return d
 
-    Rows of ``left`` are compared with all of ``right`` in slices of at most ``cell``
-    pairs; union-find over the places keeps a spanning forest.
+
+def _links(left: np.ndarray, right: np.ndarray, radius: int, same: bool, cell: int = 1 << 18) -> list[tuple[int, int]]:
+    """Places of links between two arrays (``same``: one array with itself) that join what any link joins: a forest.
+
+    Rows of ``left`` are taken in slices; a slice is compared with the rows of
+    ``right`` that are not yet joined to all of it.
     """
-    parent = np.arange(len(left) + len(right))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out, step = [], max(1, cell // max(1, len(right)))
-    for s in range(0, len(left), step):
-        near = _popcount(left[s : s + step, None] ^ right[None, :]) <= radius
-        rows, cols = np.nonzero(near)
-        if not len(rows):
+    off = 0 if same else len(left)
+    parent = np.arange(len(left) if same else len(left) + len(right))
+
+    def roots():
+        nonlocal parent
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                return parent
+            parent = up
+
+    out, step, s = [], max(1, min(64, cell // max(1, len(right)))), 0
+    while s < len(left):
+        at = np.arange(s, min(len(left), s + step))
+        s += step
+        of = roots()
+        mine = of[at]
+        others = np.flatnonzero(of[off:] != mine[0]) if (mine == mine[0]).all() else np.arange(len(right))
+        if not len(others):
             continue
-        a, b = rows + s, cols + len(left)
-        while len(a):  # drop the pairs that are joined already, then join the first of each group that is left
-            roots = np.fromiter(map(root, range(len(parent))), np.int64, len(parent))
-            open_ = roots[a] != roots[b]
-            a, b = a[open_], b[open_]
-            _, first = np.unique(roots[a], return_index=True)
-            for i in first.tolist():
-                x, y = root(int(a[i])), root(int(b[i]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    out.append((int(left[a[i]]), int(right[b[i] - len(left)])))
+        rows, cols = np.nonzero(_distance(left[at, None], right[None, others]) <= radius)
+        a, b = at[rows], others[cols] + off
+        while len(a):  # drop the pairs that are joined already, then join one of each group that is left
+            of = roots()
+            apart = of[a] != of[b]
+            a, b = a[apart], b[apart]
+            low, high = np.minimum(of[a], of[b]), np.maximum(of[a], of[b])
+            high, first = np.unique(high, return_index=True)
+            parent[high] = low[first]
+            out += zip(a[first].tolist(), (b[first] - off).tolist())
     return out
 
 
 def _small_links(key, side, fp, radius):
-    """Links inside the meetings of sorted rows: rows at distance d of each other in order, for d = 1, 2, ... up to the largest meeting."""
-    out_u, out_v = [], []
-    n = len(key)
-    d = 1
+    """Places of links inside the meetings of sorted rows: rows at distance d of each other in order, for d = 1, 2, ... up to the largest meeting."""
+    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    n, d = len(key), 1
     live = np.arange(n - 1)
     while len(live):
         live = live[live + d < n]
         live = live[key[live] == key[live + d]]
-        near = (_popcount(fp[live] ^ fp[live + d]) <= radius) & ((side[live] == 2) | (side[live] != side[live + d]))
-        out_u.append(fp[live[near]])
-        out_v.append(fp[live[near] + d])
+        near = (_distance(fp[live], fp[live + d]) <= radius) & ((side[live] == 2) | (side[live] != side[live + d]))
+        us.append(live[near])
+        vs.append(live[near] + d)
         d += 1
-    return np.concatenate(out_u) if out_u else fp[:0], np.concatenate(out_v) if out_v else fp[:0]
-
-
-SMALL = 48
+    return np.concatenate(us), np.concatenate(vs)
 
 
-def _verify(radius: int):
+def _verify(radius: int, words: int):
     """Over rows sorted by key: the links of every meeting."""
 
-    def groups(key):
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        return edge[:-1], np.diff(edge)
-
     def work(key, side, fp):
-        starts, sizes = groups(key)
-        keep = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-        u, v = _small_links(key[keep], side[keep], fp[keep], radius)
-        us, vs = [u], [v]
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        starts, sizes = edge[:-1], np.diff(edge)
+        at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+        u, v = _small_links(key[at], side[at], fp[at], radius)
+        us, vs = [at[u]], [at[v]]
         for s, k in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            g, sd = fp[s : s + k], side[s : s + k]
-            left, right = (g, g) if sd[0] == 2 else (g[sd == 0], g[sd == 1])
+            place, sd = np.arange(s, s + k), side[s : s + k]
+            same = sd[0] == 2
+            left, right = (place, place) if same else (place[sd == 0], place[sd == 1])
             if len(left) and len(right):
-                pairs = _links(left, right, radius)
-                if pairs:
-                    a = np.array(pairs, np.uint64)
-                    us.append(a[:, 0])
-                    vs.append(a[:, 1])
+                pairs = _links(fp[left], fp[right], radius, bool(same))
+                us.append(left[[a for a, _ in pairs]] if pairs else place[:0])
+                vs.append(right[[b for _, b in pairs]] if pairs else place[:0])
         u, v = np.concatenate(us), np.concatenate(vs)
-        apart = u != v
-        return u[apart], v[apart]
+        both = np.unique(np.concatenate((fp[u], fp[v]), axis=1), axis=0)
+        apart = (both[:, :words] != both[:, words:]).any(axis=1)
+        u, v = both[apart, :words], both[apart, words:]
+        return pa.RecordBatch.from_arrays([_binary(u), _binary(v), pa.array(_distance(u, v).astype(np.int32))], names=["u", "v", "bits"])
 
     def run(batches):
-        key, side, fp = np.empty(0, np.int64), np.empty(0, np.int8), np.empty(0, np.uint64)
-
-        def give(u, v):
-            pairs = np.unique(np.stack([u, v], 1), axis=0) if len(u) else np.empty((0, 2), np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))], names=["u", "v"])
-
+        key, side, fp = np.empty(0, np.int64), np.empty(0, np.int8), np.empty((0, words), np.uint64)
         for b in batches:
+            if not b.num_rows:
+                continue
             key = np.concatenate((key, b.column("key").to_numpy(zero_copy_only=False)))
             side = np.concatenate((side, b.column("side").to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((fp, b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
-            done = np.searchsorted(key, key[-1]) if len(key) else 0  # the last meeting may go on in the next batch
+            fp = np.concatenate((fp, _fps(b.column("fp"))))
+            done = np.searchsorted(key, key[-1])  # the last meeting may go on in the next batch
             if done:
-                yield give(*work(key[:done], side[:done], fp[:done]))
+                yield work(key[:done], side[:done], fp[:done])
                 key, side, fp = key[done:], side[done:], fp[done:]
         if len(key):
-            yield give(*work(key, side, fp))
+            yield work(key, side, fp)
 
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """u, v: links that connect exactly the fingerprints of ``fps`` (distinct) that are within ``radius`` of each other, possibly over others."""
-    masks = masks_of(plan_parts(fps, radius))
+def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, words: int = 1) -> DataFrame:
+    """u, v, bits: links that connect the fingerprints of ``fps`` (distinct) that are within ``radius`` of each other and meet, possibly over others."""
+    masks = masks_of(plan_parts(fps, radius if words == 1 else None, words), words)
     n = fps.count()
     # A meeting over ``block`` has that many rows of one mask, so there are at most masks * n / block of them;
     # the block grows with n so that this list stays under 65,536 keys.
     block = max(block, len(masks) * n // 65536)
-    per = meetings(fps, masks, None, False).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    found = {r.key: r.n for r in per.collect()} if n > block else {}
+    found = {r.key: r.n for r in meeting_sizes(fps, masks).where(F.col("n") > block).collect()} if n > block else {}
     hot = np.sort(np.array(list(found), np.int64).view(np.uint64)) if found else None
-    scan = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(radius), "u long, v long")
+    scan = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(radius, words), "u binary, v binary, bits int")
     out = scan(meetings(fps, masks, hot, False))
     if hot is not None:
         blocks = {k: -(-c // block) for k, c in found.items()}
 
         def spread(batches):
             for b in batches:
-                key, side, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "side", "fp"))
-                number = _mix(fp.astype(np.int64).view(np.uint64) + np.uint64(7))
-                for k in np.unique(key):
-                    at = key == k
-                    many = blocks[int(k)]
+                if not b.num_rows:
+                    continue
+                key, side, fp = b.column("key").to_numpy(zero_copy_only=False), b.column("side").to_numpy(zero_copy_only=False), _fps(b.column("fp"))
+                number = _mix(_hash(fp) + np.uint64(7))
+                order = np.argsort(key, kind="stable")
+                edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
+                for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    at = order[s:e]
+                    k, many = int(key[at[0]]), blocks[int(key[at[0]])]
                     own = (number[at] % np.uint64(many)).astype(np.int64)
                     for other in range(many):
                         low, high = np.minimum(own, other), np.maximum(own, other)
                         cell = _mix(np.full(len(own), k, np.int64).view(np.uint64) + (low * many + high + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                        yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(side[at]), pa.array(fp[at])], names=["key", "side", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(side[at]), _binary(fp[at])], names=["key", "side", "fp"])
 
-        out = out.unionByName(scan(meetings(fps, masks, hot, True).mapInArrow(spread, "key long, side byte, fp long")))
+        out = out.unionByName(scan(meetings(fps, masks, hot, True).mapInArrow(spread, "key long, side byte, fp binary")))
     return out
 
 
-def fingerprint_groups(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """fp, component_id for every fingerprint of ``rows`` (columns doc_id, fp; a written table)."""
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    linked = components(links(distinct, radius, block))
-    member = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    return member.join(least, "root").select("fp", "root", "component_id")
+# ---- groups -------------------------------------------------------------------
+
+
+def fingerprint_groups(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK, words: int = 1, close: int | None = None, alike=None) -> DataFrame:
+    """fp, lead for every fingerprint of ``rows`` (columns doc_id, fp and a row number rid; a written table).
+
+    lead is the first row of the group in order of doc_id (null last) and row number.
+    Nodes of the graph are named by their first row in that order, so the least name
+    that the star rounds reach is the lead, and no group is gathered for it.  Links of
+    more than ``close`` bits between groups of the others hold only if ``alike``, given
+    (u, v, a, b; row numbers and groups), keeps them.
+    """
+    name = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")
+    distinct = materialise(rows.groupBy("fp").agg(F.min(name).alias("node")), "distinct")
+    # names of the links' ends; unknown ids are 0 in a name, as equality wants values
+    node = F.struct(F.col("node.unknown").alias("unknown"), F.coalesce("node.doc_id", F.lit(0).cast(rows.schema["doc_id"].dataType)).alias("doc_id"), F.col("node.rid").alias("rid"))
+    names = distinct.select("fp", node.alias("node"))
+    found = links(distinct, radius, block, words).distinct()
+    found = found.join(names.select(F.col("fp").alias("u"), F.col("node").alias("_u")), "u").join(names.select(F.col("fp").alias("v"), F.col("node").alias("_v")), "v")
+    edges = materialise(found.select(F.col("_u").alias("u"), F.col("_v").alias("v"), "bits"), "links")
+    linked = components(edges if close is None else edges.where(F.col("bits") <= close))
+    lead = names.join(linked, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("lead"))
+    if close is None:
+        return lead.select("fp", "lead")
+    lead = materialise(lead, "groups")
+    at = lambda end, group: lead.select(F.col("node").alias(end), F.col("lead").alias(group))
+    far = edges.where(F.col("bits") > close).join(at("u", "a"), "u").join(at("v", "b"), "v").where("a != b")
+    held = alike(materialise(far.select(F.col("u.rid").alias("u"), F.col("v.rid").alias("v"), "a", "b"), "far"))
+    joined = components(held.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "lead", "root": "_root"})
+    return lead.join(joined, "lead", "left").select("fp", F.coalesce("_root", "lead").alias("lead"))
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``pairs`` (u, v, ...) whose texts in ``texts`` (rid, text) have shingle sets of at least that Jaccard similarity."""
+    wanted = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
+
+    def cut(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(sets, pa.binary())], names=["rid", "set"])
+
+    sets = materialise(texts.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(cut, "rid long, set binary"), "sets")
+    both = pairs.join(sets.withColumnsRenamed({"rid": "u", "set": "_x"}), "u").join(sets.withColumnsRenamed({"rid": "v", "set": "_y"}), "v")
+
+    def compare(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("_x"), b.column("_y")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(compare, both.schema).drop("_x", "_y")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the group) for every row of ``docs``."""
-    rows = materialise(fingerprints(docs, "doc_id"), "fingerprints")
+    rows = materialise(fingerprints(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid")), "doc_id", "rid"), "fingerprints")
     of = fingerprint_groups(rows, radius, block)
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(of, "fp").select(
+        "doc_id", F.lower(_swapped("fp")).alias("fingerprint"),
+        F.when(~F.col("lead.unknown"), F.col("lead.doc_id")).alias("component_id"))
+
+
+def _swapped(fp: str):
+    """Hex digits of eight bytes in reverse order."""
+    return F.concat(*[F.substring(F.hex(fp), 2 * i + 1, 2) for i in range(7, -1, -1)])
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group, one with the smallest doc_id (nulls last)."""
+def representatives(docs: DataFrame, radius: int = LOOSE, block: int = BLOCK) -> DataFrame:
+    """One row of ``docs`` for each group of texts alike in 5-word shingles (0.8 or more), one with the smallest doc_id (nulls last).
+
+    Only fingerprints are moved; the rows that go are taken out of the written table,
+    from memory while there are at most ``MOST_BROADCAST`` of them.
+    """
     columns = docs.columns
-    numbered = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*columns).alias("_row"), "doc_id", "text")
-    rows = materialise(fingerprints(numbered, "_rid", "_row", "doc_id"), "fingerprint-rows")
-    of = fingerprint_groups(rows.select("doc_id", "fp"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "_rid"))
-    kept = rows.select("_rid", "doc_id", "fp").join(of, "fp").groupBy("root").agg(best.alias("k")).select(F.col("k._rid").alias("_kept"))
-    out = rows.join(kept.hint("shuffle_hash"), F.col("_rid") == F.col("_kept"), "left_semi")
-    return out.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")), "rows")
+    texts = numbered.select(F.col("_rid").alias("rid"), F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
+    rows = materialise(fingerprints(texts, "rid", "doc_id", shingle=WIDE_SHINGLE, words=WIDE), "fingerprints")
+    of = fingerprint_groups(rows, radius, block, WIDE, CLOSE, lambda pairs: similar_pairs(pairs, texts.select("rid", "text")))
+    gone = materialise(rows.join(of, "fp").where(F.col("rid") != F.col("lead.rid")).select(F.col("rid").alias("_rid")), "gone")
+    few = gone.count() <= MOST_BROADCAST
+    kept = numbered.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), "_rid", "left_anti")
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in columns])
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ digests that the cache lacks are encoded, once each, and appended to it.
 Encoding.  The tokenizer's normaliser and splitter never look across white space,
 so a text's count is the sum over its white-space separated words (tests hold this
 against whole-text encoding); a worker keeps the counts of words it has met, up to
-``MEMO`` words, and gives the library only words it hasn't.
+``MEMO`` words of at most ``LONGEST`` bytes, and gives the library only words it hasn't.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings
 inside texts are handled as the library does by default; repeated rows and ids
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellurion.llm.scratch import fresh_path, materialise
+from tellurion.sources.scratch import fresh_path, materialise
 
 LIMIT = 2048
 MEMO = 600_000
+LONGEST = 64
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 _SPACES = bytes(32 if 9 <= i <= 13 else i for i in range(256))
 
@@ -62,11 +63,12 @@ class WordCounter:
         new = list({w for words in split for w in words if w not in memo})
         lengths = [len(e.ids) for s in range(0, len(new), 4096) for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[s : s + 4096]], add_special_tokens=False)]
         met = dict(zip(new, lengths))
-        if len(memo) + len(met) <= self.size:
+        if len(memo) + len(met) <= self.size and max(map(len, new), default=0) <= LONGEST:
             memo.update(met)
             return [sum(map(memo.__getitem__, words)) for words in split]
         for w in new[: max(0, self.size - len(memo))]:
-            memo[w] = met[w]
+            if len(w) <= LONGEST:
+                memo[w] = met[w]
         both = lambda w: met[w] if w in met else memo[w]
         return [sum(map(both, words)) for words in split]
 

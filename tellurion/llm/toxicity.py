@@ -37,6 +37,7 @@ DECAY = 1e-5
 BIAS = -6.0
 CUT = 0.7
 MEMO = 400_000
+LONGEST = 64
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _EDGE = ".,!?;:\"'()[]{}%$*&#|<>-_"
 
@@ -108,7 +109,7 @@ class Scorer:
         got = self.memo.get(w)
         if got is None:
             got = float(self.weights[features(s)].sum()) if (s := w.strip(_EDGE)) else 0.0
-            if len(self.memo) < MEMO:
+            if len(self.memo) < MEMO and len(w) <= LONGEST:
                 self.memo[w] = got
         return got
 
@@ -185,7 +186,8 @@ def offending_sentences(docs: DataFrame, weights: np.ndarray, cut: float = 0.5)
                         out.append((doc, m.start(), m.end(), m.group(), p))
             yield pd.DataFrame(out, columns=["doc_id", "start", "stop", "sentence", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start int, stop int, sentence string, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, start int, stop int, sentence string, score double")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tellurion.llm import simhash
-from tellurion.llm.components import components
+from tellurion.operators.graph import components
 
 
 def brute_fp(text):
@@ -40,7 +40,7 @@ def brute_groups(fps):
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aB \t\n\x0b\x85é　Zz"), max_size=120))
 def test_fingerprint(text):
-    assert simhash.fingerprint(text) == brute_fp(text)
+    assert int(simhash.fingerprint(text)[0]) == brute_fp(text)
 
 
 def test_documents_match_brute_force(spark):
@@ -75,10 +75,10 @@ def cluster_frame(spark, n=700, seed=3):
 def test_links_keep_every_group_whatever_the_block(spark):
     fps = cluster_frame(spark)
     want = brute_groups(dict(enumerate(fps)))
-    df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long").repartition(4)
-    place = {simhash._signed(x): i for i, x in enumerate(fps)}
+    df = spark.createDataFrame([(bytearray(x.to_bytes(8, "little")),) for x in fps], "fp binary").repartition(4)
+    place = {x.to_bytes(8, "little"): i for i, x in enumerate(fps)}
     for block in (20, 4096):
-        linked = {r.node: r.root for r in components(simhash.links(df, block=block)).collect()}
+        linked = {bytes(r.node): bytes(r.root) for r in components(simhash.links(df, block=block)).collect()}
         groups = {}
         for f, i in place.items():
             groups.setdefault(linked.get(f, f), []).append(i)
@@ -102,11 +102,75 @@ def test_edges_and_empty_tables(spark):
     assert {g[2] for g in got if g[1] == "0" * 16} == {1}
     assert simhash.near_duplicates(docs.where("false")).count() == 0
     kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns and kept.count() == 3
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5, 6]
     assert simhash.representatives(docs.where("false")).count() == 0
+    one = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "c d")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.representatives(one).collect()) == ["a b", "c d"]
 
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 90)] + [(7, 7), (300, 200), (200, 250)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 100 for i in range(101, 161)}, **{i: 1 for i in range(2, 90)}, 300: 200, 250: 200}
+
+
+def shingle_set(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    k = min(k, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def edited(rng, words, share):
+    """A copy with words replaced, one in a place, so that about ``share`` of the 5-word shingles stay in common (Jaccard)."""
+    out = list(words)
+    changes = round(len(words) * (1 - share) / (1 + share) / 5)
+    for i in range(changes):
+        out[(2 * i + 1) * len(words) // (2 * max(1, changes))] = f"x{rng.getrandbits(40)}"
+    return out
+
+
+def test_similar_texts_link_and_others_do_not(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], []
+    for i in range(120):
+        words = rng.choices(vocabulary, k=rng.randint(150, 600))
+        share = (0.95, 0.9, 0.86, 0.5, 0.3)[i % 5]
+        a, b = " ".join(words), " ".join(edited(rng, words, share))
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        x, y = shingle_set(a), shingle_set(b)
+        pairs.append((2 * i, len(x & y) / len(x | y)))
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(d in kept for d, _ in pairs)
+    alike = [d + 1 not in kept for d, j in pairs if j >= 0.8]
+    unlike = [d + 1 not in kept for d, j in pairs if j < 0.8]
+    assert len(alike) > 60 and sum(alike) >= 0.95 * len(alike) and len(unlike) > 40 and not any(unlike)
+
+
+def test_representatives_against_all_pairs(spark):
+    """Documents of the smallest table: which go, against Jaccard similarity over all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
+    by, parent = {}, {d: d for d in sets}
+    for d, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(d)
+    common = {}
+    for ds in by.values():
+        for i, a in enumerate(ds):
+            for b in ds[:i]:
+                common[(b, a)] = common.get((b, a), 0) + 1
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, b), n in common.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    empty = [d for d, s in sets.items() if not s]
+    want = {d for d in sets if root(d) == d} - set(empty[1:])
+    got = {r.doc_id for r in simhash.representatives(docs).collect()}
+    assert len(got - want) <= 0.05 * (len(sets) - len(want)) and len(want - got) <= 0.002 * len(want)
