@@ -9,7 +9,6 @@ from pyspark.sql.window import Window
 from tellurion.functions.columns import clamp01, number
 from tellurion.functions.group_stats import quantile, with_stats
 from tellurion.operators.graph import components
-from tellurion.sources.views import SIZE
 
 MIN_PIXELS = 4
 EPS = 6.0
@@ -45,13 +44,19 @@ def candidate_pixels(df: DataFrame, x: str, q: float, floor: float | None = None
 
 
 def connected(mask: DataFrame, min_pixels: int = MIN_PIXELS) -> DataFrame:
-    """8-connected objects of the mask's pixels, smaller ones dropped, numbered from 1 in scan order within each run."""
-    cell = lambda r, c: F.col("run_id").cast("long") * SIZE * SIZE + r * SIZE + c
-    m = mask.withColumn("_id", cell(F.col("row"), F.col("col")))
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    out = m.select("_id", "run_id", "row", "col", F.explode(steps).alias("s"))
-    near = out.select(F.col("_id").alias("u"), "run_id", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"))
-    edges = near.join(m.select("run_id", "row", "col", F.col("_id").alias("v")), ["run_id", "row", "col"]).select("u", "v")
+    """8-connected objects of the mask's pixels, smaller ones dropped, numbered from 1 in scan order within each run.
+
+    Pixels side by side in a row are one stretch, by a window; only stretches of
+    neighbouring rows that touch are edges of the graph.  A stretch is named by run,
+    row and first column in 23, 20 and 20 bits, whatever the grid's size.
+    """
+    w = Window.partitionBy("run_id", "row").orderBy("col")
+    begins = F.col("col") != F.coalesce(F.lag("col").over(w) + 1, F.lit(-1))
+    m = mask.withColumn("_start", F.when(begins, F.col("col"))).withColumn("_start", F.last("_start", ignorenulls=True).over(w))
+    name = F.shiftleft(F.col("run_id").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("row").cast("long"), 20)).bitwiseOR(F.col("_start").cast("long"))
+    m = m.withColumn("_id", name).drop("_start")
+    below = m.select(F.col("_id").alias("u"), "run_id", (F.col("row") + 1).alias("row"), F.explode(F.array(F.col("col") - 1, F.col("col"), F.col("col") + 1)).alias("col"))
+    edges = below.join(m.select("run_id", "row", "col", F.col("_id").alias("v")), ["run_id", "row", "col"]).select("u", "v").distinct()
     roots = components(edges)
     lab = m.join(roots, m["_id"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_id")).drop("node", "root")
     kept = lab.groupBy("run_id", "_root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pixels)
@@ -73,7 +78,7 @@ def clusters(objects: DataFrame, eps: float = EPS) -> DataFrame:
     The neighbour join is an equi-join over cells of side ``eps``, each object
     meeting the nine cells around it.
     """
-    o = objects.withColumns({"_id": F.col("run_id").cast("long") * 1_000_000 + F.col("object_id"), "_y": F.floor(F.col("row_center") / eps), "_x": F.floor(F.col("col_center") / eps)})
+    o = objects.withColumns({"_id": F.shiftleft(F.col("run_id").cast("long"), 32) + F.col("object_id"), "_y": F.floor(F.col("row_center") / eps), "_x": F.floor(F.col("col_center") / eps)})
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     left = o.select("run_id", F.col("_id").alias("u"), F.col("row_center").alias("r1"), F.col("col_center").alias("c1"), "_y", "_x", F.explode(steps).alias("s"))
     left = left.select("run_id", "u", "r1", "c1", (F.col("_y") + F.col("s.a")).alias("_y"), (F.col("_x") + F.col("s.b")).alias("_x"))

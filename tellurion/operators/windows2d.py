@@ -2,7 +2,10 @@
 
 A box of (2r+1)^2 pixels is a window over a row's columns and then one over a
 column's rows; the border adds the first or last pixel as often as the box leaves
-the grid.  A partition of a window is one row or column of one grid.
+the grid.  A partition of a window is one row or column of one grid.  Where a grid
+ends is read from the window itself, so grids of any height and width, and of
+different ones in one table, are worked alike; they must be whole (a missing pixel
+is a row with NULL values).
 """
 
 from __future__ import annotations
@@ -11,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tellurion.functions.columns import col
-from tellurion.sources.views import SIZE
+from tellurion.functions.columns import col, number
 
 GRID = ["run_id"]
 
@@ -21,29 +23,43 @@ def _axis(fixed: str, along: str):
     return Window.partitionBy(*GRID, fixed).orderBy(along)
 
 
-def _padded_sum(x: Column, fixed: str, along: str, r: int, size: int) -> Column:
+def _beyond(w, r: int) -> tuple[Column, Column]:
+    """How far a box of radius ``r`` reaches over the grid's first and last pixel."""
+    missing = lambda a, b: F.lit(r) - F.count(F.lit(1)).over(w.rowsBetween(a, b))
+    return missing(-r, -1), missing(1, r)
+
+
+def _padded_sum(x: Column, fixed: str, along: str, r: int) -> Column:
     w = _axis(fixed, along)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    at = F.col(along)
-    before, after = F.greatest(F.lit(r) - at, F.lit(0)), F.greatest(at + r - (size - 1), F.lit(0))
+    before, after = _beyond(w, r)
     return F.sum(x).over(w.rowsBetween(-r, r)) + before * F.first(x).over(whole) + after * F.last(x).over(whole)
 
 
-def box_sums(df: DataFrame, values: dict[str, Column], r: int, size: int = SIZE) -> DataFrame:
+def _neighbour(x: str, w, k: int) -> Column:
+    """The value ``k`` places on, that of the last pixel beyond the border; the value may be NULL."""
+    if not k:
+        return F.col(x)
+    step = 1 if k > 0 else -1
+    at = [(F.lead if k > 0 else F.lag)(F.struct(x), abs(i)).over(w) for i in range(k, 0, -step)]
+    return F.coalesce(*at, F.struct(x)).getField(x)
+
+
+def box_sums(df: DataFrame, values: dict[str, Column], r: int) -> DataFrame:
     """Adds the padded box sum of each value (which must not be NULL)."""
     df = df.withColumns({f"_h_{n}": c for n, c in values.items()})
-    df = df.withColumns({f"_h_{n}": _padded_sum(F.col(f"_h_{n}"), "row", "col", r, size) for n in values})
-    return df.withColumns({n: _padded_sum(F.col(f"_h_{n}"), "col", "row", r, size) for n in values}).drop(*[f"_h_{n}" for n in values])
+    df = df.withColumns({f"_h_{n}": _padded_sum(F.col(f"_h_{n}"), "row", "col", r) for n in values})
+    return df.withColumns({n: _padded_sum(F.col(f"_h_{n}"), "col", "row", r) for n in values}).drop(*[f"_h_{n}" for n in values])
 
 
-def box_stats(df: DataFrame, x, r: int, name: str, size: int = SIZE) -> DataFrame:
+def box_stats(df: DataFrame, x, r: int, name: str) -> DataFrame:
     """Adds {name}_mean and {name}_std (population) over the valid pixels of the box."""
     x = col(x)
-    v = F.coalesce(x.cast("double"), F.lit(0.0))
-    df = box_sums(df, {"_s": v, "_q": v * v, "_c": x.isNotNull().cast("double")}, r, size)
+    v = F.coalesce(x.cast("double"), number(0))
+    df = box_sums(df, {"_s": v, "_q": v * v, "_c": x.isNotNull().cast("double")}, r)
     mean = F.try_divide("_s", "_c")
     var = F.try_divide("_q", "_c") - mean * mean
-    return df.withColumns({f"{name}_mean": mean, f"{name}_std": F.when(F.col("_c") > 0, F.sqrt(F.greatest(var, F.lit(0.0))))}).drop("_s", "_q", "_c")
+    return df.withColumns({f"{name}_mean": mean, f"{name}_std": F.when(F.col("_c") > 0, F.sqrt(F.greatest(var, number(0))))}).drop("_s", "_q", "_c")
 
 
 def box_max(df: DataFrame, x, r: int, name: str) -> DataFrame:
@@ -52,31 +68,58 @@ def box_max(df: DataFrame, x, r: int, name: str) -> DataFrame:
     return df.withColumn(name, F.max("_m").over(_axis("col", "row").rowsBetween(-r, r))).drop("_m")
 
 
-def gather3(df: DataFrame, x, name: str, size: int = SIZE) -> DataFrame:
-    """Adds the nine values of the 3 x 3 box, row by row, as an array (NULLs included)."""
-    df = df.withColumn("_x", col(x))
-    w = _axis("row", "col")
-    left = F.when(F.col("col") == 0, F.col("_x")).otherwise(F.lag("_x").over(w))
-    right = F.when(F.col("col") == size - 1, F.col("_x")).otherwise(F.lead("_x").over(w))
-    df = df.withColumn("_t", F.array(left, F.col("_x"), right))
-    w = _axis("col", "row")
-    up = F.when(F.col("row") == 0, F.col("_t")).otherwise(F.lag("_t").over(w))
-    down = F.when(F.col("row") == size - 1, F.col("_t")).otherwise(F.lead("_t").over(w))
-    return df.withColumn(name, F.concat(up, F.col("_t"), down)).drop("_x", "_t")
-
-
-def gather5(df: DataFrame, x, name: str, size: int = SIZE) -> DataFrame:
-    """Adds the 25 values of the 5 x 5 box as an array."""
+def erode(df: DataFrame, mask: str, name: str, r: int = 1) -> DataFrame:
+    """Adds 1 where the whole box of radius ``r`` lies inside the grid and has ``mask`` = 1, else 0."""
+    full = lambda fixed, along: sum(_beyond(_axis(fixed, along), r), F.lit(0)) == 0
+    inside = df.withColumns({"_hole": 1 - F.col(mask), "_y": full("row", "col"), "_x": full("col", "row")})
+    return box_max(inside, "_hole", r, "_any").withColumn(name, (F.col("_y") & F.col("_x") & (F.col("_any") == 0)).cast("int")).drop("_hole", "_any", "_y", "_x")
+
+
+def gather(df: DataFrame, x, r: int, name: str) -> DataFrame:
+    """Adds the values of the box of radius ``r``, row by row, as an array (NULLs included)."""
     df = df.withColumn("_x", col(x))
+    steps = range(-r, r + 1)
+    df = df.withColumn("_t", F.array(*[_neighbour("_x", _axis("row", "col"), k) for k in steps]))
+    return df.withColumn(name, F.concat(*[_neighbour("_t", _axis("col", "row"), k) for k in steps])).drop("_x", "_t")
+
+
+def gather3(df: DataFrame, x, name: str) -> DataFrame:
+    return gather(df, x, 1, name)
 
-    def shifted(c, along, w, k):
-        edge = F.col(along) + k
-        out = F.lag(c, -k).over(w) if k < 0 else F.lead(c, k).over(w) if k else F.col(c)
+
+def gather5(df: DataFrame, x, name: str) -> DataFrame:
+    return gather(df, x, 2, name)
+
+
+def median_filter(df: DataFrame, x: str, size: int, name: str) -> DataFrame:
+    """Adds the median of the size x size box with missing pixels at the grid's median (0 without any).
+
+    The box is gathered by two collecting frames, padded with its end pixels.
+    """
+    from tellurion.functions.group_stats import with_stats
+
+    r = size // 2
+    df = with_stats(df, {"_med": F.median(x)}).withColumn("_f", F.coalesce(F.col(x), "_med", number(0)))
+
+    def line(c: str, fixed: str, along: str) -> Column:
+        w = _axis(fixed, along)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return F.when(edge < 0, F.first(c).over(whole)).when(edge > size - 1, F.last(c).over(whole)).otherwise(out)
+        before, after = _beyond(w, r)
+        pad = lambda end, k: F.array_repeat(end(c).over(whole), k.cast("int"))
+        return F.concat(pad(F.first, before), F.collect_list(c).over(w.rowsBetween(-r, r)), pad(F.last, after))
+
+    df = df.withColumn("_l", line("_f", "row", "col")).withColumn("_b", F.array_sort(F.flatten(line("_l", "col", "row"))))
+    return df.withColumn(name, F.get("_b", F.lit(size * size // 2))).drop("_med", "_f", "_l", "_b")
+
+
+def local_contrast(df: DataFrame, bands: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds for each name the stretched distance of a band from its median filter; bands: name to (band, size)."""
+    from tellurion.functions.group_stats import norm01
 
-    df = df.withColumn("_t", F.array(*[shifted("_x", "col", _axis("row", "col"), k) for k in (-2, -1, 0, 1, 2)]))
-    return df.withColumn(name, F.concat(*[shifted("_t", "row", _axis("col", "row"), k) for k in (-2, -1, 0, 1, 2)])).drop("_x", "_t")
+    for name, (band, size) in bands.items():
+        df = median_filter(df, band, size, f"_m_{name}")
+    df = norm01(df, {name: F.abs(F.col(band) - F.col(f"_m_{name}")) for name, (band, _) in bands.items()})
+    return df.drop(*[f"_m_{name}" for name in bands])
 
 
 def valid_values(a: Column) -> Column:
@@ -116,10 +159,10 @@ def entropy3(df: DataFrame, x: str, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(bits, F.lit(0.0))).drop("_g", "_lo", "_span", "_bins")
 
 
-def central(df: DataFrame, x: str, name: str, along: str, scale: float, size: int = SIZE) -> DataFrame:
+def central(df: DataFrame, x: str, name: str, along: str, scale: float) -> DataFrame:
     """Adds the derivative: central inside, one-sided at the border; NULL where a value that it needs is missing."""
     w = _axis("row" if along == "col" else "col", along)
-    at, back, ahead = F.col(along), F.lag(x).over(w), F.lead(x).over(w)
-    return df.withColumn(
-        name,
-        F.when(at == 0, (ahead - F.col(x)) / scale).when(at == size - 1, (F.col(x) - back) / scale).otherwise((ahead - back) / (2.0 * scale)))
+    here, back, ahead = F.struct(x), F.lag(F.struct(x)).over(w), F.lead(F.struct(x)).over(w)
+    last, first = F.coalesce(ahead, here).getField(x), F.coalesce(back, here).getField(x)
+    steps = back.isNotNull().cast("int") + ahead.isNotNull().cast("int")
+    return df.withColumn(name, F.try_divide(last - first, steps * scale))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tellurion.functions import columns as c
 from tellurion.functions import group_stats as g
-from tellurion.operators import radar, terrain
+from tellurion.operators import proxies, radar, terrain
 from tellurion.operators import windows2d as w2
 from tellurion.sources.views import PIX, pix
 
@@ -128,21 +128,32 @@ def sigma_masked_mean(spark, sf):
 
 @add("class_map_precedence", f"""WITH {LIN}, n1 AS (WITH {neighbours('lin', 1, 'vv')} SELECT {AT}, median(v) AS ref FROM nb GROUP BY ALL)
   SELECT run_id, "row", col, CASE WHEN vv IS NULL THEN NULL WHEN vv > 0 THEN 5 WHEN vv > -3.5 AND vh > -18 THEN 4 WHEN vv > -3.5 AND vh < -18 THEN 3 WHEN abs(vv - ref) > 4.5 THEN 2
-         WHEN vv > -17 AND vv < -13 THEN 1 ELSE 0 END::DOUBLE AS class_map, coalesce(abs(vv - ref) > 4.5, FALSE)::INT::DOUBLE AS compact, coalesce(vv > -3.5 AND vh > -18, FALSE)::INT::DOUBLE AS bright
+         WHEN vv > -17 AND vv < -13 THEN 1 ELSE 0 END::DOUBLE AS "TGT_ClassMap", coalesce(abs(vv - ref) > 4.5, FALSE)::INT::DOUBLE AS "TGT_CompactMetal_Contrast", coalesce(vv > -3.5 AND vh > -18, FALSE)::INT::DOUBLE AS "TGT_BrightMetallic_Mix",
+         coalesce(vv > -3.5 AND vh < -18, FALSE)::INT::DOUBLE AS "TGT_HighSpecular_LowCrossPol", coalesce(vv > 0, FALSE)::INT::DOUBLE AS "TGT_StrongDoubleBounce", coalesce(vv > -17 AND vv < -13, FALSE)::INT::DOUBLE AS "TGT_MidReflectance_Band"
   FROM lin JOIN n1 USING (run_id, "row", col)""")
 def class_map_precedence(spark, sf):
-    return radar.target_classes(pix(spark, sf)).select(*CELL, "class_map", "compact", "bright")
+    return radar.target_classes(pix(spark, sf)).select(*CELL, "TGT_ClassMap", "TGT_CompactMetal_Contrast", "TGT_BrightMetallic_Mix", "TGT_HighSpecular_LowCrossPol", "TGT_StrongDoubleBounce", "TGT_MidReflectance_Band")
+
+
+_SCAN = {
+    "UGS_BoxVertical": "vv > 0", "UGS_BoxHorizontal": "vv > -4 AND s < 2", "UGS_UnderCover": "vh < -22 AND vv > -5", "UGS_ExposedMetal": "vh > -15 AND vv > -3", "UGS_DepotProxy": "vv > -4 AND s < 2 AND vh < -22 AND vv > -5",
+    "UGS_BoxMineProxy": "s > 5 AND vv > -5", "UGS_JarDenseProxy": "vv > -2.5", "UGS_PotteryBand": "vv > -18 AND vv < -12", "UGS_GearTentProxy": "vh > -18 AND vh < -14 AND vv > -6", "UGS_ChamberMid": "s > 4.2 AND vv > -8",
+    "UGS_BaseDeep": "vv > -12 AND vv < -7"}
 
 
 @add("ultimate_scan", f"""WITH {PIX}, g AS (SELECT {AT}, vv * 1.45::DOUBLE AS vv, vh * 1.45::DOUBLE AS vh FROM pix), {neighbours('g', 2, 'vv', 'dy * dy + dx * dx <= 4')},
   sd AS (SELECT {AT}, stddev_pop(v) AS s FROM nb GROUP BY ALL)
-  SELECT run_id, "row", col, {_r(rvi='vh * 4 / nullif(vv + vh + 1e-6, 0)', std_vv='s')},
-   coalesce(vv > -4 AND s < 2, FALSE)::INT::DOUBLE AS box_horizontal, coalesce(s > 5 AND vv > -5, FALSE)::INT::DOUBLE AS box_mine, coalesce(vh < -22 AND vv > -5, FALSE)::INT::DOUBLE AS under_cover,
-   coalesce(s > 4.2 AND vv > -8, FALSE)::INT::DOUBLE AS chamber_mid, floor(vv + 10) AS box_count, floor((vv - vh - 10) / 20 * 10) AS jar_count
+  SELECT run_id, "row", col, {_r(**{'"UGS_DeepStruct_RVI"': 'vh * 4 / nullif(vv + vh + 1e-6, 0)'})}, round(s, 6) + 0.0::DOUBLE AS std_vv, {', '.join(f'coalesce({m}, FALSE)::INT::DOUBLE AS "{n}"' for n, m in _SCAN.items())},
+   floor((vv + 10) / 15 * 15) AS "UGS_EstBoxCount", floor((vv - vh - 10) / 20 * 10) AS "UGS_EstJarCount"
   FROM g JOIN sd USING (run_id, "row", col)""")
 def ultimate_scan(spark, sf):
     d = radar.ultimate_scan(pix(spark, sf))
-    return d.select(*CELL, c.rounded("rvi").alias("rvi"), c.rounded("std_vv").alias("std_vv"), "box_horizontal", "box_mine", "under_cover", "chamber_mid", "box_count", "jar_count")
+    return d.select(*CELL, c.rounded("UGS_DeepStruct_RVI").alias("UGS_DeepStruct_RVI"), c.rounded("std_vv").alias("std_vv"), *radar.SCAN, "UGS_EstBoxCount", "UGS_EstJarCount")
+
+
+@add("master_rtc_refined", f"""WITH {LIN} SELECT {AT}, {_r(**{'"RAD_MasterVV_dB"': 'CASE WHEN vh IS NOT NULL THEN vv END', '"RAD_MasterVH_dB"': 'CASE WHEN vv IS NOT NULL THEN vh END', '"RAD_MasterAngle_deg"': 'inc', '"RAD_MasterVH_VV_Ratio_lin"': 'b / (a + 1e-6)'})} FROM lin""")
+def master_rtc_refined(spark, sf):
+    return out(radar.master_rtc_refined(pix(spark, sf)), **{n: n for n in ("RAD_MasterVV_dB", "RAD_MasterVH_dB", "RAD_MasterAngle_deg", "RAD_MasterVH_VV_Ratio_lin")})
 
 
 _GRAD = """gx AS (SELECT run_id, "row", col, dem, vv, vh, inc,
@@ -216,8 +227,8 @@ def lee_filters(spark, sf):
 
 
 @add("rtc_correction", f"""WITH {PIX}, {_GRAD}, k AS (SELECT *, cos(radians(inc)) * greatest(cos(atan(sqrt(p * p + q * q))), 0.25) AS d FROM gr),
-  r AS (SELECT *, 10 * log10(greatest(pow(10.0::DOUBLE, vv / 10) / cos(radians(inc)) / greatest(cos(atan(sqrt(p * p + q * q))), 0.25), 1e-12)) AS a,
-               10 * log10(greatest(pow(10.0::DOUBLE, vh / 10) / cos(radians(inc)) / greatest(cos(atan(sqrt(p * p + q * q))), 0.25), 1e-12)) AS b,
+  r AS (SELECT *, 10 * log10(greatest(pow(10.0::DOUBLE, vv / 10) / greatest(cos(radians(inc)), 1e-6) / greatest(cos(atan(sqrt(p * p + q * q))), 0.25), 1e-12)) AS a,
+               10 * log10(greatest(pow(10.0::DOUBLE, vh / 10) / greatest(cos(radians(inc)), 1e-6) / greatest(cos(atan(sqrt(p * p + q * q))), 0.25), 1e-12)) AS b,
                vv IS NOT NULL AND vh IS NOT NULL AND inc IS NOT NULL AND p IS NOT NULL AND q IS NOT NULL AS ok FROM k)
   SELECT {AT}, {_r(vv_rtc='CASE WHEN ok THEN a END', vh_rtc='CASE WHEN ok THEN b END', log_ratio='CASE WHEN ok THEN a - b END', incidence='inc')} FROM r""")
 def rtc_correction(spark, sf):
@@ -231,10 +242,9 @@ def rtc_correction(spark, sf):
   FROM mk JOIN d USING (run_id, "row", col) JOIN d1 USING (run_id, "row", col) JOIN e USING (run_id, "row", col)""")
 def dilate_erode(spark, sf):
     """Square dilation by 2, the ring between 2 and 4, and one erosion with the outside counted as unset."""
-    p = pix(spark, sf).withColumns({"core": F.coalesce(F.col("b1") > 45, F.lit(False)).cast("int"), "_big": (~F.coalesce(F.col("b1") > 10, F.lit(False))).cast("int")})
-    p = w2.box_max(w2.box_max(w2.box_max(p, "core", 2, "dil"), "core", 4, "_d4"), "_big", 1, "_hole")
-    inside = F.col("row").between(1, 62) & F.col("col").between(1, 62)
-    return p.select(*CELL, "core", "dil", ((F.col("_d4") == 1) & (F.col("dil") == 0)).cast("int").alias("ring"), (inside & (F.col("_hole") == 0)).cast("int").alias("eroded"))
+    p = pix(spark, sf).withColumns({"core": F.coalesce(F.col("b1") > 45, F.lit(False)).cast("int"), "_big": F.coalesce(F.col("b1") > 10, F.lit(False)).cast("int")})
+    p = w2.erode(w2.box_max(w2.box_max(p, "core", 2, "dil"), "core", 4, "_d4"), "_big", "eroded")
+    return p.select(*CELL, "core", "dil", ((F.col("_d4") == 1) & (F.col("dil") == 0)).cast("int").alias("ring"), "eroded")
 
 
 def _p(q, x):
@@ -304,29 +314,57 @@ def thermal_delta(spark, sf):
     return out(g.norm01(pix(spark, sf), {"delta": F.col("b2") - F.col("b4")}), delta="delta")
 
 
-@add("proxy_layers", f"""WITH {PIX}, n AS (SELECT {AT}, {norm_sql('vv')} AS vvn, {norm_sql('vh')} AS vhn, {norm_sql('vv - vh')} AS rn, {norm_sql('b2')} AS silver, {norm_sql('b4')} AS clay FROM pix),
-  e AS (SELECT {AT}, {norm_sql('0.45 * vvn + 0.35 * vhn + 0.2 * rn')} AS energy, {norm_sql('0.5 * silver + 0.25 * clay')} AS oxid FROM n)
-  SELECT {AT}, {_r(sar_energy='energy', oxid='oxid', risk=norm_sql('0.6 * energy + 0.4 * oxid'))} FROM e""")
-def proxy_layers(spark, sf):
-    """Weighted layers of stretched bands, stretched again; the whole set with local contrasts is proxy_layers_full."""
-    d = g.norm01(pix(spark, sf), {"vvn": "vv", "vhn": "vh", "rn": F.col("vv") - F.col("vh"), "silver": "b2", "clay": "b4"})
-    d = g.norm01(d, {"sar_energy": c.weighted({"vvn": 0.45, "vhn": 0.35, "rn": 0.2}), "oxid": c.weighted({"silver": 0.5, "clay": 0.25})})
-    d = g.norm01(d, {"risk": c.weighted({"sar_energy": 0.6, "oxid": 0.4})})
-    return out(d, sar_energy="sar_energy", oxid="oxid", risk="risk")
+def _median_sql(name: str, x: str, r: int, src: str = "n") -> str:
+    """SQL: table ``name`` with |x - median of the (2r+1)^2 box|, missing pixels at the grid's median."""
+    return f"""{name}_m AS (SELECT run_id, median({x}) AS med FROM {src} GROUP BY run_id), {name}_f AS (SELECT run_id, "row", col, {x} AS x, coalesce({x}, med, 0) AS f FROM {src} JOIN {name}_m USING (run_id)),
+  {name} AS (WITH {neighbours(f'{name}_f', r, 'f')} SELECT run_id, "row", col, abs(any_value(x) - median(v)) AS d FROM nb JOIN {name}_f USING (run_id, "row", col) GROUP BY run_id, "row", col)"""
 
 
-def _cl(x):
-    return f"least(1, greatest(0, {x}))"
+#: Stand-ins of the layers' inputs over the grid's bands.
+_INPUTS = {"vv": "vv", "vh": "vh", "ratio": "vv - vh", "gold": "b1", "silver": "b2", "thermal_day": "b3", "thermal_inertia": "b4", "rough": "b2 - b3", "curv": "b1 - b4", "tpi": "b3 - b4", "vegroot": "b1 - b3", "clay_thermal": "b4", "thermal_delta": "b2 - b4"}
+_NORMED = ("vv", "vh", "ratio", "silver", "thermal_inertia", "thermal_day", "rough", "curv", "tpi", "vegroot", "clay_thermal", "thermal_delta")
+_LAYERS = {
+    "quartz": "0.35 * gold_c + 0.25 * thermal_c + 0.2 * clay_thermal_n + 0.2 * rough_n", "lime": "0.3 * clay_thermal_n + 0.25 * rough_n + 0.2 * curv_n + 0.15 * tpi_n + 0.1 * thermal_c - 0.2 * vh_n",
+    "moist": "0.35 * vegroot_n + 0.25 * (1 - thermal_day_n) + 0.2 * vh_n + 0.2 * ratio_c", "oxid": "0.5 * silver_n + 0.25 * clay_thermal_n + 0.25 * gold_c",
+    "sar_energy": "0.45 * vv_n + 0.35 * vh_n + 0.2 * ratio_n", "thermal_risk": "0.5 * thermal_c + 0.3 * thermal_delta_n + 0.2 * thermal_inertia_n"}
 
 
-@add("point_signature", f"""WITH {PIX}, n AS (SELECT {AT}, b1 / 50 AS gold, b2 AS silver, b3 / 10 AS mass, b4 / 8 AS sar FROM pix),
-  s AS (SELECT *, {_cl('0.4 * gold + 0.25 * silver + 0.25 * mass + 0.1 * sar')} + 0 * (gold + silver + mass + sar) AS metal, {_cl('0.45 * sar + 0.25 * mass + 0.3 * gold')} + 0 * (gold + mass + sar) AS void FROM n)
-  SELECT {AT}, round(metal, 4) AS metal, round(void, 4) AS void, round(least(5.0, greatest(0.4, 0.6 + 1.2 * void + 0.9 * sar + 0.7 * silver)) + 0 * (void + sar + silver), 2) AS depth_m,
-    CASE WHEN metal IS NULL OR void IS NULL OR mass IS NULL THEN NULL WHEN metal >= void AND metal >= mass THEN 'metal' WHEN void >= mass THEN 'void' ELSE 'mass' END AS best FROM s""")
+@add("proxy_layers", f"""WITH {PIX}, i AS (SELECT {AT}, {', '.join(f'{e} AS {n}_i' for n, e in _INPUTS.items())} FROM pix),
+  n AS (SELECT {AT}, gold_i, thermal_day_i, {', '.join(f'{norm_sql(f"{x}_i")} AS {x}_n' for x in _NORMED)} FROM i),
+  {_median_sql('cg', 'gold_i', 5)}, {_median_sql('ct', 'thermal_day_i', 5)}, {_median_sql('cr', 'ratio_n', 5)}, {_median_sql('cv', 'vv_n', 3)}, {_median_sql('ch', 'vh_n', 3)},
+  j AS (SELECT n.*, cg.d AS g, ct.d AS t, cr.d AS r, cv.d AS v, ch.d AS h FROM n JOIN cg USING (run_id, "row", col) JOIN ct USING (run_id, "row", col) JOIN cr USING (run_id, "row", col) JOIN cv USING (run_id, "row", col) JOIN ch USING (run_id, "row", col)),
+  k AS (SELECT *, {norm_sql('g')} AS gold_c, {norm_sql('t')} AS thermal_c, {norm_sql('r')} AS ratio_c, {norm_sql('v')} AS vv_c, {norm_sql('h')} AS vh_c FROM j),
+  l AS (SELECT {AT}, vv_c, vh_c, {', '.join(f'{norm_sql(e)} AS {n}' for n, e in _LAYERS.items())} FROM k),
+  m AS (SELECT *, {norm_sql('0.55 * sar_energy + 0.25 * vv_c + 0.2 * vh_c')} AS sar_comp, {norm_sql('0.28 * quartz + 0.22 * lime + 0.2 * moist + 0.18 * oxid + 0.12 * thermal_risk')} AS risk FROM l)
+  SELECT {AT}, {_r(quartz='quartz', lime='lime', moist='moist', oxid='oxid', sar_comp='sar_comp', risk='risk')} FROM m""")
+def proxy_layers(spark, sf):
+    """The six proxy layers with local contrasts over 11 (radar: 7) pixels."""
+    p = pix(spark, sf)
+    return out(proxies.proxy_layers(p.select(*CELL, *[F.expr(e).alias(n) for n, e in _INPUTS.items()])), **{n: n for n in ("quartz", "lime", "moist", "oxid", "sar_comp", "risk")})
+
+
+def _cl(x):
+    return f"CASE WHEN ({x}) IS NOT NULL THEN least(1, greatest(0, {x})) END"
+
+
+_POINT = {
+    "gold": "b1 / 50", "silver": "b2", "mass": "b3 / 10", "sar_comp": "b4 / 8", "tunnel": "b3 / 9", "door": "b4 / 9", "tpi": "b1 / 60", "rough": "b2 / 2", "pottery": "b1 / 55", "lime": "b3 / 12", "curv": "b4 / 10", "risk": "b2 / 3",
+    "quartz": "b1 / 70", "moist": "b3 / 11", "oxid": "b4 / 12", "ascdesc": "b2 / 4", "thermal": "b1 / 80", "delta": "CASE WHEN b4 < 6 THEN b4 / 10 END", "nano_depth_penetration": "b2 * 2"}
+_SCORES = {
+    "jar_جرة": "ceramic * least(1, greatest(0, 0.7 + 0.3 * void)) * (1 - 0.35 * false_sig)", "chest_صندوق": "metal * least(1, greatest(0, 0.6 + 0.4 * mass)) * (1 - 0.3 * false_sig)",
+    "sarcophagus_تابوت": f"({_cl('0.35 * void + 0.3 * mass + 0.2 * door + 0.15 * rough')}) * (1 - 0.25 * false_sig)", "ran_ران": f"({_cl('0.35 * mass + 0.3 * door + 0.2 * tunnel + 0.15 * sar_comp')}) * (1 - 0.25 * false_sig)",
+    "statue_تمثال": f"({_cl('0.35 * mass + 0.25 * gold + 0.2 * silver + 0.2 * ascdesc')}) * (1 - 0.3 * false_sig)", "void_فراغ": "void * (1 - 0.2 * moist)", "false_signature_وهم": "false_sig"}
+
+
+@add("point_signature", f"""WITH {PIX}, n AS (SELECT {AT}, {', '.join(f'({e})::DOUBLE AS {n}' for n, e in _POINT.items())} FROM pix),
+  s AS (SELECT *, {_cl('0.4 * gold + 0.25 * silver + 0.25 * mass + 0.1 * sar_comp')} AS metal, {_cl('0.45 * tunnel + 0.25 * door + 0.15 * tpi + 0.15 * rough')} AS void, {_cl('0.6 * pottery + 0.2 * lime + 0.2 * curv')} AS ceramic,
+    {_cl('0.35 * risk + 0.2 * quartz + 0.2 * lime + 0.15 * moist + 0.1 * oxid')} AS false_sig FROM n),
+  t AS (SELECT *, {', '.join(f'{e} AS "s{i}"' for i, e in enumerate(_SCORES.values()))}, metal + void + ceramic + false_sig + mass + door + rough + tunnel + sar_comp + gold + silver + ascdesc + moist IS NOT NULL AS whole FROM s),
+  u AS (SELECT *, CASE WHEN whole THEN greatest({', '.join(f's{i}' for i in range(len(_SCORES)))}) END AS top FROM t)
+  SELECT {AT}, round(metal, 4) AS nb_metal_signature, round(void, 4) AS nb_void_signature, round(ceramic, 4) AS nb_ceramic_signature, round({_cl('mass')}, 4) AS nb_mass_signature, round(false_sig, 4) AS nb_false_signature_score,
+    CASE {' '.join(f"WHEN s{i} = top THEN '{n}'" for i, n in enumerate(_SCORES))} END AS nb_best_object_interpretation, round(top, 4) AS nb_best_object_score, round(nano_depth_penetration, 6) AS nano_depth_penetration,
+    round(least(5.0, greatest(0.4, 0.6 + 1.2 * void + 0.9 * sar_comp + 0.7 * thermal + 0.5 * delta + 0.4 * rough)) + 0 * (void + sar_comp + thermal + delta + rough), 2) AS nb_depth_m,
+    (void + sar_comp + thermal + delta + rough) IS NOT NULL AS nb_depth_available FROM u""")
 def point_signature(spark, sf):
-    """Weighted signatures that abstain where an input is missing; the greatest, first on ties; clipped depth."""
-    p = pix(spark, sf).withColumns({"gold": F.col("b1") / 50, "silver": F.col("b2"), "mass": F.col("b3") / 10, "sar": F.col("b4") / 8})
-    p = p.withColumns({"metal": c.clamp01(c.weighted({"gold": 0.4, "silver": 0.25, "mass": 0.25, "sar": 0.1})), "void": c.clamp01(c.weighted({"sar": 0.45, "mass": 0.25, "gold": 0.3}))})
-    depth = c.clip(0.6 + c.weighted({"void": 1.2, "sar": 0.9, "silver": 0.7}), 0.4, 5.0)
-    return p.select(*CELL, F.round("metal", 4).alias("metal"), F.round("void", 4).alias("void"), F.round(depth, 2).alias("depth_m"),
-                    c.first_greatest({"metal": F.col("metal"), "void": F.col("void"), "mass": F.col("mass")}).alias("best"))
+    """Signatures, compound targets, the best of them and depth at every pixel; each abstains where an input is missing."""
+    return proxies.point_signature(pix(spark, sf).select(*CELL, *[F.expr(f"double({e})").alias(n) for n, e in _POINT.items()])).select(*CELL, *proxies.POINT_COLUMNS)

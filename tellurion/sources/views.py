@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZE = 64
-RUNS = 4
+#: An order's pixel in its tile, from row 20 on: the smallest table's first orders lie around the middle.
+CELL = f"((l_orderkey + {20 * SIZE}) % {SIZE * SIZE})"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,7 @@ def _bands():
 
 
 PIX = f"""pix0 AS (
-  SELECT (l_suppkey % {RUNS})::INT AS run_id, (l_orderkey % {SIZE})::INT AS "row", (l_partkey % {SIZE})::INT AS col,
+  SELECT (l_orderkey // {SIZE * SIZE} * 2 + l_suppkey % 2)::INT AS run_id, ({CELL} // {SIZE})::INT AS "row", ({CELL} % {SIZE})::INT AS col,
          sum(l_quantity::BIGINT) / count(*) / 1.0007::DOUBLE AS b1, sum(round(l_extendedprice * 100)::BIGINT) / count(*) / 100003.0::DOUBLE AS b2,
          sum(round(l_discount * 100)::BIGINT) / count(*) / 1.0009::DOUBLE AS b3, sum(round(l_tax * 100)::BIGINT) / count(*) / 1.0013::DOUBLE AS b4
   FROM lineitem GROUP BY 1, 2, 3),
@@ -38,18 +39,19 @@ pix AS (
 
 
 def pix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run_id, row, col, b1..b4 and the radar and terrain stand-ins vv, vh, inc, dem on whole SIZE x SIZE grids; empty cells are NULL."""
+    """run_id, row, col, b1..b4 and the radar and terrain stand-ins vv, vh, inc, dem on whole SIZE x SIZE grids, one pixel an order and two passes a tile, so grids grow in number with the table; empty cells are NULL."""
+    cell = F.expr(CELL)
     cells = (
         table(spark, sf_dir, "lineitem")
-        .groupBy((F.col("l_suppkey") % RUNS).cast("int").alias("run_id"), (F.col("l_orderkey") % SIZE).cast("int").alias("row"), (F.col("l_partkey") % SIZE).cast("int").alias("col"))
+        .groupBy((F.floor(F.col("l_orderkey") / (SIZE * SIZE)) * 2 + F.col("l_suppkey") % 2).cast("int").alias("run_id"), F.floor(cell / SIZE).cast("int").alias("row"), (cell % SIZE).cast("int").alias("col"))
         .agg(*_bands()))
     return derived(whole_grid(cells))
 
 
-def whole_grid(cells: DataFrame, size: int = SIZE) -> DataFrame:
+def whole_grid(cells: DataFrame, height: int = SIZE, width: int = SIZE) -> DataFrame:
     """Every (row, col) of every grid, left-joined to its values."""
-    axis = F.sequence(F.lit(0), F.lit(size - 1))
-    frame = cells.select("run_id").distinct().select("run_id", F.explode(axis).alias("row")).select("run_id", "row", F.explode(axis).alias("col"))
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    frame = cells.select("run_id").distinct().select("run_id", axis(height).alias("row")).select("run_id", "row", axis(width).alias("col"))
     return frame.join(cells, ["run_id", "row", "col"], "left")
 
 

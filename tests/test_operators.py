@@ -11,7 +11,7 @@ from tellurion.functions import group_stats as g
 from tellurion.operators import acquisitions as aq
 from tellurion.operators import evidence as ev
 from tellurion.operators import objects as ob
-from tellurion.operators import radar, terrain
+from tellurion.operators import proxies, radar, terrain
 from tellurion.operators import windows2d as w2
 from tellurion.operators.graph import components
 from tellurion.sources.views import SIZE
@@ -228,3 +228,66 @@ def test_reduced_candidates_give_the_same_pairs(spark):
     df = spark.createDataFrame(rows, "track long, asc_id long, desc_id long, asc_ms long, desc_ms long, dt_ms long")
     want = {r for t in {r[0] for r in rows} for r in first_pairs([r for r in rows if r[0] == t])}
     assert set(map(tuple, aq.select_pairs(df).collect())) == want
+
+
+@pytest.mark.parametrize("shape", [(100, 130), (7, 3)])
+def test_grids_of_any_size(spark, shape):
+    """Boxes, gathers, derivatives, erosion and median filters against NumPy on oblong grids."""
+    a = np.random.default_rng(11).normal(100, 10, shape)
+    p = spark.createDataFrame([(0, y, x, float(a[y, x])) for y in range(shape[0]) for x in range(shape[1])], "run_id int, row int, col int, z double")
+    p = p.withColumn("m", (F.col("z") > 95).cast("int"))
+    d = w2.box_stats(p, "z", 2, "b")
+    d = w2.median_filter(d, "z", 5, "med")
+    d = w2.erode(d, "m", "er")
+    d = w2.central(w2.central(d, "z", "dx", "col", 10.0), "z", "dy", "row", 10.0)
+    d = w2.gather3(d, "z", "g").orderBy("row", "col").toPandas()
+    pad = np.lib.stride_tricks.sliding_window_view(np.pad(a, 2, mode="edge"), (5, 5)).reshape(*shape, 25)
+    back = lambda c: d[c].to_numpy(float).reshape(shape)
+    assert np.allclose(back("b_mean"), pad.mean(2)) and np.allclose(back("b_std"), pad.std(2), atol=1e-5)
+    assert np.allclose(back("med"), np.median(pad, axis=2))
+    dy, dx = np.gradient(a, 10.0)
+    assert np.allclose(back("dx"), dx) and np.allclose(back("dy"), dy)
+    nine = np.lib.stride_tricks.sliding_window_view(np.pad(a, 1, mode="edge"), (3, 3)).reshape(-1, 9)
+    assert np.allclose(np.array(d["g"].tolist()), nine)
+    hole = np.pad(a > 95, 1, constant_values=False)
+    assert (back("er") == np.lib.stride_tricks.sliding_window_view(hole, (3, 3)).all((2, 3))).all()
+
+
+def test_objects_on_a_large_oblong_grid(spark):
+    """640 x 900 pixels: objects against a flood fill, two of them 64 apart in both axes."""
+    rng = np.random.default_rng(4)
+    m = np.zeros((640, 900), bool)
+    for y, x in [(10, 10), (10, 74), (74, 10), (11, 138), *rng.integers(0, 630, (60, 2)).tolist()]:
+        m[y : y + rng.integers(1, 9), x : x + rng.integers(1, 9)] = True
+    ys, xs = np.nonzero(m)
+    df = spark.createDataFrame([(3, int(y), int(x)) for y, x in zip(ys, xs)], "run_id int, row int, col int")
+    got = {(r.row, r.col): r.object_id for r in ob.connected(df).collect()}
+    left, want = set(zip(ys.tolist(), xs.tolist())), []
+    while left:
+        todo = [min(left)]
+        left.discard(todo[0])
+        seen = set(todo)
+        while todo:
+            y, x = todo.pop()
+            for q in [(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                if q in left:
+                    left.discard(q)
+                    seen.add(q)
+                    todo.append(q)
+        if len(seen) >= ob.MIN_PIXELS:
+            want.append(seen)
+    groups = {}
+    for k, o in got.items():
+        groups.setdefault(o, set()).add(k)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
+
+
+def test_point_signature_values(spark):
+    """The published example: metal 0.695, void 0.36, ceramic 0.46, depth 2.03; no delta, no depth; nothing, nothing."""
+    v = dict(gold=0.8, silver=0.6, mass=0.7, sar_comp=0.5, tunnel=0.4, door=0.3, tpi=0.2, rough=0.5, pottery=0.6, lime=0.2, curv=0.3, risk=0.2, quartz=0.3, moist=0.4, oxid=0.2, ascdesc=0.0, thermal=0.5, delta=0.0, nano_depth_penetration=2.25)
+    rows = [tuple(v.values()), tuple(None if k == "delta" else x for k, x in v.items()), tuple(None for _ in v)]
+    a, b, c = proxies.point_signature(spark.createDataFrame(rows, ", ".join(f"{k} double" for k in v))).orderBy(F.col("delta").desc_nulls_last(), F.col("gold").desc_nulls_last()).collect()
+    assert (a.nb_metal_signature, a.nb_void_signature, a.nb_ceramic_signature, a.nb_mass_signature, a.nano_depth_penetration) == (0.695, 0.36, 0.46, 0.7, 2.25)
+    assert a.nb_depth_m == pytest.approx(2.03, abs=0.01) and a.nb_depth_available and a.nb_best_object_interpretation
+    assert b.nb_void_signature == 0.36 and b.nb_depth_m is None and not b.nb_depth_available
+    assert c.nb_metal_signature is None and c.nb_best_object_interpretation is None and c.nb_depth_m is None
