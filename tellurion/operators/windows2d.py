@@ -92,32 +92,45 @@ def gather5(df: DataFrame, x, name: str) -> DataFrame:
 
 
 def median_filter(df: DataFrame, x: str, size: int, name: str) -> DataFrame:
-    """Adds the median of the size x size box with missing pixels at the grid's median (0 without any).
+    """Adds the median of the size x size box with missing pixels at the grid's median (0 without any)."""
+    return median_filters(df, {name: (x, size)})
 
-    The box is gathered by two collecting frames, padded with its end pixels.
+
+def median_filters(df: DataFrame, bands: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds for each name the median filter of a band; bands: name to (band, size).
+
+    The grid's medians are one aggregation for all bands.  A box is gathered by two
+    collecting frames, padded with its end pixels.
     """
     from tellurion.functions.group_stats import with_stats
 
-    r = size // 2
-    df = with_stats(df, {"_med": F.median(x)}).withColumn("_f", F.coalesce(F.col(x), "_med", number(0)))
+    df = with_stats(df, {f"_med_{n}": F.median(x) for n, (x, _) in bands.items()})
+    for name, (x, size) in bands.items():
+        r = size // 2
 
-    def line(c: str, fixed: str, along: str) -> Column:
-        w = _axis(fixed, along)
-        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        before, after = _beyond(w, r)
-        pad = lambda end, k: F.array_repeat(end(c).over(whole), k.cast("int"))
-        return F.concat(pad(F.first, before), F.collect_list(c).over(w.rowsBetween(-r, r)), pad(F.last, after))
+        def line(c: str, fixed: str, along: str, r=r) -> Column:
+            w = _axis(fixed, along)
+            whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            before, after = _beyond(w, r)
+            pad = lambda end, k: F.array_repeat(end(c).over(whole), k.cast("int"))
+            return F.concat(pad(F.first, before), F.collect_list(c).over(w.rowsBetween(-r, r)), pad(F.last, after))
 
-    df = df.withColumn("_l", line("_f", "row", "col")).withColumn("_b", F.array_sort(F.flatten(line("_l", "col", "row"))))
-    return df.withColumn(name, F.get("_b", F.lit(size * size // 2))).drop("_med", "_f", "_l", "_b")
+        df = df.withColumn("_f", F.coalesce(F.col(x), f"_med_{name}", number(0)))
+        df = df.withColumn("_l", line("_f", "row", "col")).withColumn("_b", F.sort_array(F.flatten(line("_l", "col", "row"))))
+        df = df.withColumn(name, F.get("_b", F.lit(size * size // 2))).drop("_f", "_l", "_b")
+    return df.drop(*[f"_med_{n}" for n in bands])
 
 
 def local_contrast(df: DataFrame, bands: dict[str, tuple[str, int]]) -> DataFrame:
-    """Adds for each name the stretched distance of a band from its median filter; bands: name to (band, size)."""
+    """Adds for each name the stretched distance of a band from its median filter; bands: name to (band, size).
+
+    The filtered bands are written, so that the statistics that follow read them
+    instead of filtering again.
+    """
     from tellurion.functions.group_stats import norm01
+    from tellurion.sources.scratch import materialise
 
-    for name, (band, size) in bands.items():
-        df = median_filter(df, band, size, f"_m_{name}")
+    df = materialise(median_filters(df, {f"_m_{n}": b for n, b in bands.items()}), "contrast")
     df = norm01(df, {name: F.abs(F.col(band) - F.col(f"_m_{name}")) for name, (band, _) in bands.items()})
     return df.drop(*[f"_m_{name}" for name in bands])
 
