@@ -56,7 +56,7 @@ RADIUS = 4
 WIDE_SHINGLE = 5
 WIDE = 8
 LOOSE = 92
-CLOSE = 45
+CLOSE = 52
 SIMILARITY = 0.8
 BLOCK = 4096
 SMALL = 48
@@ -514,12 +514,12 @@ def fingerprint_groups(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``pairs`` (u, v, ...) whose texts in ``texts`` (rid, text) have shingle sets of at least that Jaccard similarity."""
+    """The rows of ``pairs`` (u, v, ...) whose texts in ``texts`` (rid, text) have shingle sets of at least that Jaccard similarity; a shingle is told by 32 bits of its hash."""
     wanted = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
 
     def cut(batches):
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column("text").to_pylist()]
+            sets = [np.unique((shingle_hashes(t, shingle) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(sets, pa.binary())], names=["rid", "set"])
 
     sets = materialise(texts.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(cut, "rid long, set binary"), "sets")
@@ -529,7 +529,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int = WIDE_SHINGL
         for b in batches:
             keep = []
             for x, y in zip(b.column("_x"), b.column("_y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield b.filter(pa.array(keep, pa.bool_()))
