@@ -1,15 +1,18 @@
 """License scans by sentence rules (DataFrame functions only).
 
-A text is cut into sentences; sentences with a licence word are normalised (lower
-case, letters and digits only) and looked up in ``SENTENCES``; the sequence of the
-identifiers found is matched against ``RULES`` in order.  A rule that matches
-takes its identifiers out of the sequence, so general rules see only what
-specific ones have left.  Texts are cut twice, by lines and by sentences over
-line breaks, so that a licence on a line of its own and a wrapped one are both met.
+A text is cut into sentences at marks and blank lines; sentences with a licence word
+are normalised (lower case, letters and digits only) and looked up in ``SENTENCES``.
+A sentence that is unknown as a whole gives the known ones among its lines, in their
+place, so that a wrapped licence and one on a line of its own are both met.  The
+sequence of the identifiers is matched against ``RULES`` in order.  A rule that
+matches takes its identifiers out of the sequence, so general rules see only what
+specific ones have left.  A sentence with a licence word that no entry knows breaks
+a sequence.
 
 Defined results: null and empty texts have no sentences; repeated rows are scanned
-each; an empty table gives an empty result; a licence word in a sentence that no
-entry knows is counted in ``n_unknown``; other columns are ignored.
+each; an empty table gives an empty result; a sentence with a licence word of which
+no entry knows the whole nor a line is counted in ``n_unknown``; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ SENTENCES: dict[str, str] = {
     "released under the mit license": "mitref",
     "licensed under the mit license": "mitref",
     "this project is licensed under the mit license": "mitref",
+    "licensed under the mit license mit": "mitref",
+    "the mit license mit": "mitref",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mitgrant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mitnotice",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "asis",
@@ -91,8 +96,10 @@ RULES: tuple[tuple[str, str], ...] = (
     ("mpl2ref", "MPL-2.0"),
     ("unlicense", "Unlicense"),
 )
-HINT = r"licen[sc]e|permission|redistribut|copyright|public domain|warrant|rights reserved|[Ll]icen[sc]|LICEN[SC]E|Permission|PERMISSION|Redistribut|REDISTRIBUT|Copyright|COPYRIGHT|WARRANT|Rights Reserved|RIGHTS RESERVED|License"
+#: Licence words of normalised sentences, and the same in texts as they are.
 HINT_LOW = r"licen[sc]|permission|redistribut|copyright|public domain|warrant|rights reserved"
+HINT = "(?i)" + HINT_LOW.replace(" ", "[^a-z0-9]+")
+BLANK = r"\n[\x20\x09\x0D]*\n"
 BREAK = r"([.!?;:])[\x20\x09-\x0D]+"
 
 
@@ -100,11 +107,19 @@ def _normal(segment: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(segment), "[^a-z0-9]+", " "))
 
 
-def _known(segments: Column) -> Column:
-    """Identifiers of the segments that have a licence word; '?' for one that the table doesn't know."""
+def _identifiers(text: Column) -> Column:
+    """Identifiers in order of place; '?' for a sentence with a licence word that the table knows neither whole nor by a line."""
     table = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    hinted = F.filter(F.transform(segments, _normal), lambda s: s.rlike(HINT_LOW))
-    return F.transform(hinted, lambda s: F.coalesce(F.element_at(table, s), F.lit("?")))
+    sentences = F.split(F.regexp_replace(F.regexp_replace(text, BLANK, "\x01"), BREAK, "$1\x01"), "\x01")
+    both = F.transform(sentences, lambda s: F.struct(s.alias("raw"), _normal(s).alias("whole")))
+    hinted = F.filter(both, lambda s: s["whole"].rlike(HINT_LOW))
+
+    def found(s):
+        by_line = F.filter(F.transform(F.split(s["raw"], "\n"), lambda line: F.element_at(table, _normal(line))), F.isnotnull)
+        whole = F.element_at(table, s["whole"])
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(F.array(by_line), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("?"))))[0])
+
+    return F.flatten(F.transform(hinted, found))
 
 
 def _matched(sequence: Column) -> Column:
@@ -127,22 +142,15 @@ def _matched(sequence: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_license_sentences, n_unknown, sentence_ids, licenses for every row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    hinted = docs.select("doc_id", F.when(text.rlike(HINT), text).alias("_t"))
-    joined = F.translate(F.regexp_replace(F.regexp_replace("_t", r"\n[\x20\x09\r]*\n", "\x01"), r"\r?\n", " "), "\x01", "\n")
-    cut = lambda x: F.split(F.regexp_replace(x, BREAK, "$1\n"), "\n")
-    ids = hinted.withColumn("_lines", _known(cut(F.col("_t")))).withColumn("_wrapped", _known(cut(joined))).drop("_t")
-    known = lambda c: F.filter(c, lambda x: x != "?")
-    ids = ids.withColumn("_l", known(F.col("_lines"))).withColumn("_w", known(F.col("_wrapped")))
-    best = F.when(F.size("_w") > F.size("_l"), F.col("_w")).otherwise(F.col("_l"))
-    ids = ids.withColumn("_best", best)
-    unknown = F.least(F.size("_lines") - F.size("_l"), F.size("_wrapped") - F.size("_w"))
+    sequence = docs.select("doc_id", F.when(text.rlike(HINT), text).alias("_t")).select("doc_id", _identifiers(F.col("_t")).alias("_sequence"))
     none = F.array().cast("array<string>")
+    ids = sequence.select("doc_id", "_sequence", F.coalesce(F.filter("_sequence", lambda x: x != "?"), none).alias("_known"))
     return ids.select(
         "doc_id",
-        F.coalesce(F.size("_best"), F.lit(0)).cast("long").alias("n_license_sentences"),
-        F.coalesce(F.when(F.col("_lines").isNotNull(), unknown), F.lit(0)).cast("long").alias("n_unknown"),
-        F.array_join(F.coalesce("_best", none), ",").alias("sentence_ids"),
-        F.coalesce(F.when(F.size("_best") > 0, F.array_join(_matched(F.col("_best")), ",")), F.lit("")).alias("licenses"),
+        F.size("_known").cast("long").alias("n_license_sentences"),
+        F.coalesce(F.size("_sequence") - F.size("_known"), F.lit(0)).cast("long").alias("n_unknown"),
+        F.array_join("_known", ",").alias("sentence_ids"),
+        F.coalesce(F.when(F.size("_known") > 0, F.array_join(_matched(F.col("_sequence")), ",")), F.lit("")).alias("licenses"),
     )
 
 

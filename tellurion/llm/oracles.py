@@ -84,18 +84,19 @@ def _licenses() -> str:
         last = f"r{n}"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS x FROM documents),
-x AS (SELECT k, 'l' AS how, x FROM d WHERE regexp_matches(x, '{_HINT}')
-      UNION ALL SELECT k, 'w', replace(regexp_replace(regexp_replace(x, '\n[\x20\x09\r]*\n', chr(1), 'g'), '\r?\n', ' ', 'g'), chr(1), chr(10)) FROM d WHERE regexp_matches(x, '{_HINT}')),
-g AS (SELECT k, how, string_split(regexp_replace(x, '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS g FROM x),
-u AS (SELECT k, how, trim(regexp_replace(lower(unnest(g)), '[^a-z0-9]+', ' ', 'g'), ' ') AS s, generate_subscripts(g, 1) AS i FROM g),
-n AS (SELECT k, how, i, coalesce(t.id, '?') AS id FROM u LEFT JOIN (VALUES {_TABLE}) t(s, id) USING (s) WHERE regexp_matches(s, '{licenses.HINT_LOW}')),
-e AS (SELECT k, how, list(id ORDER BY i) FILTER (id <> '?') AS ids, count(*) FILTER (id = '?') AS unknown FROM n GROUP BY k, how),
-j AS (SELECT d.k, coalesce(l.ids, []) AS li, coalesce(w.ids, []) AS wi, least(coalesce(l.unknown, 0), coalesce(w.unknown, 0)) AS n_unknown
-      FROM d LEFT JOIN (SELECT * FROM e WHERE how = 'l') l USING (k) LEFT JOIN (SELECT * FROM e WHERE how = 'w') w USING (k)),
-best AS (SELECT k, n_unknown, CASE WHEN len(wi) > len(li) THEN wi ELSE li END AS ids FROM j),
-r0 AS (SELECT k, ',' || array_to_string(ids, ',,') || ',' AS rest, []::VARCHAR[] AS found FROM best WHERE len(ids) > 0),
+x AS (SELECT k, string_split(regexp_replace(regexp_replace(x, '{licenses.BLANK}', chr(1), 'g'), '{licenses.BREAK}', '\1' || chr(1), 'g'), chr(1)) AS g FROM d WHERE regexp_matches(x, '{_HINT}')),
+u AS (SELECT k, unnest(g) AS raw, generate_subscripts(g, 1) AS i FROM x),
+v AS (SELECT k, i, raw, s FROM (SELECT *, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g'), ' ') AS s FROM u) WHERE regexp_matches(s, '{licenses.HINT_LOW}')),
+t(s, id) AS (VALUES {_TABLE}),
+whole AS (SELECT k, i, 0 AS j, id FROM v JOIN t USING (s)),
+part AS (SELECT k, i, unnest(g) AS line, generate_subscripts(g, 1) AS j FROM (SELECT k, i, string_split(raw, chr(10)) AS g FROM v ANTI JOIN whole USING (k, i))),
+line AS (SELECT k, i, j, id FROM (SELECT k, i, j, trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g'), ' ') AS s FROM part) JOIN t USING (s)),
+n AS (FROM whole UNION ALL FROM line UNION ALL SELECT k, i, 0, '?' FROM v ANTI JOIN (FROM whole UNION ALL FROM line) USING (k, i)),
+e AS (SELECT k, list(id ORDER BY i, j) AS seq FROM n GROUP BY k),
+best AS (SELECT d.k, coalesce(seq, []) AS seq, list_filter(coalesce(seq, []), lambda v: v <> '?') AS ids FROM d LEFT JOIN e USING (k)),
+r0 AS (SELECT k, ',' || array_to_string(seq, ',,') || ',' AS rest, []::VARCHAR[] AS found FROM best WHERE len(ids) > 0),
 {", ".join(steps)}
-SELECT doc_id, len(ids)::BIGINT AS n_license_sentences, n_unknown::BIGINT AS n_unknown, array_to_string(ids, ',') AS sentence_ids,
+SELECT doc_id, len(ids)::BIGINT AS n_license_sentences, (len(seq) - len(ids))::BIGINT AS n_unknown, array_to_string(ids, ',') AS sentence_ids,
        coalesce(array_to_string(found, ','), '') AS licenses
 FROM d JOIN best USING (k) LEFT JOIN {last} USING (k)
 """

@@ -397,3 +397,19 @@ def test_notices_with_a_break_inside(spark):
     rows = [(name, cut) for name, text in notices.items() for cut in (text, textwrap.fill(text, 70))]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert [r.licenses for r in got] == [r.doc_id for r in got] and len(got) == len(rows)
+
+
+def test_license_places(spark):
+    grant = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without\n"
+             "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the\n"
+             "Software is furnished to do so, subject to the following conditions:\n\n")
+    notice = "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
+    rows = [
+        (1, "Licensed under CC BY-NC 4.0\nand then some prose that goes on\n\n" + grant + notice, "ccbync4ref,mitgrant,mitnotice", "MIT,CC-BY-NC-4.0", 0),
+        (2, "Licensed under the MIT License (MIT).", "mitref", "MIT", 0),
+        (3, "This is free and unencumbered software released into the PUBLIC\nDomain.", "unlicense", "Unlicense", 0),
+        (4, "No Warranty is given.", "", "", 1),
+        (5, grant + "Some other permission.\n\n" + notice, "mitgrant,mitnotice", "", 1),
+        (6, None, "", "", 0), (7, "", "", "", 0), (8, " \n\n ", "", "", 0)]
+    got = licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.sentence_ids, r.licenses, r.n_unknown) for r in got] == [(r[0], *r[2:]) for r in rows]
