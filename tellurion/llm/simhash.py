@@ -513,16 +513,22 @@ def fingerprint_groups(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK
     return lead.join(joined, "lead", "left").select("fp", F.coalesce("_root", "lead").alias("lead"))
 
 
+def by_number(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined to a written table of row numbers by its only column: where they lie while there are at most ``MOST_BROADCAST`` numbers, by a shuffle beyond."""
+    few = numbers.count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(numbers) if few else numbers.hint("shuffle_hash"), numbers.columns, how)
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``pairs`` (u, v, ...) whose texts in ``texts`` (rid, text) have shingle sets of at least that Jaccard similarity; a shingle is told by 32 bits of its hash."""
-    wanted = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
+    wanted = materialise(pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct(), "wanted")
 
     def cut(batches):
         for b in batches:
             sets = [np.unique((shingle_hashes(t, shingle) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(sets, pa.binary())], names=["rid", "set"])
 
-    sets = materialise(texts.join(wanted, "rid", "left_semi").select("rid", "text").mapInArrow(cut, "rid long, set binary"), "sets")
+    sets = materialise(by_number(texts, wanted, "left_semi").select("rid", "text").mapInArrow(cut, "rid long, set binary"), "sets")
     both = pairs.join(sets.withColumnsRenamed({"rid": "u", "set": "_x"}), "u").join(sets.withColumnsRenamed({"rid": "v", "set": "_y"}), "v")
 
     def compare(batches):
@@ -554,8 +560,8 @@ def _swapped(fp: str):
 def representatives(docs: DataFrame, radius: int = LOOSE, block: int = BLOCK) -> DataFrame:
     """One row of ``docs`` for each group of texts alike in 5-word shingles (0.8 or more), one with the smallest doc_id (nulls last).
 
-    Only fingerprints are moved; the rows that go are taken out of the written table,
-    from memory while there are at most ``MOST_BROADCAST`` of them.
+    Fingerprints are moved, and shingle sets of the texts that are compared; texts stay
+    where they lie while at most ``MOST_BROADCAST`` of them are compared or go.
     """
     columns = docs.columns
     numbered = materialise(docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")), "rows")
@@ -563,8 +569,7 @@ def representatives(docs: DataFrame, radius: int = LOOSE, block: int = BLOCK) ->
     rows = materialise(fingerprints(texts, "rid", "doc_id", shingle=WIDE_SHINGLE, words=WIDE), "fingerprints")
     of = fingerprint_groups(rows, radius, block, WIDE, CLOSE, lambda pairs: similar_pairs(pairs, texts.select("rid", "text")))
     gone = materialise(rows.join(of, "fp").where(F.col("rid") != F.col("lead.rid")).select(F.col("rid").alias("_rid")), "gone")
-    few = gone.count() <= MOST_BROADCAST
-    kept = numbered.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), "_rid", "left_anti")
+    kept = by_number(numbered, gone, "left_anti")
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in columns])
 
 
