@@ -43,8 +43,8 @@ def candidate_pixels(df: DataFrame, x: str, q: float, floor: float | None = None
     return d.where(F.col(x) >= t).drop("_t")
 
 
-def connected(mask: DataFrame, min_pixels: int = MIN_PIXELS) -> DataFrame:
-    """8-connected objects of the mask's pixels, smaller ones dropped, numbered from 1 in scan order within each run.
+def connected(mask: DataFrame, min_pixels: int = MIN_PIXELS, diagonal: bool = True) -> DataFrame:
+    """8-connected (4-connected without ``diagonal``) objects of the mask's pixels, smaller ones dropped, numbered from 1 in scan order within each run.
 
     Pixels side by side in a row are one stretch, by a window; only stretches of
     neighbouring rows that touch are edges of the graph.  A stretch is named by run,
@@ -55,7 +55,7 @@ def connected(mask: DataFrame, min_pixels: int = MIN_PIXELS) -> DataFrame:
     m = mask.withColumn("_start", F.when(begins, F.col("col"))).withColumn("_start", F.last("_start", ignorenulls=True).over(w))
     name = F.shiftleft(F.col("run_id").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("row").cast("long"), 20)).bitwiseOR(F.col("_start").cast("long"))
     m = m.withColumn("_id", name).drop("_start")
-    below = m.select(F.col("_id").alias("u"), "run_id", (F.col("row") + 1).alias("row"), F.explode(F.array(F.col("col") - 1, F.col("col"), F.col("col") + 1)).alias("col"))
+    below = m.select(F.col("_id").alias("u"), "run_id", (F.col("row") + 1).alias("row"), F.explode(F.array(*[F.col("col") + k for k in ((-1, 0, 1) if diagonal else (0,))])).alias("col"))
     edges = below.join(m.select("run_id", "row", "col", F.col("_id").alias("v")), ["run_id", "row", "col"]).select("u", "v").distinct()
     roots = components(edges)
     lab = m.join(roots, m["_id"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_id")).drop("node", "root")
