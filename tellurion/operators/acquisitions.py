@@ -123,8 +123,8 @@ def change_summary(change: DataFrame) -> DataFrame:
         F.round(F.first("_p95"), 6).alias("p95"), F.round(F.first("scale"), 6).alias("scale"), F.round(F.first("threshold"), 6).alias("threshold"))
 
 
-def residualize(df: DataFrame, y: str, design: list[str], key: str) -> DataFrame:
-    """Adds the least-squares residual of ``y`` on 1 and ``design`` within each ``key``.
+def residualize(df: DataFrame, y: str, design: list[str], key: str, coefficients: str | None = None) -> DataFrame:
+    """Adds the least-squares residual of ``y`` on 1 and ``design`` within each ``key``, and the coefficients as an array if they have a name.
 
     The normal equations are sums; the system of one group is a small matrix that
     a vectorised function solves, one row a group.
@@ -148,7 +148,8 @@ def residualize(df: DataFrame, y: str, design: list[str], key: str) -> DataFrame
 
     fit = d.join(normal.mapInPandas(solve, schema), key)
     pred = sum((F.col(c) * F.get("beta", F.lit(i)) for i, c in enumerate(cols)), number(0))
-    return fit.withColumn("residual", F.col(y) - pred).drop("_one", "beta")
+    fit = fit.withColumn("residual", F.col(y) - pred).drop("_one")
+    return fit.withColumnRenamed("beta", coefficients) if coefficients else fit.drop("beta")
 
 
 def cliffs_delta(df: DataFrame, x: str, side: str, key: str, width: float) -> DataFrame:

@@ -161,18 +161,36 @@ def fold(checks: DataFrame, key: str) -> DataFrame:
 
 # Patterns and their stand-ins.
 REDACT = (
-    (r"https?://[^ \"<>?#]+", "[url]"),
-    (r"[0-9a-f]{32,64}", "[hash]"),
-    (r"POINT ?\([^)]*\)", "[wkt]"),
-    (r"-?[0-9]{1,3}\.[0-9]{4,}", "[coordinate]"),
-    (r"/(home|root|tmp)/[^ ]*", "[path]"),
+    (r"(?i)([A-Z]:\\(?:[^\\/:*?\"<>|\s]+\\)*[^\\/:*?\"<>|\s]*)|(/(?:Users|home|mnt)/\S+)", "[REDACTED_PATH]"),
+    (r"\b[a-fA-F0-9]{32,64}\b", "[REDACTED_HASH]"),
+    (r"(?i)\b(POINT|LINESTRING|POLYGON|MULTIPOLYGON|MULTILINESTRING|MULTIPOINT|GEOMETRYCOLLECTION)\s*\(", "[REDACTED_GEOMETRY]"),
+    (r"(?i)(\"type\"\s*:\s*\"(?:Feature|FeatureCollection|Point|Polygon|MultiPolygon|LineString|MultiLineString|MultiPoint)\")|(<kml\b)|(<Placemark\b)", "[REDACTED_GEOMETRY]"),
 )
+PAIR = r"-?[0-9]{1,3}(?:\.[0-9]+)?\s*,\s*-?[0-9]{1,3}(?:\.[0-9]+)?"
+PAIR_NAME = "[REDACTED_COORDS]"
+
+
+def _plausible(pair: Column) -> Column:
+    """A latitude within 90 and a longitude within 180 degrees of 0."""
+    side = lambda i: F.abs(F.trim(F.get(F.split(pair, ","), F.lit(i))).cast("double"))
+    return (side(0) <= 90) & (side(1) <= 180)
 
 
 def redact(text: Column) -> Column:
+    """A log line without paths, digests, geometry and plausible coordinate pairs; other pairs of numbers stay."""
     for pattern, name in REDACT:
         text = F.regexp_replace(text, pattern, name)
-    return text
+    pairs = F.transform(F.regexp_extract_all(text, F.lit(f"({PAIR})"), F.lit(1)), lambda p: F.when(_plausible(p), F.lit(PAIR_NAME)).otherwise(p))
+    return F.array_join(F.zip_with(F.split(text, PAIR), pairs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def violates(text: Column) -> Column:
+    """Whether a text still holds what ``redact`` takes out."""
+    pairs = F.regexp_extract_all(text, F.lit(f"({PAIR})"), F.lit(1))
+    out = F.exists(pairs, _plausible)
+    for pattern, _ in REDACT:
+        out = out | text.rlike(pattern)
+    return out
 
 
 # ---- projection ------------------------------------------------------------------------
@@ -204,28 +222,33 @@ def utm(lon: Column, lat: Column) -> dict[str, Column]:
 # ---- elevation differencing ----------------------------------------------------------------
 
 
-def robust_plane(points: DataFrame, z: str, rounds: int = 4, clip: float = 3.5) -> DataFrame:
-    """Least-squares plane by rounds of sums and clipping at ``clip`` robust deviations; one row: a, b, c, kept, mad.
+def robust_plane(points: DataFrame, z: str, rounds: int = 4, clip: float = 3.5, least: int = 1000) -> DataFrame:
+    """Least-squares plane of each grid (run_id): offset, rise over its width and over its height, and the points that stay.
 
-    Each round is one aggregation; the driver solves the 3 x 3 system.
+    Axes run from 0 to 1 over the grid.  Each round fits the points that are left and
+    takes out those further than ``clip`` robust deviations from the median error; a
+    point that is out stays out.  A grid with fewer than ``least`` points, at first or
+    after a clip, has no plane.  Rounds are written, so a round reads the one before.
     """
-    import numpy as np
+    from tellurion.functions.group_stats import with_stats
+    from tellurion.operators.acquisitions import residualize
+    from tellurion.sources.scratch import materialise
 
-    p = points.where(F.col(z).isNotNull()).withColumns({"_y": F.col("row").cast("double"), "_x": F.col("col").cast("double"), "_z": F.col(z).cast("double")})
-    kept, coef, mad, count = p, (0.0, 0.0, 0.0), None, 0
+    whole = with_stats(points, {"_h": F.greatest(F.max("row"), F.lit(1)), "_w": F.greatest(F.max("col"), F.lit(1))})
+    kept = whole.where(F.col(z).isNotNull()).select("run_id", (F.col("col") / F.col("_w")).alias("_x"), (F.col("row") / F.col("_h")).alias("_y"), F.col(z).cast("double").alias("_z"))
+    kept = with_stats(kept, {"_n": F.count(F.lit(1))}).withColumn("_least", F.col("_n"))
     for _ in range(rounds):
-        names = ["_x", "_y", "_1"]
-        k = kept.withColumn("_1", number(1))
-        sums = [F.sum(F.col(i) * F.col(j)) for i in names for j in names] + [F.sum(F.col(i) * F.col("_z")) for i in names]
-        r = [float(v or 0) for v in k.agg(*sums).first()]
-        coef = np.linalg.lstsq(np.array(r[:9]).reshape(3, 3), np.array(r[9:]), rcond=None)[0].tolist()
-        res = F.col("_z") - (F.col("_x") * coef[0] + F.col("_y") * coef[1] + coef[2])
-        m = kept.agg(F.median(res)).first()[0]
-        mad, count = kept.agg(F.median(F.abs(res - float(m or 0))), F.count(F.lit(1))).first()
-        if not mad:
-            break
-        kept = p.where(F.abs(res - float(m)) <= clip * 1.4826 * float(mad))
-    return points.sparkSession.createDataFrame([(*coef, int(count), float(mad or 0))], "a double, b double, c double, kept long, mad double")
+        fit = residualize(kept.drop("_beta"), "_z", ["_x", "_y"], "run_id", "_beta")
+        fit = with_stats(materialise(fit, "plane"), {"_m": F.median("residual")})
+        error = F.abs(F.col("residual") - F.col("_m"))
+        fit = with_stats(fit.withColumn("_e", error), {"_mad": F.median("_e")})
+        sigma = 1.4826 * F.col("_mad")
+        stays = fit.where((sigma <= 1e-8) | (F.col("_e") <= clip * sigma)).select("run_id", "_x", "_y", "_z", "_least", "_beta")
+        kept = with_stats(stays, {"_n": F.count(F.lit(1))}).withColumn("_least", F.least("_least", "_n"))
+    g = kept.groupBy("run_id").agg(F.first("_beta").alias("b"), F.first("_n").alias("fit_points"), F.first("_least").alias("_least"))
+    at = lambda i: F.when(F.col("_least") >= least, F.get("b", F.lit(i)))
+    status = F.when(F.col("_least") >= least, "ok").otherwise("too_few_points")
+    return g.select("run_id", at(0).alias("offset"), at(1).alias("x_edge_delta"), at(2).alias("y_edge_delta"), "fit_points", status.alias("status"))
 
 
 def best_shift(pre: DataFrame, post: DataFrame, z: str, reach: int = 3) -> DataFrame:
@@ -236,3 +259,30 @@ def best_shift(pre: DataFrame, post: DataFrame, z: str, reach: int = 3) -> DataF
     d = a.join(post.select("row", "col", F.col(z).alias("b")), ["row", "col"]).withColumn("d", F.col("b") - F.col("a")).where("d is not null")
     m = d.groupBy("dy", "dx").agg(F.median("d").alias("m"))
     return d.join(m, ["dy", "dx"]).groupBy("dy", "dx").agg(F.median(F.abs(F.col("d") - F.col("m"))).alias("mad"), F.count(F.lit(1)).alias("n")).orderBy("mad", "dy", "dx")
+
+
+# ---- areas and completeness -------------------------------------------------------------------
+
+
+def aoi_status(aois: DataFrame) -> DataFrame:
+    """Adds aoi_status to west, south, east, north: ok or the first rule that is broken."""
+    w, s, e, n = (F.col(c) for c in ("west", "south", "east", "north"))
+    finite = F.lit(True)
+    for c in (w, s, e, n):
+        finite = finite & c.isNotNull() & ~F.isnan(c)
+    return aois.withColumn("aoi_status", F.when(~finite, "not_finite").when(~(w.between(-180, 180) & e.between(-180, 180)), "longitude_range")
+                           .when(~(s.between(-90, 90) & n.between(-90, 90)), "latitude_range").when(w >= e, "west_not_less").when(s >= n, "south_not_less").otherwise("ok"))
+
+
+def cell_grid(aois: DataFrame, rows: int, cols: int) -> DataFrame:
+    """One row a cell of each area, rows from the south, with its id and bounds."""
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    g = aois.withColumns({"_w": (F.col("east") - F.col("west")) / cols, "_h": (F.col("north") - F.col("south")) / rows}).withColumn("_r", axis(rows)).withColumn("_c", axis(cols))
+    bounds = {"east": F.col("west") + (F.col("_c") + 1) * F.col("_w"), "north": F.col("south") + (F.col("_r") + 1) * F.col("_h"), "west": F.col("west") + F.col("_c") * F.col("_w"), "south": F.col("south") + F.col("_r") * F.col("_h")}
+    return g.withColumns({"cell_id": F.format_string("V6_CELL_R%03d_C%03d", F.col("_r") + 1, F.col("_c") + 1), **bounds}).drop("_w", "_h", "_r", "_c")
+
+
+def completeness(df: DataFrame, key: list[str], features: list[str]) -> DataFrame:
+    """Rows, missing values and zeros of each feature within each key."""
+    u = df.unpivot(key, features, "feature", "v")
+    return u.groupBy(*key, "feature").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), F.count_if(F.col("v") == 0).alias("zeros"))

@@ -206,8 +206,9 @@ def mask_axes(pixels: DataFrame) -> DataFrame:
     """
     m = pixels.groupBy("run_id", "object_id").agg(F.count(F.lit(1)).alias("n"), F.var_samp("col").alias("a"), F.var_samp("row").alias("b"), F.covar_samp("col", "row").alias("c"))
     half, root = (F.col("a") + F.col("b")) / 2, F.sqrt(((F.col("a") - F.col("b")) / 2) ** 2 + F.col("c") ** 2)
-    angle = F.pmod(F.degrees(F.atan2(2 * F.col("c"), F.col("a") - F.col("b"))) / 2 + 180.0, number(180))
-    side = F.when((angle <= 22.5) | (angle >= 157.5), "E_W").when(angle.between(67.5, 112.5), "N_S").when((F.col("a") > F.col("b")) & (F.col("c") > 0), "NW_SE").otherwise("NE_SW")
+    slant, wide = F.round("c", 9) + 0.0, F.round(F.col("a") - F.col("b"), 9) + 0.0  # without the last digits: round objects lie E_W
+    angle = F.round(F.pmod(F.degrees(F.atan2(2 * slant, wide)) / 2 + 180.0, number(180)), 6)
+    side = F.when((angle <= 22.5) | (angle >= 157.5), "E_W").when(angle.between(67.5, 112.5), "N_S").when((wide > 0) & (slant > 0), "NW_SE").otherwise("NE_SW")
     few = F.col("n") < 2
     return m.select(
         "run_id", "object_id", F.when(few, number(1)).otherwise(F.sqrt(F.greatest(half + root, number(1e-9)) / F.greatest(half - root, number(1e-9)))).alias("elongation"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tellurion.functions.columns import rounded
 from tellurion.functions.group_stats import quantile
 from tellurion.operators import cells as ce
 from tellurion.operators import evidence as ev
@@ -287,7 +288,15 @@ def output_coverage(spark, sf):
     return j.groupBy(F.when(F.col("k").isNull(), "missing").when(F.col("c_custkey").isNull(), "extra").otherwise("present").alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("utm_grid", None)
+_UTM = """WITH p AS (SELECT p_partkey, (p_partkey * 37 % 3599) / 10.0::DOUBLE - 179.95::DOUBLE AS lon, (p_partkey * 53 % 1600) / 10.0::DOUBLE - 79.95::DOUBLE AS lat, 1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE) AS n FROM part),
+  z AS (SELECT *, least(floor((lon + 180) / 6) + 1, 60)::INT AS zone, 2 * sqrt(n) / (1 + n) AS e, sin(radians(lat)) AS s FROM p),
+  t AS (SELECT *, radians(lon - (zone * 6 - 183)) AS dl, sinh(atanh(s) - e * atanh(e * s)) AS t FROM z),
+  x AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta, 0.9996::DOUBLE * 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS k, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3 FROM t)
+  SELECT p_partkey, zone, (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone)::INT AS epsg, round(500000 + k * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS easting,
+    round(k * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS northing FROM x"""
+
+
+@add("utm_grid", _UTM)
 def utm_grid(spark, sf):
     """Zone, EPSG code, easting and northing of a point for every part."""
     k = F.col("p_partkey")
@@ -305,7 +314,9 @@ def utm_zone(spark, sf):
 
 @add("robust_plane")
 def robust_plane(spark, sf):
-    return ev.robust_plane(pix(spark, sf).where("run_id = 0"), "dem")
+    """The plane of every grid; the smallest table's grids are sparse, so a few points are enough."""
+    r = ev.robust_plane(pix(spark, sf), "dem", least=100)
+    return r.withColumns({c: rounded(c) for c in ("offset", "x_edge_delta", "y_edge_delta")})
 
 
 @add("best_shift", f"""WITH {PIX}, a AS (SELECT "row" + dy AS y, col + dx AS x, dem AS a, dy, dx FROM pix, (SELECT range - 2 AS dy FROM range(5)), (SELECT range - 2 AS dx FROM range(5)) WHERE run_id = 0),
@@ -319,15 +330,38 @@ def best_shift(spark, sf):
 # ---- text and streams ------------------------------------------------------------------------------
 
 
+_LINE = """concat(c_name, ' /home/', c_custkey, '/x.tif ', md5(c_name), ' Point (', c_custkey % 130, '.25, ', c_custkey % 250, '.5) "type": "Feature" ', c_mktsegment)"""
+
+
 def _redact_sql(x):
     for pattern, name in ev.REDACT:
         x = f"regexp_replace({x}, '{pattern}', '{name}', 'g')"
     return x
 
 
-@add("redact_text", f"SELECT page_id, {_redact_sql('url')} AS url, md5({_redact_sql('html')}) AS html FROM pages")
+_PARTS = f"""l AS (SELECT c_custkey, {_LINE} AS line FROM customer), t AS (SELECT c_custkey, line, {_redact_sql('line')} AS t FROM l),
+  s AS (SELECT c_custkey, string_split_regex(t, '{ev.PAIR}') AS texts, regexp_extract_all(t, '{ev.PAIR}') AS pairs FROM t)"""
+
+
+@add("redact_text", f"""WITH {_PARTS} SELECT c_custkey, array_to_string(list_transform(texts, lambda a, i: a || CASE WHEN i > len(pairs) THEN '' WHEN abs(trim(split_part(pairs[i], ',', 1))::DOUBLE) <= 90 AND abs(trim(split_part(pairs[i], ',', 2))::DOUBLE) <= 180 THEN '{ev.PAIR_NAME}' ELSE pairs[i] END), '') AS line FROM s""")
 def redact_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", ev.redact(F.col("url")).alias("url"), F.md5(F.encode(ev.redact(F.col("html")), "UTF-8")).alias("html"))
+    """Log lines with paths, digests, geometry and coordinates."""
+    return table(spark, sf, "customer").select("c_custkey", ev.redact(F.expr(_LINE)).alias("line"))
+
+
+@add("redaction_violations", f"""WITH {_PARTS}, v AS (SELECT c_custkey, len(list_filter(pairs, lambda p: abs(trim(split_part(p, ',', 1))::DOUBLE) <= 90 AND abs(trim(split_part(p, ',', 2))::DOUBLE) <= 180)) AS pairs FROM s)
+  SELECT c_custkey, true AS raw, false AS redacted, pairs > 0 AS had_pair FROM v""")
+def redaction_violations(spark, sf):
+    """Raw lines break the rules, redacted ones don't."""
+    line = F.expr(_LINE)
+    clean = ev.redact(line)
+    return table(spark, sf, "customer").select("c_custkey", ev.violates(line).alias("raw"), ev.violates(clean).alias("redacted"), clean.contains(ev.PAIR_NAME).alias("had_pair"))
+
+
+@add("feature_completeness", f"""WITH {PIX}, u AS (SELECT run_id, unnest(['b1', 'b2', 'b3', 'b4']) AS feature, unnest([b1, b2, b3, b4]) AS v FROM pix)
+  SELECT run_id, feature, count(*) AS n, count(*) - count(v) AS missing, count(*) FILTER (v = 0) AS zeros FROM u GROUP BY run_id, feature""")
+def feature_completeness(spark, sf):
+    return ev.completeness(pix(spark, sf), ["run_id"], ["b1", "b2", "b3", "b4"])
 
 
 @add("json_canonical", """SELECT event_id, '{"k":' || (props->>'k') || ',"v":' || coalesce(round(value, 2)::DECIMAL(18, 2)::VARCHAR, 'null') || '}' AS doc FROM events""")
@@ -352,3 +386,14 @@ def quantile_contexts(spark, sf):
     q = p.groupBy("run_id").agg(quantile("inc", 0.25).alias("i1"), quantile("inc", 0.75).alias("i3"))
     x = F.col("inc")
     return p.join(q, "run_id").groupBy("run_id").agg(F.count_if(x <= F.col("i1")).alias("low"), F.count_if((x > F.col("i1")) & (x < F.col("i3"))).alias("middle"), F.count_if(x >= F.col("i3")).alias("high"))
+
+
+@add("cell_grid", """WITH a AS (SELECT n_nationkey AS aoi, n_nationkey * 15.0 - 176 AS west, n_regionkey * 20.0 - 60 AS south, n_nationkey * 15.0 - 176 + CASE WHEN n_nationkey % 7 = 3 THEN -4 ELSE 8 END AS east, n_regionkey * 20.0 - 56 AS north FROM nation),
+  g AS (SELECT aoi, west, south, (east - west) / 4 AS w, (north - south) / 2 AS h FROM a WHERE west >= -180 AND east <= 180 AND south >= -90 AND north <= 90 AND west < east AND south < north)
+  SELECT aoi, printf('V6_CELL_R%03d_C%03d', r + 1, c + 1) AS cell_id, (west + c * w)::DOUBLE AS west, (south + r * h)::DOUBLE AS south, (west + (c + 1) * w)::DOUBLE AS east, (south + (r + 1) * h)::DOUBLE AS north FROM g, (SELECT range AS r FROM range(2)), (SELECT range AS c FROM range(4))""")
+def cell_grid(spark, sf):
+    """Two rows of four cells in every valid area of interest."""
+    n = table(spark, sf, "nation")
+    west, south = F.col("n_nationkey") * 15.0 - 176, F.col("n_regionkey") * 20.0 - 60
+    aois = n.select(F.col("n_nationkey").alias("aoi"), west.alias("west"), south.alias("south"), (west + F.when(F.col("n_nationkey") % 7 == 3, -4).otherwise(8)).alias("east"), (south + 4).alias("north"))
+    return ev.cell_grid(ev.aoi_status(aois).where("aoi_status = 'ok'"), 2, 4).select("aoi", "cell_id", "west", "south", "east", "north")

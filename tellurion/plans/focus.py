@@ -136,8 +136,8 @@ def local_peaks(spark, sf):
 
 
 @add("mask_axes", f"""WITH RECURSIVE {COMP}, m AS (SELECT run_id, object_id, var_samp(col) AS a, var_samp("row") AS b, covar_samp(col, "row") AS c FROM obj GROUP BY run_id, object_id),
-  e AS (SELECT *, (a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c) AS l1, (a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c * c) AS l2, (degrees(atan2(2 * c, a - b)) / 2 + 180) % 180 AS t FROM m)
-  SELECT run_id, object_id, CASE WHEN l2 < 1e-6 THEN -1 ELSE round(sqrt(l1 / l2), 4) END AS elongation, CASE WHEN t <= 22.5 OR t >= 157.5 THEN 'E_W' WHEN t BETWEEN 67.5 AND 112.5 THEN 'N_S' WHEN a > b AND c > 0 THEN 'NW_SE' ELSE 'NE_SW' END AS orientation FROM e""")
+  e AS (SELECT *, (a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c) AS l1, (a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c * c) AS l2, round((degrees(atan2(2 * (round(c, 9) + 0.0), round(a - b, 9) + 0.0)) / 2 + 180) % 180, 6) AS t FROM m)
+  SELECT run_id, object_id, CASE WHEN l2 < 1e-6 THEN -1 ELSE round(sqrt(l1 / l2), 4) END AS elongation, CASE WHEN t <= 22.5 OR t >= 157.5 THEN 'E_W' WHEN t BETWEEN 67.5 AND 112.5 THEN 'N_S' WHEN round(a - b, 9) > 0 AND round(c, 9) > 0 THEN 'NW_SE' ELSE 'NE_SW' END AS orientation FROM e""")
 def mask_axes(spark, sf):
     """Elongation (-1 for straight lines, whose width is rounding) and orientation of every object."""
     m = fo.mask_axes(_mask(spark, sf))

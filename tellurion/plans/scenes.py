@@ -169,12 +169,15 @@ def holm(spark, sf):
     return aq.holm(p, "p", "feature").select("feature", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
 
 
-@add("residual_screen")
+@add("residual_screen", f"""WITH {_SCREEN}, a AS (SELECT feature, x, sin(2 * 3.141592653589793::DOUBLE * (month - 1) / 12) AS u, cos(2 * 3.141592653589793::DOUBLE * (month - 1) / 12) AS v FROM screen),
+  m AS (SELECT feature, avg(x) AS mx, avg(u) AS mu, avg(v) AS mv, var_pop(u) AS uu, var_pop(v) AS vv, covar_pop(u, v) AS uv, covar_pop(x, u) AS xu, covar_pop(x, v) AS xv FROM a GROUP BY feature),
+  b AS (SELECT *, (xu * vv - xv * uv) / (uu * vv - uv * uv) AS bu, (xv * uu - xu * uv) / (uu * vv - uv * uv) AS bv FROM m)
+  SELECT feature, round(avg(x - mx - bu * (u - mu) - bv * (v - mv)), 6) + 0.0 AS mean, round(stddev_pop(x - mx - bu * (u - mu) - bv * (v - mv)), 6) AS deviation FROM a JOIN b USING (feature) GROUP BY feature""")
 def residual_screen(spark, sf):
     """Residuals on 1, sin and cos of the month, and their deviation by feature."""
     s = screen(spark, sf).withColumn("_a", 2 * 3.141592653589793 * (F.col("month") - 1) / 12).withColumns({"sin": F.sin("_a"), "cos": F.cos("_a")})
     r = aq.residualize(s.select("feature", "x", "sin", "cos"), "x", ["sin", "cos"], "feature")
-    return r.groupBy("feature").agg(F.round(F.avg("residual"), 6).alias("mean"), F.round(F.stddev_pop("residual"), 6).alias("deviation"))
+    return r.groupBy("feature").agg(rounded(F.avg("residual")).alias("mean"), F.round(F.stddev_pop("residual"), 6).alias("deviation"))
 
 
 @add("permutation_screen")

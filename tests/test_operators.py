@@ -10,6 +10,7 @@ from tellurion.functions import columns as c
 from tellurion.functions import group_stats as g
 from tellurion.operators import acquisitions as aq
 from tellurion.operators import evidence as ev
+from tellurion.operators import focus as fo
 from tellurion.operators import objects as ob
 from tellurion.operators import proxies, radar, terrain
 from tellurion.operators import windows2d as w2
@@ -186,8 +187,18 @@ def test_plane_and_shift(spark):
     y, x = np.mgrid[0:SIZE, 0:SIZE]
     z = 2.0 * x - 1.0 * y + 5
     z[3, 3] = 900.0
-    r = ev.robust_plane(grid(spark, z + np.random.default_rng(1).normal(0, 0.1, z.shape), "z"), "z").first()
-    assert (r.a, r.b, r.c) == pytest.approx((2, -1, 5), abs=0.02)
+    z = z + np.random.default_rng(1).normal(0, 0.1, z.shape)
+    r = ev.robust_plane(grid(spark, z, "z"), "z").first()
+    m, v, keep = np.column_stack([np.ones(SIZE * SIZE), x.ravel() / (SIZE - 1), y.ravel() / (SIZE - 1)]), z.ravel(), np.ones(SIZE * SIZE, bool)
+    for _ in range(4):
+        coef = np.linalg.lstsq(m[keep], v[keep], rcond=None)[0]
+        error = v - m @ coef
+        error -= np.median(error[keep])
+        keep = keep & (np.abs(error) <= 3.5 * 1.4826 * np.median(np.abs(error[keep])))
+    assert (r.offset, r.x_edge_delta, r.y_edge_delta) == pytest.approx(tuple(coef), abs=1e-6)
+    assert (r.fit_points, r.status) == (keep.sum(), "ok")
+    few = ev.robust_plane(grid(spark, z, "z").where("row < 4"), "z").first()
+    assert few.offset is None and few.status == "too_few_points"
     a = np.random.default_rng(7).normal(size=(SIZE, SIZE))
     best = ev.best_shift(grid(spark, a, "z"), grid(spark, np.roll(a, (1, -2), axis=(0, 1)), "z"), "z", 2).first()
     assert (best.dy, best.dx) == (1, -2)
@@ -291,3 +302,41 @@ def test_point_signature_values(spark):
     assert a.nb_depth_m == pytest.approx(2.03, abs=0.01) and a.nb_depth_available and a.nb_best_object_interpretation
     assert b.nb_void_signature == 0.36 and b.nb_depth_m is None and not b.nb_depth_available
     assert c.nb_metal_signature is None and c.nb_best_object_interpretation is None and c.nb_depth_m is None
+
+
+def test_redaction(spark):
+    lines = ["C:\\data\\run 7 and /home/u/x.tif", "MultiPoint (1 2", "at 45.5, -120.25 not 123.4, 9", "f" * 40, '{"type": "Feature"} <kml >', "plain 1 2"]
+    d = spark.createDataFrame(list(enumerate(lines)), "i int, t string")
+    got = [r.t for r in d.select("i", ev.redact(F.col("t")).alias("t")).orderBy("i").collect()]
+    assert got == ["[REDACTED_PATH] 7 and [REDACTED_PATH]", "[REDACTED_GEOMETRY]1 2", "at [REDACTED_COORDS] not 123.4, 9", "[REDACTED_HASH]", "{[REDACTED_GEOMETRY]} [REDACTED_GEOMETRY] >", "plain 1 2"]
+    assert [r.v for r in d.select("i", ev.violates(F.col("t")).alias("v")).orderBy("i").collect()] == [True] * 5 + [False]
+
+
+def test_areas(spark):
+    rows = [(1, -10.0, 0.0, 10.0, 5.0), (2, 10.0, 0.0, -10.0, 5.0), (3, -10.0, 5.0, 10.0, 5.0), (4, -181.0, 0.0, 0.0, 5.0), (5, 0.0, -91.0, 1.0, 5.0), (6, None, 0.0, 1.0, 5.0), (7, float("nan"), 0.0, 1.0, 5.0)]
+    d = ev.aoi_status(spark.createDataFrame(rows, "k int, west double, south double, east double, north double"))
+    assert [r.aoi_status for r in d.orderBy("k").collect()] == ["ok", "west_not_less", "south_not_less", "longitude_range", "latitude_range", "not_finite", "not_finite"]
+
+
+def test_anchor_rules(spark):
+    packs = {"one": [("a", 1, 1)], "id": [("a", 1, 1), ("a", 2, 2)], "signal": [("a", 1, 1), ("b", 1, 2)], "flat": [("a", 1, 1), ("b", 2, 1)], "bent": [("a", 1, 1), ("b", 2, 3), ("c", 3, 2)], "falling": [("a", 1, 3), ("b", 2, 1)]}
+    d = spark.createDataFrame([(p, i, float(s), float(b)) for p, rows in packs.items() for i, s, b in rows], "package string, anchor_id string, signal_value double, best double")
+    got = {r.package: r.status for r in fo.anchor_status(d).collect()}
+    assert got == {"one": "too_few_anchors", "id": "duplicate_anchor_id", "signal": "duplicate_signal", "flat": "flat_depth", "bent": "not_monotonic", "falling": "ok"}
+
+
+def test_nearest_over_far_cells(spark):
+    rng = np.random.default_rng(3)
+    p, t = rng.integers(0, 200, (60, 2)), rng.integers(0, 1000, (25, 2))
+    d = lambda a, n: spark.createDataFrame([(0, i, int(y), int(x)) for i, (y, x) in enumerate(a)], f"run_id int, {n} int, y int, x int")
+    got = {r.point_id: (r.target_id, r.distance) for r in fo.nearest(d(p, "point_id"), d(t, "target_id"), 1000).collect()}
+    for i, at in enumerate(p):
+        far = ((t - at) ** 2).sum(axis=1)
+        assert got[i] == (far.argmin(), pytest.approx(far.min() ** 0.5))
+
+
+def test_mask_orientation(spark):
+    shapes = {1: [(0, c) for c in range(5)], 2: [(r, 0) for r in range(5)], 3: [(r, r * 2) for r in range(5)], 4: [(r * 2, r) for r in range(5)], 5: [(r, -r) for r in range(5)], 6: [(0, 0)]}
+    d = spark.createDataFrame([(0, k, r, c) for k, px in shapes.items() for r, c in px], "run_id int, object_id int, row int, col int")
+    got = {r.object_id: r.orientation for r in fo.mask_axes(d).collect()}
+    assert got == {1: "E_W", 2: "N_S", 3: "NW_SE", 4: "NE_SW", 5: "NE_SW", 6: "UNRESOLVED"}
