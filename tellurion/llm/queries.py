@@ -6,7 +6,7 @@ No SQL: op1 (XXH64 votes), op2 (a tokenizer), op3 and op8 (trained models), op4
 
 from __future__ import annotations
 
-from tellurion.llm import decontam, licenses, lm, mixing, oracles, quality, sharding, simhash, tokens, toxicity, warc
+from tellurion.llm import decontam, licenses, lm, merkle, mixing, oracles, quality, sharding, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -19,6 +19,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_licenses": licenses.op9_licenses,
     "op10_decontamination": decontam.op10_decontamination,
+    "op13_merkle": merkle.op13_merkle,
 }
 ORACLES: dict[str, str] = {
     "op5_mixing": oracles.MIXING,
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op7_warc": warc.ORACLE,
     "op9_licenses": oracles.LICENSES,
     "op10_decontamination": oracles.DECONTAMINATION,
+    "op13_merkle": merkle.ORACLE,
 }
