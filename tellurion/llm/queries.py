@@ -1,12 +1,12 @@
 """The queries of this subpackage, and their SQL where DuckDB can express them.
 
-No SQL: op1 (XXH64 votes), op2 (a tokenizer), op3 and op8 (trained models), op4
-(CRC-32): their tests compare with brute-force versions or held-out data.
+No SQL: op1 (XXH64 votes), op2 and op11 (a tokenizer), op3 and op8 (trained models),
+op4 (a permutation by number): their tests compare with brute-force versions or held-out data.
 """
 
 from __future__ import annotations
 
-from tellurion.llm import decontam, licenses, lm, merkle, mixing, oracles, quality, sharding, simhash, tokens, toxicity, warc
+from tellurion.llm import decontam, licenses, lm, merkle, mixing, oracles, packed, quality, sharding, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -19,6 +19,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_licenses": licenses.op9_licenses,
     "op10_decontamination": decontam.op10_decontamination,
+    "op11_packed_ids": packed.op11_packed_ids,
     "op13_merkle": merkle.op13_merkle,
 }
 ORACLES: dict[str, str] = {
