@@ -6,7 +6,7 @@ op4 (a permutation by number): their tests compare with brute-force versions or
 
 from __future__ import annotations
 
-from tellurion.llm import decontam, licenses, lm, merkle, mixing, oracles, packed, quality, sharding, simhash, tokens, toxicity, warc
+from tellurion.llm import decontam, licenses, lm, merkle, mixing, negatives, oracles, packed, quality, sharding, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -20,6 +20,7 @@ QUERIES = {
     "op9_licenses": licenses.op9_licenses,
     "op10_decontamination": decontam.op10_decontamination,
     "op11_packed_ids": packed.op11_packed_ids,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_merkle": merkle.op13_merkle,
 }
 ORACLES: dict[str, str] = {
@@ -28,5 +29,6 @@ ORACLES: dict[str, str] = {
     "op7_warc": warc.ORACLE,
     "op9_licenses": oracles.LICENSES,
     "op10_decontamination": oracles.DECONTAMINATION,
+    "op12_hard_negatives": negatives.ORACLE,
     "op13_merkle": merkle.ORACLE,
 }
