@@ -18,9 +18,9 @@ row a file, first key, numbers of documents and ids.  Files that it doesn't name
 attempts that failed) are never read.  Reading checks every block's CRC-32 and each
 file's numbers against the manifest.
 
-Encoding.  The tokenizer never looks across white space, so a worker keeps the ids of
+Encoding.  This tokenizer never looks across white space, so a worker keeps the ids of
 words it has met (bounded) and gives the library the others; tests hold this against
-whole texts.
+whole texts.  A vocabulary of another kind gets whole texts.
 
 Defined results: null and empty texts have the end id only; null doc_ids come after
 all others; repeated ids are ordered by row number; doc_id is a long; an empty table
@@ -29,6 +29,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -54,6 +55,11 @@ LEAST_IDS = 1 << 19
 MAGIC = b"TLIDS\x00\x00\x01"
 _HEAD = struct.Struct("<IBxHI")
 _FOOT = struct.Struct("<QQQQII8s")
+#: The splitter and the suffix of vocabularies whose words don't depend on each other (fixed values), and what may close a plain word.
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SUFFIX = "</w>"
+CLOSING = b'.,;:!?)"'
+BETWEEN = "\x01"
 _SPACES = bytes(32 if 9 <= i <= 13 else i for i in range(256))
 
 
@@ -199,33 +205,112 @@ class Reader:
 # ---- tables --------------------------------------------------------------------
 
 
+#: Classes of bytes: 1 ASCII letter, 2 first byte of another Latin-1 letter (3: its second byte), 4 closing sign, 8 space, 0 others.
+_CLASS = np.zeros(256, np.int8)
+_CLASS[[*range(65, 91), *range(97, 123)]], _CLASS[0xC3], _CLASS[[*CLOSING]], _CLASS[32] = 1, 2, 4, 8
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+
+
+def is_plain(words: list[bytes]) -> np.ndarray:
+    """Whether each word (not empty, without spaces) is a run of Latin-1 letters, and closing signs or none behind it."""
+    if not words:
+        return np.empty(0, bool)
+    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    kind = _CLASS[data]
+    before = np.concatenate(([8], kind[:-1]))
+    kind = np.where((before == 2) & _SECOND[data], 3, kind)
+    before = np.concatenate(([8], kind[:-1]))
+    bad = (kind == 0) | (before == 2) & (kind != 3) | (before == 4) & (kind != 4) & (kind != 8) | (before == 8) & (kind == 4)
+    ends = np.flatnonzero(kind == 8)
+    return np.add.reduceat(bad, np.concatenate(([0], ends[:-1] + 1)), dtype=np.int64) == 0
+
+
 class WordIds:
-    """Ids of texts, with a bounded memory of words."""
+    """Ids of texts, with a bounded memory of words that were met twice.
+
+    Whole texts go to the library, unless the vocabulary splits at white space and at
+    ends of letter runs, as ``SPLITS`` says; then words do.  Words of Latin-1 letters and
+    closing punctuation are the same before and behind its normaliser and splitter but
+    for their case, so the library's merges without these steps give their ids, for
+    many words in one call; the end-of-word suffix tells where each ends.
+    """
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.size = Tokenizer.from_file(path), {}, memo
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.tokenizer, self.memo, self.size, self.met = Tokenizer.from_file(path), {}, memo, np.zeros(1 << 23, bool)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        pieces = [p.get("pattern", {}).get("Regex") for p in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_words = pieces[:1] == [SPLITS] and rules["model"].get("end_of_word_suffix") == SUFFIX and [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        if self.by_words:
+            self.merges = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "Punctuation", "behavior": "Contiguous"}, *rules["pre_tokenizer"]["pretokenizers"][1:]]}, "post_processor": None, "added_tokens": []}))
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(SUFFIX)]] = True
+            self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+
+    def _bytes(self, ids) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _plain(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words that ``is_plain`` tells, with their ids."""
+        for s in range(0, len(words), 8192):
+            part = words[s : s + 8192]
+            line = b" ".join(part)
+            marked = np.fromiter((w[-1] in CLOSING for w in part), np.int64, len(part))
+            ids = np.array(self.merges.encode_batch_fast([line.decode().lower()], add_special_tokens=False)[0].ids, self.kind)
+            data, pieces = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            cuts = pieces[np.cumsum(1 + marked) - 1].tolist()
+            yield from zip(part, [data[a:b] for a, b in zip([0, *cuts], cuts)])
+
+    def _others(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of any words; a character of its own stands between those that don't hold it."""
+        single = [w for w in words if len(self.between) != 1 or BETWEEN.encode() in w]
+        out = {w: self._bytes(e.ids) for w, e in zip(single, self.tokenizer.encode_batch_fast([w.decode() for w in single], add_special_tokens=False))}
+        words = [w for w in words if w not in out]
+        for s in range(0, len(words), 4096):
+            part = words[s : s + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join([w.decode() for w in part])], add_special_tokens=False)[0].ids, self.kind)
+            data, cuts = ids.tobytes(), np.flatnonzero(ids == self.between[0])
+            stops = [*(cuts * ids.itemsize).tolist(), len(data)]
+            out.update(zip(part, (data[a:b] for a, b in zip([0, *((cuts + 1) * ids.itemsize).tolist()], stops))))
+        return out
+
+    def _look(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct words; those that were looked for before go to the memory while it has room."""
+        plain = is_plain(words)
+        out = dict(self._plain([w for w, p in zip(words, plain) if p]))
+        out.update(self._others([w for w, p in zip(words, plain) if not p]))
+        at = np.fromiter(map(hash, words), np.int64, len(words)) & len(self.met) - 1
+        again = self.met[at]
+        self.met[at] = True
+        room = self.size - len(self.memo)
+        self.memo.update((w, out[w]) for w in [words[i] for i in np.flatnonzero(again).tolist()][: max(0, room)] if len(w) <= LONGEST)
+        return out
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text and the end id."""
-        split = [t.encode("utf-8", "replace").translate(_SPACES).split() if t else [] for t in texts]
-        memo, last = self.memo, struct.pack("<I", end)
-        new = list({w for words in split for w in words if w not in memo})
-        met = {w: np.array(e.ids, "<u4").tobytes() for s in range(0, len(new), 4096) for w, e in zip(new[s:], self.tokenizer.encode_batch_fast([w.decode() for w in new[s : s + 4096]], add_special_tokens=False))}
-        for w in new[: max(0, self.size - len(memo))]:
-            if len(w) <= LONGEST:
-                memo[w] = met.pop(w)
-        get = memo.__getitem__ if not met else lambda w: met[w] if w in met else memo[w]
-        return [b"".join(map(get, words)) + last for words in split]
+        """Ids of each text and the end id, as ``kind`` says."""
+        last = self._bytes([end])
+        if not self.by_words:
+            return [self._bytes(e.ids) + last for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        get, split = self.memo.get, [t.encode("utf-8", "replace").translate(_SPACES).split() if t else [] for t in texts]
+        parts = [list(map(get, words)) for words in split]
+        gaps = [i for i, p in enumerate(parts) if None in p]
+        met = self._look(list({w for i in gaps for w, p in zip(split[i], parts[i]) if p is None}))
+        for i in gaps:
+            parts[i] = [met[w] if p is None else p for w, p in zip(split[i], parts[i])]
+        return [b"".join(p) + last for p in parts]
 
 
 _encoders: dict[str, WordIds] = {}
 
 
 def encoded(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
-    """doc_id, rid (a row number), n, ids (little-endian 32-bit) for every row of ``docs``."""
+    """doc_id, rid (a row number), n, ids (little-endian, of 16 bits if the vocabulary fits them, else of 32) for every row of ``docs``."""
     path = vocabulary or vocabulary_path()
 
     def run(batches):
@@ -236,7 +321,8 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> D
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
                 ids = _encoders[path].encode(part.column("text").to_pylist(), end)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "rid", "n", "ids"])
+                size = np.dtype(_encoders[path].kind).itemsize
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "rid", "n", "ids"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, rid long, n long, ids binary")
@@ -253,18 +339,19 @@ def write_ids(rows: DataFrame, folder: str) -> None:
     def run(batches):
         out, uri, first = None, "", None
         for b in batches:
-            for doc, rid, ids in zip(b.column("doc_id").to_pylist(), b.column("rid").to_pylist(), b.column("ids")):
+            for doc, rid, n, ids in zip(b.column("doc_id").to_pylist(), b.column("rid").to_pylist(), b.column("n").to_pylist(), b.column("ids")):
                 if out is None:
                     uri, first = f"{root}/{fresh_name('ids', '.pfor')}", (doc, rid)
                     out = Writer(uri)
-                out.add(doc, np.frombuffer(ids.as_buffer(), "<u4"))
+                data = ids.as_buffer()
+                out.add(doc, np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u2").astype(np.uint32))
         if out is not None:
             out.close()
             row = {"first_id": pa.array([first[0]], pa.int64()), "first_rid": pa.array([first[1]], pa.int64()), "uri": pa.array([uri]), "n_ids": pa.array([out.n], pa.int64()), "n_docs": pa.array([len(out.ids)], pa.int64())}
             yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
 
     keys = [F.col("doc_id").asc_nulls_last(), F.col("rid").asc()]
-    files = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("doc_id", "rid", "ids").mapInArrow(run, MANIFEST)
+    files = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("doc_id", "rid", "n", "ids").mapInArrow(run, MANIFEST)
     files.write.parquet(f"{root}/manifest")
 
 

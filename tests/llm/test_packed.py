@@ -74,6 +74,20 @@ def test_files_equal_the_library(spark, monkeypatch):
         at += r.n_tokens
 
 
+@pytest.mark.parametrize("memo", [3, 10**6])
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_equal_whole_texts(name, memo):
+    from tokenizers import Tokenizer
+
+    path = packed.vocabulary_path(name)
+    t, w, rng = Tokenizer.from_file(path), packed.WordIds(path, memo), random.Random(8)
+    marks = ["don't", "it's,", "a.b", "WORD.", "End!?)", "x1y", "1234", "ΑΣ", "é", "e\u0301", "\u0301x", "ß", "STRASSE", "ÀÉÎÕÜ,", "ñandú", "Ærøå", "×÷", "a×b", "ÿŸ", "\u00aa\u00ba\u00b5", "İ", "\x01", "a\x01b", "\u3000", "x\u3000y", "<|endoftext|>", "a<|startoftext|>b", "'", "'s", "s'", '"q"', "ﬁ", "\x1c", "\x85", "日本語", "😀", ".", "...", "),", "\ufffd"]
+    texts = [None, "", " \n"] + [rng.choice([" ", "\n", "\t ", "\x0b"]).join(rng.choice(marks) + rng.choice(["", "", rng.choice(marks)]) for _ in range(rng.randrange(60))) for _ in range(400)]
+    for s in range(0, len(texts), 50):
+        got = w.encode(texts[s : s + 50], 2)
+        assert [np.frombuffer(x, w.kind).tolist() for x in got] == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts[s : s + 50]]
+
+
 def test_query_on_all_documents(spark):
     from tokenizers import Tokenizer
 
