@@ -11,9 +11,8 @@ is known), and a footer of fixed size.  Any range of ids is read through the sta
     magic | blocks | starts u64 x (blocks + 1) | crc u32 x blocks
           | ids i64 x docs | ends u64 x docs | known u8 x docs | footer
 
-Writing.  Documents are encoded once, where the text lies, into a table of ids;
-its rows are sorted by ranges of (doc_id, row number), and each range streams one file
-in pieces of ``PIECE`` ids.  The manifest is a Parquet table that Spark commits: one
+Writing.  Documents are sorted by ranges of (doc_id, row number); each range encodes
+its texts and streams one file in pieces of ``PIECE`` ids.  The manifest is a Parquet table that Spark commits: one
 row a file, first key, numbers of documents and ids.  Files that it doesn't name (of
 attempts that failed) are never read.  Reading checks every block's CRC-32 and each
 file's numbers against the manifest.
@@ -42,16 +41,16 @@ from pyspark.sql import functions as F
 
 from tellurion.llm.files import fresh_name, qualified, system_of
 from tellurion.llm.tokens import LONGEST, vocabulary_path
-from tellurion.sources.scratch import fresh_path, materialise
+from tellurion.sources.scratch import fresh_path
 
 BLOCK = 1024
 SHARE = 0.9
 PIECE = 1 << 20
 END = 2
 MEMO = 400_000
-#: Ids and documents to a file, and the least of each that is worth a task of its own.
-FILE_IDS, FILE_DOCS = 1 << 26, 1 << 20
-LEAST_IDS = 1 << 19
+#: Bytes of text and documents to a file, and the least bytes that are worth a task of their own.
+FILE_BYTES, FILE_DOCS = 1 << 28, 1 << 20
+LEAST_BYTES = 1 << 21
 MAGIC = b"TLIDS\x00\x00\x01"
 _HEAD = struct.Struct("<IBxHI")
 _FOOT = struct.Struct("<QQQQII8s")
@@ -243,7 +242,7 @@ class WordIds:
 
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
-        self.tokenizer, self.memo, self.size, self.met = Tokenizer.from_file(path), {}, memo, np.zeros(1 << 23, bool)
+        self.tokenizer, self.memo, self.size, self.met = Tokenizer.from_file(path), Memo(), memo, np.zeros(1 << 23, bool)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         pieces = [p.get("pattern", {}).get("Regex") for p in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.by_words = pieces[:1] == [SPLITS] and rules["model"].get("end_of_word_suffix") == SUFFIX and [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
@@ -258,8 +257,8 @@ class WordIds:
 
     def _plain(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Words that ``is_plain`` tells, with their ids."""
-        for s in range(0, len(words), 8192):
-            part = words[s : s + 8192]
+        for s in range(0, len(words), 1 << 16):
+            part = words[s : s + (1 << 16)]
             line = b" ".join(part)
             marked = np.fromiter((w[-1] in CLOSING for w in part), np.int64, len(part))
             ids = np.array(self.merges.encode_batch_fast([line.decode().lower()], add_special_tokens=False)[0].ids, self.kind)
@@ -297,61 +296,67 @@ class WordIds:
         last = self._bytes([end])
         if not self.by_words:
             return [self._bytes(e.ids) + last for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        get, split = self.memo.get, [t.encode("utf-8", "replace").translate(_SPACES).split() if t else [] for t in texts]
-        parts = [list(map(get, words)) for words in split]
-        gaps = [i for i, p in enumerate(parts) if None in p]
-        met = self._look(list({w for i in gaps for w, p in zip(split[i], parts[i]) if p is None}))
-        for i in gaps:
-            parts[i] = [met[w] if p is None else p for w, p in zip(split[i], parts[i])]
-        return [b"".join(p) + last for p in parts]
+        words, new = self.memo.__getitem__, self.memo.new
+        parts = [list(map(words, t.encode("utf-8", "replace").translate(_SPACES).split())) if t else [] for t in texts]
+        for w, ids in self._look(list(new)).items():
+            new[w] += ids
+        out = [b"".join(p) + last for p in parts]
+        new.clear()
+        return out
 
 
-_encoders: dict[str, WordIds] = {}
+class Memo(dict):
+    """Ids by word; a word that is missing gets a place in ``new`` that is filled later."""
 
+    def __init__(self):
+        super().__init__()
+        self.new: dict[bytes, bytearray] = {}
 
-def encoded(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
-    """doc_id, rid (a row number), n, ids (little-endian, of 16 bits if the vocabulary fits them, else of 32) for every row of ``docs``."""
-    path = vocabulary or vocabulary_path()
+    def __missing__(self, word: bytes) -> bytearray:
+        at = self.new.get(word)
+        if at is None:
+            at = self.new[word] = bytearray()
+        return at
 
-    def run(batches):
-        if path not in _encoders:
-            _encoders.clear()
-            _encoders[path] = WordIds(path)
-        for b in batches:
-            for s in range(0, b.num_rows, 256):
-                part = b.slice(s, 256)
-                ids = _encoders[path].encode(part.column("text").to_pylist(), end)
-                size = np.dtype(_encoders[path].kind).itemsize
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "rid", "n", "ids"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, rid long, n long, ids binary")
+_encoders: dict[str, WordIds] = {}
+
 
+def _encoder(path: str) -> WordIds:
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = WordIds(path)
+    return _encoders[path]
 
-def write_ids(rows: DataFrame, folder: str) -> None:
-    """Write ``rows`` (doc_id, rid, n, ids; a written table) to files and a manifest below ``folder``, in ascending order of doc_id."""
-    spark = rows.sparkSession
+
+def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = END) -> None:
+    """Write the ids of all ``docs`` (doc_id, text) to files and a manifest below ``folder``, in ascending order of doc_id."""
+    spark = docs.sparkSession
+    path = vocabulary or vocabulary_path()
     root = qualified(spark, folder)
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ids"), F.count(F.lit(1)).alias("docs")).first()
-    at_once = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total.ids // LEAST_IDS))
-    ranges = max(1, at_once, -(-total.ids // FILE_IDS), -(-total.docs // FILE_DOCS))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
+    total = narrow.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("docs")).first()
+    at_once = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total.bytes // LEAST_BYTES))
+    ranges = max(1, at_once, -(-total.bytes // FILE_BYTES), -(-total.docs // FILE_DOCS))
 
     def run(batches):
-        out, uri, first = None, "", None
+        out, uri, first, encoder = None, "", None, _encoder(path)
         for b in batches:
-            for doc, rid, n, ids in zip(b.column("doc_id").to_pylist(), b.column("rid").to_pylist(), b.column("n").to_pylist(), b.column("ids")):
-                if out is None:
-                    uri, first = f"{root}/{fresh_name('ids', '.pfor')}", (doc, rid)
-                    out = Writer(uri)
-                data = ids.as_buffer()
-                out.add(doc, np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u2").astype(np.uint32))
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                keys = part.column("doc_id").to_pylist(), part.column("rid").to_pylist()
+                for doc, rid, ids in zip(*keys, encoder.encode(part.column("text").to_pylist(), end)):
+                    if out is None:
+                        uri, first = f"{root}/{fresh_name('ids', '.pfor')}", (doc, rid)
+                        out = Writer(uri)
+                    out.add(doc, np.frombuffer(ids, encoder.kind).astype(np.uint32))
         if out is not None:
             out.close()
             row = {"first_id": pa.array([first[0]], pa.int64()), "first_rid": pa.array([first[1]], pa.int64()), "uri": pa.array([uri]), "n_ids": pa.array([out.n], pa.int64()), "n_docs": pa.array([len(out.ids)], pa.int64())}
             yield pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
 
     keys = [F.col("doc_id").asc_nulls_last(), F.col("rid").asc()]
-    files = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("doc_id", "rid", "n", "ids").mapInArrow(run, MANIFEST)
+    files = narrow.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).mapInArrow(run, MANIFEST)
     files.write.parquet(f"{root}/manifest")
 
 
@@ -397,7 +402,6 @@ def _batch(rows: list[list], with_ids: bool) -> pa.RecordBatch:
 
 def op11_packed_ids(spark, sf_dir: str) -> DataFrame:
     """All ``documents`` encoded, written to files and read back."""
-    rows = materialise(encoded(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-ids")
     folder = fresh_path(spark, "packed-ids")
-    write_ids(rows, folder)
+    write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
     return read_ids(spark, folder)

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tellurion.llm import packed
-from tellurion.sources.scratch import fresh_path, materialise
+from tellurion.sources.scratch import fresh_path
 
 
 @given(st.lists(st.one_of(st.integers(0, 50), st.integers(0, 2**32 - 1)), max_size=3000), st.sampled_from([0.0, 0.5, 0.9, 1.0]))
@@ -55,14 +55,13 @@ ODD = [(9, None), (3, ""), (3, "a <|endoftext|> ﬁ ÀÉ́ 　x"), (None, "q" *
 
 def test_files_equal_the_library(spark, monkeypatch):
     monkeypatch.setattr(packed, "PIECE", 4096)
-    monkeypatch.setattr(packed, "LEAST_IDS", 1 << 12)
+    monkeypatch.setattr(packed, "LEAST_BYTES", 1 << 13)
     from tokenizers import Tokenizer
 
     rows = ODD + [(random.Random(i).randrange(1000), f"text {i} of Many " * (i % 90)) for i in range(300)]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, ids string").repartition(4)
-    table, folder = materialise(packed.encoded(docs), "ids"), fresh_path(spark, "ids")
-    packed.write_ids(table, folder)
-    assert len(table.select("rid").distinct().collect()) == len(rows)
+    folder = fresh_path(spark, "ids")
+    packed.write_ids(docs, folder)
     got = sorted(packed.read_ids(spark, folder, True).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is None, d or 0))
     t, at, texts = Tokenizer.from_file(packed.vocabulary_path()), 0, {}
