@@ -1,11 +1,14 @@
-"""Queries over polygons and rectangles."""
+"""Queries over polygons, rectangles, edges and shifts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tellurion.functions.columns import rounded
+from tellurion.operators import edges as ed
+from tellurion.operators import focus as fo
 from tellurion.operators import regions as rg
+from tellurion.operators import shifts as sh
 from tellurion.sources.views import PIX, SIZE, pix, table
 
 QUERIES, ORACLES = {}, {}
@@ -103,3 +106,71 @@ def background_rectangles(spark, sf):
         (3000.0 + F.col("c_nationkey") * 400).alias("width"), (2500.0 + F.col("c_nationkey") % 7 * 700).alias("height"))
     d = rg.background_rectangles(sites, 900.0)
     return d.withColumns({c: rounded(c, 9) for c in ("lat", "lon", "west", "south", "east", "north")})
+
+
+# ---- edges --------------------------------------------------------------------------------
+
+SIGMA, LOW, HIGH = 0.8, 0.09, 0.16
+_W = [f"{w!r}::DOUBLE" for w in ed.weights(SIGMA)]
+
+
+def _smooth(source, name, fixed, along):
+    """SQL of one direction: the line as a list, read with its places held inside."""
+    at = lambda k: f"a[greatest(1, least({SIZE}, p.{along} + 1 + {k}))]"
+    total = " + ".join([f"{_W[0]} * {at(0)}", *(f"{_W[k]} * ({at(-k)} + {at(k)})" for k in range(1, len(_W)))])
+    return f"""{name}l AS (SELECT run_id, {fixed}, list(x ORDER BY {along}) AS a FROM {source} GROUP BY ALL), {name} AS (SELECT p.run_id, p."row", p.col, {total} AS x FROM {source} p JOIN {name}l l ON l.run_id = p.run_id AND l.{fixed} = p.{fixed})"""
+
+
+_RIDGES = f"""{PIX}, e0 AS (SELECT run_id, "row", col, coalesce(b1, 0) / 60 AS x FROM pix), {_smooth("e0", "e1", '"row"', "col")}, {_smooth("e1", "e2", "col", '"row"')},
+  gr AS (SELECT run_id, "row", col, (coalesce(lead(x) OVER h, x) - coalesce(lag(x) OVER h, x)) / 2 AS gx, (coalesce(lead(x) OVER v, x) - coalesce(lag(x) OVER v, x)) / 2 AS gy FROM e2
+         WINDOW h AS (PARTITION BY run_id, "row" ORDER BY col), v AS (PARTITION BY run_id, col ORDER BY "row")),
+  mg AS (SELECT *, sqrt(gx * gx + gy * gy) AS m FROM gr),
+  di AS (SELECT *, CASE WHEN abs(gy) <= abs(gx) * {ed.HALF!r}::DOUBLE THEN [0, 1] WHEN abs(gx) <= abs(gy) * {ed.HALF!r}::DOUBLE THEN [1, 0] WHEN (gx > 0) = (gy > 0) THEN [1, 1] ELSE [1, -1] END AS d FROM mg),
+  rg AS (SELECT d.run_id, d."row", d.col, d.m FROM di d LEFT JOIN mg b ON b.run_id = d.run_id AND b."row" = d."row" - d.d[1] AND b.col = d.col - d.d[2] LEFT JOIN mg a ON a.run_id = d.run_id AND a."row" = d."row" + d.d[1] AND a.col = d.col + d.d[2]
+         WHERE d.m > coalesce(b.m, 0) AND d.m >= coalesce(a.m, 0))"""
+
+
+def _marked(spark, sf):
+    px = pix(spark, sf).select("run_id", "row", "col", (F.coalesce("b1", F.lit(0.0)) / 60).alias("_x"))
+    return ed.ridges(ed.smoothed(px, "_x", SIGMA), "_s")
+
+
+@add("edge_ridges", f'WITH {_RIDGES} SELECT run_id, "row", col, round(m, 9) AS magnitude FROM rg')
+def edge_ridges(spark, sf):
+    """Pixels whose gradient is the largest along its own direction."""
+    return _marked(spark, sf).where("ridge").select("run_id", "row", "col", F.round("magnitude", 9).alias("magnitude"))
+
+
+@add("edge_pixels", f"""WITH RECURSIVE {_RIDGES}, wk AS (SELECT * FROM rg WHERE m >= {LOW}),
+  rc AS (SELECT run_id, "row", col FROM wk WHERE m >= {HIGH} UNION SELECT w.run_id, w."row", w.col FROM rc r JOIN wk w ON w.run_id = r.run_id AND abs(w."row" - r."row") <= 1 AND abs(w.col - r.col) <= 1)
+  SELECT run_id, "row", col, round(m, 9) AS magnitude, m >= {HIGH} AS strong FROM rc JOIN wk USING (run_id, "row", col)""")
+def edge_pixels(spark, sf):
+    """Weak ridges that strong ones reach."""
+    return ed.linked(_marked(spark, sf), LOW, HIGH).select("run_id", "row", "col", F.round("magnitude", 9).alias("magnitude"), "strong")
+
+
+# ---- shifts -------------------------------------------------------------------------------
+
+
+def _passes(spark, sf):
+    """The two passes of every tile: run_id is the tile, z the mean elevation within five pixels, stable outside a square target."""
+    d = fo.focal_mean(pix(spark, sf).select("run_id", "row", "col", "dem"), "dem", 5, "z")
+    inner = lambda c: F.abs(F.col(c) - SIZE / 2) < 12
+    d = d.select(F.floor(F.col("run_id") / 2).cast("int").alias("run_id"), "row", "col", "z", (F.col("run_id") % 2).alias("_pass"), (inner("row") & inner("col")).alias("target"))
+    d = d.withColumn("stable", ~F.col("target"))
+    return d.where("_pass = 0").drop("_pass"), d.where("_pass = 1").drop("_pass")
+
+
+@add("shift_search")
+def shift_search(spark, sf):
+    """The shift of the second pass against the first of every tile, a plane taken off at every candidate."""
+    pre, post = _passes(spark, sf)
+    return sh.best_shifts(pre, post, "z", "stable", least_stable=1000).withColumn("score", rounded("score"))
+
+
+@add("elevation_change")
+def elevation_change(spark, sf):
+    """Shift, plane, gates on stable ground and change in the target of every tile."""
+    pre, post = _passes(spark, sf)
+    d = sh.elevation_change(pre, post, "z", "stable", "target", least_stable=1000, least_target=200, cover=0.9144)
+    return d.withColumns({c: rounded(c) for c, t in d.dtypes if t == "double"})

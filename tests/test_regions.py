@@ -101,7 +101,7 @@ def test_rectangles_of_any_size(spark):
 
 
 def test_background_ring(spark):
-    sites = spark.createDataFrame([(1, 10.0, 20.0, 1000.0, 800.0), (2, 10.0 + 0.02, 20.0, 1000.0, 800.0), (3, 84.999, 0.0, 500.0, 500.0), (4, 0.0, 179.999, 500.0, 500.0)], "site_id int, lat double, lon double, width double, height double")
+    sites = spark.createDataFrame([(1, 10.0, 20.0, 1000.0, 800.0), (2, 10.01, 20.0, 1000.0, 800.0), (3, 84.999, 0.0, 500.0, 500.0), (4, 0.0, 179.999, 500.0, 500.0)], "site_id int, lat double, lon double, width double, height double")
     rows = {(r.site_id, r.direction): r for r in regions.background_rectangles(sites, 100.0).collect()}
     assert len([k for k in rows if k[0] == 1]) == 8 and len([k for k in rows if k[0] == 3]) < 8 and {k[1] for k in rows if k[0] == 4} == {"west", "northwest", "southwest"}
     assert not rows[1, "north"].clear and rows[1, "south"].clear and rows[2, "north"].clear
