@@ -18,14 +18,16 @@ all of them.  ``representatives`` looks for texts whose sets of 5-word shingles
 Jaccard similarity of 0.8 or more; two such sets differ in about 15% of the bits, so
 it takes ``WIDE`` words of 64 bits and lets the parts be narrow: pairs within ``sure``
 bits meet for certain, a pair at 0.8 meets in one of some 36 parts with odds over
-0.95, one at 0.9 with odds over 0.999.  Meetings keep links of up to ``LOOSE`` of the
-512 bits.  Those of at most ``CLOSE`` bits (a similarity near 0.9) hold; where longer
-ones would join groups that these leave apart, the two texts' shingle sets are
-compared exactly.
+0.95, one at 0.9 with odds over 0.999.  Parts get wider with the number of texts, and
+the words of a fingerprint more, so that these odds don't fall (``words_for``).
+Meetings keep links of up to ``LOOSE`` of the first 512 bits.  Those of at most
+``CLOSE`` bits (a similarity near 0.9) hold; where longer ones would join groups that
+these leave apart, the two texts' shingle sets are compared (``fingerprint_groups``).
 
 Bounded work.  Equal fingerprints are first combined, so exact copies cost nothing.
 Meetings are scanned in order of their key, block by block, and give only the links
-of a spanning forest, never all pairs.  A meeting of more than ``BLOCK`` fingerprints
+of a spanning forest, never all pairs (of groups that a failed comparison leaves apart:
+the links between them).  A meeting of more than ``BLOCK`` fingerprints
 is cut into blocks, and pairs of blocks become meetings of their own on other tasks:
 every pair is still compared, and the rows sent grow with the square of such a
 meeting over ``BLOCK``.
@@ -40,12 +42,13 @@ by ``near_duplicates`` and kept by ``representatives``.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellurion.operators.graph import components
@@ -56,11 +59,15 @@ RADIUS = 4
 WIDE_SHINGLE = 5
 WIDE = 8
 LOOSE = 92
-CLOSE = 52
+CLOSE = 45
 SIMILARITY = 0.8
+#: Share of bits in which two texts at that similarity differ, and the least odds that they meet.
+DIFFER = 0.15
+ODDS = 0.95
 BLOCK = 4096
 SMALL = 48
 MOST_BROADCAST = 4_000_000
+MOST_HOT = 65_536
 _SPACES = bytes(32 if 9 <= i <= 13 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -248,11 +255,23 @@ def allocate(costs: list[list[float]], budget: int) -> tuple[float, list[int]]:
     return best[budget]
 
 
+def part_width(n: int) -> int:
+    """Bits of a part that lets some 1,024 of ``n`` unlike fingerprints agree on it (14 to 30)."""
+    return min(30, max(14, int(n).bit_length() - 10))
+
+
+def words_for(n: int, odds: float = ODDS) -> int:
+    """Words of 64 bits that give parts enough for a pair at the similarity sought to agree on one with these odds: wider parts, as ``n`` grows, come with more of them."""
+    agree = (1 - DIFFER) ** part_width(n)
+    parts = math.log(1 - odds) / math.log1p(-agree)
+    return max(WIDE, math.ceil(parts * part_width(n) / 64))
+
+
 def part_counts(n: int, sure: int, words: int) -> list[int]:
-    """Numbers of parts to choose from: for one word those that ``sure`` allows, for several the one that lets some 256 unlike fingerprints agree on a part (14 to 26 bits)."""
+    """Numbers of parts to choose from: for one word those that ``sure`` allows, for several the one that ``part_width`` gives."""
     if words == 1:
         return list(range(2, sure + 2))
-    return [64 * words // min(26, max(14, int(n).bit_length() - 8))]
+    return [64 * words // part_width(n)]
 
 
 def plan_parts(fps: DataFrame, sure: int | None = RADIUS, words: int = 1) -> list[tuple[list[int], int]]:
@@ -344,29 +363,30 @@ def meeting_sizes(fps: DataFrame, masks: list[tuple[np.ndarray, np.ndarray]]) ->
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of rows of words; a and b broadcast against each other."""
+    """Differing bits of rows of words, of the first ``WIDE``; a and b broadcast against each other."""
     d = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
-    for i in range(1, a.shape[-1]):
+    for i in range(1, min(WIDE, a.shape[-1])):
         d += np.bitwise_count(a[..., i] ^ b[..., i])
     return d
 
 
-def _links(left: np.ndarray, right: np.ndarray, radius: int, same: bool, cell: int = 1 << 18) -> list[tuple[int, int]]:
+def _links(left: np.ndarray, right: np.ndarray, radius: int, same: bool, cell: int = 1 << 18, parent: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Places of links between two arrays (``same``: one array with itself) that join what any link joins: a forest.
 
     Rows of ``left`` are taken in slices; a slice is compared with the rows of
-    ``right`` that are not yet joined to all of it.
+    ``right`` that are not yet joined to all of it.  ``parent`` holds what is joined and
+    is changed.
     """
     off = 0 if same else len(left)
-    parent = np.arange(len(left) if same else len(left) + len(right))
+    if parent is None:
+        parent = np.arange(len(left) if same else len(left) + len(right))
 
     def roots():
-        nonlocal parent
         while True:
             up = parent[parent]
             if np.array_equal(up, parent):
                 return parent
-            parent = up
+            parent[:] = up
 
     out, step, s = [], max(1, min(64, cell // max(1, len(right)))), 0
     while s < len(left):
@@ -405,8 +425,29 @@ def _small_links(key, side, fp, radius):
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _verify(radius: int, words: int):
-    """Over rows sorted by key: the links of every meeting."""
+def _meetings_of(work, words: int):
+    """Over rows sorted by key: what ``work`` (key, side, fp) yields of whole meetings."""
+
+    def run(batches):
+        key, side, fp = np.empty(0, np.int64), np.empty(0, np.int8), np.empty((0, words), np.uint64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.concatenate((key, b.column("key").to_numpy(zero_copy_only=False)))
+            side = np.concatenate((side, b.column("side").to_numpy(zero_copy_only=False)))
+            fp = np.concatenate((fp, _fps(b.column("fp"))))
+            done = np.searchsorted(key, key[-1])  # the last meeting may go on in the next batch
+            if done:
+                yield from work(key[:done], side[:done], fp[:done])
+                key, side, fp = key[done:], side[done:], fp[done:]
+        if len(key):
+            yield from work(key, side, fp)
+
+    return run
+
+
+def _verify(radius: int, words: int, close: int | None = None):
+    """The links of every meeting: all of a small one, of a larger one a forest of those within ``close``, and one of longer links between its trees."""
 
     def work(key, side, fp):
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
@@ -419,66 +460,72 @@ def _verify(radius: int, words: int):
             same = sd[0] == 2
             left, right = (place, place) if same else (place[sd == 0], place[sd == 1])
             if len(left) and len(right):
-                pairs = _links(fp[left], fp[right], radius, bool(same))
+                parent = np.arange(len(left) if same else len(left) + len(right))
+                pairs = [x for r in (close, radius) if r is not None for x in _links(fp[left], fp[right], r, bool(same), parent=parent)]
                 us.append(left[[a for a, _ in pairs]] if pairs else place[:0])
                 vs.append(right[[b for _, b in pairs]] if pairs else place[:0])
         u, v = np.concatenate(us), np.concatenate(vs)
         both = np.unique(np.concatenate((fp[u], fp[v]), axis=1), axis=0)
         apart = (both[:, :words] != both[:, words:]).any(axis=1)
         u, v = both[apart, :words], both[apart, words:]
-        return pa.RecordBatch.from_arrays([_binary(u), _binary(v), pa.array(_distance(u, v).astype(np.int32))], names=["u", "v", "bits"])
+        yield pa.RecordBatch.from_arrays([_binary(u), _binary(v), pa.array(_distance(u, v).astype(np.int32))], names=["u", "v", "bits"])
 
-    def run(batches):
-        key, side, fp = np.empty(0, np.int64), np.empty(0, np.int8), np.empty((0, words), np.uint64)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = np.concatenate((key, b.column("key").to_numpy(zero_copy_only=False)))
-            side = np.concatenate((side, b.column("side").to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((fp, _fps(b.column("fp"))))
-            done = np.searchsorted(key, key[-1])  # the last meeting may go on in the next batch
-            if done:
-                yield work(key[:done], side[:done], fp[:done])
-                key, side, fp = key[done:], side[done:], fp[done:]
-        if len(key):
-            yield work(key, side, fp)
+    return _meetings_of(work, words)
 
-    return run
 
+def _across(radius: int, words: int, cell: int = 1 << 18):
+    """All links of every meeting between fingerprints of different groups; the word behind a fingerprint's own is its group."""
 
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK, words: int = 1) -> DataFrame:
-    """u, v, bits: links that connect the fingerprints of ``fps`` (distinct) that are within ``radius`` of each other and meet, possibly over others."""
-    masks = masks_of(plan_parts(fps, radius if words == 1 else None, words), words)
-    n = fps.count()
-    # A meeting over ``block`` has that many rows of one mask, so there are at most masks * n / block of them;
-    # the block grows with n so that this list stays under 65,536 keys.
-    block = max(block, len(masks) * n // 65536)
-    found = {r.key: r.n for r in meeting_sizes(fps, masks).where(F.col("n") > block).collect()} if n > block else {}
-    hot = np.sort(np.array(list(found), np.int64).view(np.uint64)) if found else None
-    scan = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(radius, words), "u binary, v binary, bits int")
-    out = scan(meetings(fps, masks, hot, False))
-    if hot is not None:
-        blocks = {k: -(-c // block) for k, c in found.items()}
-
-        def spread(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                key, side, fp = b.column("key").to_numpy(zero_copy_only=False), b.column("side").to_numpy(zero_copy_only=False), _fps(b.column("fp"))
-                number = _mix(_hash(fp) + np.uint64(7))
-                order = np.argsort(key, kind="stable")
-                edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
-                for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                    at = order[s:e]
-                    k, many = int(key[at[0]]), blocks[int(key[at[0]])]
-                    own = (number[at] % np.uint64(many)).astype(np.int64)
-                    for other in range(many):
-                        low, high = np.minimum(own, other), np.maximum(own, other)
-                        cell = _mix(np.full(len(own), k, np.int64).view(np.uint64) + (low * many + high + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                        yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(side[at]), _binary(fp[at])], names=["key", "side", "fp"])
-
-        out = out.unionByName(scan(meetings(fps, masks, hot, True).mapInArrow(spread, "key long, side byte, fp binary")))
-    return out
+    def work(key, side, fp):
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            step = max(1, cell // (e - s))
+            for at in range(s, e, step) if (fp[s:e, words] != fp[s, words]).any() else ():
+                left, right = fp[at : min(at + step, e), None], fp[None, at:e]
+                near = (_distance(left[..., :words], right[..., :words]) <= radius) & (left[..., words] != right[..., words])
+                sides = side[at : min(at + step, e), None]
+                near &= ((sides == 2) | (sides != side[None, at:e])) & (np.arange(len(left))[:, None] < np.arange(e - at))
+                i, j = np.nonzero(near)
+                u, v = fp[at + i, :words], fp[at + j, :words]
+                yield pa.RecordBatch.from_arrays([_binary(u), _binary(v), pa.array(_distance(u, v).astype(np.int32))], names=["u", "v", "bits"])
+
+    return _meetings_of(work, words + 1)
+
+
+def links(fps: DataFrame, masks: list[tuple[np.ndarray, np.ndarray]], find, block: int = BLOCK) -> DataFrame:
+    """u, v, bits: what ``find`` (see ``_verify``, ``_across``) gives of the meetings of ``fps`` (distinct)."""
+    scan = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(find, "u binary, v binary, bits int")
+    many = 0
+    if fps.count() > block:
+        sizes = materialise(meeting_sizes(fps, masks).where(F.col("n") > block), "hot-meetings")
+        many = sizes.count()
+    if not many:
+        return scan(meetings(fps, masks, None, False))
+    if many <= MOST_HOT:  # tasks look them up
+        hot = np.sort(np.array([r.key for r in sizes.select("key").collect()], np.int64).view(np.uint64))
+        out, large = scan(meetings(fps, masks, hot, False)), meetings(fps, masks, hot, True).join(F.broadcast(sizes), "key")
+    else:
+        every = meetings(fps, masks, None, False)
+        out, large = scan(every.join(sizes, "key", "left_anti")), every.join(sizes, "key")
+
+    def spread(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, side, fp, n = b.column("key").to_numpy(zero_copy_only=False), b.column("side").to_numpy(zero_copy_only=False), _fps(b.column("fp")), b.column("n").to_numpy(zero_copy_only=False)
+            number = _mix(_hash(fp) + np.uint64(7))
+            order = np.argsort(key, kind="stable")
+            edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1], [True])))
+            for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                at = order[s:e]
+                k, cuts = int(key[at[0]]), -(-int(n[at[0]]) // block)
+                own = (number[at] % np.uint64(cuts)).astype(np.int64)
+                for other in range(cuts):
+                    low, high = np.minimum(own, other), np.maximum(own, other)
+                    cell = _mix(np.full(len(own), k, np.int64).view(np.uint64) + (low * cuts + high + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(side[at]), _binary(fp[at])], names=["key", "side", "fp"])
+
+    return out.unionByName(scan(large.mapInArrow(spread, "key long, side byte, fp binary")))
 
 
 # ---- groups -------------------------------------------------------------------
@@ -489,28 +536,62 @@ def fingerprint_groups(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK
 
     lead is the first row of the group in order of doc_id (null last) and row number.
     Nodes of the graph are named by their first row in that order, so the least name
-    that the star rounds reach is the lead, and no group is gathered for it.  Links of
-    more than ``close`` bits between groups of the others hold only if ``alike``, given
-    (u, v, a, b; row numbers and groups), keeps them.
+    that the star rounds reach is the lead, and no group is gathered for it.
+
+    Links of more than ``close`` bits between groups of the others hold only if
+    ``alike``, given (u, v, a, b; row numbers and groups), keeps them.  Larger meetings
+    give only a forest of them; where one of these fails, the two groups may still be
+    joined by another, so the fingerprints of groups with a failure meet once more and
+    every link between different groups is given to ``alike``.  Two groups of a meeting
+    that a forest joins over links that hold are one, so no link is left out.
     """
     name = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")
     distinct = materialise(rows.groupBy("fp").agg(F.min(name).alias("node")), "distinct")
     # names of the links' ends; unknown ids are 0 in a name, as equality wants values
     node = F.struct(F.col("node.unknown").alias("unknown"), F.coalesce("node.doc_id", F.lit(0).cast(rows.schema["doc_id"].dataType)).alias("doc_id"), F.col("node.rid").alias("rid"))
     names = distinct.select("fp", node.alias("node"))
-    found = links(distinct, radius, block, words).distinct()
-    found = found.join(names.select(F.col("fp").alias("u"), F.col("node").alias("_u")), "u").join(names.select(F.col("fp").alias("v"), F.col("node").alias("_v")), "v")
-    edges = materialise(found.select(F.col("_u").alias("u"), F.col("_v").alias("v"), "bits"), "links")
+    masks = masks_of(plan_parts(distinct, radius if words == 1 else None, words), words)
+
+    def named(found: DataFrame) -> DataFrame:
+        found = found.distinct().join(names.select(F.col("fp").alias("u"), F.col("node").alias("_u")), "u").join(names.select(F.col("fp").alias("v"), F.col("node").alias("_v")), "v")
+        return materialise(found.select(F.col("_u").alias("u"), F.col("_v").alias("v"), "bits"), "links")
+
+    edges = named(links(distinct, masks, _verify(radius, words, close), block))
     linked = components(edges if close is None else edges.where(F.col("bits") <= close))
     lead = names.join(linked, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("lead"))
     if close is None:
         return lead.select("fp", "lead")
+
+    def compared(found: DataFrame, lead: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links between different groups, and those that hold; both written."""
+        at = lambda end, group: lead.select(F.col("node").alias(end), F.col("lead").alias(group))
+        far = found.join(at("u", "a"), "u").join(at("v", "b"), "v").where("a != b")
+        far = materialise(far.select(F.col("u.rid").alias("u"), F.col("v.rid").alias("v"), "a", "b"), "far")
+        return far, materialise(alike(far), "alike")
+
+    def joined(lead: DataFrame, held: DataFrame) -> DataFrame:
+        roots = components(held.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "lead", "root": "_root"})
+        return materialise(lead.join(roots, "lead", "left").select("fp", "node", F.coalesce("_root", "lead").alias("lead"), F.col("lead").alias("was")), "groups")
+
     lead = materialise(lead, "groups")
-    at = lambda end, group: lead.select(F.col("node").alias(end), F.col("lead").alias(group))
-    far = edges.where(F.col("bits") > close).join(at("u", "a"), "u").join(at("v", "b"), "v").where("a != b")
-    held = alike(materialise(far.select(F.col("u.rid").alias("u"), F.col("v.rid").alias("v"), "a", "b"), "far"))
-    joined = components(held.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "lead", "root": "_root"})
-    return lead.join(joined, "lead", "left").select("fp", F.coalesce("_root", "lead").alias("lead"))
+    far, held = compared(edges.where(F.col("bits") > close), lead)
+    lead = joined(lead, held)
+    now = lead.select(F.col("was").alias("a"), F.col("lead").alias("now")).distinct()
+    failed = far.join(held, ["u", "v"], "left_anti")
+    failed = failed.join(now, "a").withColumnRenamed("now", "x").join(now.withColumnRenamed("a", "b"), "b").where("x != now")
+    open_ = materialise(failed.select(F.explode(F.array("x", "now")).alias("lead")).distinct(), "open")
+    if open_.isEmpty():
+        return lead.select("fp", "lead")
+    again = lead.join(open_, "lead", "left_semi").select(F.concat("fp", _little_endian(F.col("lead.rid"))).alias("fp"))
+    wider = [tuple(np.append(m, np.uint64(0)) for m in mask) for mask in masks]
+    _, held = compared(named(links(materialise(again, "again"), wider, _across(radius, words), block)), lead)
+    return joined(lead, held).select("fp", "lead")
+
+
+def _little_endian(x: Column) -> Column:
+    """The eight bytes of a long, least first."""
+    digits = F.lpad(F.hex(x), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(7, -1, -1)]))
 
 
 def by_number(rows: DataFrame, numbers: DataFrame, how: str) -> DataFrame:
@@ -566,8 +647,9 @@ def representatives(docs: DataFrame, radius: int = LOOSE, block: int = BLOCK) ->
     columns = docs.columns
     numbered = materialise(docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")), "rows")
     texts = numbered.select(F.col("_rid").alias("rid"), F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"))
-    rows = materialise(fingerprints(texts, "rid", "doc_id", shingle=WIDE_SHINGLE, words=WIDE), "fingerprints")
-    of = fingerprint_groups(rows, radius, block, WIDE, CLOSE, lambda pairs: similar_pairs(pairs, texts.select("rid", "text")))
+    words = words_for(numbered.count())
+    rows = materialise(fingerprints(texts, "rid", "doc_id", shingle=WIDE_SHINGLE, words=words), "fingerprints")
+    of = fingerprint_groups(rows, radius, block, words, CLOSE, lambda pairs: similar_pairs(pairs, texts.select("rid", "text")))
     gone = materialise(rows.join(of, "fp").where(F.col("rid") != F.col("lead.rid")).select(F.col("rid").alias("_rid")), "gone")
     kept = by_number(numbered, gone, "left_anti")
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in columns])

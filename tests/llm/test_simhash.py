@@ -72,13 +72,14 @@ def cluster_frame(spark, n=700, seed=3):
     return sorted(out)
 
 
-def test_links_keep_every_group_whatever_the_block(spark):
+def test_links_keep_every_group_whatever_the_block(spark, monkeypatch):
     fps = cluster_frame(spark)
     want = brute_groups(dict(enumerate(fps)))
     df = spark.createDataFrame([(bytearray(x.to_bytes(8, "little")),) for x in fps], "fp binary").repartition(4)
     place = {x.to_bytes(8, "little"): i for i, x in enumerate(fps)}
-    for block in (20, 4096):
-        linked = {bytes(r.node): bytes(r.root) for r in components(simhash.links(df, block=block)).collect()}
+    for block, most in ((20, 65536), (20, 1), (4096, 65536)):
+        monkeypatch.setattr(simhash, "MOST_HOT", most)
+        linked = {bytes(r.node): bytes(r.root) for r in components(simhash.links(df, simhash.masks_of(simhash.plan_parts(df)), simhash._verify(4, 1), block)).collect()}
         groups = {}
         for f, i in place.items():
             groups.setdefault(linked.get(f, f), []).append(i)
@@ -174,3 +175,52 @@ def test_representatives_against_all_pairs(spark):
     want = {d for d in sets if root(d) == d} - set(empty[1:])
     got = {r.doc_id for r in simhash.representatives(docs).collect()}
     assert len(got - want) <= 0.05 * (len(sets) - len(want)) and len(want - got) <= 0.002 * len(want)
+
+
+def apart(rng, fp, bits):
+    out = fp.copy()
+    for b in rng.choice(512, bits, replace=False):
+        out[b // 64] ^= np.uint64(1 << int(b) % 64)
+    return out
+
+
+def test_sure_links_of_large_meetings():
+    """A link within CLOSE is given whatever looser ones there are, in meetings of any size."""
+    rng = np.random.default_rng(2)
+    for others in (3, 37, 57, 500):
+        a = rng.integers(0, 2**63, 8).astype(np.uint64)
+        b = apart(rng, a, 35)
+        c = apart(rng, np.where(np.arange(8) < 4, a, b), 70)
+        rows = np.concatenate(([c, a, b], rng.integers(0, 2**63, (others, 8)).astype(np.uint64)))
+        got = next(simhash._verify(simhash.LOOSE, 8, simhash.CLOSE)(iter([simhash.pa.RecordBatch.from_arrays([simhash.pa.array(np.zeros(len(rows), np.int64)), simhash.pa.array(np.full(len(rows), 2, np.int8)), simhash._binary(rows)], names=["key", "side", "fp"])])))
+        assert any({bytes(u), bytes(v)} == {a.tobytes(), b.tobytes()} for u, v in zip(got.column("u").to_pylist(), got.column("v").to_pylist()))
+        assert len(got.column("u")) >= 2
+
+
+def test_boilerplate_families(spark):
+    """100 pages share most of their words (a similarity of some 0.7); subgroups of them are near copies (0.8 to 0.98)."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    common, rows = rng.choices(vocabulary, k=420), []
+    for g in range(20):
+        own = rng.choices(vocabulary, k=80)
+        for i in range(5):
+            rows.append((len(rows), " ".join(edited(rng, common + own, (1.0, 0.97, 0.9, 0.86, 0.84)[i]))))
+    sets = [shingle_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                parent = [parent[j] if x == parent[i] else x for x in parent]
+    want = {min(i for i in range(len(rows)) if parent[i] == p) for p in set(parent)}
+    assert 15 <= len(want) <= 30
+    got = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got ^ want) <= 1
+
+
+def test_odds_do_not_fall_with_size():
+    for n in (10, 10**6, 17 * 10**6, 3 * 10**8, 5 * 10**9):
+        words = simhash.words_for(n)
+        (parts,) = simhash.part_counts(n, 0, words)
+        assert 1 - (1 - (1 - simhash.DIFFER) ** simhash.part_width(n)) ** parts >= 0.945
+    assert simhash.words_for(10**6) == simhash.WIDE
