@@ -35,10 +35,10 @@ def best_track(acq: DataFrame) -> DataFrame:
     return n.groupBy("pass").agg(F.min(F.struct((-F.col("n")).alias("k"), "track")).alias("s")).select("pass", "s.track", (-F.col("s.k")).alias("n"))
 
 
-def orbit_window(acq: DataFrame, days: float) -> DataFrame:
-    """Acquisitions within ``days`` of their pass' upper median time."""
-    mid = acq.groupBy("pass").agg(F.expr("percentile_disc(0.5) within group (order by ms desc)").alias("_mid"))
-    return acq.join(mid, "pass").where(F.abs(F.col("ms") - F.col("_mid")) <= int(days * DAY)).drop("_mid")
+def orbit_window(acq: DataFrame, days: float, by: tuple[str, ...] = ("pass",)) -> DataFrame:
+    """Acquisitions within ``days`` of the upper median time of their ``by``."""
+    mid = acq.groupBy(*by).agg(F.expr("percentile_disc(0.5) within group (order by ms desc)").alias("_mid"))
+    return acq.join(mid, list(by)).where(F.abs(F.col("ms") - F.col("_mid")) <= int(days * DAY)).drop("_mid")
 
 
 def pair_candidates(acq: DataFrame, hours: float) -> DataFrame:
@@ -54,8 +54,52 @@ def pair_candidates(acq: DataFrame, hours: float) -> DataFrame:
     return a.join(d, ["track", "_bin"]).withColumn("dt_ms", F.abs(F.col("asc_ms") - F.col("desc_ms"))).where(F.col("dt_ms") <= bound).drop("_bin")
 
 
-def select_pairs(candidates: DataFrame, most: int = 4) -> DataFrame:
-    """Up to ``most`` pairs of each track without a shared acquisition: ascending ones in time order, each with its nearest free partner; a dead end gives way to fewer pairs.
+def nearest_candidates(acq: DataFrame, hours: float, most: int = 4) -> DataFrame:
+    """The ``most`` nearest descending acquisitions of every ascending one of a track at most ``hours`` apart; ties go to the earlier, then to the smaller id.
+
+    They are among the ``most`` before and the ``most`` after it.  Descending ones are
+    numbered along their track, by counts of time bins and places inside a bin, so a
+    track of any length is no window of its own, and its pairs are never all made.
+    """
+    bound = int(hours * HOUR)
+    e = acq.where("pass in ('A', 'D')").select("track", "event_id", "ms", "pass", (F.col("pass") == "D").cast("long").alias("_d"), F.floor(F.col("ms") / bound).alias("_bin"))
+    bins = e.groupBy("track", "_bin").agg(F.sum("_d").alias("_n"))
+    bins = bins.select("track", "_bin", (F.sum("_n").over(Window.partitionBy("track").orderBy("_bin")) - F.col("_n")).alias("_before"))
+    inside = Window.partitionBy("track", "_bin")
+    place = lambda *order: F.col("_before") + F.sum("_d").over(inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    earlier = F.col("_before") + F.coalesce(F.sum("_d").over(inside.orderBy("ms").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    e = e.join(bins, ["track", "_bin"]).withColumns({"_up": place("ms", "event_id"), "_down": place("ms", F.desc("event_id")), "_k": earlier})
+    a = e.where("pass = 'A'").select("track", F.col("event_id").alias("asc_id"), F.col("ms").alias("asc_ms"), "_k")
+    d = e.where("pass = 'D'").select("track", F.col("event_id").alias("desc_id"), F.col("ms").alias("desc_ms"), F.explode(F.array(F.struct(F.lit("up").alias("side"), F.col("_up").alias("n")), F.struct(F.lit("down").alias("side"), F.col("_down").alias("n")))).alias("_at"))
+    wanted = F.array(*[F.struct(F.lit("up").alias("side"), (F.col("_k") + i).alias("n")) for i in range(1, most + 1)], *[F.struct(F.lit("down").alias("side"), (F.col("_k") - i).alias("n")) for i in range(most)])
+    met = a.withColumn("_at", F.explode(wanted)).join(d, ["track", "_at"]).withColumn("dt_ms", F.abs(F.col("asc_ms") - F.col("desc_ms"))).where(F.col("dt_ms") <= bound)
+    near = F.row_number().over(Window.partitionBy("track", "asc_id").orderBy("dt_ms", "desc_ms", "desc_id"))
+    return met.withColumn("_near", near).where(F.col("_near") <= most).select("track", "asc_id", "asc_ms", "desc_id", "desc_ms", "dt_ms")
+
+
+def matching_size(options: dict, taken: set) -> int:
+    """The most items of ``options`` (item -> partners) that can have a partner of their own outside ``taken``: augmenting paths."""
+    holder: dict = {}
+
+    def place(item, seen: set) -> bool:
+        for p in options[item]:
+            if p not in taken and p not in seen:
+                seen.add(p)
+                if p not in holder or place(holder[p], seen):
+                    holder[p] = item
+                    return True
+        return False
+
+    return sum(place(item, set()) for item in options)
+
+
+def select_pairs(candidates: DataFrame, most: int = 4, least: int = 1) -> DataFrame:
+    """As many pairs of each track as can be had without a shared acquisition, up to ``most``; none if fewer than ``least``.
+
+    Of all such sets the first one: ascending acquisitions in order of time, each with
+    its nearest partner that leaves enough for the rest (ties: earlier, smaller id),
+    left out only if none does.  Whether enough is left is the size of a maximum
+    matching of the later ones.
 
     A track comes to Python as at most 2 * most**2 + most candidates, which give the
     same pairs as all of them.  The others of a result hold at most most - 1 partners
@@ -65,35 +109,28 @@ def select_pairs(candidates: DataFrame, most: int = 4) -> DataFrame:
     acquisition, one of which could take the place of any pair further on.
     """
     first = lambda by, *order: F.dense_rank().over(Window.partitionBy("track", by).orderBy(*order)) <= most
-    near = candidates.withColumn("_near", first("asc_id", "dt_ms", "desc_id")).where("_near").drop("_near")
+    near = candidates.withColumn("_near", first("asc_id", "dt_ms", "desc_ms", "desc_id")).where("_near").drop("_near")
     near = near.withColumn("_early", first("desc_id", "asc_ms", "asc_id")).where("_early").drop("_early").dropDuplicates(["track", "asc_id", "desc_id"])
-    place = F.row_number().over(Window.partitionBy("track").orderBy("asc_ms", "asc_id", "dt_ms", "desc_id"))
+    place = F.row_number().over(Window.partitionBy("track").orderBy("asc_ms", "asc_id", "dt_ms", "desc_ms", "desc_id"))
     near = near.withColumn("_place", place).where(F.col("_place") <= 2 * most * most + most).drop("_place")
+    columns = ["track", "asc_id", "desc_id", "asc_ms", "desc_ms", "dt_ms"]
     schema = "track long, asc_id long, desc_id long, asc_ms long, desc_ms long, dt_ms long"
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        options: dict[int, list] = {}
-        for r in pdf.sort_values(["asc_ms", "asc_id", "dt_ms", "desc_id"]).itertuples(index=False):
-            options.setdefault(r.asc_id, []).append(r)
-        order = list(options)
-
-        def search(i, used, want):
-            if want == 0:
-                return []
-            if len(order) - i < want:
-                return None
-            for r in options[order[i]]:
-                if r.desc_id not in used:
-                    rest = search(i + 1, used | {r.desc_id}, want - 1)
-                    if rest is not None:
-                        return [r, *rest]
-            return search(i + 1, used, want)
-
-        for want in range(min(most, len(order)), 0, -1):
-            got = search(0, frozenset(), want)
-            if got is not None:
-                return pd.DataFrame([r._asdict() for r in got])[["track", "asc_id", "desc_id", "asc_ms", "desc_ms", "dt_ms"]]
-        return pdf.head(0)[["track", "asc_id", "desc_id", "asc_ms", "desc_ms", "dt_ms"]]
+        pdf = pdf.sort_values(["asc_ms", "asc_id", "dt_ms", "desc_ms", "desc_id"]).reset_index(drop=True)
+        later = {item: list(own["desc_id"]) for item, own in pdf.groupby("asc_id", sort=False)}
+        want = min(most, matching_size(later, set()))
+        chosen, taken = [], set()
+        if want < least:
+            return pdf.head(0)[columns]
+        for item in list(later):
+            partners = later.pop(item)
+            missing = want - len(chosen)
+            fit = next((p for p in partners if missing and p not in taken and matching_size(later, taken | {p}) >= missing - 1), None)
+            if fit is not None:
+                chosen.append((item, fit))
+                taken.add(fit)
+        return pdf.set_index(["asc_id", "desc_id"]).loc[chosen].reset_index()[columns]
 
     return near.groupBy("track").applyInPandas(match, schema)
 

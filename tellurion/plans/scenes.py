@@ -75,9 +75,18 @@ def pair_candidates(spark, sf):
     return p.select("track", "asc_id", "desc_id", F.round(F.col("dt_ms") / 3600000.0, 9).alias("hours"))
 
 
+@add("pair_nearest", f"""WITH {_PAIRS}, n AS (SELECT p.track, asc_id, desc_id, dt_ms, row_number() OVER (PARTITION BY p.track, asc_id ORDER BY dt_ms, d.ms, desc_id) AS k FROM pairs p JOIN acq d ON d.event_id = desc_id)
+  SELECT track, asc_id, desc_id, dt_ms FROM n WHERE k <= 4""")
+def pair_nearest(spark, sf):
+    """The four nearest partners of every ascending acquisition, found by their places along the track."""
+    return aq.nearest_candidates(acquisitions(spark, sf), 36).select("track", "asc_id", "desc_id", "dt_ms")
+
+
 @add("pair_selection")
 def pair_selection(spark, sf):
-    return aq.select_pairs(aq.pair_candidates(acquisitions(spark, sf), 36)).drop("asc_ms", "desc_ms")
+    """Two to four pairs of every track, of acquisitions within nine days of its passes' middle."""
+    w = aq.orbit_window(acquisitions(spark, sf), 9, ("track", "pass"))
+    return aq.select_pairs(aq.nearest_candidates(w, 36), least=2).drop("asc_ms", "desc_ms")
 
 
 _CHANGE = f"""{SCENES}, b AS (SELECT "row", col, median(b1) / 3 AS lr, median(b4) AS inc FROM scene_pixels WHERE scene_id LIKE '1995%' GROUP BY ALL), a AS (SELECT "row", col, median(b1) / 3 AS lr, median(b4) AS inc FROM scene_pixels WHERE scene_id LIKE '1996%' GROUP BY ALL),

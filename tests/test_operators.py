@@ -340,3 +340,36 @@ def test_mask_orientation(spark):
     d = spark.createDataFrame([(0, k, r, c) for k, px in shapes.items() for r, c in px], "run_id int, object_id int, row int, col int")
     got = {r.object_id: r.orientation for r in fo.mask_axes(d).collect()}
     assert got == {1: "E_W", 2: "N_S", 3: "NW_SE", 4: "NE_SW", 5: "NE_SW", 6: "UNRESOLVED"}
+
+
+def first_solution(own, most, least):
+    """The first set of pairs in order, by trying all."""
+    order = sorted({(r[3], r[1]) for r in own})
+
+    def tries(i, used, want):
+        if not want:
+            return []
+        if i == len(order):
+            return None
+        for r in sorted((r for r in own if r[1] == order[i][1] and r[2] not in used), key=lambda r: (r[5], r[4], r[2])):
+            rest = tries(i + 1, used | {r[2]}, want - 1)
+            if rest is not None:
+                return [r, *rest]
+        return tries(i + 1, used, want)
+
+    return next((s for k in range(most, least - 1, -1) if (s := tries(0, frozenset(), k)) is not None), [])
+
+
+def test_pairs_equal_the_first_solution_of_all(spark):
+    import random
+
+    rng, rows, acq = random.Random(2), [], []
+    for track in range(60):
+        events = [(track, 1000 * track + i, rng.randrange(0, 40) * aq.HOUR, rng.choice("AD")) for i in range(rng.randint(1, 12))]
+        acq += events
+        rows += [(track, a[1], d[1], a[2], d[2], abs(a[2] - d[2])) for a in events for d in events if a[3] == "A" and d[3] == "D" and abs(a[2] - d[2]) <= 6 * aq.HOUR]
+    near = aq.nearest_candidates(spark.createDataFrame(acq, "track long, event_id long, ms long, pass string"), 6, 4)
+    want = {r[:3] for r in rows if sum((o[5], o[4], o[2]) < (r[5], r[4], r[2]) for o in rows if o[:2] == r[:2]) < 4}
+    assert {(r.track, r.asc_id, r.desc_id) for r in near.collect()} == want
+    got = sorted((r.track, r.asc_id, r.desc_id) for r in aq.select_pairs(near, 4, 2).collect())
+    assert got == sorted(r[:3] for t in range(60) for r in first_solution([r for r in rows if r[0] == t], 4, 2))
