@@ -110,27 +110,27 @@ def train_metrics(rows: DataFrame, features: list[str], label: str, split: str)
 # ---- comparison -----------------------------------------------------------------
 
 
-def compare_pixels(left: DataFrame, right: DataFrame, key: list[str], x: str, atol: float, rtol: float) -> DataFrame:
-    """Full outer comparison of a band: counts, differences, share within tolerance."""
+def compare_pixels(left: DataFrame, right: DataFrame, key: list[str], x: str, atol: float, rtol: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Full outer comparison of a band, a row for each ``by`` (of the key; none: one row): counts, differences, share within tolerance."""
     j = left.select(*key, F.col(x).alias("a")).join(right.select(*key, F.col(x).alias("b")), key, "full")
     d = F.abs(F.col("a") - F.col("b"))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     close = both & (d <= atol + rtol * F.abs(F.col("b")))
-    return j.agg(
+    return j.groupBy(*by).agg(
         F.count_if(both).alias("both"), F.count_if(F.col("a").isNotNull() & F.col("b").isNull()).alias("left_only"), F.count_if(F.col("a").isNull() & F.col("b").isNotNull()).alias("right_only"),
         F.round(F.max(d), 6).alias("max_diff"), F.round(F.avg(d), 6).alias("mean_diff"), F.count_if(close).alias("close"))
 
 
-def signed_stats(left: DataFrame, right: DataFrame, key: list[str], x: str) -> DataFrame:
+def signed_stats(left: DataFrame, right: DataFrame, key: list[str], x: str, by: tuple[str, ...] = ()) -> DataFrame:
     j = left.select(*key, F.col(x).alias("a")).join(right.select(*key, F.col(x).alias("b")), key).withColumn("d", F.col("a") - F.col("b")).where("d is not null")
-    return j.agg(
+    return j.groupBy(*by).agg(
         F.count_if(F.col("d") > 0).alias("positive"), F.count_if(F.col("d") < 0).alias("negative"), F.count_if(F.col("d") == 0).alias("zero"),
         F.round(F.median("d"), 6).alias("median"), F.round(quantile(F.abs("d"), 0.9), 6).alias("p90"), F.round(quantile(F.abs("d"), 0.99), 6).alias("p99"))
 
 
-def linear_fit(left: DataFrame, right: DataFrame, key: list[str], x: str) -> DataFrame:
+def linear_fit(left: DataFrame, right: DataFrame, key: list[str], x: str, by: tuple[str, ...] = ()) -> DataFrame:
     j = left.select(*key, F.col(x).alias("a")).join(right.select(*key, F.col(x).alias("b")), key).where("a is not null and b is not null")
-    return j.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("a", "b"), 6).alias("r"), F.round(F.regr_slope("b", "a"), 6).alias("slope"), F.round(F.regr_intercept("b", "a"), 5).alias("intercept"))
+    return j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("a", "b"), 6).alias("r"), F.round(F.regr_slope("b", "a"), 6).alias("slope"), F.round(F.regr_intercept("b", "a"), 5).alias("intercept"))
 
 
 def compare_tables(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -251,14 +251,14 @@ def robust_plane(points: DataFrame, z: str, rounds: int = 4, clip: float = 3.5,
     return g.select("run_id", at(0).alias("offset"), at(1).alias("x_edge_delta"), at(2).alias("y_edge_delta"), "fit_points", status.alias("status"))
 
 
-def best_shift(pre: DataFrame, post: DataFrame, z: str, reach: int = 3) -> DataFrame:
-    """MAD of the difference for every whole-pixel shift within ``reach``, best first."""
+def best_shift(pre: DataFrame, post: DataFrame, z: str, reach: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """MAD of the difference for every whole-pixel shift within ``reach``, for each ``by``; ``shifts.best_shifts`` goes on to quarter pixels and takes planes off."""
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)])
-    a = pre.select("row", "col", F.col(z).alias("a"), F.explode(steps).alias("s"))
-    a = a.select((F.col("row") + F.col("s.dy")).alias("row"), (F.col("col") + F.col("s.dx")).alias("col"), "a", "s.dy", "s.dx")
-    d = a.join(post.select("row", "col", F.col(z).alias("b")), ["row", "col"]).withColumn("d", F.col("b") - F.col("a")).where("d is not null")
-    m = d.groupBy("dy", "dx").agg(F.median("d").alias("m"))
-    return d.join(m, ["dy", "dx"]).groupBy("dy", "dx").agg(F.median(F.abs(F.col("d") - F.col("m"))).alias("mad"), F.count(F.lit(1)).alias("n")).orderBy("mad", "dy", "dx")
+    a = pre.select(*by, "row", "col", F.col(z).alias("a"), F.explode(steps).alias("s"))
+    a = a.select(*by, (F.col("row") + F.col("s.dy")).alias("row"), (F.col("col") + F.col("s.dx")).alias("col"), "a", "s.dy", "s.dx")
+    d = a.join(post.select(*by, "row", "col", F.col(z).alias("b")), [*by, "row", "col"]).withColumn("d", F.col("b") - F.col("a")).where("d is not null")
+    m = d.groupBy(*by, "dy", "dx").agg(F.median("d").alias("m"))
+    return d.join(m, [*by, "dy", "dx"]).groupBy(*by, "dy", "dx").agg(F.median(F.abs(F.col("d") - F.col("m"))).alias("mad"), F.count(F.lit(1)).alias("n")).orderBy(*by, "mad", "dy", "dx")
 
 
 # ---- areas and completeness -------------------------------------------------------------------

@@ -188,28 +188,33 @@ def train_metrics(spark, sf):
 
 # ---- comparison ----------------------------------------------------------------------------
 
-_AB = f'{PIX}, j AS (SELECT l.b1 AS a, r.b1 AS b FROM (SELECT * FROM pix WHERE run_id = 0) l FULL JOIN (SELECT * FROM pix WHERE run_id = 1) r ON l."row" = r."row" AND l.col = r.col)'
+_AB = f'{PIX}, j AS (SELECT coalesce(l.run_id, r.run_id - 1) // 2 AS tile, l.b1 AS a, r.b1 AS b FROM (SELECT * FROM pix WHERE run_id % 2 = 0) l FULL JOIN (SELECT * FROM pix WHERE run_id % 2 = 1) r ON l.run_id + 1 = r.run_id AND l."row" = r."row" AND l.col = r.col)'
+
+
+def _passes(spark, sf):
+    """The first and the second pass of every tile."""
+    p = pix(spark, sf).withColumn("tile", F.floor(F.col("run_id") / 2).cast("int"))
+    return p.where("run_id % 2 = 0"), p.where("run_id % 2 = 1")
 
 
 def _ab(spark, sf):
-    p = pix(spark, sf)
-    return p.where("run_id = 0"), p.where("run_id = 1"), ["row", "col"], "b1"
+    return *_passes(spark, sf), ["tile", "row", "col"], "b1"
 
 
-@add("compare_pixels", f"""WITH {_AB} SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS "both", count(*) FILTER (a IS NOT NULL AND b IS NULL) AS left_only, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS right_only,
-  round(max(abs(a - b)), 6) AS max_diff, round(avg(abs(a - b)), 6) AS mean_diff, count(*) FILTER (abs(a - b) <= 1.03 + 0.01 * abs(b)) AS close FROM j""")
+@add("compare_pixels", f"""WITH {_AB} SELECT tile, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS "both", count(*) FILTER (a IS NOT NULL AND b IS NULL) AS left_only, count(*) FILTER (a IS NULL AND b IS NOT NULL) AS right_only,
+  round(max(abs(a - b)), 6) AS max_diff, round(avg(abs(a - b)), 6) AS mean_diff, count(*) FILTER (abs(a - b) <= 1.03 + 0.01 * abs(b)) AS close FROM j GROUP BY tile""")
 def compare_pixels(spark, sf):
-    return ev.compare_pixels(*_ab(spark, sf), atol=1.03, rtol=0.01)
+    return ev.compare_pixels(*_ab(spark, sf), atol=1.03, rtol=0.01, by=("tile",))
 
 
-@add("signed_delta_stats", f"WITH {_AB}, d AS (SELECT a - b AS d FROM j WHERE a - b IS NOT NULL) SELECT count(*) FILTER (d > 0) AS positive, count(*) FILTER (d < 0) AS negative, count(*) FILTER (d = 0) AS zero, round(median(d), 6) AS median, round(quantile_cont(abs(d), 0.9), 6) AS p90, round(quantile_cont(abs(d), 0.99), 6) AS p99 FROM d")
+@add("signed_delta_stats", f"WITH {_AB}, d AS (SELECT tile, a - b AS d FROM j WHERE a - b IS NOT NULL) SELECT tile, count(*) FILTER (d > 0) AS positive, count(*) FILTER (d < 0) AS negative, count(*) FILTER (d = 0) AS zero, round(median(d), 6) AS median, round(quantile_cont(abs(d), 0.9), 6) AS p90, round(quantile_cont(abs(d), 0.99), 6) AS p99 FROM d GROUP BY tile")
 def signed_delta_stats(spark, sf):
-    return ev.signed_stats(*_ab(spark, sf))
+    return ev.signed_stats(*_ab(spark, sf), by=("tile",))
 
 
-@add("linear_fit", f"WITH {_AB} SELECT count(*) AS n, round(corr(a, b), 6) AS r, round(regr_slope(b, a), 6) AS slope, round(regr_intercept(b, a), 5) AS intercept FROM j WHERE a IS NOT NULL AND b IS NOT NULL")
+@add("linear_fit", f"WITH {_AB} SELECT tile, count(*) AS n, round(corr(a, b), 6) AS r, round(regr_slope(b, a), 6) AS slope, round(regr_intercept(b, a), 5) AS intercept FROM j WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY tile")
 def linear_fit(spark, sf):
-    return ev.linear_fit(*_ab(spark, sf))
+    return ev.linear_fit(*_ab(spark, sf), by=("tile",))
 
 
 @add("compare_tables", """WITH a AS (SELECT n_nationkey % 7 AS k, n_regionkey AS r FROM nation), b AS (SELECT n_nationkey % 7 AS k, n_regionkey AS r FROM nation WHERE n_nationkey > 2),
@@ -274,9 +279,10 @@ def cleanup_summary(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_mktsegment").alias("status"), "c_custkey", "c_acctbal").withColumn("k", F.row_number().over(w)).where("k <= 5")
 
 
-@add("deletion_audit", "SELECT status, count(*) AS runs, sum(cents)::BIGINT AS cents FROM (SELECT c_mktsegment AS status, round(c_acctbal * 100)::BIGINT AS cents FROM customer WHERE c_acctbal < 0 OR c_custkey % 3 = 0) GROUP BY status")
+@add("deletion_audit", "SELECT status, count(*) AS runs, sum(cents)::BIGINT AS cents FROM (SELECT c_mktsegment AS status, round(c_acctbal * 100)::BIGINT AS cents FROM customer WHERE c_acctbal < 0 OR c_mktsegment = 'MACHINERY') GROUP BY status")
 def deletion_audit(spark, sf):
-    c = table(spark, sf, "customer").where((F.col("c_acctbal") < 0) | (F.col("c_custkey") % 3 == 0))
+    """Counts and sums by status of what a retention rule takes: overdrawn or of a closed segment."""
+    c = table(spark, sf, "customer").where((F.col("c_acctbal") < 0) | (F.col("c_mktsegment") == "MACHINERY"))
     return c.groupBy(F.col("c_mktsegment").alias("status")).agg(F.count(F.lit(1)).alias("runs"), F.sum(F.round(F.col("c_acctbal") * 100).cast("long")).alias("cents"))
 
 
@@ -319,12 +325,12 @@ def robust_plane(spark, sf):
     return r.withColumns({c: rounded(c) for c in ("offset", "x_edge_delta", "y_edge_delta")})
 
 
-@add("best_shift", f"""WITH {PIX}, a AS (SELECT "row" + dy AS y, col + dx AS x, dem AS a, dy, dx FROM pix, (SELECT range - 2 AS dy FROM range(5)), (SELECT range - 2 AS dx FROM range(5)) WHERE run_id = 0),
-  d AS (SELECT dy, dx, dem - a AS d FROM a JOIN pix ON run_id = 1 AND "row" = y AND col = x WHERE dem - a IS NOT NULL), m AS (SELECT dy, dx, median(d) AS m FROM d GROUP BY ALL)
-  SELECT dy::INT AS dy, dx::INT AS dx, round(median(abs(d - m)), 6) AS mad, count(*) AS n FROM d JOIN m USING (dy, dx) GROUP BY dy, dx""")
+@add("best_shift", f"""WITH {PIX}, a AS (SELECT run_id, "row" + dy AS y, col + dx AS x, dem AS a, dy, dx FROM pix, (SELECT range - 2 AS dy FROM range(5)), (SELECT range - 2 AS dx FROM range(5)) WHERE run_id % 2 = 0),
+  d AS (SELECT a.run_id // 2 AS tile, dy, dx, dem - a AS d FROM a JOIN pix p ON p.run_id = a.run_id + 1 AND "row" = y AND col = x WHERE dem - a IS NOT NULL), m AS (SELECT tile, dy, dx, median(d) AS m FROM d GROUP BY ALL)
+  SELECT tile, dy::INT AS dy, dx::INT AS dx, round(median(abs(d - m)), 6) AS mad, count(*) AS n FROM d JOIN m USING (tile, dy, dx) GROUP BY tile, dy, dx""")
 def best_shift(spark, sf):
-    p = pix(spark, sf)
-    return ev.best_shift(p.where("run_id = 0"), p.where("run_id = 1"), "dem", 2).withColumn("mad", F.round("mad", 6))
+    """Spread of the difference of every tile's passes at each whole-pixel shift."""
+    return ev.best_shift(*_passes(spark, sf), "dem", 2, ("tile",)).withColumn("mad", F.round("mad", 6))
 
 
 # ---- text and streams ------------------------------------------------------------------------------

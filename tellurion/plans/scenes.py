@@ -45,11 +45,11 @@ def lowest_cloud(spark, sf):
     return aq.lowest(scene_pixels(spark, sf), "b3").withColumn("cloud", F.round("cloud", 6))
 
 
-@add("sensor_union", """SELECT part, count(*) AS scenes, round(avg(v), 6) AS mean FROM (SELECT 'L8' AS part, l_quantity * 0.00341802 + 149 AS v FROM lineitem WHERE l_returnflag = 'A' AND (l_partkey & 28) = 0
-  UNION ALL SELECT 'L9', l_quantity * 0.00341802 + 149 FROM lineitem WHERE l_returnflag = 'R' AND (l_partkey & 28) = 0) GROUP BY part""")
+@add("sensor_union", """SELECT part, count(*) AS scenes, round(avg(v), 6) AS mean FROM (SELECT 'L8' AS part, l_quantity * 0.00341802 + 149 AS v FROM lineitem WHERE l_returnflag = 'A' AND (l_quantity::BIGINT & 28) = 0
+  UNION ALL SELECT 'L9', l_quantity * 0.00341802 + 149 FROM lineitem WHERE l_returnflag = 'R' AND (l_quantity::BIGINT & 28) = 0) GROUP BY part""")
 def sensor_union(spark, sf):
-    """Two sensors with clear quality bits, scaled and united."""
-    t = table(spark, sf, "lineitem").where(F.col("l_partkey").bitwiseAND(F.lit(28).cast("long")) == 0).withColumn("v", F.col("l_quantity") * 0.00341802 + 149)
+    """Two sensors with clear quality bits (of the quantity), scaled and united."""
+    t = table(spark, sf, "lineitem").where(F.col("l_quantity").cast("long").bitwiseAND(F.lit(28).cast("long")) == 0).withColumn("v", F.col("l_quantity") * 0.00341802 + 149)
     u = t.where("l_returnflag = 'A'").select(F.lit("L8").alias("part"), "v").unionByName(t.where("l_returnflag = 'R'").select(F.lit("L9").alias("part"), "v"))
     return u.groupBy("part").agg(F.count(F.lit(1)).alias("scenes"), F.round(F.avg("v"), 6).alias("mean"))
 
