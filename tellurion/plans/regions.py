@@ -1,4 +1,4 @@
-"""Queries over polygons, rectangles, edges and shifts."""
+"""Queries over polygons, rectangles, edges, shifts and places."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tellurion.functions.columns import rounded
 from tellurion.operators import edges as ed
 from tellurion.operators import focus as fo
+from tellurion.operators import projection as pj
 from tellurion.operators import regions as rg
 from tellurion.operators import shifts as sh
 from tellurion.sources.views import PIX, SIZE, pix, table
@@ -174,3 +175,62 @@ def elevation_change(spark, sf):
     pre, post = _passes(spark, sf)
     d = sh.elevation_change(pre, post, "z", "stable", "target", least_stable=1000, least_target=200, cover=0.9144)
     return d.withColumns({c: rounded(c) for c, t in d.dtypes if t == "double"})
+
+
+# ---- places -------------------------------------------------------------------------------
+
+_N = "(1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE))"
+
+
+def _back(source, x, y, name):
+    """SQL: ``source`` with lon and lat of (x, y) in the zone of epsg, as the table ``name``."""
+    return f"""{name}0 AS (SELECT *, {_N} AS n, ({y} - CASE WHEN epsg >= 32700 THEN 10000000 ELSE 0 END) AS yy, ({x} - 500000) AS xx FROM {source}),
+  {name}1 AS (SELECT *, 0.9996::DOUBLE * 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS k FROM {name}0),
+  {name}2 AS (SELECT *, yy / k AS xi, xx / k AS eta, n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 AS b1, n ** 2 / 48 + n ** 3 / 15 AS b2, 17 * n ** 3 / 480 AS b3 FROM {name}1),
+  {name}3 AS (SELECT *, xi - b1 * sin(2 * xi) * cosh(2 * eta) - b2 * sin(4 * xi) * cosh(4 * eta) - b3 * sin(6 * xi) * cosh(6 * eta) AS u, eta - b1 * cos(2 * xi) * sinh(2 * eta) - b2 * cos(4 * xi) * sinh(4 * eta) - b3 * cos(6 * xi) * sinh(6 * eta) AS v FROM {name}2),
+  {name}4 AS (SELECT *, asin(sin(u) / cosh(v)) AS c FROM {name}3),
+  {name} AS (SELECT * EXCLUDE (n, yy, xx, k, xi, eta, b1, b2, b3, u, v, c), degrees(atan2(sinh(v), cos(u))) + (epsg % 100 * 6 - 183) AS lon, degrees(c + (2 * n - 2 * n ** 2 / 3 - 2 * n ** 3 + 116 * n ** 4 / 45) * sin(2 * c) + (7 * n ** 2 / 3 - 8 * n ** 3 / 5 - 227 * n ** 4 / 45) * sin(4 * c)
+    + (56 * n ** 3 / 15 - 136 * n ** 4 / 35) * sin(6 * c) + 4279 * n ** 4 / 630 * sin(8 * c)) AS lat FROM {name}4)"""
+
+
+_PLACE = f"""o AS (SELECT o_orderkey, (32600 + o_orderkey % 2 * 100 + o_custkey % 60 + 1)::INT AS epsg, 300000.0::DOUBLE + round(o_totalprice * 100)::BIGINT % 400000 AS x0, CASE WHEN o_orderkey % 2 = 0 THEN 200000.0::DOUBLE ELSE 1500000.0::DOUBLE END + round(o_totalprice * 100)::BIGINT % 8300000 AS y0 FROM orders)"""
+
+
+def _places(spark, sf):
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", (32600 + k % 2 * 100 + F.col("o_custkey") % 60 + 1).cast("int").alias("epsg"), (300000.0 + cents % 400000).alias("x0"), (F.when(k % 2 == 0, 200000.0).otherwise(1500000.0) + cents % 8300000).alias("y0"))
+
+
+@add("pixel_locations", f"""WITH {_PLACE}, p AS (SELECT *, 10.0::DOUBLE * (o_orderkey % 640 + 0.5::DOUBLE) + x0 AS x, -10.0::DOUBLE * (o_orderkey // 640 % 640 + 0.5::DOUBLE) + y0 AS y FROM o), {_back("p", "x", "y", "b")}
+  SELECT o_orderkey, x, y, round(lon, 9) + 0.0::DOUBLE AS lon, round(lat, 9) + 0.0::DOUBLE AS lat FROM b""")
+def pixel_locations(spark, sf):
+    """Centres of pixels by their grid's transform, and back to longitude and latitude."""
+    p = _places(spark, sf)
+    step = F.array(F.lit(10.0), F.lit(0.0), F.col("x0"), F.lit(0.0), F.lit(-10.0), F.col("y0"))
+    p = p.withColumns(pj.pixel_centers(step, F.floor(F.col("o_orderkey") / 640) % 640, F.col("o_orderkey") % 640))
+    p = p.withColumns(pj.inverse_utm(F.col("x"), F.col("y"), F.col("epsg")))
+    return p.select("o_orderkey", "x", "y", rounded("lon", 9).alias("lon"), rounded("lat", 9).alias("lat"))
+
+
+_COORD = "'[' || round({lon}, 9)::DECIMAL(20, 9) || ',' || round({lat}, 9)::DECIMAL(20, 9) || ']'"
+
+
+@add("site_exports", f"""WITH {_PLACE}, g AS (SELECT o_orderkey, epsg, q, x0 + 320 + dx AS x, y0 + 320 + dy AS y FROM o, (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, -8.5, -8.5), (2, 8.5, -8.5), (3, 8.5, 8.5), (4, -8.5, 8.5), (5, -8.5, -8.5)) v(q, dx, dy)), {_back("g", "x", "y", "b")}
+  SELECT o_orderkey, round(max(lon) FILTER (q = 0), 9) + 0.0::DOUBLE AS lon, round(max(lat) FILTER (q = 0), 9) + 0.0::DOUBLE AS lat, '{{"type":"FeatureCollection","features":[{{"type":"Feature","properties":{{"export_role":"site_point"}},"geometry":{{"type":"Point","coordinates":' || max({_COORD.format(lon="lon", lat="lat")}) FILTER (q = 0) ||
+    '}}}},{{"type":"Feature","properties":{{"export_role":"focus_zone_17m"}},"geometry":{{"type":"Polygon","coordinates":[[' || string_agg({_COORD.format(lon="lon", lat="lat")}, ',' ORDER BY q) FILTER (q > 0) || ']]}}}}]}}' AS geojson FROM b GROUP BY o_orderkey""")
+def site_exports(spark, sf):
+    """A point and a square around the centre of every order's grid."""
+    g = _places(spark, sf).select("o_orderkey", "epsg", F.col("x0").alias("xmin"), F.col("y0").alias("ymin"), (F.col("x0") + 640).alias("xmax"), (F.col("y0") + 640).alias("ymax"))
+    return pj.site_exports(g).select("o_orderkey", rounded("lon", 9).alias("lon"), rounded("lat", 9).alias("lat"), "geojson")
+
+
+@add("point_offsets")
+def point_offsets(spark, sf):
+    """How far the centre of a grid that is snapped to ten metres is off the point it was made for."""
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").select("p_partkey", ((k * 37 % 3599) / 10.0 - 179.95).alias("lon"), ((k * 53 % 1600) / 10.0 - 79.95).alias("lat"))
+    u = pj.utm(F.col("lon"), F.col("lat"))
+    snap = lambda c: F.round(u[c] / 10.0) * 10.0
+    p = p.withColumns({"xmin": snap("easting") - 3200, "ymin": snap("northing") - 3200, "xmax": snap("easting") + 3200, "ymax": snap("northing") + 3200})
+    return pj.point_offsets(p).select("p_partkey", "epsg", *[rounded(c, 6).alias(c) for c in ("delta_x", "delta_y", "planar_offset", "center_lon", "center_lat")])
