@@ -60,6 +60,7 @@ WIDE_SHINGLE = 5
 WIDE = 8
 LOOSE = 92
 CLOSE = 45
+STEP = 6
 SIMILARITY = 0.8
 #: Share of bits in which two texts at that similarity differ, and the least odds that they meet.
 DIFFER = 0.15
@@ -447,7 +448,7 @@ def _meetings_of(work, words: int):
 
 
 def _verify(radius: int, words: int, close: int | None = None):
-    """The links of every meeting: all of a small one, of a larger one a forest of those within ``close``, and one of longer links between its trees."""
+    """The links of every meeting: all of a small one, of a larger one a forest of those within ``close``, and of longer ones between its trees, shorter ones first."""
 
     def work(key, side, fp):
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
@@ -461,7 +462,8 @@ def _verify(radius: int, words: int, close: int | None = None):
             left, right = (place, place) if same else (place[sd == 0], place[sd == 1])
             if len(left) and len(right):
                 parent = np.arange(len(left) if same else len(left) + len(right))
-                pairs = [x for r in (close, radius) if r is not None for x in _links(fp[left], fp[right], r, bool(same), parent=parent)]
+                steps = [radius] if close is None else range(close, radius + STEP, STEP)
+                pairs = [x for r in steps for x in _links(fp[left], fp[right], min(r, radius), bool(same), parent=parent)]
                 us.append(left[[a for a, _ in pairs]] if pairs else place[:0])
                 vs.append(right[[b for _, b in pairs]] if pairs else place[:0])
         u, v = np.concatenate(us), np.concatenate(vs)
@@ -474,27 +476,29 @@ def _verify(radius: int, words: int, close: int | None = None):
 
 
 def _across(radius: int, words: int, cell: int = 1 << 18):
-    """All links of every meeting between fingerprints of different groups; the word behind a fingerprint's own is its group."""
+    """All links of every meeting between fingerprints of different groups, by number; two words behind a fingerprint's own are its number and its group's."""
 
     def work(key, side, fp):
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
             step = max(1, cell // (e - s))
-            for at in range(s, e, step) if (fp[s:e, words] != fp[s, words]).any() else ():
+            for at in range(s, e, step) if (fp[s:e, words + 1] != fp[s, words + 1]).any() else ():
                 left, right = fp[at : min(at + step, e), None], fp[None, at:e]
-                near = (_distance(left[..., :words], right[..., :words]) <= radius) & (left[..., words] != right[..., words])
+                near = (_distance(left[..., :words], right[..., :words]) <= radius) & (left[..., words + 1] != right[..., words + 1])
                 sides = side[at : min(at + step, e), None]
                 near &= ((sides == 2) | (sides != side[None, at:e])) & (np.arange(len(left))[:, None] < np.arange(e - at))
-                i, j = np.nonzero(near)
-                u, v = fp[at + i, :words], fp[at + j, :words]
-                yield pa.RecordBatch.from_arrays([_binary(u), _binary(v), pa.array(_distance(u, v).astype(np.int32))], names=["u", "v", "bits"])
+                i, j = (at + x for x in np.nonzero(near))
+                swap = fp[i, words] > fp[j, words]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                columns = [fp[i, words], fp[j, words], fp[i, words + 1], fp[j, words + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["u", "v", "a", "b"])
 
-    return _meetings_of(work, words + 1)
+    return _meetings_of(work, words + 2)
 
 
-def links(fps: DataFrame, masks: list[tuple[np.ndarray, np.ndarray]], find, block: int = BLOCK) -> DataFrame:
-    """u, v, bits: what ``find`` (see ``_verify``, ``_across``) gives of the meetings of ``fps`` (distinct)."""
-    scan = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(find, "u binary, v binary, bits int")
+def links(fps: DataFrame, masks: list[tuple[np.ndarray, np.ndarray]], find, block: int = BLOCK, schema: str = "u binary, v binary, bits int") -> DataFrame:
+    """What ``find`` (see ``_verify``, ``_across``) gives of the meetings of ``fps`` (distinct)."""
+    scan = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(find, schema)
     many = 0
     if fps.count() > block:
         sizes = materialise(meeting_sizes(fps, masks).where(F.col("n") > block), "hot-meetings")
@@ -562,19 +566,15 @@ def fingerprint_groups(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK
     if close is None:
         return lead.select("fp", "lead")
 
-    def compared(found: DataFrame, lead: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links between different groups, and those that hold; both written."""
-        at = lambda end, group: lead.select(F.col("node").alias(end), F.col("lead").alias(group))
-        far = found.join(at("u", "a"), "u").join(at("v", "b"), "v").where("a != b")
-        far = materialise(far.select(F.col("u.rid").alias("u"), F.col("v.rid").alias("v"), "a", "b"), "far")
-        return far, materialise(alike(far), "alike")
-
     def joined(lead: DataFrame, held: DataFrame) -> DataFrame:
         roots = components(held.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "lead", "root": "_root"})
         return materialise(lead.join(roots, "lead", "left").select("fp", "node", F.coalesce("_root", "lead").alias("lead"), F.col("lead").alias("was")), "groups")
 
     lead = materialise(lead, "groups")
-    far, held = compared(edges.where(F.col("bits") > close), lead)
+    at = lambda end, group: lead.select(F.col("node").alias(end), F.col("lead").alias(group))
+    far = edges.where(F.col("bits") > close).join(at("u", "a"), "u").join(at("v", "b"), "v").where("a != b")
+    far = materialise(far.select(F.least("u.rid", "v.rid").alias("u"), F.greatest("u.rid", "v.rid").alias("v"), "a", "b").dropDuplicates(["u", "v"]), "far")
+    held = materialise(alike(far), "alike")
     lead = joined(lead, held)
     now = lead.select(F.col("was").alias("a"), F.col("lead").alias("now")).distinct()
     failed = far.join(held, ["u", "v"], "left_anti")
@@ -582,9 +582,14 @@ def fingerprint_groups(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK
     open_ = materialise(failed.select(F.explode(F.array("x", "now")).alias("lead")).distinct(), "open")
     if open_.isEmpty():
         return lead.select("fp", "lead")
-    again = lead.join(open_, "lead", "left_semi").select(F.concat("fp", _little_endian(F.col("lead.rid"))).alias("fp"))
-    wider = [tuple(np.append(m, np.uint64(0)) for m in mask) for mask in masks]
-    _, held = compared(named(links(materialise(again, "again"), wider, _across(radius, words), block)), lead)
+    again = lead.join(open_, "lead", "left_semi").select(F.concat("fp", _little_endian(F.col("node.rid")), _little_endian(F.col("lead.rid"))).alias("fp"))
+    wider = [tuple(np.append(m, np.zeros(2, np.uint64)) for m in mask) for mask in masks]
+    more = links(materialise(again, "again"), wider, _across(radius, words), block, "u long, v long, a long, b long").distinct()
+    more = materialise(more.join(far, ["u", "v"], "left_anti"), "far")
+    held = materialise(alike(more), "alike")
+    leads = lead.select("lead").distinct()
+    side = lambda c: leads.select(F.col("lead.rid").alias(c), F.col("lead").alias(f"_{c}"))
+    held = held.join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     return joined(lead, held).select("fp", "lead")
 
 
