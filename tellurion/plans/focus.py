@@ -8,6 +8,7 @@ from tellurion.functions import group_stats as g
 from tellurion.functions.columns import ratio, rounded
 from tellurion.operators import focus as fo
 from tellurion.operators import objects as ob
+from tellurion.operators import targets as tg
 from tellurion.plans.objects import CELL, CLS, COMP, Q, anomaly
 from tellurion.sources.views import PIX, SIZE, pix, table
 
@@ -169,6 +170,31 @@ def focus_axes(spark, sf):
     return a.select(*CELL, *[rounded(c).alias(c) for c in ("metal", "void", "structure", "composite")])
 
 
+def _score_sql(terms):
+    return " + ".join(f"{w!r}::DOUBLE" if f == "one" else f"{w!r}::DOUBLE * {f}" for f, w in terms.items())
+
+
+_FAMILY_SQL = ", ".join(f"[{', '.join(_score_sql(t) for t in family.values())}] AS {name}_v" for name, family in tg.FAMILIES.items())
+_NAME_SQL = {name: "[" + ", ".join(f"'{c}'" for c in family) + "]" for name, family in tg.FAMILIES.items()}
+
+
+@add("focus_targets", f"""WITH {PIX}, f AS (SELECT * FROM pix WHERE b1 IS NOT NULL AND {_IN}), m AS (SELECT run_id, median(b1) AS m1, median(b2) AS m2, median(b3) AS m3, median(b4) AS m4 FROM f GROUP BY run_id),
+  d AS (SELECT run_id, 1.4826 * median(abs(b1 - m1)) AS d1, 1.4826 * median(abs(b2 - m2)) AS d2, 1.4826 * median(abs(b3 - m3)) AS d3, 1.4826 * median(abs(b4 - m4)) AS d4 FROM f JOIN m USING (run_id) GROUP BY run_id),
+  z AS (SELECT run_id, "row", col, (b1 - m1) / d1 AS z1, (b2 - m2) / d2 AS z2, (b3 - m3) / d3 AS z3, (b4 - m4) / d4 AS z4 FROM f JOIN m USING (run_id) JOIN d USING (run_id)),
+  n AS (SELECT run_id, "row", col, 1.3 * z1 + 1.1 * z2 + 0.9 * z3 + 0.4 * z4 AS metal, 1.2 * z4 + z1 + 0.7 * z2 + 0.3 * z3 AS void, 1.25 * z2 + z4 + 0.85 * z3 + 0.35 * z1 AS structure,
+    z1 AS gold, z2 AS silver, z4 AS tunnel, z1 AS thermal, z2 AS doors, z3 AS mass, z2 AS pottery, z4 AS chemical FROM z),
+  s AS (SELECT run_id, "row", col, {_FAMILY_SQL} FROM n),
+  b AS (SELECT *, {", ".join(f"list_position({k}_v, list_max({k}_v)) AS {k}_at, 100 / list_sum(list_transform({k}_v, lambda x: exp(x - list_max({k}_v)))) AS {k}_c" for k in tg.FAMILIES)}, list_sort(form_v) AS o FROM s)
+  SELECT run_id, "row", col, {", ".join(f"{_NAME_SQL[k]}[{k}_at] AS {k}, round({k}_c, 1) AS {k}_confidence" for k in tg.FAMILIES)}, round(0.55 * form_c + 0.25 * content_c + 0.2 * period_c, 1) AS confidence,
+    greatest(form_v[41], form_v[42], form_v[43]) > (o[32] + o[33]) / 2 AS trap FROM b""")
+def focus_targets(spark, sf):
+    """Likely form, content and period of every focus pixel with confidences and warning; four bands stand for nine."""
+    z = g.robust_z(pix(spark, sf).where(_circle() & F.col("b1").isNotNull()), ["b1", "b2", "b3", "b4"])
+    stands = {"gold": "b1", "silver": "b2", "mass": "b3", "chemical": "b4", "tunnel": "b4", "thermal": "b1", "doors": "b2", "zero": "b3", "pottery": "b2"}
+    a = fo.focus_axes(z.select(*CELL, *[F.col(f"{b}_z").alias(n) for n, b in stands.items()]))
+    return tg.likely_targets(a).select(*CELL, "form", "form_confidence", "content", "content_confidence", "period", "period_confidence", "confidence", "trap")
+
+
 @add("decision_grades", f"""WITH {PIX}, p AS (SELECT run_id, "row", col, 1 / (1 + exp(-2 * (b1 / 25 - 0.9))) AS d, 1 / (1 + exp(-3 * (b3 * 12 - 0.6))) AS i FROM pix WHERE b1 IS NOT NULL)
   SELECT run_id, "row", col, round(d, 6) AS detection, round(i, 6) AS interpretation, CASE WHEN d >= 0.75 AND i >= 0.6 THEN 'A_HIGH_CONFIDENCE_REVIEW' WHEN d >= 0.6 AND i >= 0.45 THEN 'B_MEDIUM_CONFIDENCE_REVIEW' WHEN d >= 0.45 THEN 'C_LOW_CONFIDENCE_REVIEW' ELSE 'D_WEAK_OR_UNRESOLVED' END AS grade FROM p""")
 def decision_grades(spark, sf):
