@@ -19,7 +19,12 @@ def qualified(spark: SparkSession, folder: str) -> str:
     there = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = there.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(there)
-    return re.sub(r"^file:/+", "file:///", system.makeQualified(there).toString())
+    return full(system.makeQualified(there).toString())
+
+
+def full(uri: str) -> str:
+    """A URI as Arrow reads it: Hadoop leaves a local one without an authority."""
+    return re.sub(r"^file:/+", "file:///", uri)
 
 
 def system_of(uri: str):

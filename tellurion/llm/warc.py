@@ -2,41 +2,45 @@
 
 Writing.  Payload digests are computed on the executors' JVM; payloads of at least
 ``LEAST`` bytes that are met more than once get one response record, the page with
-the largest id, and revisit records for the others.  Each task writes archives of
-at most ``MAX_ARCHIVE`` bytes under a name made of its partition and a number, to a
-temporary name first, so a task that runs again replaces its own files.
-
-Reading.  Archives come through Spark's binary file source, so any store that
-Spark reads will do; an archive is bounded, and its bytes are inflated member by
-member in steps of ``STEP`` bytes.  Content-Length frames the block, the block
-digest is verified for every record, the payload digest for responses.
+the largest id, and revisit records for the others.  The digests that are shared come to
+the pages while they are few (counted), by a shuffle beyond.  Each task writes archives
+of some ``MAX_ARCHIVE`` bytes under names of its own and reports them; the manifest, a
+table that Spark commits, names those of the tasks that count.  Others are never read.
+
+Reading.  An archive is a stream: bytes are inflated member by member in steps of
+``STEP`` bytes, and one record is held at a time, so archives may be of any size.
+Content-Length frames the block; block digests are verified where a record has one,
+payload digests of all but revisits.  With a manifest, every archive must be there and
+hold as many records as were written.  Archives from elsewhere are read without one:
+records of any kind, with or without the optional headers; in records of HTTP messages the
+payload is the body.
 
 Defined results: null html is an empty payload; records shorter than ``LEAST``
 are always responses; pages that repeat the largest id of a group are all
-responses; null page ids are kept; an empty table gives an empty result; other
-columns are ignored.  A damaged record raises ``ValueError``.
+responses; page ids are longs, null ones are kept (records from elsewhere have none); an
+empty table gives an empty result; other columns are ignored.  A damaged record, or a
+missing archive, raises ``ValueError``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurion.sources.scratch import fresh_path
+from tellurion.llm.files import fresh_name, full, qualified, system_of
+from tellurion.sources.scratch import fresh_path, materialise
 
 LEAST = 1000
 MAX_ARCHIVE = 16 << 20
 STEP = 1 << 16
 LEVEL = 6
+MOST_SHARED = 1_000_000
 PAGE = "urn:page:"
 NO_PAGE = "urn:page-none:"
 
@@ -70,109 +74,162 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
-    """Write below ``folder`` (a path or a URI of any file system that Arrow opens) and rename into place."""
-    from pyarrow import fs
-
-    system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
-    system.create_dir(base, recursive=True)
-    temporary = f"{base}/_{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(temporary) as f:
-        f.write(data)
-    system.move(temporary, f"{base}/{name}")
+MANIFEST = "uri string, records long, bytes long"
 
 
 def write_archives(pages: DataFrame, folder: str, max_archive: int = MAX_ARCHIVE) -> None:
-    """Write every row of ``pages`` (page_id, url, html) to archives below ``folder``."""
-    spark = pages.sparkSession
-    there = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(there)  # a table without rows makes an empty folder
+    """Write every row of ``pages`` (page_id, url, html) to archives and a manifest below ``folder``."""
+    root = qualified(pages.sparkSession, folder)
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", body.alias("payload"), F.sha1(body).alias("digest"))
-    heads = pages.select("page_id", F.sha1(body).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= LEAST)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("payload"), F.sha1(body).alias("digest"))
+    heads = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body).alias("digest"), F.octet_length(body).alias("n")).where(F.col("n") >= LEAST)
     shared = heads.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first")).where("n > 1 and first is not null").select("digest", "first")
-    marked = rows.join(shared, "digest", "left")
+    shared = materialise(shared, "shared-payloads")
+    marked = rows.join(F.broadcast(shared) if shared.count() <= MOST_SHARED else shared, "digest", "left")
     own = F.when(F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, held, size, wrote = TaskContext.get().partitionId(), 0, [], 0, 0
+        out, uri, records, size = None, "", 0, 0
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], names=["uri", "records", "bytes"])
+
         for b in batches:
             for i in range(b.num_rows):
                 page, url, payload, digest, first = (b.column(c)[i].as_py() for c in ("page_id", "url", "payload", "digest", "refers_to"))
                 m = member(record(page, url, payload, digest, first))
-                if held and size + len(m) > max_archive:
-                    _put(folder, f"part-{part:06d}-{number:04d}.warc.gz", b"".join(held))
-                    number, held, size = number + 1, [], 0
-                held.append(m)
-                size += len(m)
-                wrote += 1
-        if held:
-            _put(folder, f"part-{part:06d}-{number:04d}.warc.gz", b"".join(held))
-        yield pa.RecordBatch.from_arrays([pa.array([wrote], pa.int64())], names=["n"])
-
-    marked.select("page_id", "url", "payload", "digest", own.alias("refers_to")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
-
-
-def members(data: bytes) -> Iterator[bytes]:
-    """The inflated gzip members of an archive, each inflated in steps."""
-    view, at = memoryview(data), 0
-    while at < len(view):
+                if out is not None and size + len(m) > max_archive:
+                    yield closed()
+                    out = None
+                if out is None:
+                    uri, records, size = f"{root}/{fresh_name('part', '.warc.gz')}", 0, 0
+                    system, path = system_of(uri)
+                    out = system.open_output_stream(path, compression=None)
+                out.write(m)
+                records, size = records + 1, size + len(m)
+        if out is not None:
+            yield closed()
+
+    marked.select("page_id", "url", "payload", "digest", own.alias("refers_to")).mapInArrow(run, MANIFEST).write.parquet(f"{root}/manifest")
+
+
+def members(read) -> Iterator[bytes]:
+    """The inflated gzip members of a stream (``read``: n -> bytes), inflated in steps."""
+    held = read(STEP)
+    while held:
         z, out = zlib.decompressobj(31), []
         while not z.eof:
-            step = view[at : at + STEP]
-            if not step:
+            if not held:
                 raise ValueError("archive ends inside a member")
-            out.append(z.decompress(step))
-            at += len(step)
-        at -= len(z.unused_data)
+            try:
+                out.append(z.decompress(held))
+            except zlib.error as e:
+                raise ValueError("archive is damaged") from e
+            held = z.unused_data or read(STEP)
         yield b"".join(out)
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one record, framed by Content-Length and checked against the digests."""
+def _digest_of(text: str) -> tuple[str, bytes] | None:
+    """Algorithm and bytes of a labelled digest in base 32 or hex; None for a label that isn't known."""
+    label, _, value = text.partition(":")
+    size = {"sha1": 20, "sha256": 32, "md5": 16}.get(label.lower().replace("-", ""))
+    if size is None:
+        return None
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError as e:
+        raise ValueError(f"{text} is no digest") from e
+    return label.lower().replace("-", ""), raw
+
+
+def parse(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
+    """Headers, block and payload of one record, framed by Content-Length and checked against the digests it has."""
     cut = raw.find(b"\r\n\r\n")
-    lines = raw[:cut].decode("utf-8").split("\r\n")
+    lines = raw[:cut].decode("utf-8", "replace").split("\r\n")
     if cut < 0 or not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    head = {k.lower(): v for k, v in (x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])}
+    head: dict[str, str] = {}
+    last = ""
+    for line in lines[1:]:
+        if line[:1] in " \t" and last:  # a folded line
+            head[last] += " " + line.strip()
+        else:
+            last, _, value = line.partition(":")
+            last = last.strip().lower()
+            head[last] = value.strip()
+    if "warc-type" not in head or not head.get("content-length", "").isdigit():
+        raise ValueError("record lacks its type or length")
     n = int(head["content-length"])
     block = raw[cut + 4 : cut + 4 + n]
     if len(block) != n or raw[cut + 4 + n :] != b"\r\n\r\n":
         raise ValueError("record is not as long as it says")
-    found = "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
-    if head["warc-block-digest"] != found or head["warc-type"] == "response" and head["warc-payload-digest"] != found:
-        raise ValueError("digest does not match")
-    return head, block
+    payload = block
+    if head.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        payload = block.partition(b"\r\n\r\n")[2]
+    for name, data in (("warc-block-digest", block), ("warc-payload-digest", payload)):
+        if name in head and not (name == "warc-payload-digest" and head["warc-type"] == "revisit"):
+            want = _digest_of(head[name])
+            if want and hashlib.new(want[0], data).digest() != want[1]:
+                raise ValueError("digest does not match")
+    return head, block, payload
 
 
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def _page(name: str | None) -> int | None:
+    name = (name or "").strip("<>")
+    return int(name[len(PAGE) :]) if name.startswith(PAGE) and name[len(PAGE) :].lstrip("-").isdigit() else None
+
+
+def _row(head: dict[str, str], payload: bytes) -> dict:
+    revisit = head["warc-type"] == "revisit"
+    given = _digest_of(head["warc-payload-digest"]) if "warc-payload-digest" in head else None
+    length = head.get("warc-payload-length", "")
+    return {
+        "page_id": _page(head.get("warc-record-id")), "url": head.get("warc-target-uri"),
+        "payload_bytes": len(payload) if not revisit else int(length) if length.isdigit() else None,
+        "payload_digest": hashlib.sha1(payload).hexdigest() if not revisit else given[1].hex() if given and given[0] == "sha1" else None,
+        "record_type": head["warc-type"], "refers_to": _page(head.get("warc-refers-to")), "payload": None if revisit else payload}
+
+
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
-    """One row a record: page_id, url, payload_bytes, payload_digest (hex), record_type, refers_to[, payload]."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
+    """One row a record: page_id, url, payload_bytes, payload_digest (SHA-1, hex), record_type, refers_to[, payload]."""
+    root = qualified(spark, folder)
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(root).select(F.col("path").alias("uri"))
+    jvm = spark._jvm
+    manifest = jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    if manifest.getFileSystem(spark._jsc.hadoopConfiguration()).exists(manifest):
+        told = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").select("uri", "records")
+        if not told.join(there.select(name(F.col("uri")).alias("_n")), name(F.col("uri")) == F.col("_n"), "left_anti").isEmpty():
+            raise ValueError(f"an archive of {root} is missing")
+        there = told
+    else:
+        there = there.withColumn("records", F.lit(None).cast("long"))
     schema = READ_SCHEMA + (", payload binary" if with_payload else "")
+    types = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
+    names = [c for c in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload") if with_payload or c != "payload"]
 
     def run(batches):
         for b in batches:
-            for data in b.column("content"):
-                rows: dict[str, list] = {k: [] for k in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")}
-                for raw in members(data.as_buffer()):
-                    head, block = parse(raw)
-                    name, refers = head["warc-record-id"][1:-1], head.get("warc-refers-to")
-                    rows["page_id"].append(int(name[len(PAGE) :]) if name.startswith(PAGE) else None)
-                    rows["url"].append(head["warc-target-uri"])
-                    rows["payload_bytes"].append(int(head["warc-payload-length"]))
-                    rows["payload_digest"].append(base64.b32decode(head["warc-payload-digest"][5:]).hex())
-                    rows["record_type"].append(head["warc-type"])
-                    rows["refers_to"].append(int(refers[1:-1][len(PAGE) :]) if refers else None)
-                    if with_payload:
-                        rows["payload"].append(block if head["warc-type"] == "response" else None)
-                types = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
-                names = [k for k in rows if with_payload or k != "payload"]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[k], types.get(k, pa.string())) for k in names], names=names)
-
-    return files.mapInArrow(run, schema)
+            for uri, records in zip(b.column("uri").to_pylist(), b.column("records").to_pylist()):
+                system, path = system_of(full(uri))
+                rows, held, seen = [], 0, 0
+                with system.open_input_stream(path, compression=None) as f:
+                    for raw in members(lambda n, f=f: f.read(n)):
+                        head, _, payload = parse(raw)
+                        rows.append(_row(head, payload))
+                        held, seen = held + len(payload), seen + 1
+                        if held > MAX_ARCHIVE or len(rows) >= 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], types.get(c, pa.string())) for c in names], names=names)
+                            rows, held = [], 0
+                if records is not None and seen != records:
+                    raise ValueError(f"{uri} holds {seen} records, {records} were written")
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], types.get(c, pa.string())) for c in names], names=names)
+
+    return there.repartition(max(1, min(there.count(), 65_536)), "uri").mapInArrow(run, schema)
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:

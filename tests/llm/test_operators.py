@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import io
 import math
 import textwrap
 import zlib
@@ -130,12 +131,12 @@ def test_archives_round_trip(spark, tmp_path):
     assert {k: bytes(r.payload).decode() for k, r in got.items()} == {k: r.html for k, r in want.items()}
     assert all(r.url == want[k].url for k, r in got.items())
     one = next((tmp_path / "a").glob("*.warc.gz")).read_bytes()
-    raw = list(warc.members(one))
+    raw = list(warc.members(io.BytesIO(one).read))
     assert b"".join(raw) == gzip.decompress(one)
     with pytest.raises(ValueError):
         warc.parse(raw[0].replace(b"<html", b"<hxml", 1))
     with pytest.raises(ValueError):
-        list(warc.members(one[:-9]))
+        list(warc.members(io.BytesIO(one[:-9]).read))
 
 
 def test_shared_payloads_are_revisits(spark, tmp_path):
@@ -413,3 +414,44 @@ def test_license_places(spark):
         (6, None, "", "", 0), (7, "", "", "", 0), (8, " \n\n ", "", "", 0)]
     got = licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [(r.doc_id, r.sentence_ids, r.licenses, r.n_unknown) for r in got] == [(r[0], *r[2:]) for r in rows]
+
+
+def test_archives_that_are_missing_or_short(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"<html>{i} " + "z" * 500) for i in range(200)], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "c"), max_archive=3000)
+    files = sorted((tmp_path / "c").glob("*.warc.gz"))
+    (tmp_path / "c" / "left-behind.warc.gz").write_bytes(files[0].read_bytes())  # of an attempt that no manifest names
+    assert warc.read_archives(spark, str(tmp_path / "c")).count() == 200
+    data = files[0].read_bytes()
+    first = next(warc.members(io.BytesIO(data).read))
+    files[0].write_bytes(warc.member(first))
+    with pytest.raises(Exception, match="records"):
+        warc.read_archives(spark, str(tmp_path / "c")).collect()
+    files[0].unlink()
+    with pytest.raises(ValueError, match="missing"):
+        warc.read_archives(spark, str(tmp_path / "c"))
+
+
+def foreign(kind, block, *more):
+    return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1-2>", "warc-date: 2020-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<html>body</html>"
+    body = b"<html>body</html>"
+    sha = hashlib.sha1(body).hexdigest()
+    records = [
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Target-URI: http://x/", "Content-Type: application/http; msgtype=request"),
+        foreign("response", http, "WARC-Target-URI: http://x/", "Content-Type: application/http;\r\n msgtype=response", f"WARC-Payload-Digest: sha1:{sha}", "WARC-Block-Digest: md5:" + hashlib.md5(http).hexdigest(), "X-Other: blake3:zz"),
+        foreign("resource", b"r" * 70000, "WARC-Block-Digest: crc:77"),
+        foreign("revisit", b"", "WARC-Refers-To: <urn:uuid:3>"),
+    ]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    rows = warc.read_archives(spark, str(tmp_path / "d"), with_payload=True).collect()
+    assert [(r.record_type, r.page_id, r.url) for r in rows] == [("warcinfo", None, None), ("request", None, "http://x/"), ("response", None, "http://x/"), ("resource", None, None), ("revisit", None, None)]
+    assert (bytes(rows[2].payload), rows[2].payload_digest, rows[2].payload_bytes) == (body, sha, len(body)) and rows[3].payload_bytes == 70000 and rows[4].payload_bytes is None
+    for bad in (records[2].replace(b"body", b"bodx"), records[3][:-5], b"WARC/1.0\r\nWARC-Type: x\r\n\r\n\r\n\r\n"):
+        with pytest.raises(ValueError):
+            warc.parse(bad)
