@@ -56,7 +56,8 @@ MEMO = 400_000
 MEMO_BYTES = 64 << 20
 VOCAB = 32000
 UNK, END = 0, 2
-END_WORD = b"\x00end"
+#: The end of a text as a word: no word holds a space.
+END_WORD = b" "
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 

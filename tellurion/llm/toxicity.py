@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PER_CLASS = {1: 2000, 0: 4000}
 BUCKETS = 1 << 18
@@ -36,6 +37,8 @@ RATE = 0.15
 DECAY = 1e-5
 BIAS = -6.0
 CUT = 0.7
+#: Texts that an id may give to the sample.
+PER_ID = 4
 MEMO = 400_000
 LONGEST = 64
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -131,11 +134,13 @@ def held_out(doc_id):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CLASS) -> tuple[list, list]:
-    """Texts and labels, at most ``per_class`` of each label, first by hash of the id."""
+    """Texts and labels, at most ``per_class`` ids of each label, first by hash of the id, and ``PER_ID`` texts of an id, first by hash of the text."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).where(~held_out(F.col("doc_id")))
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in per_class.items()]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "text", "y").collect()  # bounded by per_class
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    rows = texts.withColumn("_k", place).where(F.col("_k") <= PER_ID).select("doc_id", "text", "y").collect()  # at most PER_ID for each of per_class
     rows.sort(key=lambda r: (r.doc_id, r.text or ""))
     return [r.text for r in rows], [r.y for r in rows]
 
