@@ -53,7 +53,9 @@ def connected(mask: DataFrame, min_pixels: int = MIN_PIXELS, diagonal: bool = Tr
     w = Window.partitionBy("run_id", "row").orderBy("col")
     begins = F.col("col") != F.coalesce(F.lag("col").over(w) + 1, F.lit(-1))
     m = mask.withColumn("_start", F.when(begins, F.col("col"))).withColumn("_start", F.last("_start", ignorenulls=True).over(w))
-    name = F.shiftleft(F.col("run_id").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("row").cast("long"), 20)).bitwiseOR(F.col("_start").cast("long"))
+    fits = (F.col("run_id") >= 0) & (F.col("run_id") < 1 << 23) & (F.col("row") < 1 << 20) & (F.col("col") < 1 << 20)
+    run = F.when(fits, F.col("run_id").cast("long")).otherwise(F.raise_error(F.lit("a run, row or column is too large for a stretch's name")).cast("long"))
+    name = F.shiftleft(run, 40).bitwiseOR(F.shiftleft(F.col("row").cast("long"), 20)).bitwiseOR(F.col("_start").cast("long"))
     m = m.withColumn("_id", name).drop("_start")
     below = m.select(F.col("_id").alias("u"), "run_id", (F.col("row") + 1).alias("row"), F.explode(F.array(*[F.col("col") + k for k in ((-1, 0, 1) if diagonal else (0,))])).alias("col"))
     edges = below.join(m.select("run_id", "row", "col", F.col("_id").alias("v")), ["run_id", "row", "col"]).select("u", "v").distinct()
@@ -141,27 +143,30 @@ def zones(classified: DataFrame) -> DataFrame:
 def pca_scores(df: DataFrame, bands: list[str], k: int = 3) -> DataFrame:
     """Whitened distance in the top ``k`` principal components of each run, and its 1..99 stretch.
 
-    The Gram matrix is one aggregation (bands^2 sums a run); only it reaches the
-    driver, where its eigenvectors are taken.  Components under 1e-10 of the
-    variance are left out; runs are few and independent.
+    The Gram matrix is one aggregation (bands^2 sums a run), solved by a vectorised
+    function, one row a run.  Components under 1e-10 of the variance are left out.
+    ``pca.pca_anomaly`` also chooses channels, fills and clips.
     """
-    import numpy as np
-
     ok = df.dropna(subset=bands)
     n = len(bands)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(b).alias(f"s{i}") for i, b in enumerate(bands)]
-    aggs += [F.sum(F.col(bands[i]) * F.col(bands[j])).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)]
-    rows = []
-    for r in ok.groupBy("run_id").agg(*aggs).collect():
-        mean = np.array([r[f"s{i}"] for i in range(n)]) / r.n
-        gram = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
-        cov = (gram - r.n * np.outer(mean, mean)) / max(r.n - 1, 1)
-        val, vec = np.linalg.eigh(cov)
-        val, vec = val[::-1][:k], vec[:, ::-1][:, :k]
-        use = val > max(val[0], 0) * 1e-10
-        w = vec[:, use] / np.sqrt(val[use])
-        rows.append((r.run_id, mean.tolist(), w.T.tolist()))
-    model = df.sparkSession.createDataFrame(rows, "run_id int, mean array<double>, w array<array<double>>")
+    sums = ok.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(b) for b in bands]).alias("s"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in bands for b in bands]).alias("g"))
+
+    def solve(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                mean = np.array(r.s, float) / r.n
+                cov = (np.array(r.g, float).reshape(n, n) - r.n * np.outer(mean, mean)) / max(r.n - 1, 1)
+                val, vec = np.linalg.eigh((cov + cov.T) / 2)
+                val, vec = val[::-1][:k], vec[:, ::-1][:, :k]
+                use = val > max(val[0], 0) * 1e-10
+                out.append((r.run_id, mean.tolist(), (vec[:, use] / np.sqrt(val[use])).T.tolist()))
+            yield pd.DataFrame(out, columns=["run_id", "mean", "w"])
+
+    model = sums.mapInPandas(solve, f"run_id {df.schema['run_id'].dataType.simpleString()}, mean array<double>, w array<array<double>>")
     d = ok.join(model, "run_id").withColumn("_x", F.zip_with(F.array(*bands), "mean", lambda a, b: a - b))
     dot = lambda v: F.aggregate(F.zip_with(v, F.col("_x"), lambda a, b: a * b), number(0), lambda s, x: s + x)
     d = d.withColumn("score", F.sqrt(F.aggregate(F.transform("w", dot), number(0), lambda s, x: s + x * x))).drop("_x", "mean", "w")

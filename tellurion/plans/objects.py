@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tellurion.functions import group_stats as g
 
 from tellurion.operators import objects as ob
+from tellurion.operators import pca
 from tellurion.sources.views import PIX, pix
 
 QUERIES, ORACLES = {}, {}
@@ -116,6 +117,24 @@ def pca_scores(spark, sf):
     return d.select(*CELL, F.round("score", 6).alias("score"), F.round("display", 6).alias("display"))
 
 
+def _pca(spark, sf):
+    px = pix(spark, sf).withColumns({"flat": F.lit(1.5), "ok": (F.coalesce("b1", F.lit(0.0)) > 5).cast("int")})
+    return pca.pca_anomaly(px, ["b1", "b2", "b3", "b4", "flat"], "ok")
+
+
+@add("pca_anomaly")
+def pca_anomaly(spark, sf):
+    """Anomaly of the pixels that a support band and all chosen channels cover, filled and clipped."""
+    return _pca(spark, sf)[0].select(*CELL, F.round("raw_score", 6).alias("raw_score"), F.round("anomaly", 6).alias("anomaly"))
+
+
+@add("pca_report")
+def pca_report(spark, sf):
+    """Status, channels, valid pixels and variances of every run."""
+    r = _pca(spark, sf)[1]
+    return r.withColumns({"variance": F.transform("variance", lambda v: F.round(v, 6)), "share": F.transform("share", lambda v: F.round(v, 6)), "valid_fraction": F.round("valid_fraction", 6)})
+
+
 _D = "sqrt((\"row\" - 32) ** 2 + (col - 32) ** 2)"
 
 
