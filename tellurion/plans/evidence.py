@@ -380,10 +380,17 @@ def json_canonical(spark, sf):
 @add("stream_event_windows", """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, sum(round(value * 1000)::BIGINT)::BIGINT AS v FROM events GROUP BY ALL""")
 def stream_event_windows(spark, sf):
     """Daily counts by type through a stream with a watermark and repeats dropped."""
-    t = st.run_to_table(st.windowed(st.read_events(spark, sf)))
+    t = st.run_to_latest(st.windowed(st.read_events(spark, sf)), ["window", "event_type"])
     return t.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "v")
 
 
+@add("stream_pairs", """WITH e AS (SELECT event_id, user_id AS track, epoch_us(ts) AS us, event_type FROM events) SELECT a.track, a.event_id AS asc_id, d.event_id AS desc_id, abs(a.us // 1000 - d.us // 1000) AS dt_ms
+  FROM e a JOIN e d ON a.track = d.track AND a.event_type = 'view' AND d.event_type = 'click' AND abs(a.us - d.us) <= 36 * 3600000000""")
+def stream_pairs(spark, sf):
+    """Ascending and descending acquisitions of a track within 36 hours, as a join of two streams into files."""
+    return st.run_to_files(st.paired(st.read_events(spark, sf), 36))
+
+
 @add("quantile_contexts", f"""WITH {PIX}, q AS (SELECT run_id, quantile_cont(inc, 0.25) AS i1, quantile_cont(inc, 0.75) AS i3 FROM pix GROUP BY run_id)
   SELECT run_id, count(*) FILTER (inc <= i1) AS low, count(*) FILTER (inc > i1 AND inc < i3) AS middle, count(*) FILTER (inc >= i3) AS high FROM pix JOIN q USING (run_id) GROUP BY run_id""")
 def quantile_contexts(spark, sf):
