@@ -75,6 +75,7 @@ def assign_splits(groups: DataFrame, targets: dict[str, float], source: str = "s
     return groups.withColumn("split", out.otherwise(list(targets)[-1]))
 
 
+# Edges of score bands.
 BANDS = ((0.0, 0.1), (0.1, 0.25), (0.25, 0.5), (0.5, 0.75), (0.75, 1.0))
 
 
@@ -143,6 +144,7 @@ def compare_tables(left: DataFrame, right: DataFrame) -> DataFrame:
 # ---- quality ------------------------------------------------------------------------
 
 
+# Severities of a check, in rising order.
 SEVERITY = ("PASS", "WARNING", "BLOCKED")
 
 

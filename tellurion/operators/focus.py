@@ -23,6 +23,12 @@ DEFAULT_FOCUSES, MOST_FOCUSES = 3, 10
 # Review grades by the least confidence of detection and of interpretation.
 GRADES = ((0.75, 0.60, "A_HIGH_CONFIDENCE_REVIEW"), (0.60, 0.45, "B_MEDIUM_CONFIDENCE_REVIEW"), (0.45, None, "C_LOW_CONFIDENCE_REVIEW"))
 WEAKEST_GRADE = "D_WEAK_OR_UNRESOLVED"
+# The layers behind the short names of bands, and the fields behind those of the axes.
+LAYERS = {
+    "gold": "Secret_Gold_Halo", "silver": "Secret_Silver_Oxide", "tunnel": "Secret_Tunnel_Ceiling", "thermal": "Secret_Thermal_Inertia", "chemical": "Secret_Chemical_Protector",
+    "doors": "Secret_Hidden_Doors", "zero": "REPORT_640_FINAL_Zero_Point_Targets", "mass": "REPORT_640_Mass_Report", "pottery": "REPORT_640_Pottery_Report",
+    "metal": "محور_معدني", "void": "محور_فراغ", "structure": "محور_بنيوي",
+}
 # Labels of a target by the bands that reach their medians, the first that holds.
 PRIORITIES = (
     (("gold", "mass"), "Priority A ? Metallic/High-density focus"),
