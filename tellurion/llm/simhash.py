@@ -329,8 +329,8 @@ def _keys(x: np.ndarray, number: int, part: np.ndarray, flip: np.ndarray) -> tup
         return _mix(_mix(_hash(x & (part & ~flip) | low)) + np.uint64(number)), high
 
 
-def meetings(fps: DataFrame, masks: list[tuple[np.ndarray, np.ndarray]], hot: np.ndarray | None, only_hot: bool) -> DataFrame:
-    """key, side, fp for every probe.  A key that is in ``hot`` (sorted) is left to ``only_hot``."""
+def meetings(fps: DataFrame, masks: list[tuple[np.ndarray, np.ndarray]], hot: np.ndarray | None, only_hot: bool, numbered: bool = False) -> DataFrame:
+    """key, side, fp for every probe; ``numbered``: with the probe's number as a word behind.  A key that is in ``hot`` (sorted) is left to ``only_hot``."""
 
     def run(batches):
         for b in batches:
@@ -344,6 +344,7 @@ def meetings(fps: DataFrame, masks: list[tuple[np.ndarray, np.ndarray]], hot: np
                     take = is_hot if only_hot else ~is_hot
                     key, side, rows = key[take], side[take], x[take]
                 if len(rows):
+                    rows = np.column_stack((rows, np.full(len(rows), number, np.uint64))) if numbered else rows
                     kind = side.astype(np.int8) if flip.any() else np.full(len(rows), 2, np.int8)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(kind), _binary(rows)], names=["key", "side", "fp"])
 
@@ -475,8 +476,11 @@ def _verify(radius: int, words: int, close: int | None = None):
     return _meetings_of(work, words)
 
 
-def _across(radius: int, words: int, cell: int = 1 << 18):
-    """All links of every meeting between fingerprints of different groups, by number; two words behind a fingerprint's own are its number and its group's."""
+def _across(radius: int, words: int, masks: list[tuple[np.ndarray, np.ndarray]], cell: int = 1 << 18):
+    """All links of every meeting between fingerprints of different groups, by number, each in the first meeting that its ends share.
+
+    Three words behind a fingerprint's own are its number, its group's, and the probe's.
+    """
 
     def work(key, side, fp):
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
@@ -488,15 +492,19 @@ def _across(radius: int, words: int, cell: int = 1 << 18):
                 sides = side[at : min(at + step, e), None]
                 near &= ((sides == 2) | (sides != side[None, at:e])) & (np.arange(len(left))[:, None] < np.arange(e - at))
                 i, j = (at + x for x in np.nonzero(near))
+                first, differ = np.full(len(i), len(masks)), fp[i, :words] ^ fp[j, :words]
+                for number, (part, flip) in reversed(list(enumerate(masks))):
+                    first[((differ & part[:words]) == flip[:words]).all(axis=1)] = number
+                i, j = i[first == fp[i, words + 2]], j[first == fp[i, words + 2]]
                 swap = fp[i, words] > fp[j, words]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
                 columns = [fp[i, words], fp[j, words], fp[i, words + 1], fp[j, words + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["u", "v", "a", "b"])
 
-    return _meetings_of(work, words + 2)
+    return _meetings_of(work, words + 3)
 
 
-def links(fps: DataFrame, masks: list[tuple[np.ndarray, np.ndarray]], find, block: int = BLOCK, schema: str = "u binary, v binary, bits int") -> DataFrame:
+def links(fps: DataFrame, masks: list[tuple[np.ndarray, np.ndarray]], find, block: int = BLOCK, schema: str = "u binary, v binary, bits int", numbered: bool = False) -> DataFrame:
     """What ``find`` (see ``_verify``, ``_across``) gives of the meetings of ``fps`` (distinct)."""
     scan = lambda df: df.repartition("key").sortWithinPartitions("key").mapInArrow(find, schema)
     many = 0
@@ -504,12 +512,12 @@ def links(fps: DataFrame, masks: list[tuple[np.ndarray, np.ndarray]], find, bloc
         sizes = materialise(meeting_sizes(fps, masks).where(F.col("n") > block), "hot-meetings")
         many = sizes.count()
     if not many:
-        return scan(meetings(fps, masks, None, False))
+        return scan(meetings(fps, masks, None, False, numbered))
     if many <= MOST_HOT:  # tasks look them up
         hot = np.sort(np.array([r.key for r in sizes.select("key").collect()], np.int64).view(np.uint64))
-        out, large = scan(meetings(fps, masks, hot, False)), meetings(fps, masks, hot, True).join(F.broadcast(sizes), "key")
+        out, large = scan(meetings(fps, masks, hot, False, numbered)), meetings(fps, masks, hot, True, numbered).join(F.broadcast(sizes), "key")
     else:
-        every = meetings(fps, masks, None, False)
+        every = meetings(fps, masks, None, False, numbered)
         out, large = scan(every.join(sizes, "key", "left_anti")), every.join(sizes, "key")
 
     def spread(batches):
@@ -584,7 +592,7 @@ def fingerprint_groups(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK
         return lead.select("fp", "lead")
     again = lead.join(open_, "lead", "left_semi").select(F.concat("fp", _little_endian(F.col("node.rid")), _little_endian(F.col("lead.rid"))).alias("fp"))
     wider = [tuple(np.append(m, np.zeros(2, np.uint64)) for m in mask) for mask in masks]
-    more = links(materialise(again, "again"), wider, _across(radius, words), block, "u long, v long, a long, b long").distinct()
+    more = links(materialise(again, "again"), wider, _across(radius, words, masks), block, "u long, v long, a long, b long", True).distinct()
     more = materialise(more.join(far, ["u", "v"], "left_anti"), "far")
     held = materialise(alike(more), "alike")
     leads = lead.select("lead").distinct()
