@@ -37,7 +37,8 @@ def moved(points: DataFrame, cells: DataFrame) -> DataFrame:
     """``points`` (run_id, row, col, dx, dy and others) with b, the value of the grid moved by (dx, dy) pixels; points without four sources go."""
     low = lambda d: F.floor(-F.col(d)).cast("int")
     p = points.withColumns({"_r": F.col("row") + low("dy"), "_c": F.col("col") + low("dx"), "_fx": -F.col("dx") - low("dx"), "_fy": -F.col("dy") - low("dy")})
-    j = p.join(cells.withColumnsRenamed({"row": "_r", "col": "_c"}), ["run_id", "_r", "_c"])
+    # Points of many candidates, and written quads, are larger than Spark takes them for: merged, as all joins by pixel here.
+    j = p.hint("merge").join(cells.withColumnsRenamed({"row": "_r", "col": "_c"}), ["run_id", "_r", "_c"])
     fx, fy = F.col("_fx"), F.col("_fy")
     b = F.col("q00") * (1 - fx) * (1 - fy) + F.col("q10") * fx * (1 - fy) + F.col("q01") * (1 - fx) * fy + F.col("q11") * fx * fy
     return j.withColumn("b", b).drop("_r", "_c", "_fx", "_fy", "q00", "q10", "q01", "q11")
@@ -46,7 +47,7 @@ def moved(points: DataFrame, cells: DataFrame) -> DataFrame:
 def stable_points(pre: DataFrame, post: DataFrame, z: str, stable: str | None, least_stable: int, most: int) -> DataFrame:
     """run_id, row, col, a: every n-th stable pixel in scan order that both grids have, at most ``most`` of a pair; pairs with fewer than ``least_stable`` give none."""
     a = pre.where(F.col(stable)) if stable else pre
-    both = a.select("run_id", "row", "col", F.col(z).cast("double").alias("a")).join(post.select("run_id", "row", "col", F.col(z).alias("_b")), ["run_id", "row", "col"]).dropna(subset=["a", "_b"]).drop("_b")
+    both = a.select("run_id", "row", "col", F.col(z).cast("double").alias("a")).hint("merge").join(post.select("run_id", "row", "col", F.col(z).alias("_b")), ["run_id", "row", "col"]).dropna(subset=["a", "_b"]).drop("_b")
     # Place in scan order by counts of rows, so that no window holds a grid.
     lines = both.groupBy("run_id", "row").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("run_id")
@@ -124,7 +125,7 @@ def elevation_change(pre: DataFrame, post: DataFrame, z: str, stable: str, targe
     shift = materialise(best_shifts(pre, post, z, stable, least_stable, least, most), "best-shifts")
     grid = pre.select("run_id", "row", "col", F.col(z).cast("double").alias("a"), F.coalesce(F.col(stable), F.lit(False)).alias("_s"), F.coalesce(F.col(target), F.lit(False)).alias("_t")).join(shift, "run_id")
     met = moved(grid.where("a is not null"), quads(post, z)).select("run_id", "row", "col", (F.col("b") - F.col("a")).alias("_d"))
-    d = materialise(grid.join(met, ["run_id", "row", "col"], "left"), "differences")
+    d = materialise(grid.hint("merge").join(met, ["run_id", "row", "col"], "left"), "differences")
     fitted = materialise(robust_plane(d.withColumn("_z", F.when(F.col("_s"), F.col("_d"))), "_z", least=least), "planes")
     size = d.groupBy("run_id").agg(F.greatest(F.max("row"), F.lit(1)).alias("_h"), F.greatest(F.max("col"), F.lit(1)).alias("_w"))
     e = d.join(fitted.join(size, "run_id"), "run_id")

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tellurion.operators import payloads
+from tellurion.operators.shifts import moved, quads
 from tellurion.sources.views import whole_grid
 
 
@@ -16,3 +18,16 @@ def test_whole_grid_is_merged_when_a_filter_makes_its_join_inner(spark):
     d = whole_grid(cells.groupBy("run_id", "row", "col").agg(F.sum("b1").alias("b1")))
     assert d.count() == 5 * 64 * 64
     assert broadcasts(d.where("b1 is not null")) == 0
+
+
+def test_points_of_candidate_shifts_are_merged(spark):
+    grid = spark.range(400).select(F.lit(1).alias("run_id"), (F.col("id") % 20).cast("int").alias("row"), F.floor(F.col("id") / 20).cast("int").alias("col"), F.col("id").alias("z"))
+    points = grid.select("run_id", "row", "col", F.col("z").alias("a"), F.lit(0.25).alias("dx"), F.lit(-1.0).alias("dy"))
+    d = moved(points, quads(grid, "z"))
+    assert d.count() > 0 and broadcasts(d) == 0
+
+
+def test_levels_of_payloads_are_merged(spark):
+    d = spark.range(50).select("id", F.to_json(F.struct(F.struct(F.col("id").alias("lat"), F.array("id", "id").alias("at")).alias("location"))).alias("payload"))
+    for out in (payloads.redacted(d, "payload"), payloads.canonical(d, "payload"), payloads.violations(d, "payload")):
+        assert out.count() > 0 and broadcasts(out) == 0
