@@ -5,7 +5,8 @@ one row of every member of the containers of the level above, with the path to i
 whether an ancestor's key speaks of a place.  Rules drop members by key or change
 leaves; then the levels are put together again from the deepest up, members in order of
 their keys.  Each level is written, so its rows are made once, and the number of rounds
-is the depth of the deepest payload.
+is the depth of the deepest payload.  Written levels are far larger than their files, by
+which Spark judges them; they are merged, never broadcast.
 
 Defined results: a text that isn't JSON, or repeats a key of an object, has the result
 NULL; JSON null, empty objects and empty lists stay; numbers with a fraction are doubles
@@ -124,7 +125,7 @@ def put_together(levels: list[DataFrame], leaf: Callable[[Column, Column], Colum
         d = level.where(~F.col("_gone"))
         whole = d.select(*_DOC, "_pos", "_key", "kind", F.when(~F.col("kind").isin("OBJECT", "ARRAY"), plain).alias("_text"))
         if below is not None:
-            whole = whole.join(below, _DOC, "left")
+            whole = whole.hint("merge").join(below, _DOC, "left")
             inner = F.coalesce("_inner", F.lit(""))
         else:
             inner = F.lit("")
@@ -151,7 +152,7 @@ def _numbered(df: DataFrame) -> DataFrame:
 def _rewritten(df: DataFrame, payload: str, out: str, drop, leaf, pairs: bool, features: bool) -> DataFrame:
     numbered = _numbered(df)
     texts = put_together(taken_apart(numbered, payload, drop, pairs), leaf, features)
-    return numbered.join(texts.withColumnRenamed("text", out), "_doc", "left").drop("_doc")
+    return numbered.hint("merge").join(texts.withColumnRenamed("text", out), "_doc", "left").drop("_doc")
 
 
 def redacted(df: DataFrame, payload: str, out: str = "redacted") -> DataFrame:
@@ -174,4 +175,4 @@ def violations(df: DataFrame, payload: str) -> DataFrame:
         rule = F.when(F.col("_gone"), "key").when(F.col("kind") == "PAIR", "coordinates").when(changed, "text")
         d = level.select("_doc", F.array_join("_path", "").alias("path"), rule.alias("rule")).where("rule is not null")
         found = d if found is None else found.unionByName(d)
-    return numbered.join(found, "_doc").drop("_doc")
+    return numbered.hint("merge").join(found, "_doc").drop("_doc")

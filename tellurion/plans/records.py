@@ -81,7 +81,7 @@ def _payloads(spark, sf):
     body = F.struct(
         F.concat(F.lit("run "), k.cast("string"), F.lit(' "quoted" /home/u'), (k % 9).cast("string"), F.lit("/a.tif")).alias("note"), F.struct((k % 90).alias("lat"), F.array(k % 80, k % 170).alias("center"), F.lit("12, 99").alias("text"), F.array(k % 80, k % 500).alias("size")).alias("location"),
         F.sha2(F.encode(k.cast("string"), "UTF-8"), 256).alias("sha256"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.transform("lines", feature).alias("features"), F.col("o_totalprice").alias("amount"))
-    return table(spark, sf, "orders").join(l, "o_orderkey").select("o_orderkey", F.to_json(body).alias("payload"))
+    return table(spark, sf, "orders").hint("merge").join(l, "o_orderkey").select("o_orderkey", F.to_json(body).alias("payload"))
 
 
 _LINES = """l AS (SELECT l_orderkey AS o_orderkey, list({'n': l_linenumber, 'p': l_partkey, 'q': l_quantity} ORDER BY l_linenumber, l_partkey, l_quantity) AS lines FROM lineitem GROUP BY 1),
