@@ -178,13 +178,19 @@ _FAMILY_SQL = ", ".join(f"[{', '.join(_score_sql(t) for t in family.values())}]
 _NAME_SQL = {name: "[" + ", ".join(f"'{c}'" for c in family) + "]" for name, family in tg.FAMILIES.items()}
 
 
+def _share_sql(k):
+    """SQL: each score's part of the sum of exponentials; scores whose parts are equal are a tie, which the first class wins."""
+    powers = f"list_transform({k}_v, lambda x: exp(x - list_max({k}_v)))"
+    return f"list_transform({powers}, lambda y: y / list_sum({powers}))"
+
+
 @add("focus_targets", f"""WITH {PIX}, f AS (SELECT * FROM pix WHERE b1 IS NOT NULL AND {_IN}), m AS (SELECT run_id, median(b1) AS m1, median(b2) AS m2, median(b3) AS m3, median(b4) AS m4 FROM f GROUP BY run_id),
   d AS (SELECT run_id, 1.4826 * median(abs(b1 - m1)) AS d1, 1.4826 * median(abs(b2 - m2)) AS d2, 1.4826 * median(abs(b3 - m3)) AS d3, 1.4826 * median(abs(b4 - m4)) AS d4 FROM f JOIN m USING (run_id) GROUP BY run_id),
   z AS (SELECT run_id, "row", col, (b1 - m1) / d1 AS z1, (b2 - m2) / d2 AS z2, (b3 - m3) / d3 AS z3, (b4 - m4) / d4 AS z4 FROM f JOIN m USING (run_id) JOIN d USING (run_id)),
   n AS (SELECT run_id, "row", col, 1.3 * z1 + 1.1 * z2 + 0.9 * z3 + 0.4 * z4 AS metal, 1.2 * z4 + z1 + 0.7 * z2 + 0.3 * z3 AS void, 1.25 * z2 + z4 + 0.85 * z3 + 0.35 * z1 AS structure,
     z1 AS gold, z2 AS silver, z4 AS tunnel, z1 AS thermal, z2 AS doors, z3 AS mass, z2 AS pottery, z4 AS chemical FROM z),
   s AS (SELECT run_id, "row", col, {_FAMILY_SQL} FROM n),
-  b AS (SELECT *, {", ".join(f"list_position({k}_v, list_max({k}_v)) AS {k}_at, 100 / list_sum(list_transform({k}_v, lambda x: exp(x - list_max({k}_v)))) AS {k}_c" for k in tg.FAMILIES)}, list_sort(form_v) AS o FROM s)
+  b AS (SELECT *, {", ".join(f"list_position({_share_sql(k)}, list_max({_share_sql(k)})) AS {k}_at, 100 / list_sum(list_transform({k}_v, lambda x: exp(x - list_max({k}_v)))) AS {k}_c" for k in tg.FAMILIES)}, list_sort(form_v) AS o FROM s)
   SELECT run_id, "row", col, {", ".join(f"{_NAME_SQL[k]}[{k}_at] AS {k}, round({k}_c, 1) AS {k}_confidence" for k in tg.FAMILIES)}, round(0.55 * form_c + 0.25 * content_c + 0.2 * period_c, 1) AS confidence,
     greatest(form_v[41], form_v[42], form_v[43]) > (o[32] + o[33]) / 2 AS trap FROM b""")
 def focus_targets(spark, sf):
