@@ -58,9 +58,9 @@ def connected(mask: DataFrame, min_pixels: int = MIN_PIXELS, diagonal: bool = Tr
     name = F.shiftleft(run, 40).bitwiseOR(F.shiftleft(F.col("row").cast("long"), 20)).bitwiseOR(F.col("_start").cast("long"))
     m = m.withColumn("_id", name).drop("_start")
     below = m.select(F.col("_id").alias("u"), "run_id", (F.col("row") + 1).alias("row"), F.explode(F.array(*[F.col("col") + k for k in ((-1, 0, 1) if diagonal else (0,))])).alias("col"))
-    edges = below.join(m.select("run_id", "row", "col", F.col("_id").alias("v")), ["run_id", "row", "col"]).select("u", "v").distinct()
+    edges = below.join(m.select("run_id", "row", "col", F.col("_id").alias("v")).hint("merge"), ["run_id", "row", "col"]).select("u", "v").distinct()
     roots = components(edges)
-    lab = m.join(roots, m["_id"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_id")).drop("node", "root")
+    lab = m.join(roots.hint("merge"), m["_id"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_id")).drop("node", "root")
     kept = lab.groupBy("run_id", "_root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pixels)
     kept = kept.withColumn("object_id", F.row_number().over(Window.partitionBy("run_id").orderBy("_root")))
     return lab.join(kept, ["run_id", "_root"]).drop("_id", "_root", "_n")
@@ -87,7 +87,7 @@ def clusters(objects: DataFrame, eps: float = EPS) -> DataFrame:
     pairs = left.join(o.select("run_id", F.col("_id").alias("v"), F.col("row_center").alias("r2"), F.col("col_center").alias("c2"), "_y", "_x"), ["run_id", "_y", "_x"])
     near = pairs.where((F.col("u") < F.col("v")) & (F.sqrt((F.col("r1") - F.col("r2")) ** 2 + (F.col("c1") - F.col("c2")) ** 2) <= eps))
     roots = components(near.select("u", "v"))
-    o = o.join(roots, o["_id"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_id"))
+    o = o.join(roots.hint("merge"), o["_id"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_id"))
     rank = F.dense_rank().over(Window.partitionBy("run_id").orderBy("_root")) - 1
     return o.withColumn("cluster_id", rank).drop("_id", "_root", "_y", "_x", "node", "root")
 
