@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tellurion.functions.columns import clamp01, number
 from tellurion.functions.group_stats import quantile, with_stats
 from tellurion.operators.graph import components
+from tellurion.sources.scratch import materialise
 
 MIN_PIXELS = 4
 EPS = 6.0
@@ -48,7 +49,8 @@ def connected(mask: DataFrame, min_pixels: int = MIN_PIXELS, diagonal: bool = Tr
 
     Pixels side by side in a row are one stretch, by a window; only stretches of
     neighbouring rows that touch are edges of the graph.  A stretch is named by run,
-    row and first column in 23, 20 and 20 bits, whatever the grid's size.
+    row and first column in 23, 20 and 20 bits, whatever the grid's size.  The mask is
+    written once; edges and objects read it instead of working the band again.
     """
     w = Window.partitionBy("run_id", "row").orderBy("col")
     begins = F.col("col") != F.coalesce(F.lag("col").over(w) + 1, F.lit(-1))
@@ -56,14 +58,14 @@ def connected(mask: DataFrame, min_pixels: int = MIN_PIXELS, diagonal: bool = Tr
     fits = (F.col("run_id") >= 0) & (F.col("run_id") < 1 << 23) & (F.col("row") < 1 << 20) & (F.col("col") < 1 << 20)
     run = F.when(fits, F.col("run_id").cast("long")).otherwise(F.raise_error(F.lit("a run, row or column is too large for a stretch's name")).cast("long"))
     name = F.shiftleft(run, 40).bitwiseOR(F.shiftleft(F.col("row").cast("long"), 20)).bitwiseOR(F.col("_start").cast("long"))
-    m = m.withColumn("_id", name).drop("_start")
+    m = materialise(m.withColumn("_id", name).drop("_start"), "stretches")
     below = m.select(F.col("_id").alias("u"), "run_id", (F.col("row") + 1).alias("row"), F.explode(F.array(*[F.col("col") + k for k in ((-1, 0, 1) if diagonal else (0,))])).alias("col"))
     edges = below.join(m.select("run_id", "row", "col", F.col("_id").alias("v")).hint("merge"), ["run_id", "row", "col"]).select("u", "v").distinct()
-    roots = components(edges)
+    roots = components(edges, join="merge")
     lab = m.join(roots.hint("merge"), m["_id"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_id")).drop("node", "root")
     kept = lab.groupBy("run_id", "_root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pixels)
     kept = kept.withColumn("object_id", F.row_number().over(Window.partitionBy("run_id").orderBy("_root")))
-    return lab.join(kept, ["run_id", "_root"]).drop("_id", "_root", "_n")
+    return lab.join(kept.hint("merge"), ["run_id", "_root"]).drop("_id", "_root", "_n")
 
 
 def summarize(pixels: DataFrame, x: str) -> DataFrame:
@@ -78,15 +80,15 @@ def clusters(objects: DataFrame, eps: float = EPS) -> DataFrame:
     """Adds cluster_id (from 0): objects within ``eps`` of each other, over others too.
 
     The neighbour join is an equi-join over cells of side ``eps``, each object
-    meeting the nine cells around it.
+    meeting the nine cells around it.  The objects are written once.
     """
-    o = objects.withColumns({"_id": F.shiftleft(F.col("run_id").cast("long"), 32) + F.col("object_id"), "_y": F.floor(F.col("row_center") / eps), "_x": F.floor(F.col("col_center") / eps)})
+    o = materialise(objects, "objects").withColumns({"_id": F.shiftleft(F.col("run_id").cast("long"), 32) + F.col("object_id"), "_y": F.floor(F.col("row_center") / eps), "_x": F.floor(F.col("col_center") / eps)})
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     left = o.select("run_id", F.col("_id").alias("u"), F.col("row_center").alias("r1"), F.col("col_center").alias("c1"), "_y", "_x", F.explode(steps).alias("s"))
     left = left.select("run_id", "u", "r1", "c1", (F.col("_y") + F.col("s.a")).alias("_y"), (F.col("_x") + F.col("s.b")).alias("_x"))
-    pairs = left.join(o.select("run_id", F.col("_id").alias("v"), F.col("row_center").alias("r2"), F.col("col_center").alias("c2"), "_y", "_x"), ["run_id", "_y", "_x"])
+    pairs = left.join(o.select("run_id", F.col("_id").alias("v"), F.col("row_center").alias("r2"), F.col("col_center").alias("c2"), "_y", "_x").hint("merge"), ["run_id", "_y", "_x"])
     near = pairs.where((F.col("u") < F.col("v")) & (F.sqrt((F.col("r1") - F.col("r2")) ** 2 + (F.col("c1") - F.col("c2")) ** 2) <= eps))
-    roots = components(near.select("u", "v"))
+    roots = components(near.select("u", "v"), join="merge")
     o = o.join(roots.hint("merge"), o["_id"] == roots["node"], "left").withColumn("_root", F.coalesce("root", "_id"))
     rank = F.dense_rank().over(Window.partitionBy("run_id").orderBy("_root")) - 1
     return o.withColumn("cluster_id", rank).drop("_id", "_root", "_y", "_x", "node", "root")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tellurion.operators import payloads
+from tellurion.operators import graph, objects, payloads
 from tellurion.operators.shifts import moved, quads
 from tellurion.sources.views import whole_grid
 
@@ -31,3 +31,16 @@ def test_levels_of_payloads_are_merged(spark):
     d = spark.range(50).select("id", F.to_json(F.struct(F.struct(F.col("id").alias("lat"), F.array("id", "id").alias("at")).alias("location"))).alias("payload"))
     for out in (payloads.redacted(d, "payload"), payloads.canonical(d, "payload"), payloads.violations(d, "payload")):
         assert out.count() > 0 and broadcasts(out) == 0
+
+
+def test_joins_of_component_rounds_are_merged_and_a_mask_is_written_once(spark, monkeypatch):
+    seen, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda d, name: seen.append(broadcasts(d)) or write(d, name))
+    at = lambda k: (F.col("id") % k).cast("int")
+    mask = spark.range(4000).select(at(3).alias("run_id"), at(64).alias("row"), at(61).alias("col"), F.col("id").alias("b")).dropDuplicates(["run_id", "row", "col"])
+    d = objects.connected(mask)
+    assert d.count() > 0 and broadcasts(d) == 0
+    assert any("stretches-" in f for f in d.inputFiles())
+    o = objects.summarize(d, "b")
+    assert broadcasts(objects.clusters(o)) == 0
+    assert len(seen) > 4 and not any(seen)
