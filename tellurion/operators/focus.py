@@ -129,10 +129,10 @@ def box_features(objects: DataFrame, pixels: DataFrame, bands: Sequence[str], an
         whole = whole & F.col(b).isNotNull()
     px = pixels.select("run_id", "row", "col", F.col(anomaly).alias("_peak"), F.when(whole, F.array(*bands)).alias("_v"))
     box = objects.select("run_id", "object_id", "col_min", "col_max", _rows(F.col("row_min"), F.col("row_max")).alias("row"))
-    inside = box.join(px, ["run_id", "row"]).where(F.col("col").between(F.col("col_min"), F.col("col_max")))
+    inside = box.hint("merge").join(px, ["run_id", "row"]).where(F.col("col").between(F.col("col_min"), F.col("col_max")))
     f = inside.select("run_id", "object_id", "_peak", F.explode_outer("_v").alias("v")).groupBy("run_id", "object_id").agg(F.avg("v").alias("m"), F.max("_peak").alias("p"), F.stddev_pop("v").alias("s"))
     unit = lambda c: clamp01(F.round(F.coalesce(c, number(0)), 6))
-    got = objects.select("run_id", "object_id").join(f, ["run_id", "object_id"], "left")
+    got = objects.select("run_id", "object_id").join(f.hint("merge"), ["run_id", "object_id"], "left")
     return got.select("run_id", "object_id", unit(F.col("m")).alias("signal_mean"), unit(F.col("p")).alias("signal_peak"), unit(F.col("s")).alias("signal_spread"))
 
 
@@ -177,14 +177,15 @@ def nearest(points: DataFrame, targets: DataFrame, reach: float, start: float =
     Points meet the targets of the nine cells around them.  A target within one side
     of a cell is the nearest of all; points without such a one go on to cells twice
     as wide, until a cell is wider than ``reach`` (the extent of a run).  Runs without
-    targets give no row.
+    targets give no row.  Points and targets are written once for all rounds.
     """
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    left, out, side = points.select("run_id", "point_id", "y", "x"), None, start
+    left, out, side = materialise(points.select("run_id", "point_id", "y", "x"), "nearest-points"), None, start
+    targets = materialise(targets.select("run_id", "target_id", "y", "x"), "nearest-targets")
     while True:
         cell = lambda d: d.withColumns({"_y": F.floor(F.col("y") / side), "_x": F.floor(F.col("x") / side)})  # noqa: B023, E731
         p = cell(left).withColumn("_s", F.explode(steps)).withColumns({"_y": F.col("_y") + F.col("_s.a"), "_x": F.col("_x") + F.col("_s.b")})
-        t = cell(targets.select("run_id", "target_id", "y", "x")).select("run_id", "_y", "_x", "target_id", F.col("y").alias("ty"), F.col("x").alias("tx"))
+        t = cell(targets).select("run_id", "_y", "_x", "target_id", F.col("y").alias("ty"), F.col("x").alias("tx"))
         met = p.hint("merge").join(t, ["run_id", "_y", "_x"]).withColumn("d2", (F.col("y") - F.col("ty")) ** 2 + (F.col("x") - F.col("tx")) ** 2)
         best = met.groupBy("run_id", "point_id").agg(F.min(F.struct("d2", "target_id")).alias("b"))
         last = side > reach

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tellurion.operators import graph, objects, payloads
+from tellurion.operators import focus, graph, objects, payloads
 from tellurion.operators.shifts import moved, quads
 from tellurion.sources.views import whole_grid
 
@@ -44,3 +44,15 @@ def test_joins_of_component_rounds_are_merged_and_a_mask_is_written_once(spark,
     o = objects.summarize(d, "b")
     assert broadcasts(objects.clusters(o)) == 0
     assert len(seen) > 4 and not any(seen)
+
+
+def test_boxes_of_objects_are_merged_and_targets_are_written_once(spark):
+    px = spark.range(4096).select(F.lit(1).alias("run_id"), (F.col("id") % 64).cast("int").alias("row"), F.floor(F.col("id") / 64).cast("int").alias("col"), F.col("id").cast("double").alias("b"))
+    o = spark.range(9).select(F.lit(1).alias("run_id"), F.col("id").alias("object_id"), F.col("id").cast("int").alias("row_min"), (F.col("id") + 9).cast("int").alias("row_max"), F.lit(2).alias("col_min"), F.lit(7).alias("col_max"))
+    f = focus.box_features(o, px, ["b"], "b", F.lit(True))
+    assert f.count() == 9 and broadcasts(f) == 0
+    at = px.select("run_id", F.col("row").alias("y"), F.col("col").alias("x"), F.col("b").alias("id"))
+    made = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda v: made.add(1) or v, "double").asNondeterministic()
+    n = focus.nearest(at.withColumnRenamed("id", "point_id"), at.where("x = 63 and y = 63").select("run_id", counted("id").alias("target_id"), "y", "x"), 64)
+    assert n.count() == 4096 and made.value == 1
