@@ -213,11 +213,13 @@ def pixel_locations(spark, sf):
     return p.select("o_orderkey", "x", "y", rounded("lon", 9).alias("lon"), rounded("lat", 9).alias("lat"))
 
 
-_COORD = "'[' || round({lon}, 9)::DECIMAL(20, 9) || ',' || round({lat}, 9)::DECIMAL(20, 9) || ']'"
+#: SQL: nine digits of a number's shortest decimal, as the query rounds; DuckDB's own round multiplies first, which makes ties of numbers just below them.
+_NINE = "{0}::VARCHAR::DECIMAL(20, 9)"
+_COORD = f"'[' || {_NINE.format('{lon}')} || ',' || {_NINE.format('{lat}')} || ']'"
 
 
 @add("site_exports", f"""WITH {_PLACE}, g AS (SELECT o_orderkey, epsg, q, x0 + 320 + dx AS x, y0 + 320 + dy AS y FROM o, (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, -8.5, -8.5), (2, 8.5, -8.5), (3, 8.5, 8.5), (4, -8.5, 8.5), (5, -8.5, -8.5)) v(q, dx, dy)), {_back("g", "x", "y", "b")}
-  SELECT o_orderkey, round(max(lon) FILTER (q = 0), 9) + 0.0::DOUBLE AS lon, round(max(lat) FILTER (q = 0), 9) + 0.0::DOUBLE AS lat, '{{"type":"FeatureCollection","features":[{{"type":"Feature","properties":{{"export_role":"site_point"}},"geometry":{{"type":"Point","coordinates":' || max({_COORD.format(lon="lon", lat="lat")}) FILTER (q = 0) ||
+  SELECT o_orderkey, max({_NINE.format("lon")}) FILTER (q = 0)::DOUBLE AS lon, max({_NINE.format("lat")}) FILTER (q = 0)::DOUBLE AS lat, '{{"type":"FeatureCollection","features":[{{"type":"Feature","properties":{{"export_role":"site_point"}},"geometry":{{"type":"Point","coordinates":' || max({_COORD.format(lon="lon", lat="lat")}) FILTER (q = 0) ||
     '}}}},{{"type":"Feature","properties":{{"export_role":"focus_zone_17m"}},"geometry":{{"type":"Polygon","coordinates":[[' || string_agg({_COORD.format(lon="lon", lat="lat")}, ',' ORDER BY q) FILTER (q > 0) || ']]}}}}]}}' AS geojson FROM b GROUP BY o_orderkey""")
 def site_exports(spark, sf):
     """A point and a square around the centre of every order's grid."""
