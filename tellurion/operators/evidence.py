@@ -179,11 +179,18 @@ def _plausible(pair: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """A log line without paths, digests, geometry and plausible coordinate pairs; other pairs of numbers stay."""
+    """A log line without paths, digests, geometry and plausible coordinate pairs; other pairs of numbers stay.
+
+    Both uses of the replaced text are behind one lambda variable, so it is made once.
+    """
     for pattern, name in REDACT:
         text = F.regexp_replace(text, pattern, name)
-    pairs = F.transform(F.regexp_extract_all(text, F.lit(f"({PAIR})"), F.lit(1)), lambda p: F.when(_plausible(p), F.lit(PAIR_NAME)).otherwise(p))
-    return F.array_join(F.zip_with(F.split(text, PAIR), pairs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    def without_pairs(t: Column) -> Column:
+        pairs = F.transform(F.regexp_extract_all(t, F.lit(f"({PAIR})"), F.lit(1)), lambda p: F.when(_plausible(p), F.lit(PAIR_NAME)).otherwise(p))
+        return F.array_join(F.zip_with(F.split(t, PAIR), pairs, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    return F.get(F.transform(F.array(text), without_pairs), F.lit(0))
 
 
 def violates(text: Column) -> Column:

@@ -9,7 +9,7 @@ from tellurion.functions.columns import rounded
 from tellurion.functions.group_stats import quantile
 from tellurion.operators import cells as ce
 from tellurion.operators import evidence as ev
-from tellurion.sources.views import PIX, SIZE, pix, table
+from tellurion.sources.views import PIX, SIZE, pix, spread, table
 from tellurion.streaming import events as st
 
 QUERIES, ORACLES = {}, {}
@@ -352,16 +352,16 @@ _PARTS = f"""l AS (SELECT c_custkey, {_LINE} AS line FROM customer), t AS (SELEC
 @add("redact_text", f"""WITH {_PARTS} SELECT c_custkey, array_to_string(list_transform(texts, lambda a, i: a || CASE WHEN i > len(pairs) THEN '' WHEN abs(trim(split_part(pairs[i], ',', 1))::DOUBLE) <= 90 AND abs(trim(split_part(pairs[i], ',', 2))::DOUBLE) <= 180 THEN '{ev.PAIR_NAME}' ELSE pairs[i] END), '') AS line FROM s""")
 def redact_text(spark, sf):
     """Log lines with paths, digests, geometry and coordinates."""
-    return table(spark, sf, "customer").select("c_custkey", ev.redact(F.expr(_LINE)).alias("line"))
+    return spread(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")).select("c_custkey", ev.redact(F.expr(_LINE)).alias("line"))
 
 
 @add("redaction_violations", f"""WITH {_PARTS}, v AS (SELECT c_custkey, len(list_filter(pairs, lambda p: abs(trim(split_part(p, ',', 1))::DOUBLE) <= 90 AND abs(trim(split_part(p, ',', 2))::DOUBLE) <= 180)) AS pairs FROM s)
   SELECT c_custkey, true AS raw, false AS redacted, pairs > 0 AS had_pair FROM v""")
 def redaction_violations(spark, sf):
     """Raw lines break the rules, redacted ones don't."""
-    line = F.expr(_LINE)
-    clean = ev.redact(line)
-    return table(spark, sf, "customer").select("c_custkey", ev.violates(line).alias("raw"), ev.violates(clean).alias("redacted"), clean.contains(ev.PAIR_NAME).alias("had_pair"))
+    d = spread(table(spark, sf, "customer").select("c_custkey", F.expr(_LINE).alias("line")))
+    d = d.withColumn("clean", ev.redact(F.col("line")))
+    return d.select("c_custkey", ev.violates(F.col("line")).alias("raw"), ev.violates(F.col("clean")).alias("redacted"), F.col("clean").contains(ev.PAIR_NAME).alias("had_pair"))
 
 
 @add("feature_completeness", f"""WITH {PIX}, u AS (SELECT run_id, unnest(['b1', 'b2', 'b3', 'b4']) AS feature, unnest([b1, b2, b3, b4]) AS v FROM pix)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tellurion.operators import focus, graph, objects, payloads
 from tellurion.operators.shifts import moved, quads
+from tellurion.plans import evidence
 from tellurion.sources.views import whole_grid
 
 
@@ -56,3 +57,13 @@ def test_boxes_of_objects_are_merged_and_targets_are_written_once(spark):
     counted = F.udf(lambda v: made.add(1) or v, "double").asNondeterministic()
     n = focus.nearest(at.withColumnRenamed("id", "point_id"), at.where("x = 63 and y = 63").select("run_id", counted("id").alias("target_id"), "y", "x"), 64)
     assert n.count() == 4096 and made.value == 1
+
+
+def test_rows_of_a_small_file_are_spread(spark, tmp_path):
+    """A small file is one task's by its bytes; long work on its rows is dealt over all tasks."""
+    path = str(tmp_path / "customer.parquet")
+    spark.range(400).select(F.col("id").alias("c_custkey"), F.lit("x").alias("c_name"), F.lit("y").alias("c_mktsegment"), F.lit(1).alias("c_nationkey")).coalesce(1).write.parquet(path)
+    for q in (evidence.redaction_violations, evidence.redact_text):
+        assert q(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+    plan = evidence.redaction_violations(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[REDACTED_HASH]") == 1  # a line is redacted once
