@@ -10,7 +10,7 @@ from tellurion.operators import focus as fo
 from tellurion.operators import objects as ob
 from tellurion.operators import targets as tg
 from tellurion.plans.objects import CELL, CLS, COMP, Q, anomaly
-from tellurion.sources.views import PIX, SIZE, pix, table
+from tellurion.sources.views import PIX, SIZE, pix, table, valued
 
 QUERIES, ORACLES = {}, {}
 RADIUS = 6.5
@@ -153,7 +153,7 @@ _BANDS = {"gold": "b1", "mass": "b2", "doors": "b3", "tunnel": "b4", "pottery":
   SELECT run_id, "row", col, CASE WHEN gold >= m_gold AND mass >= m_mass THEN 'Priority A ? Metallic/High-density focus' WHEN doors >= m_doors AND tunnel >= m_tunnel THEN 'Priority B ? Structural/void-related focus'
     WHEN pottery >= m_pottery THEN 'Priority C ? Pottery/material concentration' WHEN thermal >= m_thermal THEN 'Priority D ? Thermal contrast focus' ELSE 'Priority E ? Comparative anomaly inside 17m' END AS priority FROM f JOIN m USING (run_id)""")
 def target_priority(spark, sf):
-    p = pix(spark, sf).where(_circle() & F.col("b1").isNotNull()).select(*CELL, *[F.expr(e).alias(n) for n, e in _BANDS.items()])
+    p = valued(spark, sf).where(_circle()).select(*CELL, *[F.expr(e).alias(n) for n, e in _BANDS.items()])
     return fo.target_priority(p).select(*CELL, "priority")
 
 
@@ -164,7 +164,7 @@ def target_priority(spark, sf):
   SELECT run_id, "row", col, round(metal, 6) AS metal, round(void, 6) AS void, round(structure, 6) AS structure, round(metal + 0.9 * void + 0.95 * structure + 0.4 * z2, 6) AS composite FROM a""")
 def focus_axes(spark, sf):
     """Axes of the focus pixels; four bands stand for nine."""
-    z = g.robust_z(pix(spark, sf).where(_circle() & F.col("b1").isNotNull()), ["b1", "b2", "b3", "b4"])
+    z = g.robust_z(valued(spark, sf).where(_circle()), ["b1", "b2", "b3", "b4"])
     stands = {"gold": "b1", "silver": "b2", "mass": "b3", "chemical": "b4", "tunnel": "b4", "thermal": "b1", "doors": "b2", "zero": "b3", "pottery": "b2"}
     a = fo.focus_axes(z.select(*CELL, *[F.col(f"{b}_z").alias(n) for n, b in stands.items()]))
     return a.select(*CELL, *[rounded(c).alias(c) for c in ("metal", "void", "structure", "composite")])
@@ -195,7 +195,7 @@ def _share_sql(k):
     greatest(form_v[41], form_v[42], form_v[43]) > (o[32] + o[33]) / 2 AS trap FROM b""")
 def focus_targets(spark, sf):
     """Likely form, content and period of every focus pixel with confidences and warning; four bands stand for nine."""
-    z = g.robust_z(pix(spark, sf).where(_circle() & F.col("b1").isNotNull()), ["b1", "b2", "b3", "b4"])
+    z = g.robust_z(valued(spark, sf).where(_circle()), ["b1", "b2", "b3", "b4"])
     stands = {"gold": "b1", "silver": "b2", "mass": "b3", "chemical": "b4", "tunnel": "b4", "thermal": "b1", "doors": "b2", "zero": "b3", "pottery": "b2"}
     a = fo.focus_axes(z.select(*CELL, *[F.col(f"{b}_z").alias(n) for n, b in stands.items()]))
     return tg.likely_targets(a).select(*CELL, "form", "form_confidence", "content", "content_confidence", "period", "period_confidence", "confidence", "trap")
@@ -204,7 +204,7 @@ def focus_targets(spark, sf):
 @add("decision_grades", f"""WITH {PIX}, p AS (SELECT run_id, "row", col, 1 / (1 + exp(-2 * (b1 / 25 - 0.9))) AS d, 1 / (1 + exp(-3 * (b3 * 12 - 0.6))) AS i FROM pix WHERE b1 IS NOT NULL)
   SELECT run_id, "row", col, round(d, 6) AS detection, round(i, 6) AS interpretation, CASE WHEN d >= 0.75 AND i >= 0.6 THEN 'A_HIGH_CONFIDENCE_REVIEW' WHEN d >= 0.6 AND i >= 0.45 THEN 'B_MEDIUM_CONFIDENCE_REVIEW' WHEN d >= 0.45 THEN 'C_LOW_CONFIDENCE_REVIEW' ELSE 'D_WEAK_OR_UNRESOLVED' END AS grade FROM p""")
 def decision_grades(spark, sf):
-    p = pix(spark, sf).where("b1 is not null").withColumns({"d": fo.logistic(F.col("b1") / 25, 0.9, 2.0), "i": fo.logistic(F.col("b3") * 12, 0.6, 3.0)})
+    p = valued(spark, sf).withColumns({"d": fo.logistic(F.col("b1") / 25, 0.9, 2.0), "i": fo.logistic(F.col("b3") * 12, 0.6, 3.0)})
     return p.select(*CELL, F.round("d", 6).alias("detection"), F.round("i", 6).alias("interpretation"), fo.decision_grade(F.col("d"), F.col("i")).alias("grade"))
 
 
@@ -230,7 +230,7 @@ def thermal_inertia(spark, sf):
 def recovered_layers(spark, sf):
     """Ratio and difference layers of the recovered formulas, on stand-in bands."""
     eps = 1e-6
-    return pix(spark, sf).where("b1 is not null").select(
+    return valued(spark, sf).select(
         *CELL, F.round(ratio("b4", F.col("b3") + eps), 6).alias("gold_halo"), F.round(ratio("b2", F.col("b1") + eps), 6).alias("silver_oxide"),
         rounded(F.col("b3") - F.col("b2")).alias("tunnel_ceiling"), F.round(ratio("b1", F.col("b4") + eps), 6).alias("chemical_protector"))
 

@@ -9,7 +9,7 @@ from tellurion.functions import group_stats as g
 
 from tellurion.operators import objects as ob
 from tellurion.operators import pca
-from tellurion.sources.views import PIX, pix
+from tellurion.sources.views import PIX, pix, valued
 
 QUERIES, ORACLES = {}, {}
 CELL = ["run_id", "row", "col"]
@@ -156,7 +156,7 @@ def focus_mask_stats(spark, sf):
   SELECT run_id, "row", col, rank, round(score, 6) AS score, round(confidence, 6) AS confidence FROM r WHERE rank <= 5""")
 def focus_top5(spark, sf):
     """Robust scores inside the focus circle; the five highest of each run with their empirical-distribution confidence."""
-    d = g.robust_z(pix(spark, sf).where((_distance() <= 8) & F.col("b1").isNotNull()), ["b1", "b2"]).withColumn("score", F.col("b1_z") + F.col("b2_z"))
+    d = g.robust_z(valued(spark, sf).where(_distance() <= 8), ["b1", "b2"]).withColumn("score", F.col("b1_z") + F.col("b2_z"))
     w = Window.partitionBy("run_id")
     d = d.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("score"), "row", "col")), "confidence": F.cume_dist().over(w.orderBy("score"))})
     return d.where("rank <= 5").select(*CELL, "rank", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))

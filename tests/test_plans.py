@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tellurion.operators import focus, graph, objects, payloads
 from tellurion.operators.shifts import moved, quads
 from tellurion.plans import evidence
-from tellurion.sources.views import whole_grid
+from tellurion.sources.views import pix, valued, whole_grid
 
 
 def broadcasts(df):
@@ -67,3 +67,12 @@ def test_rows_of_a_small_file_are_spread(spark, tmp_path):
         assert q(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count() >= 8
     plan = evidence.redaction_violations(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[REDACTED_HASH]") == 1  # a line is redacted once
+
+
+def test_pixels_with_values_need_no_frame(spark):
+    sf = "/root/testdata/sf0.001"
+    inside = (F.col("row") - 32) ** 2 + (F.col("col") - 32) ** 2 <= 100
+    p, v = pix(spark, sf).where(inside & F.col("b1").isNotNull()), valued(spark, sf).where(inside)
+    assert p.count() > 0 and p.exceptAll(v.select(p.columns)).count() == 0 and v.count() == p.count()
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Aggregate") < plan.index("POWER")  # the filter is below the aggregation
