@@ -102,6 +102,39 @@ def region_overlaps(s: DataFrame) -> DataFrame:
 # ---- rectangles ------------------------------------------------------------------------
 
 
+def _levelled(rects: DataFrame, key: str) -> DataFrame:
+    """_k, bounds w, s, e, n and the level _own: a power of two over the longer side (with room for the rounding of side and logarithm)."""
+    r = rects.select(F.col(key).alias("_k"), *[F.col(c).cast("double").alias(c[0]) for c in ("west", "south", "east", "north")]).where("w <= e and s <= n")
+    side = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s")) * (1 + 1e-9)
+    return r.withColumn("_own", F.when(side > 2.0**LEAST_LEVEL, F.ceil(F.log2(side))).otherwise(LEAST_LEVEL).cast("int"))
+
+
+def _levels_from(r: DataFrame) -> Column:
+    """An array of the levels in use in ``r`` that are at least a row's _own."""
+    levels = sorted(x[0] for x in r.select("_own").distinct().collect())  # exponents of doubles: some 1,000 at most
+    return F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col("_own"))
+
+
+def overlapped(rects: DataFrame, others: DataFrame, key: str = "rect_id") -> DataFrame:
+    """The keys of ``rects`` whose insides meet the inside of one of ``others``, once each; bounds as in ``rectangle_overlaps``.
+
+    Two rectangles meet in cells as wide as the larger one's level.  There ``rects`` go
+    to the one cell of their lower left corner, and ``others``, reaching a cell further
+    to the west and south, to the three by three cells in which such corners can lie;
+    a larger one of the others is met at its own level, a smaller one at that of
+    ``rects``.  Rows of both sides so grow with the tables, by the levels in use.
+    """
+    a, b = _levelled(rects, key), _levelled(others, key)
+    levels = lambda there: F.explode(F.array_union(F.array("_own"), there))
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level")))
+    a_levels, b_levels = _levels_from(b), _levels_from(a)
+    a = a.withColumn("_level", levels(a_levels)).withColumns({"_x": at("w"), "_y": at("s")})
+    b = b.withColumn("_level", levels(b_levels)).withColumn("_x", F.explode(F.sequence(at("w") - 1, at("e"))))
+    b = b.withColumn("_y", F.explode(F.sequence(at("s") - 1, at("n")))).select("_level", "_x", "_y", *[F.col(c).alias(f"o{c}") for c in ("w", "s", "e", "n", "_own")])
+    met = a.hint("merge").join(b, ["_level", "_x", "_y"]).where("_level = greatest(_own, o_own) and w < oe and ow < e and s < on and os < n")
+    return met.select(F.col("_k").alias(key)).distinct()
+
+
 def rectangle_overlaps(rects: DataFrame, key: str = "rect_id") -> DataFrame:
     """left_id, right_id (left < right) of all pairs of rectangles (west, south, east, north) whose insides meet; touching is no overlap.
 
@@ -111,18 +144,15 @@ def rectangle_overlaps(rects: DataFrame, key: str = "rect_id") -> DataFrame:
     is reported in the cell of the lower left corner of what they share.  Rectangles
     with a missing bound, or with bounds in the wrong order, meet nothing.
     """
-    r = rects.select(F.col(key).alias("_k"), *[F.col(c).cast("double").alias(c[0]) for c in ("west", "south", "east", "north")]).where("w <= e and s <= n")
-    side = F.greatest(F.col("e") - F.col("w"), F.col("n") - F.col("s"))
-    r = r.withColumn("_own", F.when(side > 2.0**LEAST_LEVEL, F.ceil(F.log2(side))).otherwise(LEAST_LEVEL).cast("int"))
-    levels = sorted(x[0] for x in r.select("_own").distinct().collect())  # exponents of doubles: some 1,000 at most
-    every = F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col("_own"))
+    r = _levelled(rects, key)
+    every = _levels_from(r)
 
     def cells(d: DataFrame) -> DataFrame:
         at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level")))
         d = d.withColumn("_x", F.explode(F.sequence(at("w"), at("e"))))
         return d.withColumn("_y", F.explode(F.sequence(at("s"), at("n"))))
 
-    own = cells(r.withColumn("_level", F.col("_own")))
+    own = cells(r.withColumn("_level", F.col("_own"))).hint("merge")
     come = cells(r.withColumn("_level", F.explode(every)))
     come = come.select("_level", "_x", "_y", *[F.col(c).alias(f"o{c}") for c in ("_k", "w", "s", "e", "n", "_own")])
     both = own.join(come, ["_level", "_x", "_y"]).where("(o_own < _own or o_own = _own and o_k > _k) and w < oe and ow < e and s < on and os < n")
@@ -149,12 +179,10 @@ def background_rectangles(sites: DataFrame, gap: float, diagonals: bool = True)
     lon = F.col("lon") + F.degrees(F.col("_d.x") * (F.col("width") + gap) / (EARTH_RADIUS * F.cos(F.radians("lat"))))
     d = d.withColumns({"lat": lat, "lon": lon}).withColumns(box(F.col("lat"), F.col("lon"), F.col("width"), F.col("height")))
     d = d.where("abs(lat) <= 85 and west >= -180 and east <= 180")
-    name = lambda site, way: F.struct(site.alias("site_id"), way.alias("direction"))
     bounds = ["west", "south", "east", "north"]
-    own = sites.withColumns(box(F.col("lat"), F.col("lon"), F.col("width"), F.col("height"))).select(name(F.col("site_id"), F.lit("")).alias("rect_id"), *bounds)
-    met = rectangle_overlaps(own.unionByName(d.select(name(F.col("site_id"), F.col("direction")).alias("rect_id"), *bounds)))
-    # A pair of a site (empty direction) and a background rectangle.
-    a, b = F.col("left_id"), F.col("right_id")
-    hit = met.where((a["direction"] == "") != (b["direction"] == "")).select(F.when(a["direction"] == "", b).otherwise(a).alias("r")).distinct()
-    hit = hit.select("r.site_id", "r.direction", F.lit(False).alias("_hit"))
-    return d.join(hit, ["site_id", "direction"], "left").select("site_id", "direction", "lat", "lon", *bounds, F.coalesce("_hit", F.lit(True)).alias("clear"))
+    own = sites.withColumns(box(F.col("lat"), F.col("lon"), F.col("width"), F.col("height"))).select(F.col("site_id").alias("rect_id"), *bounds)
+    # A rectangle's direction goes as its number.
+    names = F.array(*[F.lit(n) for n, _, _ in DIRECTIONS])
+    hit = overlapped(d.select(F.struct("site_id", F.array_position(names, F.col("direction")).cast("byte").alias("way")).alias("rect_id"), *bounds), own)
+    hit = hit.select("rect_id.site_id", F.element_at(names, F.col("rect_id.way").cast("int")).alias("direction"), F.lit(False).alias("_hit"))
+    return d.hint("merge").join(hit, ["site_id", "direction"], "left").select("site_id", "direction", "lat", "lon", *bounds, F.coalesce("_hit", F.lit(True)).alias("clear"))

@@ -10,7 +10,7 @@ from tellurion.operators import focus as fo
 from tellurion.operators import projection as pj
 from tellurion.operators import regions as rg
 from tellurion.operators import shifts as sh
-from tellurion.sources.views import PIX, SIZE, pix, table
+from tellurion.sources.views import PIX, SIZE, pix, spread, table
 
 QUERIES, ORACLES = {}, {}
 ERODE, LEAST = 1, 12
@@ -78,7 +78,7 @@ _RECT = """r AS (SELECT o_orderkey AS rect_id, (o_custkey % 1000)::DOUBLE * 0.73
 def rectangles(spark, sf):
     """A rectangle for every order, sides from a hundredth to some six units."""
     h = F.round(F.col("o_totalprice") * 100).cast("long") % 10007
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("rect_id"), (F.col("o_custkey") % 1000 * 0.731).alias("west"), (F.col("o_orderkey") % 997 * 0.577).alias("south"), h.alias("h"))
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")).select(F.col("o_orderkey").alias("rect_id"), (F.col("o_custkey") % 1000 * 0.731).alias("west"), (F.col("o_orderkey") % 997 * 0.577).alias("south"), h.alias("h"))
     cube = lambda k, by: (1 + F.col("h") % k) * (1 + F.col("h") % k) * (1 + F.col("h") % k) / by
     return o.select("rect_id", "west", "south", (F.col("west") + cube(7, 60.0)).alias("east"), (F.col("south") + cube(5, 50.0)).alias("north"))
 
@@ -102,7 +102,7 @@ _SITE = f"""s AS (SELECT c_custkey AS site_id, (c_custkey * 7919 % 170001)::DOUB
 def background_rectangles(spark, sf):
     """Eight rectangles around the site of every customer, and which of them no site overlaps."""
     k = F.col("c_custkey")
-    sites = table(spark, sf, "customer").select(
+    sites = spread(table(spark, sf, "customer").select("c_custkey", "c_nationkey")).select(
         k.alias("site_id"), ((k * 7919 % 170001).cast("double") / 2000 - 42.5).alias("lat"), ((k * 6841 % 180001).cast("double") / 600 - 150.0).alias("lon"),
         (3000.0 + F.col("c_nationkey") * 400).alias("width"), (2500.0 + F.col("c_nationkey") % 7 * 700).alias("height"))
     d = rg.background_rectangles(sites, 900.0)

@@ -106,3 +106,22 @@ def test_background_ring(spark):
     assert len([k for k in rows if k[0] == 1]) == 8 and len([k for k in rows if k[0] == 3]) < 8 and {k[1] for k in rows if k[0] == 4} == {"west", "northwest", "southwest"}
     assert not rows[1, "north"].clear and rows[1, "south"].clear and rows[2, "north"].clear
     assert len([r for r in regions.background_rectangles(sites, 100.0, False).collect() if r.site_id == 1]) == 4
+
+
+def test_overlapped_finds_every_size_once(spark):
+    """Rectangles against others of all sizes, touching ones and copies included, against brute force; no side is sent whole."""
+    rng = random.Random(11)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            w, s, side = rng.uniform(-50, 50), rng.uniform(-50, 50), 2.0 ** rng.uniform(-6, 6)
+            out.append((i, w, s, w + side * rng.uniform(0.1, 1), s + side * rng.uniform(0.1, 1)))
+        return out + [(n, 0.0, 0.0, 4.0, 4.0), (n + 1, 4.0, 0.0, 8.0, 4.0), (n + 2, -8.0, -8.0, 0.0, 0.0), (n + 3, 0.0, 0.0, 4.0, 4.0), (n + 4, None, 0.0, 1.0, 1.0)]
+
+    a, b, schema = some(300), some(60)[:-1], "rect_id int, west double, south double, east double, north double"
+    met = regions.overlapped(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
+    want = {i for i, w, s, e, n in a if w is not None and any(w < oe and ow < e and s < on and os < n for _, ow, os, oe, on in b)}
+    got = [r.rect_id for r in met.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "BroadcastHashJoin" not in met._jdf.queryExecution().executedPlan().toString()
