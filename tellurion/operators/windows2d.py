@@ -100,7 +100,8 @@ def median_filters(df: DataFrame, bands: dict[str, tuple[str, int]]) -> DataFram
     """Adds for each name the median filter of a band; bands: name to (band, size).
 
     The grid's medians are one aggregation for all bands.  A box is gathered by two
-    collecting frames, padded with its end pixels.
+    collecting frames, padded with its end pixels.  No value of a box can be NULL (the
+    ends are coalesced with the pixel itself for that alone), so a box is sorted as numbers.
     """
     from tellurion.functions.group_stats import with_stats
 
@@ -112,7 +113,7 @@ def median_filters(df: DataFrame, bands: dict[str, tuple[str, int]]) -> DataFram
             w = _axis(fixed, along)
             whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             before, after = _beyond(w, r)
-            pad = lambda end, k: F.array_repeat(end(c).over(whole), k.cast("int"))
+            pad = lambda end, k: F.array_repeat(F.coalesce(end(c).over(whole), c), k.cast("int"))
             return F.concat(pad(F.first, before), F.collect_list(c).over(w.rowsBetween(-r, r)), pad(F.last, after))
 
         df = df.withColumn("_f", F.coalesce(F.col(x), f"_med_{name}", number(0)))
@@ -145,10 +146,14 @@ def array_mean(a: Column) -> Column:
 
 
 def array_median(a: Column) -> Column:
-    a = F.array_sort(valid_values(a))
-    n = F.size(a)
-    at = lambda i: F.get(a, i.cast("int"))
-    return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+    """Median of the values that are there.  The sorted values are behind one lambda variable, so they are made once, and hold no NULL, so they are sorted as numbers."""
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        at = lambda i: F.get(s, i.cast("int"))
+        return F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+
+    return F.get(F.transform(F.array(F.sort_array(F.array_compact(a))), middle), F.lit(0))
 
 
 def array_std(a: Column, mean: Column) -> Column:

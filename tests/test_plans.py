@@ -1,8 +1,10 @@
 """Sides of joins that grow with the input aren't sent to all tasks, however small Spark takes them for."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tellurion.operators import focus, graph, objects, payloads
+from tellurion.operators import windows2d as w2
 from tellurion.operators.shifts import moved, quads
 from tellurion.plans import evidence
 from tellurion.sources.views import pix, valued, whole_grid
@@ -76,3 +78,18 @@ def test_pixels_with_values_need_no_frame(spark):
     assert p.count() > 0 and p.exceptAll(v.select(p.columns)).count() == 0 and v.count() == p.count()
     plan = v._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.index("Aggregate") < plan.index("POWER")  # the filter is below the aggregation
+
+
+def test_medians_sort_numbers(spark):
+    """Sorted arrays hold no NULL by their type, and nothing compares values one by one in a lambda."""
+    d = spark.createDataFrame([([3.0, None, 1.0, 2.0],), ([None, None],), ([4.0, 1.0],)], "a array<double>")
+    m = d.select(w2.array_median(F.col("a")).alias("m"))
+    assert [r.m for r in m.collect()] == [2.0, None, 2.5]
+    assert "array_sort" not in m._jdf.queryExecution().optimizedPlan().toString()
+    px = spark.range(64).select(F.lit(1).alias("run_id"), (F.col("id") % 8).cast("int").alias("row"), F.floor(F.col("id") / 8).cast("int").alias("col"), F.when(F.col("id") != 9, F.col("id").cast("double")).alias("z"))
+    types = []
+    keep = type(px).withColumn
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(px), "withColumn", lambda d, n, c: (lambda o: types.append(o.schema["_b"].dataType.containsNull) or o if n == "_b" else o)(keep(d, n, c)))
+        assert w2.median_filter(px, "z", 5, "med").count() == 64
+    assert types == [False]
