@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tellurion.functions.columns import number
 from tellurion.functions.group_stats import quantile, with_stats
+from tellurion.sources.views import spread
 
 HOUR = 3_600_000
 DAY = 24 * HOUR
@@ -113,26 +115,36 @@ def select_pairs(candidates: DataFrame, most: int = 4, least: int = 1) -> DataFr
     near = near.withColumn("_early", first("desc_id", "asc_ms", "asc_id")).where("_early").drop("_early").dropDuplicates(["track", "asc_id", "desc_id"])
     place = F.row_number().over(Window.partitionBy("track").orderBy("asc_ms", "asc_id", "dt_ms", "desc_ms", "desc_id"))
     near = near.withColumn("_place", place).where(F.col("_place") <= 2 * most * most + most).drop("_place")
+    order = ["asc_ms", "asc_id", "dt_ms", "desc_ms", "desc_id"]
     columns = ["track", "asc_id", "desc_id", "asc_ms", "desc_ms", "dt_ms"]
     schema = "track long, asc_id long, desc_id long, asc_ms long, desc_ms long, dt_ms long"
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["asc_ms", "asc_id", "dt_ms", "desc_ms", "desc_id"]).reset_index(drop=True)
-        later = {item: list(own["desc_id"]) for item, own in pdf.groupby("asc_id", sort=False)}
+    def match(rows: list[dict]) -> list[dict]:
+        later: dict = {}
+        for r in rows:
+            later.setdefault(r["asc_id"], []).append(r["desc_id"])
         want = min(most, matching_size(later, set()))
-        chosen, taken = [], set()
-        if want < least:
-            return pdf.head(0)[columns]
-        for item in list(later):
+        chosen, taken = set(), set()
+        for item in list(later) if want >= least else []:
             partners = later.pop(item)
             missing = want - len(chosen)
-            fit = next((p for p in partners if missing and p not in taken and matching_size(later, taken | {p}) >= missing - 1), None)
+            if not missing:
+                break
+            fit = next((p for p in partners if p not in taken and matching_size(later, taken | {p}) >= missing - 1), None)
             if fit is not None:
-                chosen.append((item, fit))
+                chosen.add((item, fit))
                 taken.add(fit)
-        return pdf.set_index(["asc_id", "desc_id"]).loc[chosen].reset_index()[columns]
+        return [r for r in rows if (r["asc_id"], r["desc_id"]) in chosen]
 
-    return near.groupBy("track").applyInPandas(match, schema)
+    def run(batches):
+        for batch in batches:
+            kept = [(track, r) for track, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in match(rows)]
+            ids = {"track": [track for track, _ in kept]} | {c: [r[c] for _, r in kept] for c in columns[1:]}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in ids.items()})
+
+    # A track is one short row, and rows are dealt over all tasks: by their bytes many tracks would be one task's.
+    tracks = near.groupBy("track").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_rows"))
+    return spread(tracks).mapInArrow(run, schema)
 
 
 def surface_change(before: DataFrame, after: DataFrame, minimum: int = 64, angle: float = 1.5) -> DataFrame:

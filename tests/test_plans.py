@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tellurion.operators import focus, graph, objects, payloads
+from tellurion.operators import acquisitions, focus, graph, objects, payloads
 from tellurion.operators import windows2d as w2
 from tellurion.operators.shifts import moved, quads
 from tellurion.plans import evidence
@@ -93,3 +93,9 @@ def test_medians_sort_numbers(spark):
         m.setattr(type(px), "withColumn", lambda d, n, c: (lambda o: types.append(o.schema["_b"].dataType.containsNull) or o if n == "_b" else o)(keep(d, n, c)))
         assert w2.median_filter(px, "z", 5, "med").count() == 64
     assert types == [False]
+
+
+def test_tracks_are_matched_by_all_tasks(spark):
+    c = spark.range(4000).select((F.col("id") % 2000).alias("track"), F.col("id").alias("asc_id"), (F.col("id") + 9000).alias("desc_id"), F.col("id").alias("asc_ms"), (F.col("id") + 3).alias("desc_ms"), F.lit(3).cast("long").alias("dt_ms"))
+    d = acquisitions.select_pairs(c)
+    assert d.count() == 4000 and d.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
