@@ -273,76 +273,113 @@ def _with_one(x: np.ndarray) -> np.ndarray:
 
 
 _MASK = np.tril(np.ones((LENGTH, LENGTH), np.float32))
+_SCALE = np.float32(WIDTH**-0.5)
+_ONES = np.ones(FAN, np.float32)
+#: Nodes with up to so many rows are padded and multiplied together; others have a product each.
+PADDED = (4, 16)
+
+
+def joint(w) -> np.ndarray:
+    """The products that the embeddings go through, side by side: queries (scaled), keys, values, and their own share of the hidden vector."""
+    out = np.concatenate((w["qkv"], w["hid"][WIDTH : 2 * WIDTH]), axis=1)
+    out[:, :WIDTH] *= _SCALE
+    return out
+
+
+def attend(f: np.ndarray, new: int = 0):
+    """Attention from the places ``new`` and on of windows f (windows, n, products), in two parts, as the former half sees only places up to its own end.
+
+    Parts (from, to, weights, their sums), and the mean values (windows, n - new, WIDTH).
+    """
+    b, n = f.shape[:2]
+    q, k, v = f[..., :WIDTH], f[..., WIDTH : 2 * WIDTH], f[..., 2 * WIDTH : 3 * WIDTH]
+    middle = (new + n + 1) // 2
+    parts, h = [], np.empty((b, n - new, WIDTH), np.float32)
+    for lo, hi in ((new, middle), (middle, n)):
+        if lo < hi:
+            a = np.matmul(q[:, lo:hi], k[:, :hi].transpose(0, 2, 1))
+            np.clip(a, -30, 60, out=a)
+            np.exp(a, out=a)
+            a *= _MASK[lo:hi, :hi]
+            total = (a @ np.ones(hi, np.float32))[..., None]
+            np.divide(np.matmul(a, v[:, :hi]), total, out=h[:, lo - new : hi - new])
+            parts.append((lo, hi, a, total))
+    return parts, h
 
 
 def hidden(w, x):
     """Hidden vectors of every place of windows x (windows, n), and what the gradient needs."""
     b, n = x.shape
-    e = w["emb"][x] + w["pos"][:n]
-    qkv = (e.reshape(-1, WIDTH) @ w["qkv"]).reshape(b, n, 3 * WIDTH)
-    q, k, v = qkv[..., :WIDTH] * np.float32(WIDTH**-0.5), qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    np.clip(a, -30, 60, out=a)
-    np.exp(a, out=a)
-    a *= _MASK[:n, :n]
-    h = np.matmul(a, _with_one(v))  # a column of ones: one product gives the sums too
-    total = h[..., WIDTH:]
-    z = np.ones((b, n, 2 * WIDTH + 1), np.float32)
-    np.divide(h[..., :WIDTH], total, out=z[..., :WIDTH])
-    z[..., WIDTH : 2 * WIDTH] = e
-    z = z.reshape(-1, 2 * WIDTH + 1)
-    return np.tanh(z @ w["hid"]), (e, q, k, v, a, total, z)
+    e = w["emb"].take(x.ravel(), axis=0).reshape(b, n, WIDTH)
+    e += w["pos"][:n]
+    f = (e.reshape(-1, WIDTH) @ joint(w)).reshape(b, n, 4 * WIDTH)
+    parts, h = attend(f)
+    u = h.reshape(-1, WIDTH) @ w["hid"][:WIDTH]
+    u += f.reshape(-1, 4 * WIDTH)[:, 3 * WIDTH :]
+    u += w["hid"][2 * WIDTH]
+    return np.tanh(u, out=u), (e, f, parts, h)
 
 
 class Level:
-    """One level of the tree for targets that sit at ``child`` below ``node``: rows in order of the node, a product a node."""
-
-    def __init__(self, vectors: np.ndarray, node: np.ndarray, child: np.ndarray, w: np.ndarray):
-        self.order = np.argsort(node, kind="stable") if len(w) > 1 else None
-        if self.order is not None:
-            vectors, node, child = vectors[self.order], node[self.order], child[self.order]
-        self.edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True]))) if len(node) else np.zeros(1, np.int64)
-        self.nodes = node[self.edge[:-1]]
-        self.vectors, self.child, self.w = vectors, child, w
+    """One level of the tree for targets that sit at ``child`` below ``node``; rows are in order of the node. ``log_p`` puts them in the places ``order``."""
+
+    def __init__(self, vectors: np.ndarray, node: np.ndarray, child: np.ndarray, w: np.ndarray, order: np.ndarray):
+        self.vectors, self.child, self.w, self.order = vectors, child, w, order
+        edge = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True]))) if len(node) else np.zeros(1, np.int64)
+        self.nodes, first, many = node[edge[:-1]], edge[:-1], np.diff(edge)
+        alone = np.flatnonzero(many > PADDED[-1])
+        self.alone = list(zip(alone.tolist(), first[alone].tolist(), edge[1:][alone].tolist(), self.nodes[alone].tolist()))
+        self.padded, least = [], 0
+        for most in PADDED:
+            some = np.flatnonzero((many > least) & (many <= most))
+            if len(some):
+                inside = np.arange(most) < many[some, None]
+                rows = np.where(inside, first[some, None] + np.arange(most), 0)
+                self.padded.append((some, rows, inside, rows[inside], vectors.take(rows, axis=0), w.take(self.nodes[some], axis=0)))
+            least = most
         o = np.empty((len(node), FAN), np.float32)
-        for a, e, k in zip(self.edge[:-1].tolist(), self.edge[1:].tolist(), self.nodes.tolist()):
+        for _, a, e, k in self.alone:
             np.matmul(vectors[a:e], w[k], out=o[a:e])
+        for _, _, inside, rows, v, m in self.padded:
+            o[rows] = np.matmul(v, m)[inside]
         np.clip(o, -30, 60, out=o)  # below, products would be too small for fast arithmetic
         np.exp(o, out=o)
-        self.o, self.sums = o, o @ np.ones(FAN, np.float32)
+        self.o, self.sums = o, o @ _ONES
+
+    def in_order(self) -> np.ndarray:
+        """Logs of the targets' probabilities, in order of the node."""
+        return np.log(np.maximum(self.o.ravel()[np.arange(0, len(self.o) * FAN, FAN) + self.child] / self.sums, 1e-30))
 
     def log_p(self) -> np.ndarray:
-        got = np.log(np.maximum(self.o[np.arange(len(self.o)), self.child] / self.sums, 1e-30))
-        if self.order is None:
-            return got
-        out = np.empty_like(got)
-        out[self.order] = got
+        out = np.empty(len(self.o), np.float32)
+        out[self.order] = self.in_order()
         return out
 
     def back(self, ok: np.ndarray):
-        """Gradients of the vectors and of the touched nodes, for rows weighted by ``ok``."""
-        ok = ok if self.order is None else ok[self.order]
+        """Gradients of the vectors and of the touched nodes, for rows weighted by ``ok``; rows are in order of the node."""
         d = self.o * (ok / self.sums)[:, None]
-        d[np.arange(len(d)), self.child] -= ok
+        d.ravel()[np.arange(0, len(d) * FAN, FAN) + self.child] -= ok
         dv, dw = np.empty_like(self.vectors), np.empty((len(self.nodes), *self.w.shape[1:]), np.float32)
-        for i, (a, e, k) in enumerate(zip(self.edge[:-1].tolist(), self.edge[1:].tolist(), self.nodes.tolist())):
+        for i, a, e, k in self.alone:
             np.matmul(d[a:e], self.w[k].T, out=dv[a:e])
             np.matmul(self.vectors[a:e].T, d[a:e], out=dw[i])
-        dv = dv[:, :-1]
-        if self.order is None:
-            return dv, dw
-        out = np.empty_like(dv)
-        out[self.order] = dv
-        return out, dw
+        for some, at, inside, rows, v, m in self.padded:
+            some_d = d.take(at, axis=0)
+            some_d *= inside[..., None]
+            dv[rows] = np.matmul(some_d, m.transpose(0, 2, 1))[inside]
+            dw[some] = np.matmul(v.transpose(0, 2, 1), some_d)
+        return dv[:, :-1], dw
 
 
 def levels(w, h: np.ndarray, leaf: np.ndarray) -> tuple[Level, Level, Level]:
-    """The three choices that lead to the targets' leaves."""
-    one = _with_one(h)
+    """The three choices that lead to the targets' leaves; one order of the rows, that of the leaves, serves all."""
+    order = np.argsort(leaf.astype(np.uint16), kind="stable")
+    leaf, one = leaf[order], _with_one(h.take(order, axis=0))
+    low = _with_one(one[:, :-1] @ w["low"])
     return (
-        Level(one, np.zeros(len(leaf), np.int64), leaf // (FAN * FAN), w["t1"]),
-        Level(one, leaf // (FAN * FAN), leaf // FAN % FAN, w["t2"]),
-        Level(_with_one(h @ w["low"]), leaf // FAN, leaf % FAN, w["t3"]))
+        Level(one, np.zeros(len(leaf), np.int64), leaf // (FAN * FAN), w["t1"], order),
+        Level(one, leaf // (FAN * FAN), leaf // FAN % FAN, w["t2"], order),
+        Level(low, leaf // FAN, leaf % FAN, w["t3"], order))
 
 
 def log_probability(w, x: np.ndarray, y_leaf: np.ndarray) -> np.ndarray:
@@ -354,38 +391,45 @@ def log_probability(w, x: np.ndarray, y_leaf: np.ndarray) -> np.ndarray:
 def gradient(w, x: np.ndarray, y_leaf: np.ndarray, valid: np.ndarray):
     """Mean loss over the valid targets and its gradient: by name the touched rows (None: all) and their gradient."""
     b, n = x.shape
-    h, (e, q, k, v, a, total, z) = hidden(w, x)
-    t1, t2, t3 = levels(w, h, y_leaf.ravel())
-    ok = valid.ravel().astype(np.float32) / max(1, valid.sum())
-    loss = -float(((t1.log_p() + t2.log_p() + t3.log_p()) * ok).sum())
+    u, (e, f, parts, h) = hidden(w, x)
+    t1, t2, t3 = levels(w, u, y_leaf.ravel())
+    order, sorted_u = t1.order, t1.vectors[:, :-1]
+    ok = valid.ravel()[order].astype(np.float32) / max(1, valid.sum())
+    loss = -float(((t1.in_order() + t2.in_order() + t3.in_order()) * ok).sum())
     d1, g1 = t1.back(ok)
     d2, g2 = t2.back(ok)
     d3, g3 = t3.back(ok)
     du = d3 @ w["low"].T
     du += d1
     du += d2
-    du *= 1 - h * h
-    dz = (du @ w["hid"].T)[:, : 2 * WIDTH].reshape(b, n, 2 * WIDTH)
-    dh, de = dz[..., :WIDTH], dz[..., WIDTH:].copy()
-    a /= total
-    dqkv = np.empty((b, n, 3 * WIDTH), np.float32)
-    dqkv[..., 2 * WIDTH :] = np.matmul(a.transpose(0, 2, 1), dh)
-    ds = np.matmul(dh, v.transpose(0, 2, 1))
-    ds -= np.einsum("bnd,bnd->bn", dh, z.reshape(b, n, -1)[..., :WIDTH])[..., None]
-    ds *= a
-    np.matmul(ds, k, out=dqkv[..., :WIDTH])
-    dqkv[..., :WIDTH] *= np.float32(WIDTH**-0.5)
-    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
-    dqkv = dqkv.reshape(-1, 3 * WIDTH)
-    de += (dqkv @ w["qkv"].T).reshape(b, n, WIDTH)
-    order = np.argsort(x.ravel(), kind="stable")
+    du *= 1 - sorted_u * sorted_u
+    df = np.zeros((b, n, 4 * WIDTH), np.float32)  # gradients of the products
+    df.reshape(-1, 4 * WIDTH)[order, 3 * WIDTH :] = du
+    du = np.ascontiguousarray(df[..., 3 * WIDTH :]).reshape(-1, WIDTH)
+    dh = (du @ w["hid"][:WIDTH].T).reshape(b, n, WIDTH)
+    v = _with_one(f[..., 2 * WIDTH : 3 * WIDTH])
+    for lo, hi, a, total in reversed(parts):
+        g = np.empty((b, hi - lo, WIDTH + 1), np.float32)  # the last column meets the ones of v
+        np.divide(dh[:, lo:hi], total, out=g[..., :WIDTH])
+        np.einsum("bnd,bnd->bn", g[..., :WIDTH], h[:, lo:hi], out=g[..., WIDTH])
+        np.negative(g[..., WIDTH], out=g[..., WIDTH])
+        df[:, :hi, 2 * WIDTH : 3 * WIDTH] += np.matmul(a.transpose(0, 2, 1), g[..., :WIDTH])
+        a *= np.matmul(g, v[:, :hi].transpose(0, 2, 1))
+        df[:, lo:hi, :WIDTH] = np.matmul(a, f[:, :hi, WIDTH : 2 * WIDTH])
+        df[:, :hi, WIDTH : 2 * WIDTH] += np.matmul(a.transpose(0, 2, 1), f[:, lo:hi, :WIDTH])
+    df = df.reshape(-1, 4 * WIDTH)
+    de = df @ joint(w).T
+    dw = e.reshape(-1, WIDTH).T @ df
+    dw[:, :WIDTH] *= _SCALE
+    order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
     rows = x.ravel()[order]
     edge = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
     dpos = np.zeros_like(w["pos"])
-    dpos[:n] = de.sum(axis=0)
+    dpos[:n] = de.reshape(b, n, WIDTH).sum(axis=0)
+    dhid = np.concatenate((h.reshape(-1, WIDTH).T @ du, dw[:, 3 * WIDTH :], du.sum(axis=0, keepdims=True)))
     return loss, {
-        "emb": (rows[edge], np.add.reduceat(de.reshape(-1, WIDTH)[order], edge, axis=0)), "pos": (None, dpos), "qkv": (None, e.reshape(-1, WIDTH).T @ dqkv),
-        "hid": (None, z.T @ du), "low": (None, h.T @ d3), "t1": (None, g1), "t2": (t2.nodes, g2), "t3": (t3.nodes, g3)}
+        "emb": (rows[edge], np.add.reduceat(de.take(order, axis=0), edge, axis=0)), "pos": (None, dpos), "qkv": (None, dw[:, : 3 * WIDTH]),
+        "hid": (None, dhid), "low": (None, sorted_u.T @ d3), "t1": (None, g1), "t2": (t2.nodes, g2), "t3": (t3.nodes, g3)}
 
 
 class Adagrad:
@@ -514,23 +558,47 @@ def spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[text] + number * STRIDE, text, np.where(number == 0, 0, LENGTH - STRIDE)
 
 
-def score_streams(ids: np.ndarray, starts: np.ndarray, w, leaf: np.ndarray, step: int = 256) -> np.ndarray:
-    """log10 probability of each text's ids: every id once, over batches of masked windows of like length."""
+def products(w) -> tuple[np.ndarray, np.ndarray]:
+    """What each id and each place adds to the products of ``joint``, for weights that stay."""
+    places = w["pos"] @ joint(w)
+    places[:, 3 * WIDTH :] += w["hid"][2 * WIDTH]
+    return w["emb"] @ joint(w), places
+
+
+def score_streams(ids: np.ndarray, starts: np.ndarray, w, leaf: np.ndarray, made=None, step: int = 64, block: int = 1 << 13) -> np.ndarray:
+    """log10 probability of each text's ids: every id once, over batches of masked windows of like length; ``made`` are the ``products`` of w.
+
+    Only the places that a window scores ask for attention. The tree is gone through in
+    the order of the leaves, ``block`` targets at a time.
+    """
+    of_id, of_place = made or products(w)
     first, text, new = spans(starts)
     many = np.minimum(starts[text + 1] - 1 - first, LENGTH)  # inputs of each window
-    out = np.zeros(len(starts) - 1)
-    by_length = np.argsort(-many, kind="stable")
-    for s in range(0, len(first), step):
-        chosen = by_length[s : s + step]
-        place = np.arange(many[chosen[0]])
-        at = np.minimum(first[chosen, None] + place, len(ids) - 2)
-        valid = (place < many[chosen, None]) & (place >= new[chosen, None])
-        x = ids[at]
-        h, _ = hidden(w, x)
-        y = leaf[ids[at + 1][valid]]
-        logs = np.zeros(valid.shape)
-        logs[valid] = sum(t.log_p() for t in levels(w, h[valid.ravel()], y))
-        out += np.bincount(text[chosen], weights=logs.sum(axis=1), minlength=len(out))
+    order = np.lexsort((-many, new))
+    scored = int((many - new).sum())
+    u, target, owner, done = np.empty((scored, WIDTH), np.float32), np.empty(scored, np.int64), np.empty(scored, np.int64), 0
+    edges = [0, int(np.count_nonzero(new == 0)), len(order)]
+    for s in chain.from_iterable(range(a, e, step) for a, e in zip(edges[:-1], edges[1:])):
+        chosen = order[s : min(s + step, edges[1] if s < edges[1] else edges[2])]
+        n, k = int(many[chosen[0]]), int(new[chosen[0]])
+        at = np.minimum(first[chosen, None] + np.arange(n), len(ids) - 2)
+        f = of_id.take(ids[at].ravel(), axis=0).reshape(len(chosen), n, 4 * WIDTH)
+        f += of_place[:n]
+        _, h = attend(f, k)
+        z = (h.reshape(-1, WIDTH) @ w["hid"][:WIDTH]).reshape(h.shape)
+        z += f[:, k:, 3 * WIDTH :]
+        valid = np.arange(k, n) < many[chosen, None]
+        size = int(np.count_nonzero(valid))
+        u[done : done + size] = z[valid]
+        target[done : done + size] = leaf[ids[at[:, k:][valid] + 1]]
+        owner[done : done + size] = np.repeat(text[chosen], many[chosen] - k)
+        done += size
+    np.tanh(u, out=u)
+    out, by_leaf = np.zeros(len(starts) - 1), np.argsort(target.astype(np.uint16), kind="stable")
+    for s in range(0, scored, block):
+        rows = by_leaf[s : s + block]
+        logs = sum(t.log_p() for t in levels(w, u.take(rows, axis=0), target[rows]))
+        out += np.bincount(owner[rows], weights=logs, minlength=len(out))
     return out / np.log(10)
 
 
@@ -569,6 +637,7 @@ def score(docs: DataFrame, vocabulary: str | None = None, top_words: int = TOP_W
         piecer = _piecer(path)
         piecer.clear()
         w, leaf, keys, logs = shared.value
+        made = products(w)
         word_log, done = np.zeros(0), 0
         for b in batches:
             for s in range(0, b.num_rows, 64):
@@ -589,7 +658,7 @@ def score(docs: DataFrame, vocabulary: str | None = None, top_words: int = TOP_W
                     piecer.clear()
                     word_log, done = np.zeros(0), 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size), pa.array(known), pa.array(base), pa.array(score_streams(ids, starts, w, leaf)), lists],
+                    [part.column("doc_id"), pa.array(size), pa.array(known), pa.array(base), pa.array(score_streams(ids, starts, w, leaf, made)), lists],
                     names=["doc_id", "n_tokens", "known", "base", "score", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

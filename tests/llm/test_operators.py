@@ -238,6 +238,28 @@ def test_model_is_a_distribution_and_gradient_is_right():
     assert np.allclose(lm.log_probability(w, x2, y)[:, :4], lm.log_probability(w, ids, y)[:, :4], atol=1e-6)
 
 
+def test_padded_nodes_and_scored_places_change_no_result(monkeypatch):
+    counts, leaf, w, rng = small_model()
+    for name in ("t1", "t2", "t3"):
+        w[name] += rng.normal(0, 0.3, w[name].shape).astype(np.float32)
+    ids = np.minimum(rng.zipf(1.2, (40, lm.LENGTH)), 3000) % 500
+    y, valid = leaf[np.roll(ids, -1, axis=1)], rng.random(ids.shape) < 0.9
+    loss, grad = lm.gradient(w, ids, y, valid)
+    logs = lm.log_probability(w, ids, y)
+    f = rng.normal(0, 1, (5, 40, 4 * lm.WIDTH)).astype(np.float32)
+    assert np.allclose(lm.attend(f, 12)[1], lm.attend(f)[1][:, 12:], atol=1e-6)  # a window asks only for what it scores
+    starts = np.array([0, 2, 40, 75, 1200])
+    score = lm.score_streams(ids.ravel(), starts, w, leaf)
+    assert np.allclose(lm.score_streams(ids.ravel(), starts, w, leaf, lm.products(w), step=3, block=100), score, rtol=1e-5)
+    assert score == pytest.approx([naive_log10(w, leaf, ids.ravel()[a:e]) for a, e in zip(starts[:-1], starts[1:])], rel=1e-4)
+    monkeypatch.setattr(lm, "PADDED", (0,))  # each node has a product of its own
+    one, alone = lm.gradient(w, ids, y, valid)
+    assert loss == pytest.approx(one, rel=1e-6) and np.allclose(lm.log_probability(w, ids, y), logs, atol=1e-5)
+    for name, (rows, g) in grad.items():
+        assert rows is None or np.array_equal(rows, alone[name][0])
+        assert np.allclose(g, alone[name][1], atol=1e-6)
+
+
 def naive_log10(w, leaf, ids):
     """One text's log10 probability, an id at a time, in float64: window, softmax attention, three softmaxes."""
     w = {k: v.astype(float) for k, v in w.items()}
