@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tellurion.functions.columns import clip, col, number
+from tellurion.sources.views import spread
 
 KEY = ["run_id"]
 
@@ -74,9 +76,36 @@ def hypercube(df: DataFrame, columns: list[str], key: list[str] = KEY, minimum:
     return df.withColumns(out).drop(*[f"_{k}_{c}" for c in columns for k in "mi"])
 
 
+def filled_quantiles(df: DataFrame, columns: list[str], low: float, high: float, key: list[str] = KEY, also: dict[str, Column] | None = None) -> DataFrame:
+    """One row a group: by column c a struct ``_s_c`` (middle, low, high) of its median and of the exact percentiles of the band whose missing values are that median; plus the aggregates ``also``.
+
+    One sort serves all: the copies of the median lie in the middle of the sorted values, so
+    places in the filled band are places among the values. No band is held whole.
+    """
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_all"), F.array(*[F.count(c) for c in columns]).alias("_n"), *[c.alias(n) for n, c in (also or {}).items()])
+    values = df.select(*key, F.posexplode(F.array(*[col(c).cast("double") for c in columns])).alias("_b", "_v")).where("_v is not null")
+    ranked = spread(values, *key).withColumn("_r", F.row_number().over(Window.partitionBy(*key, "_b").orderBy("_v")) - 1)
+    n = F.get("_n", F.col("_b"))
+    former, copies = F.floor((n + 1) / 2), F.col("_all") - n  # values before the copies of the median
+    spots = {"m": number(0.5) * (n - 1)} | {k: number(q) * (F.col("_all") - 1) for k, q in (("l", low), ("h", high))}
+    place = lambda k, i: i if k == "m" else F.when(i < former, i).when(i >= former + copies, i - copies)
+    ends = {f"{k}{e}": place(k, f(x)) for k, x in spots.items() for e, f in (("0", F.floor), ("1", F.ceil))}
+    picked = ranked.join(counts.select(*key, "_all", "_n"), key).where(F.greatest(*[F.coalesce(F.col("_r") == i, F.lit(False)) for i in ends.values()]))
+    picked = picked.groupBy(*key, "_b").agg(F.max(spots["l"]).alias("l"), F.max(spots["h"]).alias("h"), F.max(spots["m"]).alias("m"), *[F.max(F.when(F.col("_r") == i, F.col("_v"))).alias(f"_{k}") for k, i in ends.items()])
+    between = lambda k: F.when(F.col(f"_{k}0") == F.col(f"_{k}1"), F.col(f"_{k}0")).otherwise((F.ceil(k) - F.col(k)) * F.col(f"_{k}0") + (F.col(k) - F.floor(k)) * F.col(f"_{k}1"))
+    picked = picked.withColumn("_mid", between("m")).withColumns({f"_{k}{e}": F.coalesce(f"_{k}{e}", "_mid") for k in "lh" for e in "01"})
+    made = picked.select(*key, "_b", F.struct(F.col("_mid").alias("middle"), between("l").alias("low"), between("h").alias("high")).alias("_s"))
+    made = made.groupBy(*key).agg(*[F.first(F.when(F.col("_b") == i, F.col("_s")), ignorenulls=True).alias(f"_s_{c}") for i, c in enumerate(columns)])
+    return counts.drop("_all", "_n").join(made, key, "left")
+
+
+def filled_and_clipped(c: str) -> Column:
+    """Column ``c`` filled and clipped by its struct of ``filled_quantiles``."""
+    s = F.col(f"_s_{c}")
+    return F.least(F.greatest(F.coalesce(F.col(c), s["middle"]), s["low"]), s["high"])
+
+
 def fill_and_clip(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, key: list[str] = KEY) -> DataFrame:
     """Missing values become the median; then values are clipped to the percentiles of the filled band."""
-    df = with_stats(df, {f"_m_{c}": F.median(c) for c in columns}, key)
-    df = df.withColumns({f"{c}_f": F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in columns})
-    df = with_stats(df, {f"_{k}_{c}": quantile(f"{c}_f", q) for c in columns for k, q in (("l", low), ("h", high))}, key)
-    return df.withColumns({f"{c}_f": F.least(F.greatest(F.col(f"{c}_f"), F.col(f"_l_{c}")), F.col(f"_h_{c}")) for c in columns}).drop(*[f"_{k}_{c}" for c in columns for k in "mlh"])
+    df = df.join(filled_quantiles(df, columns, low, high, key), key)
+    return df.withColumns({f"{c}_f": filled_and_clipped(c) for c in columns}).drop(*[f"_s_{c}" for c in columns])

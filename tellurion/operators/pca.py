@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellurion.functions.columns import clamp01, number
-from tellurion.functions.group_stats import fill_and_clip, quantile, with_stats
+from tellurion.functions.group_stats import filled_and_clipped, filled_quantiles, quantile, with_stats
 from tellurion.sources.scratch import materialise
 
 # Components, the deviation of a channel that counts, and the share of valid pixels.
@@ -42,19 +42,23 @@ def pca_anomaly(df: DataFrame, bands: list[str], support: str | None = None, k:
     n, kind = len(bands), df.schema["run_id"].dataType.simpleString()
     names = [f"_c{i}" for i in range(n)]
     on = F.coalesce(F.col(support) > 0.5, F.lit(False)) if support else F.lit(True)
-    d = df.select("run_id", "row", "col", on.alias("_on"), *[_finite(b).alias(c) for b, c in zip(bands, names)])
+    d = materialise(df.select("run_id", "row", "col", on.alias("_on"), *[_finite(b).alias(c) for b, c in zip(bands, names)]), "pca-channels")
     inside = lambda c: F.when(F.col("_on"), F.col(c))
-    d = with_stats(d, {"_use": F.array(*[F.coalesce(F.stddev_pop(inside(c)) > LEAST_DEVIATION, F.lit(False)) for c in names]), "_some": F.array(*[F.count(inside(c)) > 0 for c in names])})
+    flags = {"_use": F.array(*[F.coalesce(F.stddev_pop(inside(c)) > LEAST_DEVIATION, F.lit(False)) for c in names]), "_some": F.array(*[F.count(inside(c)) > 0 for c in names])}
+    stats = materialise(filled_quantiles(d, names, 0.01, 0.99, also=flags), "pca-stats")
+    use = [F.get("_use", F.lit(i)) for i in range(n)]
     valid = F.col("_on")
-    for i, c in enumerate(names):
-        valid = valid & (~F.get("_use", F.lit(i)) | F.col(c).isNotNull())
-    d = fill_and_clip(d.withColumn("_valid", valid), names)
-    x = [F.when(F.get("_use", F.lit(i)), F.coalesce(f"{c}_f", number(0))).otherwise(number(0)) for i, c in enumerate(names)]
-    d = materialise(d.select("run_id", "row", "col", "_valid", "_use", "_some", F.array(*x).alias("_x")), "pca-pixels")
-    at = lambda i: F.when(F.col("_valid"), F.get("_x", F.lit(i)))
-    sums = d.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("pixels"), F.count_if("_valid").alias("n"), F.first("_use").alias("use"), F.first("_some").alias("some"),
-        F.array(*[F.sum(at(i)) for i in range(n)]).alias("s"), F.array(*[F.sum(at(i) * at(j)) for i in range(n) for j in range(n)]).alias("g"))
+    for c, u in zip(names, use):
+        valid = valid & (~u | F.col(c).isNotNull())
+    filled = {f"_x{i}": F.when(u, F.coalesce(filled_and_clipped(c), number(0))).otherwise(number(0)) for i, (c, u) in enumerate(zip(names, use))}
+    ready = lambda of: d.join(of, "run_id").select("*", valid.alias("_valid")).withColumns(filled)
+    at = [F.when(F.col("_valid"), F.col(f"_x{i}")) for i in range(n)]
+    sums = ready(stats).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("pixels"), F.count_if("_valid").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(at)],
+        *[F.sum(at[i] * at[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)])
+    sums = sums.join(stats, "run_id").select(
+        "run_id", "pixels", "n", F.col("_use").alias("use"), F.col("_some").alias("some"), F.array(*[f"s{i}" for i in range(n)]).alias("s"),
+        F.array(*[f"g{min(i, j)}_{max(i, j)}" for i in range(n) for j in range(n)]).alias("g"))
 
     def solve(batches):
         for pdf in batches:
@@ -81,8 +85,8 @@ def pca_anomaly(df: DataFrame, bands: list[str], support: str | None = None, k:
             yield pd.DataFrame(out, columns=["run_id", "status", "included", "excluded", "pixel_count", "valid_count", "mean", "w", "variance", "share"])
 
     model = materialise(sums.mapInPandas(solve, _MODEL.format(kind=kind)), "pca-model")
-    p = d.join(model.where("status = 'ok'").select("run_id", "mean", "w"), "run_id", "left")
-    centred = F.zip_with("_x", "mean", lambda a, b: a - b)
+    p = ready(stats.join(model.where("status = 'ok'").select("run_id", "mean", "w"), "run_id", "left"))
+    centred = F.zip_with(F.array(*[f"_x{i}" for i in range(n)]), "mean", lambda a, b: a - b)
     p = p.select("run_id", "row", "col", F.when(F.col("_valid"), centred).alias("_y"), "w")
     dot = lambda v: F.aggregate(F.zip_with(v, F.col("_y"), lambda a, b: a * b), number(0), lambda s, t: s + t)
     p = p.withColumn("raw_score", F.sqrt(F.aggregate(F.transform("w", dot), number(0), lambda s, t: s + t * t))).drop("_y", "w")

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tellurion.functions import group_stats as g
 from tellurion.operators import pca
 
 
@@ -63,3 +64,23 @@ def test_one_ramp_has_one_component(spark):
     r = report.first()
     assert r.status == "ok" and r.share[0] == pytest.approx(1.0) and r.valid_fraction == 1.0
     assert all(0 <= p.anomaly <= 1 and np.isfinite(p.raw_score) for p in pixels.collect())
+
+
+def test_quantiles_of_the_filled_band_come_from_places_among_its_values(spark):
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for run, (size, missing) in enumerate([(1, 0), (1, 1), (2, 1), (7, 0), (7, 3), (8, 4), (40, 39), (300, 5), (301, 150), (302, 301)]):
+        for name in "ab":
+            v = np.round(rng.normal(size=size), 1 if name == "a" else 6)
+            v[rng.permutation(size)[:missing]] = np.nan
+            want[run, name] = v
+        rows += [(run, *[None if np.isnan(want[run, c][i]) else float(want[run, c][i]) for c in "ab"]) for i in range(size)]
+    df = spark.createDataFrame(rows, "run_id int, a double, b double")
+    got = {r.run_id: r for r in g.filled_quantiles(df, ["a", "b"], 0.01, 0.8).collect()}
+    assert len(got) == 10
+    for (run, name), v in want.items():
+        s = got[run][f"_s_{name}"]
+        if np.isnan(v).all():
+            assert s is None
+        else:
+            full = np.where(np.isnan(v), np.nanmedian(v), v)
+            assert (s.middle, s.low, s.high) == pytest.approx((np.nanmedian(v), *np.percentile(full, [1, 80])), rel=1e-12, abs=1e-15)
