@@ -1,27 +1,33 @@
 """Co-registration of grid pairs: a shift search with a plane taken off at every shift, and the change that is left.
 
-Every candidate shift of every pair is a group of its own: the stable points of the first
-grid, with the second one's value there by bilinear weights.  A value's four sources lie
-on one row of a table of pixel quads, so a candidate is an equi-join on (pair, row, col).
-Whole pixels come first, then quarter pixels around the best one of each pair.  A group
-has at most ``most`` points (every n-th in scan order), so its robust fit is one small
-task; all pairs and candidates are searched in the same two jobs.
+A pair's search is one group: its sampled points (at most ``most``, every n-th in scan
+order) and the second grid's pixels in the small cells around them.  There every
+candidate shift takes its values by bilinear weights and fits its own plane, first whole
+pixels, then quarter pixels around the best one.  Points are never exploded by candidates,
+so what is sent grows with the pixels, and a group is bounded by ``most``, whatever the grid's size.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tellurion.functions.columns import number
 from tellurion.functions.group_stats import quantile
 from tellurion.operators.evidence import robust_plane
 from tellurion.sources.scratch import materialise
+from tellurion.sources.views import spread
 
 REACH = 3
+#: Pixels from a point to the last source of a candidate: whole and quarter shifts, and the next pixel.
+FAR = REACH + 1
+#: Side of the cells in which pixels are looked for; at least 2 * FAR, so a point reaches four of them at most.
+CELL = 8
 # What residuals on stable ground may be at most, in metres.
 GATES = (("stable_rmse", 0.15), ("stable_abs_median", 0.05), ("stable_p95_abs", 0.30), ("plane_drift", 0.10))
 
@@ -74,17 +80,57 @@ def plane_spread(x: np.ndarray, y: np.ndarray, z: np.ndarray, rounds: int, clip:
     return float(np.median(np.abs(v - np.median(v)))) if len(v) >= least else np.inf
 
 
-def shift_scores(points: DataFrame, cells: DataFrame, rounds: int, clip: float, least: int) -> DataFrame:
-    """run_id, dy, dx, score, n of every candidate of ``points`` (run_id, row, col, a, dx, dy)."""
+def near_points(post: DataFrame, z: str, points: DataFrame) -> DataFrame:
+    """run_id, row, col, z of the second grids' pixels in the cells of ``CELL`` pixels a side that a point's candidates may reach."""
+    cell = lambda c, by=0: F.floor((F.col(c) + by) / CELL).cast("int")
+    ends = F.array(*[F.struct(cell("row", y).alias("_r"), cell("col", x).alias("_c")) for y in (-FAR, FAR) for x in (-FAR, FAR)])
+    reached = points.select("run_id", F.explode(F.array_distinct(ends)).alias("_e")).select("run_id", "_e.*").distinct()
+    pixels = post.select("run_id", "row", "col", F.col(z).cast("double").alias("z")).dropna(subset=["z"]).withColumns({"_r": cell("row"), "_c": cell("col")})
+    return pixels.hint("merge").join(reached, ["run_id", "_r", "_c"], "left_semi").drop("_r", "_c")
+
+
+def reached_values(rows: np.ndarray, cols: np.ndarray, pixels: pd.DataFrame) -> Callable[[int, int], np.ndarray]:
+    """A function of (down, across): the value of the pixel that far from every point, NaN where there is none; the points are among the pixels."""
+    r, c, v = (pixels[k].to_numpy() for k in ("row", "col", "z"))
+    top, left, width = r.min() - FAR, c.min() - FAR, int(c.max()) - int(c.min()) + 2 * FAR + 1
+    place = lambda r, c: (r.astype(np.int64) - top) * width + (c - left)
+    at = place(r, c)
+    order = np.argsort(at)
+    at, v, known = at[order], v[order], {}
+
+    def value(down: int, across: int) -> np.ndarray:
+        if (down, across) not in known:
+            k = place(rows + down, cols + across)
+            i = np.minimum(np.searchsorted(at, k), len(at) - 1)
+            known[down, across] = np.where(at[i] == k, v[i], np.nan)
+        return known[down, across]
+
+    return value
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "col"])
-        at = lambda c: pdf[c].to_numpy(float) / max(pdf[c].max(), 1)
-        score = plane_spread(at("col"), at("row"), (pdf["b"] - pdf["a"]).to_numpy(float), rounds, clip, least)
-        return pd.DataFrame({"run_id": pdf["run_id"].iloc[:1], "dy": pdf["dy"].iloc[:1], "dx": pdf["dx"].iloc[:1], "score": [score], "n": [len(pdf)]})
 
-    kind = points.schema["run_id"].dataType.simpleString()
-    return moved(points, cells).groupBy("run_id", "dy", "dx").applyInPandas(one, f"run_id {kind}, dy double, dx double, score double, n long")
+def searched(points: pd.DataFrame, pixels: pd.DataFrame, rounds: int, clip: float, least: int) -> tuple[float, float, float | None]:
+    """dx, dy and score of the best shift of one pair."""
+    points = points.sort_values(["row", "col"])
+    rows, cols, a = (points[k].to_numpy() for k in ("row", "col", "a"))
+    value = reached_values(rows, cols, pixels)
+
+    def score(dy: float, dx: float) -> float:
+        y, x = math.floor(-dy), math.floor(-dx)
+        fy, fx = -dy - y, -dx - x
+        q00, q10, q01, q11 = value(y, x), value(y, x + 1), value(y + 1, x), value(y + 1, x + 1)
+        b = q00 * (1 - fx) * (1 - fy) + q10 * fx * (1 - fy) + q01 * (1 - fx) * fy + q11 * fx * fy
+        ok = ~(np.isnan(q00) | np.isnan(q10) | np.isnan(q01) | np.isnan(q11))
+        at = lambda v: v[ok] / v[ok].max(initial=1)
+        return plane_spread(at(cols), at(rows), (b - a)[ok], rounds, clip, least)
+
+    def best(cy: float, cx: float, by: float) -> tuple[float, float, float] | None:
+        shifts = [(cy + y * by, cx + x * by) for y in range(-REACH, REACH + 1) for x in range(-REACH, REACH + 1)]
+        return min((t for t in ((score(*s), *s) for s in shifts) if t[0] < np.inf), default=None)
+
+    whole = best(0.0, 0.0, 1.0)
+    fine = best(*(whole[1:] if whole else (0.0, 0.0)), 0.25)
+    s, dy, dx = fine if fine and (whole is None or fine[0] < whole[0]) else whole or (None, 0.0, 0.0)
+    return dx, dy, s
 
 
 def best_shifts(pre: DataFrame, post: DataFrame, z: str, stable: str | None = None, least_stable: int = 5000, least: int = 1000, most: int = 30_000, rounds: int = 3, clip: float = 3.5) -> DataFrame:
@@ -95,24 +141,13 @@ def best_shifts(pre: DataFrame, post: DataFrame, z: str, stable: str | None = No
     with a NULL score; one without ``least_stable`` stable pixels has no row.
     """
     points = materialise(stable_points(pre, post, z, stable, least_stable, most), "stable-points")
-    cells = materialise(quads(post, z), "quads")
-    span = np.arange(-REACH, REACH + 1)
-    steps = lambda by: F.array(*[F.struct(F.lit(float(y * by)).alias("y"), F.lit(float(x * by)).alias("x")) for y in span for x in span])
-
-    def search(p: DataFrame, by: float) -> DataFrame:
-        p = p.withColumn("_s", F.explode(steps(by)))
-        p = p.select("run_id", "row", "col", "a", (F.col("_cy") + F.col("_s.y")).alias("dy"), (F.col("_cx") + F.col("_s.x")).alias("dx"))
-        scored = shift_scores(p, cells, rounds, clip, least).where(~F.isnan("score") & (F.col("score") < float("inf")))
-        return scored.groupBy("run_id").agg(F.min(F.struct("score", "dy", "dx")).alias("s"))
-
-    whole = search(points.withColumns({"_cy": number(0), "_cx": number(0)}), 1.0)
-    whole = points.select("run_id").distinct().join(whole, "run_id", "left").select("run_id", F.col("s.score").alias("_score"), F.coalesce("s.dy", number(0)).alias("_cy"), F.coalesce("s.dx", number(0)).alias("_cx"))
-    whole = materialise(whole, "whole-shifts")
-    fine = search(points.join(whole.select("run_id", "_cy", "_cx"), "run_id"), 0.25)
-    d = whole.join(fine, "run_id", "left")
-    better = F.col("s.score").isNotNull() & (F.col("_score").isNull() | (F.col("s.score") < F.col("_score")))
-    pick = lambda new, old: F.when(better, F.col(new)).otherwise(F.col(old))
-    return d.select("run_id", pick("s.dx", "_cx").alias("dx"), pick("s.dy", "_cy").alias("dy"), pick("s.score", "_score").alias("score"))
+    kind = points.schema["run_id"].dataType
+
+    def one(key: tuple, points: pd.DataFrame, pixels: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *searched(points, pixels, rounds, clip, least))], columns=["run_id", "dx", "dy", "score"])
+
+    groups = [spread(d, "run_id").groupBy("run_id") for d in (points, near_points(post, z, points))]
+    return groups[0].cogroup(groups[1]).applyInPandas(one, f"run_id {kind.simpleString()}, dx double, dy double, score double")
 
 
 def elevation_change(pre: DataFrame, post: DataFrame, z: str, stable: str, target: str, least_stable: int = 5000, least_target: int = 500, least: int = 1000, cover: float = 0.0, most: int = 30_000) -> DataFrame:

@@ -10,6 +10,7 @@ from tellurion.operators import focus as fo
 from tellurion.operators import projection as pj
 from tellurion.operators import regions as rg
 from tellurion.operators import shifts as sh
+from tellurion.sources.scratch import materialise
 from tellurion.sources.views import PIX, SIZE, pix, spread, table
 
 QUERIES, ORACLES = {}, {}
@@ -158,7 +159,7 @@ def _passes(spark, sf):
     d = fo.focal_mean(pix(spark, sf).select("run_id", "row", "col", "dem"), "dem", 5, "z")
     inner = lambda c: F.abs(F.col(c) - SIZE / 2) < 12
     d = d.select(F.floor(F.col("run_id") / 2).cast("int").alias("run_id"), "row", "col", "z", (F.col("run_id") % 2).alias("_pass"), (inner("row") & inner("col")).alias("target"))
-    d = d.withColumn("stable", ~F.col("target"))
+    d = materialise(d.withColumn("stable", ~F.col("target")), "passes")
     return d.where("_pass = 0").drop("_pass"), d.where("_pass = 1").drop("_pass")
 
 

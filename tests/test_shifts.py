@@ -134,3 +134,20 @@ def test_edges_equal_flood_fill(spark):
         assert kept.sum() > 40 and np.array_equal(mine, kept)
         groups = {e.edge_id for e in got if e.run_id == run}
         assert groups == set(range(1, len(groups) + 1))
+
+
+# ---- what is sent ------------------------------------------------------------------------------
+
+
+def test_points_are_not_sent_once_a_candidate(spark):
+    """What a search shuffles grows with the pixels, not with its 98 candidates; sparse points reach the pixels around them alone."""
+    pre, post = frames(spark, {run: pair(run, 0.5, 0.25, (0.0, 0.0, 0.0), 0.01) for run in (1, 2)})
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    pixels, before = post.count(), sent()
+    assert len(shifts.best_shifts(pre, post, "z", "s").collect()) == 2
+    assert sent() - before < 300 * pixels
+    few = spark.createDataFrame([(1, 5, 5), (1, 80, 100), (9, 5, 5)], "run_id int, row int, col int")
+    near = {(r.row, r.col) for r in shifts.near_points(post, "z", few).collect()}
+    there = {(r.row, r.col) for r in post.where("run_id = 1 and z is not null").collect()}
+    box = {(r + y, c + x) for r, c in ((5, 5), (80, 100)) for y in range(-4, 5) for x in range(-4, 5)}
+    assert box & there <= near <= there and len(near) <= 2 * 4 * 64
