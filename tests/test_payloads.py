@@ -1,6 +1,7 @@
 """Payload walks against recursive Python versions on nested random payloads."""
 
 import json
+import os
 import random
 import re
 
@@ -140,3 +141,29 @@ def test_violations(spark):
             want += [(i, *f) for f in found]
     assert got == sorted(want) and len(want) > 100
     assert payloads.violations(payloads.redacted(frame(spark), "doc").drop("doc"), "redacted").count() == 0
+
+
+def test_payloads_stay_where_they_lie(spark):
+    """A payload is one row all the way: no exchange, and nothing written below the shared folder."""
+    d = spark.range(20).selectExpr("id", """concat('{"location": {"at": [1, ', id, '], "note": "/home/u', id, '"}}') AS doc""")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    there = set(os.listdir(folder))
+    for f in (payloads.redacted, payloads.canonical, payloads.violations):
+        out = f(d, "doc")
+        assert out.count() > 0 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert set(os.listdir(folder)) == there
+
+
+def test_numbers_and_texts_that_spark_fills_in(spark):
+    cases = {
+        '{"b": 1.50, "a": [12345678901234567890, 1e-9, -0.0, 9223372036854775807, 1e22]}': '{"a":[1.2345678901234567E19,0.0,0.0,9223372036854775807,1.0E22],"b":1.5}',
+        r'["\ud800", "😀", "\u0001\u001f/"]': '["?","😀","\\u0001\\u001F/"]', "[" * 300 + "]" * 300: "[" * 300 + "]" * 300, '{"a": 1} x': '{"a":1}', "[NaN]": None, "01": None,
+        '{"features": [{"properties": {"id": 2.5}}, {"properties": {"id": 10.0}}, {"properties": {"id": 1e999, "name": "z"}}, {"id": "z"}]}':
+            '{"features":[{"properties":{"id":Infinity,"name":"z"}},{"id":"z"},{"properties":{"id":10.0}},{"properties":{"id":2.5}}]}'}
+    d = spark.createDataFrame([(k,) for k in cases], "doc string")
+    assert {r.doc: r.canonical for r in payloads.canonical(d, "doc").collect()} == cases
+    odd = '{"ROI": {"n": "é 12, 99 /home/x", "m": "45, 99"}, "é": "ſ0123456789abcdef0123456789abcdef"}'
+    r = payloads.redacted(spark.createDataFrame([(odd,)], "doc string"), "doc").first()
+    assert r.redacted == '{"ROI":{"m":"[REDACTED_COORDS]","n":"é [REDACTED_COORDS] [REDACTED_PATH]"},"é":"ſ0123456789abcdef0123456789abcdef"}'
+    found = payloads.violations(spark.createDataFrame([(odd,)], "doc string"), "doc").collect()
+    assert {(v.path, v.rule) for v in found} == {(".ROI.m", "text"), (".ROI.n", "text")}
