@@ -36,14 +36,14 @@ def norm01(df: DataFrame, columns: dict[str, Column | str], key: list[str] = KEY
     df = df.withColumns({f"_v_{n}": col(c) for n, c in columns.items()})
     stats = {}
     for n in columns:
-        stats |= {f"_lo_{n}": quantile(f"_v_{n}", 0.02), f"_hi_{n}": quantile(f"_v_{n}", 0.98), f"_n_{n}": F.count(f"_v_{n}")}
+        stats |= {f"_q_{n}": F.percentile(f"_v_{n}", F.array(F.lit(0.02), F.lit(0.98))), f"_n_{n}": F.count(f"_v_{n}")}
     df = with_stats(df, stats, key)
     out = {}
     for n in columns:
-        lo, hi, x = F.col(f"_lo_{n}"), F.col(f"_hi_{n}"), F.col(f"_v_{n}")
+        lo, hi, x = F.get(f"_q_{n}", F.lit(0)), F.get(f"_q_{n}", F.lit(1)), F.col(f"_v_{n}")
         usable = (F.col(f"_n_{n}") >= minimum) & (F.abs(hi - lo) >= 1e-6) & x.isNotNull()
         out[n] = F.when(usable, clip(F.try_divide(x - lo, hi - lo), 0.0, 1.0)).otherwise(number(0))
-    return df.withColumns(out).drop(*[f"_{k}_{n}" for n in columns for k in ("v", "lo", "hi", "n")])
+    return df.withColumns(out).drop(*[f"_{k}_{n}" for n in columns for k in ("v", "q", "n")])
 
 
 def robust_z(df: DataFrame, columns: list[str], key: list[str] = KEY, suffix: str = "_z") -> DataFrame:

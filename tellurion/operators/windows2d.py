@@ -10,13 +10,18 @@ is a row with NULL values).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tellurion.functions.columns import col, number
 
 GRID = ["run_id"]
+#: Side of the blocks in which median filters work, in pixels.
+BLOCK = 128
 
 
 def _axis(fixed: str, along: str):
@@ -99,27 +104,55 @@ def median_filter(df: DataFrame, x: str, size: int, name: str) -> DataFrame:
 def median_filters(df: DataFrame, bands: dict[str, tuple[str, int]]) -> DataFrame:
     """Adds for each name the median filter of a band; bands: name to (band, size).
 
-    The grid's medians are one aggregation for all bands.  A box is gathered by two
-    collecting frames, padded with its end pixels.  No value of a box can be NULL (the
-    ends are coalesced with the pixel itself for that alone), so a box is sorted as numbers.
+    The grid's medians are one aggregation for all bands.  A grid is cut into blocks of
+    ``BLOCK`` pixels a side; a block and the pixels around it that its boxes reach are one
+    group, in which all bands are filtered, so no box is ever a row's array and no group
+    grows with the grid.  Borders repeat their end pixels.
     """
     from tellurion.functions.group_stats import with_stats
 
-    df = with_stats(df, {f"_med_{n}": F.median(x) for n, (x, _) in bands.items()})
-    for name, (x, size) in bands.items():
-        r = size // 2
-
-        def line(c: str, fixed: str, along: str, r=r) -> Column:
-            w = _axis(fixed, along)
-            whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            before, after = _beyond(w, r)
-            pad = lambda end, k: F.array_repeat(F.coalesce(end(c).over(whole), c), k.cast("int"))
-            return F.concat(pad(F.first, before), F.collect_list(c).over(w.rowsBetween(-r, r)), pad(F.last, after))
-
-        df = df.withColumn("_f", F.coalesce(F.col(x), f"_med_{name}", number(0)))
-        df = df.withColumn("_l", line("_f", "row", "col")).withColumn("_b", F.sort_array(F.flatten(line("_l", "col", "row"))))
-        df = df.withColumn(name, F.get("_b", F.lit(size * size // 2))).drop("_f", "_l", "_b")
-    return df.drop(*[f"_med_{n}" for n in bands])
+    reach = max(size for _, size in bands.values()) // 2
+    ends = {f"_{e}_{k}": f(k) for k in ("row", "col") for e, f in (("min", F.min), ("max", F.max))}
+    d = with_stats(df, {f"_med_{n}": F.median(x) for n, (x, _) in bands.items()} | ends)
+    # The bands' values with missing pixels filled: by its type the array holds no NULL, so a group takes it as numbers.
+    d = d.withColumn("_b", F.array(*[F.coalesce(F.col(x), f"_med_{n}", number(0)) for n, (x, _) in bands.items()]))
+
+    def blocks(k: str) -> Column:
+        """The blocks of a grid that need this row or column."""
+        at = lambda c: F.floor(c / BLOCK).cast("int")
+        return F.explode(F.sequence(at(F.greatest(F.col(k) - reach, F.col(f"_min_{k}"))), at(F.least(F.col(k) + reach, F.col(f"_max_{k}")))))
+
+    d = d.withColumn("_by", blocks("row")).withColumn("_bx", blocks("col")).select(*df.columns, "_b", "_by", "_bx")
+    kept = df.columns
+
+    def filtered(t: pa.Table) -> pa.Table:
+        row, col, by, bx = (t[k].to_numpy().astype(np.int64) for k in ("row", "col", "_by", "_bx"))
+        own = (row // BLOCK == by) & (col // BLOCK == bx)
+        y, x = row - row.min(), col - col.min()
+        oy, ox = y[own], x[own]
+        out = t.filter(pa.array(own)).select(kept)
+        values = t["_b"].combine_chunks().flatten().to_numpy().reshape(-1, len(bands))
+        for i, (name, (_, size)) in enumerate(bands.items()):
+            grid = np.zeros((y.max() + 1, x.max() + 1))
+            grid[y, x] = values[:, i]
+            medians = _block_medians(grid, (oy.min(), oy.max()), (ox.min(), ox.max()), size)
+            out = out.append_column(pa.field(name, pa.float64()), pa.array(medians[oy - oy.min(), ox - ox.min()]))
+        return out
+
+    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in bands]])
+    return d.groupBy(*GRID, "_by", "_bx").applyInArrow(filtered, schema)
+
+
+def _block_medians(grid: np.ndarray, rows: tuple[int, int], cols: tuple[int, int], size: int) -> np.ndarray:
+    """Medians of the boxes around the pixels from the first to the last of ``rows`` and ``cols``; places beyond the grid have its end pixels' values."""
+    r = size // 2
+    cut, pad = [], []
+    for (first, last), n in zip((rows, cols), grid.shape):
+        cut.append(slice(max(first - r, 0), min(last + r, n - 1) + 1))
+        pad.append((max(r - first, 0), max(last + r - (n - 1), 0)))
+    boxes = np.lib.stride_tricks.sliding_window_view(np.pad(grid[tuple(cut)], pad, mode="edge"), (size, size))
+    middle = size * size // 2
+    return np.stack([np.partition(line.reshape(len(line), -1), middle, axis=1)[:, middle] for line in boxes])
 
 
 def local_contrast(df: DataFrame, bands: dict[str, tuple[str, int]]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Sides of joins that grow with the input aren't sent to all tasks, however small Spark takes them for."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,20 @@ def test_tracks_are_matched_by_all_tasks(spark):
     c = spark.range(4000).select((F.col("id") % 2000).alias("track"), F.col("id").alias("asc_id"), (F.col("id") + 9000).alias("desc_id"), F.col("id").alias("asc_ms"), (F.col("id") + 3).alias("desc_ms"), F.lit(3).cast("long").alias("dt_ms"))
     d = acquisitions.select_pairs(c)
     assert d.count() == 4000 and d.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+
+
+def test_median_filters_hold_no_box_and_no_grid(spark, monkeypatch):
+    """Boxes are made in blocks that do not grow with the grid, with the same medians over their borders; a row never holds a box."""
+    monkeypatch.setattr(w2, "BLOCK", 16)
+    a = np.random.default_rng(3).normal(size=(50, 37))
+    a[np.random.default_rng(4).random(a.shape) < 0.1] = np.nan
+    px = spark.createDataFrame([(run, y + 3, x - 20, None if np.isnan(v) else float(v), y) for run in (1, 2) for (y, x), v in np.ndenumerate(a)], "run_id int, row int, col int, z double, note int")
+    d = w2.median_filters(px, {"big": ("z", 11), "small": ("z", 3)})
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "flatten" not in plan
+    f = np.where(np.isnan(a), np.nanmedian(a), a)
+    rows = d.where("run_id = 2").toPandas().sort_values(["row", "col"])
+    assert d.count() == 2 * a.size and rows.note.tolist() == [y for y in range(50) for _ in range(37)]
+    for name, size in (("big", 11), ("small", 3)):
+        boxes = np.lib.stride_tricks.sliding_window_view(np.pad(f, size // 2, mode="edge"), (size, size)).reshape(*a.shape, -1)
+        assert np.array_equal(rows[name].to_numpy().reshape(a.shape), np.median(boxes, axis=2))
