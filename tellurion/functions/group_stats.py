@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tellurion.functions.columns import clip, col, number
+from tellurion.sources.scratch import materialise
 from tellurion.sources.views import spread
 
 KEY = ["run_id"]
 
 
-def with_stats(df: DataFrame, stats: dict[str, Column], key: list[str] = KEY) -> DataFrame:
-    """``df`` with the aggregates ``stats`` of its group."""
+def with_stats(df: DataFrame, stats: dict[str, Column], key: list[str] = KEY, written: bool = False) -> DataFrame:
+    """``df`` with the aggregates ``stats`` of its group.
+
+    ``written`` statistics have a size that Spark knows before the join, so the rows of
+    ``df`` are shuffled for it only where there are too many groups to broadcast.
+    """
     small = df.groupBy(*key).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(small, key)
+    return df.join(materialise(small, "statistics") if written else small, key)
 
 
 def quantile(x, q: float) -> Column:
@@ -27,7 +32,7 @@ def quantile(x, q: float) -> Column:
     return F.percentile(col(x), F.lit(float(q)))
 
 
-def norm01(df: DataFrame, columns: dict[str, Column | str], key: list[str] = KEY, minimum: int = 10) -> DataFrame:
+def norm01(df: DataFrame, columns: dict[str, Column | str], key: list[str] = KEY, minimum: int = 10, written: bool = False) -> DataFrame:
     """Adds each column stretched from its 2nd..98th percentile to 0..1.
 
     Missing pixels give 0; so does the whole band with fewer than ``minimum`` valid
@@ -36,14 +41,13 @@ def norm01(df: DataFrame, columns: dict[str, Column | str], key: list[str] = KEY
     df = df.withColumns({f"_v_{n}": col(c) for n, c in columns.items()})
     stats = {}
     for n in columns:
-        stats |= {f"_q_{n}": F.percentile(f"_v_{n}", F.array(F.lit(0.02), F.lit(0.98))), f"_n_{n}": F.count(f"_v_{n}")}
-    df = with_stats(df, stats, key)
-    out = {}
-    for n in columns:
-        lo, hi, x = F.get(f"_q_{n}", F.lit(0)), F.get(f"_q_{n}", F.lit(1)), F.col(f"_v_{n}")
-        usable = (F.col(f"_n_{n}") >= minimum) & (F.abs(hi - lo) >= 1e-6) & x.isNotNull()
-        out[n] = F.when(usable, clip(F.try_divide(x - lo, hi - lo), 0.0, 1.0)).otherwise(number(0))
-    return df.withColumns(out).drop(*[f"_{k}_{n}" for n in columns for k in ("v", "q", "n")])
+        ends = F.percentile(f"_v_{n}", F.array(F.lit(0.02), F.lit(0.98)))
+        low, range_ = F.get(ends, F.lit(0)), F.get(ends, F.lit(1)) - F.get(ends, F.lit(0))
+        stats |= {f"_lo_{n}": low, f"_w_{n}": F.when((F.count(f"_v_{n}") >= minimum) & (F.abs(range_) >= 1e-6), range_)}
+    df = with_stats(df, stats, key, written)
+    # A missing pixel or range makes the quotient NULL, which the greatest passes over; short, as all bands' formulas are one generated method.
+    place = lambda n: F.try_divide(F.col(f"_v_{n}") - F.col(f"_lo_{n}"), F.col(f"_w_{n}"))
+    return df.withColumns({n: F.least(F.greatest(place(n), number(0)), number(1)) for n in columns}).drop(*[f"_{k}_{n}" for n in columns for k in ("v", "lo", "w")])
 
 
 def robust_z(df: DataFrame, columns: list[str], key: list[str] = KEY, suffix: str = "_z") -> DataFrame:

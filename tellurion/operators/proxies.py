@@ -38,12 +38,12 @@ def proxy_layers(df: DataFrame) -> DataFrame:
     vegroot, clay_thermal and thermal_delta.
     """
     normed = ("vv", "vh", "ratio", "silver", "thermal_inertia", "thermal_day", "rough", "curv", "tpi", "vegroot", "clay_thermal", "thermal_delta")
-    df = g.norm01(df, {f"{n}_n": n for n in normed})
+    df = g.norm01(df, {f"{n}_n": n for n in normed}, written=True)
     df = df.select(*w2.GRID, "row", "col", "gold", "thermal_day", *[f"{n}_n" for n in normed])  # the bands themselves are done with
     df = w2.local_contrast(df, {"gold_c": ("gold", 11), "thermal_c": ("thermal_day", 11), "ratio_c": ("ratio_n", 11), "vv_c": ("vv_n", 7), "vh_c": ("vh_n", 7)})
     df = df.withColumn("cool", 1.0 - F.col("thermal_day_n"))
-    df = g.norm01(df, {"quartz": weighted(QUARTZ), "lime": weighted(LIME), "moist": weighted(MOIST), "oxid": weighted(OXID), "sar_energy": weighted(SAR_ENERGY), "thermal_risk": weighted(THERMAL_RISK)})
-    return g.norm01(df, {"sar_comp": weighted(SAR_COMP), "risk": weighted(RISK)})
+    df = g.norm01(df, {"quartz": weighted(QUARTZ), "lime": weighted(LIME), "moist": weighted(MOIST), "oxid": weighted(OXID), "sar_energy": weighted(SAR_ENERGY), "thermal_risk": weighted(THERMAL_RISK)}, written=True)
+    return g.norm01(df, {"sar_comp": weighted(SAR_COMP), "risk": weighted(RISK)}, written=True)
 
 
 def point_signature(df: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def median_filters(df: DataFrame, bands: dict[str, tuple[str, int]]) -> DataFram
 
     reach = max(size for _, size in bands.values()) // 2
     ends = {f"_{e}_{k}": f(k) for k in ("row", "col") for e, f in (("min", F.min), ("max", F.max))}
-    d = with_stats(df, {f"_med_{n}": F.median(x) for n, (x, _) in bands.items()} | ends)
+    d = with_stats(df, {f"_med_{n}": F.median(x) for n, (x, _) in bands.items()} | ends, written=True)
     # The bands' values with missing pixels filled: by its type the array holds no NULL, so a group takes it as numbers.
     d = d.withColumn("_b", F.array(*[F.coalesce(F.col(x), f"_med_{n}", number(0)) for n, (x, _) in bands.items()]))
 
@@ -165,7 +165,7 @@ def local_contrast(df: DataFrame, bands: dict[str, tuple[str, int]]) -> DataFram
     from tellurion.sources.scratch import materialise
 
     df = materialise(median_filters(df, {f"_m_{n}": b for n, b in bands.items()}), "contrast")
-    df = norm01(df, {name: F.abs(F.col(band) - F.col(f"_m_{name}")) for name, (band, _) in bands.items()})
+    df = norm01(df, {name: F.abs(F.col(band) - F.col(f"_m_{name}")) for name, (band, _) in bands.items()}, written=True)
     return df.drop(*[f"_m_{name}" for name in bands])
 
 

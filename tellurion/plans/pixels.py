@@ -8,7 +8,8 @@ from tellurion.functions import columns as c
 from tellurion.functions import group_stats as g
 from tellurion.operators import proxies, radar, terrain
 from tellurion.operators import windows2d as w2
-from tellurion.sources.views import PIX, pix
+from tellurion.sources.scratch import materialise
+from tellurion.sources.views import PIX, pix, spread
 
 QUERIES, ORACLES = {}, {}
 CELL = ["run_id", "row", "col"]
@@ -339,7 +340,8 @@ _LAYERS = {
   SELECT {AT}, {_r(quartz='quartz', lime='lime', moist='moist', oxid='oxid', sar_comp='sar_comp', risk='risk')} FROM m""")
 def proxy_layers(spark, sf):
     """The six proxy layers with local contrasts over 11 (radar: 7) pixels."""
-    p = pix(spark, sf)
+    # Every statistic reads the bands, grid by grid; they are made once.
+    p = spread(materialise(pix(spark, sf).select(*CELL, "b1", "b2", "b3", "b4", "vv", "vh"), "bands"), "run_id")
     return out(proxies.proxy_layers(p.select(*CELL, *[F.expr(e).alias(n) for n, e in _INPUTS.items()])), **{n: n for n in ("quartz", "lime", "moist", "oxid", "sar_comp", "risk")})
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tellurion.functions.group_stats import norm01
 from tellurion.operators import acquisitions, focus, graph, objects, payloads
 from tellurion.operators import windows2d as w2
 from tellurion.operators.shifts import moved, quads
@@ -117,3 +118,17 @@ def test_median_filters_hold_no_box_and_no_grid(spark, monkeypatch):
     for name, size in (("big", 11), ("small", 3)):
         boxes = np.lib.stride_tricks.sliding_window_view(np.pad(f, size // 2, mode="edge"), (size, size)).reshape(*a.shape, -1)
         assert np.array_equal(rows[name].to_numpy().reshape(a.shape), np.median(boxes, axis=2))
+
+
+def test_statistics_that_are_written_leave_pixels_where_they_are(spark):
+    """Rows meet the written statistics of their grid without a shuffle of their own; missing pixels, flat bands and bands of few pixels give 0."""
+    px = spark.range(4096).select((F.col("id") % 4).cast("int").alias("run_id"), F.when(F.col("id") % 7 > 0, F.col("id") * 0.37).alias("a"), F.lit(2.5).alias("flat"), F.when(F.col("id") < 36, F.col("id") * 1.0).alias("few"))
+    d = norm01(px, {"n": "a", "f": "flat", "s": "few"}, written=True)
+    rows = d.toPandas()
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    for _, g in rows.groupby("run_id"):
+        lo, hi = np.nanpercentile(g.a, [2, 98])
+        assert np.allclose(g.n, np.where(g.a.isna(), 0, np.clip((g.a - lo) / (hi - lo), 0, 1)), atol=1e-12)
+    assert set(rows.f) == set(rows.s) == {0.0}
+    assert norm01(px, {"n": "a", "f": "flat", "s": "few"}).exceptAll(d).isEmpty()
